@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,12 @@ def quality_terms(part: str) -> list[str]:
 
 
 def prepare(text: str) -> str:
-    """Mark each part that repeats the one before it."""
+    """Add a mark for each part that repeats the one before it, if that is a tenth of them or more; the mark tells a third or more."""
     parts = text.split()
-    repeats = sum(a == b for a, b in zip(parts, parts[1:]))
-    return text + " \0rep" * repeats if repeats else text
+    repeats = sum(map(eq, parts, parts[1:]))
+    if not repeats or 10 * repeats < len(parts):
+        return text
+    return text + (" \0many" if 3 * repeats >= len(parts) else " \0some") * repeats
 
 
 @dataclass

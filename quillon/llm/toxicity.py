@@ -53,15 +53,32 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_machine(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = 5, batch: int = 32, rate: float = 0.05, penalty: float = 2e-4, least: int = 4, seed: int = 5) -> FactorizationMachine:
-    """labels: one for each text; rows, ids: the texts' distinct terms in order. Terms of fewer than ``least`` texts stay 0."""
+def tie(df: np.ndarray, hits: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Likelihood ratio statistic of each term's 2 x 2 table with the label."""
+    out = np.zeros(len(df))
+    for seen, total in ((df, n), (n - df, n)):
+        for k, share in ((hits if seen is df else positive - hits, positive / total), (df - hits if seen is df else (n - df) - (positive - hits), 1 - positive / total)):
+            expected = seen * share
+            out += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return out
+
+
+def fit_machine(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = 12, batch: int = 32, rate: float = 0.1, penalty: float = 1e-4, least: int = 4, tied: float = 12.0, common: int = 300, seed: int = 5) -> FactorizationMachine:
+    """labels: one for each text; rows, ids: the texts' distinct terms in order.
+
+    Fitted are the ``common`` commonest terms, which may matter in pairs only, and those of ``least`` texts or more that
+    are tied to the label (a likelihood ratio statistic of ``tied`` or more); all others stay 0.
+    """
     n, size = len(labels), 1 << bits
     table = np.zeros((size, 2 + factors), np.float32)
     if not n:
         return FactorizationMachine(0.0, table, True)
     share = (labels.sum() + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
-    known = np.bincount(ids, minlength=size) >= least
+    df = np.bincount(ids, minlength=size)
+    known = (df >= least) & (tie(df, np.bincount(ids, labels[rows], size), n, labels.sum()) >= tied)
+    known[np.argsort(-df, kind="stable")[:common]] = True
+    known &= df > 0
     keep = known[ids]
     rows, ids = rows[keep], ids[keep]
     rng = np.random.default_rng(seed)
