@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, language, media, quality, token_files, toxicity
+from quillon.llm import decontamination, language, line_dedup, media, quality, token_files, toxicity
 from quillon.llm.common import id_bucket, table
 
 
@@ -44,6 +45,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.withColumn("held_out", id_bucket("doc_id", 5) == 0), model, keep=("held_out",))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
+    n_removed = F.size("removed_lines").cast("long")
+    return out.select("doc_id", lines.cast("long").alias("n_lines"), n_removed.alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op3_toxicity": op3_toxicity,
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,5 +82,25 @@ items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op10_line_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT rid, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs) WHERE trim(l[i], ' ') <> ''),
+firsts AS (SELECT line, min(row(doc_id, pos)) AS first, string_split(line, ' ') AS w FROM lines GROUP BY line),
+keys AS (
+  SELECT line, first, -1 AS i, line AS v FROM firsts WHERE len(w) >= 5
+  UNION ALL
+  SELECT line, first, i, array_to_string(list_concat(w[1:i], w[i + 2:]), ' ') AS v FROM (SELECT *, unnest(range(0, len(w))) AS i FROM firsts WHERE len(w) >= 5)),
+near AS (SELECT DISTINCT a.line FROM keys a JOIN keys b ON a.v = b.v AND b.first < a.first AND (a.i = b.i OR a.i = -1 OR b.i = -1)),
+gone AS (
+  SELECT rid, array_agg(pos ORDER BY pos) AS removed FROM lines JOIN firsts USING (line)
+  WHERE row(doc_id, pos) > first OR line IN (SELECT line FROM near) GROUP BY rid),
+kept AS (
+  SELECT doc_id, coalesce(removed, []) AS removed,
+         CASE WHEN removed IS NULL THEN text ELSE array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF NOT list_contains(removed, i - 1)], chr(10)) END AS kept
+  FROM docs LEFT JOIN gone USING (rid))
+SELECT doc_id, CASE WHEN kept IS NULL THEN 0 ELSE len(string_split(kept, chr(10))) END AS n_lines, CAST(len(removed) AS BIGINT) AS n_removed,
+       array_to_string(removed, ',') AS removed_lines, sha256(coalesce(kept, '')) AS kept_sha256
+FROM kept
 """,
 }
