@@ -33,22 +33,55 @@ def word_encoder(vocabulary: bytes) -> Callable[[list[str]], list[bytes]]:
 
     The vocabulary's normalizer and pre-tokenizer treat a space or line feed only as an end of words, so a
     text's ids are those of its space-separated parts in order; each distinct part is encoded once a worker
-    (within the memo's bound).
+    (within the memo's bound). Parts of Latin letters, which are one pre-token each whatever their case, are
+    encoded many at a time in one text and told apart by the tokens that end a word; a sign after such a part
+    is a part of its own.
     """
     key = zlib.crc32(vocabulary)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[key] = Tokenizer.from_buffer(vocabulary), Memo()
-    tokenizer, memo = _loaded[key]
+        tokenizer = Tokenizer.from_buffer(vocabulary)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        _loaded[key] = tokenizer, ends, Memo(), Memo(300_000)
+    tokenizer, ends, memo, plain = _loaded[key]
+
+    def single(parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for k, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            yield k, np.array(e.ids, "<u4").tobytes()
+
+    def learn(words: list[str]) -> None:
+        """Encode lower-case parts of Latin letters."""
+        for a in range(0, len(words), 4000):
+            some = words[a : a + 4000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.nonzero(ends[ids])[0] + 1
+            if len(at) != len(some) or at[-1] != len(ids):
+                plain.new.update(single(some))
+                continue
+            raw, cut = ids.tobytes(), (4 * at).tolist()
+            plain.new.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut], cut))))
 
     def encode(texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
         todo = memo.missing(set().union(*parts))
         new = memo.new
-        for k, e in zip(todo, tokenizer.encode_batch_fast(todo, add_special_tokens=False)):
-            new[k] = np.array(e.ids, "<u4").tobytes()
+        words, others = [], []
+        for p in todo:
+            w = p[:-1] if p[-1:] in (".", ",") and p[:-1].isalpha() else p
+            if w.isalpha() and max(w) < "\u0130":
+                words.append((p, w.lower(), p[len(w) :]))
+            else:
+                others.append(p)
+        new.update(single(others))
+        if words:
+            learn(plain.missing({w for _, w, _ in words}))
+            signs = dict(single([".", ",", ""]))
+            known = plain.new
+            for p, w, sign in words:
+                new[p] = known[w] + signs[sign]
         get = new.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
