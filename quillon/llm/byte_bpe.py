@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Memo, bytes_of, checkpoint, column_of, pieces, read_file, record, texts_of
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 _loaded: dict[int, tuple] = {}
 
 
@@ -76,6 +76,30 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _pack_ranks(ranks: np.ndarray) -> bytes:
+    """Frequency ranks, most of them small: a byte each, and two or four more bytes for ranks of 240 and more."""
+    big = ranks >= 240
+    head = np.where(big, 240 + (ranks >> 16 > 0), ranks).astype(np.uint8)
+    rest = ranks[big]
+    streams = [head, (rest & 255).astype(np.uint8), (rest >> 8 & 255).astype(np.uint8), (rest[rest >> 16 > 0] >> 16).astype("<u2")]
+    done = [zstandard.compress(x.tobytes(), 3) for x in streams]
+    return b"".join(len(x).to_bytes(4, "little") + x for x in done)
+
+
+def _unpack_ranks(data: bytes) -> np.ndarray:
+    streams, at = [], 0
+    for kind in (np.uint8, np.uint8, np.uint8, "<u2"):
+        n = int.from_bytes(data[at : at + 4], "little")
+        streams.append(np.frombuffer(zstandard.decompress(data[at + 4 : at + 4 + n]), kind).astype(np.uint32))
+        at += 4 + n
+    head, low, high, more = streams
+    out = head.copy()
+    big = np.nonzero(head >= 240)[0]
+    out[big] = low | high << 8
+    out[np.nonzero(head == 241)[0]] |= more << 16
+    return out
+
+
 class _Block:
     """Documents of a block in the making."""
 
@@ -107,7 +131,7 @@ class _Block:
             some = [words[i] for i in own]
             head = _pack(np.diff(own, prepend=0), np.array([len(w) for w in some], np.uint32))
             packed.append(len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join(some), 3) if b > a else None)
-        return {"block": name, "positions": _pack(np.array([len(x) for x in self.flat], np.uint32), rank[flat]), "words": packed}
+        return {"block": name, "positions": _pack_ranks(rank[flat]), "lengths": _pack(np.array([len(x) for x in self.flat], np.uint32)), "words": packed}
 
 
 def _words_of(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -120,7 +144,7 @@ def _words_of(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, positions, words): step 1, not yet written."""
+    """(block, ids, lengths, positions, words): step 1, not yet written."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +156,7 @@ def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc
             row = block.row(f"{task}-{n}", buckets)
             ids = pa.concat_arrays(block.ids)
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([row["block"]]), lists, pa.array([row["positions"]], pa.binary()), pa.array([row["words"]], pa.list_(pa.binary()))], names=["block", "ids", "positions", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([row["block"]]), lists, pa.array([row["lengths"]], pa.binary()), pa.array([row["positions"]], pa.binary()), pa.array([row["words"]], pa.list_(pa.binary()))], names=["block", "ids", "lengths", "positions", "words"])
 
         block = _Block()
         for piece in pieces(batches, text_col, min(block_bytes, 4 << 20)):
@@ -145,7 +169,7 @@ def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc
         if block.ids:
             yield close(block)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"block string, ids array<{kind}>, positions binary, words array<binary>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"block string, ids array<{kind}>, lengths binary, positions binary, words array<binary>")
 
 
 def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, buckets: int) -> DataFrame:
@@ -198,7 +222,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = checkpoint(blocks_of(docs, pattern, buckets, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
     none = F.lit(None)
-    rows = blocks.select("block", "ids", "positions", none.cast("binary").alias("coded")).unionByName(encode_words(blocks, ranks, pattern, buckets).select("block", none.cast(blocks.schema["ids"].dataType).alias("ids"), none.cast("binary").alias("positions"), "coded"))
+    rows = blocks.select("block", "ids", "lengths", "positions", none.cast("binary").alias("coded")).unionByName(encode_words(blocks, ranks, pattern, buckets).select("block", none.cast(blocks.schema["ids"].dataType).alias("ids"), none.cast("binary").alias("lengths"), none.cast("binary").alias("positions"), "coded"))
     sent = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -209,7 +233,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             raise RuntimeError("a block must have one row of positions")
         coded = Coded([x for x in group["coded"].to_pylist() if x is not None], table)
         ids = next(x.values for x in group["ids"].drop_null().chunks if len(x))
-        lengths, flat = _unpack(positions[0])
+        lengths, flat = _unpack(group["lengths"].drop_null()[0].as_py())[0], _unpack_ranks(positions[0])
         text_ids = [b"".join(b"%d," % i for i in x.tolist()) for x in coded.ids]
         counts = np.array([len(x) for x in coded.ids], np.int64)
         n, sha, decoded, lists, at = [], [], [], [], 0

@@ -5,8 +5,8 @@ if a line within one word edit of it (insertion, deletion or substitution of one
 five words or more) first occurs earlier. Earlier: smaller (doc id, line number), null ids first.
 
 * Equal lines meet in one aggregation; only its one row a line goes on.
-* Two lines within one edit have equal first or equal last halves, so lines that share no half with another line need
-  no neighbourhood. That leaves out nothing.
+* Two lines within one edit have equal first or equal last words (a quarter of the line or more), so lines that share
+  neither with another line need no neighbourhood, and others none of the shared side. That leaves out nothing.
 * The others emit themselves and every text with one word deleted as hashed keys. Equal keys join: the same word
   position deleted on both sides is a substitution, a whole line that equals a deletion is an insertion. A group's
   members are each compared with its earliest member only, which is all that "an earlier one exists" needs: no pairs
@@ -48,47 +48,64 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
+def _half(n: Column) -> Column:
+    """How many words at either end a line of n words is known by: a power of two, a quarter of them to a half."""
+    return F.pow(F.lit(2), F.floor(F.log2(n.cast("double"))) - 1).cast("int")
+
+
+def half_keys(line: Column, n: Column) -> Column:
+    """Hashes of the line's first and last words, with their side (0 first, 1 last).
+
+    Lines whose numbers of words differ by one have one number of words in common: where it changes, both are emitted.
+    """
+    h = _half(n)
+    key = lambda side, k: F.struct(F.xxhash64(F.lit(side), k, _first_words(line, -k if side else k)).alias("half"), F.lit(side).alias("side"))
+    both = lambda k: F.array(key(0, k), key(1, k))
+    return F.when(h == _half(n - 1), both(h)).otherwise(F.concat(both(h), both(F.floor(h / 2).cast("int"))))
+
+
 def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one word edit."""
-    spark = lines.sparkSession
-    halves = firsts.where(F.col("n") >= least_words).select("h1", "h2", F.explode(F.array_distinct(F.array("a1", "a2", "b1", "b2"))).alias("half"))
+    halves = firsts.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.half", "x.side")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
-    some = checkpoint(halves.join(shared, "half", "left_semi").select("h1", "h2").distinct())
+    # an edit lies outside the shared half, so a line that shares one side only needs deletions beyond it only
+    some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")))
     few = some.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(some) if few else some
-    texts = lines.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"))
-    lines_ = checkpoint(texts.withColumn("n", _words(F.col("line"))))
-
+    met = lines.join(F.broadcast(some) if few else some, ["h1", "h2"])
+    texts = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # seq numbers lines in the order of their first places, whatever the partitions
     line, n = F.col("line"), F.col("n")
-    deleted = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(_without(line, n, i)).alias("v"), i.alias("i")))
-    keys = lines_.select("h1", "h2", "first", F.explode(F.concat(F.array(F.struct(F.xxhash64(line).alias("v"), F.lit(-1).alias("i"))), deleted)).alias("x")).select("h1", "h2", "first", "x.v", "x.i")
-    one = F.struct("first", "h1", "h2")
-    groups = keys.groupBy("v", "i").agg(F.min(one).alias("e"), F.count(F.lit(1)).alias("k"))
+    lines_ = checkpoint(texts.orderBy("first").select("h1", "h2", "line", "low", "high", _words(line).alias("n"), F.monotonically_increasing_id().alias("seq")))
+
+    h = F.floor(_half(n - 1)).cast("int")
+    begin, end = F.when(F.col("high") == 0, h).otherwise(0), F.when(F.col("low") == 1, n - h - 1).otherwise(n - 1)
+    deleted = F.transform(F.sequence(begin, end), lambda i: F.struct(F.xxhash64(_without(line, n, i)).alias("v"), i.alias("i")))
+    whole = F.array(F.struct(F.xxhash64(line).alias("v"), F.lit(-1).alias("i")))
+    keys = lines_.select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i")
+    groups = checkpoint(keys.groupBy("v", "i").agg(F.min("seq").alias("e"), F.count(F.lit(1)).alias("k")))
     # substitutions: the same position deleted on both sides
-    same = groups.where("k > 1 and i >= 0").select("v", "i", "e")
-    swaps = keys.join(same, ["v", "i"]).where(F.col("e.first") < F.col("first")).select("h1", "h2", "i", "e.h1", "e.h2", F.col("i").alias("j")).toDF("h1", "h2", "i", "p1", "p2", "j")
+    same = groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j"))
     # insertions: a whole line on one side, a deletion on the other
-    both = groups.groupBy("v").agg(F.min(F.when(F.col("i") < 0, F.struct("e", "i"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.struct("e", "i"))).alias("part")).where("whole is not null and part is not null")
-    met = keys.join(both, "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).where(F.col("o.e.first") < F.col("first"))
-    grown = met.select("h1", "h2", "i", F.col("o.e.h1").alias("p1"), F.col("o.e.h2").alias("p2"), F.col("o.i").alias("j"))
+    place = F.struct(F.col("e").alias("p"), F.col("i").alias("j"))
+    both = groups.groupBy("v").agg(F.min(F.when(F.col("i") < 0, place)).alias("whole"), F.min(F.when(F.col("i") >= 0, place)).alias("part")).where("whole is not null and part is not null")
+    swaps = keys.join(same, ["v", "i"]).where("p < seq").select("seq", "i", "p", "j")
+    grown = keys.join(both, "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
     pairs = swaps.unionByName(grown)
 
-    own = lines_.select("h1", "h2", "line", "n")
-    partner = lines_.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("p_line"), F.col("n").alias("p_n"))
+    own = lines_.select("seq", "h1", "h2", "line", "n")
+    partner = lines_.select(F.col("seq").alias("p"), F.col("line").alias("p_line"), F.col("n").alias("p_n"))
     left = F.when(F.col("i") < 0, line).otherwise(_without(line, n, F.col("i")))
     right = F.when(F.col("j") < 0, F.col("p_line")).otherwise(_without(F.col("p_line"), F.col("p_n"), F.col("j")))
-    return pairs.join(own, ["h1", "h2"]).join(partner, ["p1", "p2"]).where(left == right).select("h1", "h2").distinct()
+    return pairs.join(own, "seq").join(partner, "p").where(left == right).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, removed): sorted numbers of the lines that go, for documents that lose any."""
     lines = lines_of(docs, id_col, text_col)
-    line = F.col("line")
-    n = _words(line)
-    h, g = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    half = lambda side, k: F.xxhash64(F.lit(side), k, _first_words(line, k if side else -k))
-    kept = lines.select("id", "at", "h1", "h2", n.alias("n"), half(1, h).alias("a1"), half(1, g).alias("a2"), half(0, h).alias("b1"), half(0, g).alias("b2"))
-    firsts = checkpoint(kept.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("k"), *(F.min(c).alias(c) for c in ("n", "a1", "a2", "b1", "b2"))))
+    known = lines.withColumn("n", _words(F.col("line")))
+    # a line's halves are the same wherever it occurs, and few are kept; the minimum is any of them
+    known = known.select("id", "at", "h1", "h2", F.when(F.col("n") >= LEAST_WORDS, half_keys(F.col("line"), F.col("n"))).alias("halves"))
+    firsts = checkpoint(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("k"), F.min("halves").alias("halves")))
     near = near_lines(lines, firsts).withColumn("near", F.lit(True))
     # lines that occur once and have no near line can't go: they don't need to meet their occurrences
     told = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").where("k > 1 or near")

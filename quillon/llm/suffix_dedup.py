@@ -47,6 +47,7 @@ SHARD = 8000
 BROADCAST_ROWS = 2_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _MAX = np.uint64(2**64 - 1)
 
 
@@ -60,8 +61,8 @@ def _table() -> np.ndarray:
 _BYTES = _table()
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n + 1, _B, np.uint64)
+def _powers(n: int, base: np.uint64 = _B) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -91,10 +92,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     ends = np.cumsum(size)
     starts = ends - size
     n = len(raw)
-    power = _powers(n)
+    power, inverse = _powers(n), _powers(n, _INVERSE)
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[raw] * power[:n], out=prefix[1:])
-    h = _mixed((prefix[ANCHOR:] - prefix[:-ANCHOR]) * power[n - np.arange(n - ANCHOR + 1)])
+    h = _mixed((prefix[ANCHOR:] - prefix[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
     w = LENGTH - ANCHOR + 1
     least = sliding_least(h, w)
     doc = np.repeat(np.arange(len(use)), size)
@@ -110,7 +111,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     d = doc[pos]
     low = np.maximum(pos + ANCHOR - LENGTH, starts[d])
     high = np.minimum(pos + LENGTH, ends[d])
-    context = _mixed((prefix[high] - prefix[low]) * power[n - low] + (pos - low).astype(np.uint64) * np.uint64(1000003) + (high - pos).astype(np.uint64))
+    context = _mixed((prefix[high] - prefix[low]) * inverse[low] + (pos - low).astype(np.uint64) * np.uint64(1000003) + (high - pos).astype(np.uint64))
     return np.array(use)[d], pos - starts[d], h[pos].view(np.int64), context.view(np.int64)
 
 

@@ -16,26 +16,116 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import Memo, column_of, pieces, read_file, shared_dir, texts_of
+from quillon.llm.common import bytes_of, column_of, pieces, read_file, shared_dir
 
 END_ID = 2
+#: Signs that end a part: after letters, a run of them is one pre-token.
+SIGNS = "!\"#$%&()*+,-./:;?@[]^_|~"
 _loaded: dict[int, tuple] = {}
 
 
-def word_encoder(vocabulary: bytes) -> Callable[[list[str]], list[bytes]]:
-    """Encodes texts with the tokenizers library into little-endian unsigned 32-bit ids.
+class WordIds:
+    """Ids of distinct parts by the parts' 64-bit hashes: sorted arrays, a large one and a small one that is merged into it."""
+
+    def __init__(self, limit: int = 2_000_000) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
+        self.ends = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, "<u4")
+        self.n = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, slots in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[at] == keys, slots[at], out)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """A part's ids as bytes; keys are new."""
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        used = self.ends[self.n]
+        need = used + int(counts.sum())
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(need * 3 // 2 - used + 1024, "<u4")])
+        self.flat[used:need] = np.frombuffer(b"".join(ids), "<u4")
+        if self.n + len(keys) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros((self.n + len(keys)) // 2 + len(keys) + 1, np.int64)])
+        self.ends[self.n + 1 : self.n + 1 + len(keys)] = used + np.cumsum(counts)
+        new = (keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+        large, small = self.levels
+        small = self._merged(small, new)
+        if len(small[0]) > 50_000 + len(large[0]) // 4:
+            large, small = self._merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.levels = [large, small]
+
+    @staticmethod
+    def _merged(*levels: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([k for k, _ in levels])
+        order = np.argsort(keys)
+        return keys[order], np.concatenate([v for _, v in levels])[order]
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, count of each slot)."""
+        start = self.ends[slots]
+        n = self.ends[slots + 1] - start
+        at = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n)
+        at += np.arange(len(at))
+        return self.flat[at], n
+
+
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def parts_of(raw: np.ndarray, ends: np.ndarray, power: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the parts between spaces, line feeds and text ends; ends: where each text ends."""
+    n = len(raw)
+    gap = (raw == 32) | (raw == 10)
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    first = np.ones(n, bool)
+    first[1:] = gap[:-1] | edge[1:n]
+    start = np.nonzero(first & ~gap)[0]
+    last = np.ones(n, bool)
+    last[:-1] = gap[1:] | edge[1:n]
+    end = np.nonzero(last & ~gap)[0] + 1
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
+    h = (prefix[end] - prefix[start]) * inverse[start]
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return start, end, h ^ h >> np.uint64(29)
+
+
+def word_encoder(vocabulary: bytes) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes UTF-8 texts with the tokenizers library: (ids one after another, count of each text).
 
     The vocabulary's normalizer and pre-tokenizer treat a space or line feed only as an end of words, so a
-    text's ids are those of its space-separated parts in order; each distinct part is encoded once a worker
-    (within the memo's bound). Parts of Latin letters, which are one pre-token each whatever their case, are
-    encoded many at a time in one text and told apart by the tokens that end a word; a sign after such a part
-    is a part of its own.
+    text's ids are those of its parts between them, in order; each distinct part is encoded once a worker
+    (within the bound of its table) and found by its hash. Parts of Latin letters, which are one pre-token each
+    whatever their case, are encoded many at a time in one text and told apart by the tokens that end a word; a
+    run of signs after such a part is a part of its own.
     """
     key = zlib.crc32(vocabulary)
     if key not in _loaded:
@@ -45,45 +135,66 @@ def word_encoder(vocabulary: bytes) -> Callable[[list[str]], list[bytes]]:
         tokenizer = Tokenizer.from_buffer(vocabulary)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _loaded[key] = tokenizer, ends, Memo(), Memo(300_000)
-    tokenizer, ends, memo, plain = _loaded[key]
+        _loaded.clear()
+        _loaded[key] = tokenizer, ends, WordIds()
+    tokenizer, ends, table = _loaded[key]
+    power: list[np.ndarray] = []
 
-    def single(parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        for k, e in zip(parts, tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            yield k, np.array(e.ids, "<u4").tobytes()
+    def single(parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def learn(words: list[str]) -> None:
-        """Encode lower-case parts of Latin letters."""
+    def plain(words: list[str]) -> list[bytes]:
+        """Ids of lower-case parts of Latin letters."""
+        out: list[bytes] = []
         for a in range(0, len(words), 4000):
             some = words[a : a + 4000]
             ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.nonzero(ends[ids])[0] + 1
             if len(at) != len(some) or at[-1] != len(ids):
-                plain.new.update(single(some))
+                out += single(some)
                 continue
             raw, cut = ids.tobytes(), (4 * at).tolist()
-            plain.new.update(zip(some, map(raw.__getitem__, map(slice, [0, *cut], cut))))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        todo = memo.missing(set().union(*parts))
-        new = memo.new
-        words, others = [], []
-        for p in todo:
-            w = p[:-1] if p[-1:] in (".", ",") and p[:-1].isalpha() else p
-            if w.isalpha() and max(w) < "\u0130":
-                words.append((p, w.lower(), p[len(w) :]))
-            else:
-                others.append(p)
-        new.update(single(others))
-        if words:
-            learn(plain.missing({w for _, w, _ in words}))
-            signs = dict(single([".", ",", ""]))
-            known = plain.new
-            for p, w, sign in words:
-                new[p] = known[w] + signs[sign]
-        get = new.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            out += [raw[x:y] for x, y in zip([0, *cut], cut)]
+        return out
+
+    def learn(parts: list[str]) -> list[bytes]:
+        words = [p.rstrip(SIGNS) for p in parts]
+        easy = [w.isalpha() and (w.isascii() or max(w) < "\u0130") for w in words]
+        low = list({w.lower() for w, e in zip(words, easy) if e})
+        known = dict(zip(low, plain(low))) if low else {}
+        signs = list({p[len(w) :] for p, w, e in zip(parts, words, easy) if e})
+        after = dict(zip(signs, single(signs)))
+        rest = iter(single([p for p, e in zip(parts, easy) if not e]))
+        return [known[w.lower()] + after[p[len(w) :]] if e else next(rest) for p, w, e in zip(parts, words, easy)]
+
+    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joined = b"".join(texts)
+        text_ends = np.cumsum([len(x) for x in texts])
+        raw = np.frombuffer(joined, np.uint8)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        if not power or len(power[0]) <= len(raw):
+            power[:] = [powers(_MULTIPLIER, len(raw)), powers(_INVERSE, len(raw))]
+        start, end, h = parts_of(raw, text_ends, *power)
+        codes, kinds = pd.factorize(h)
+        slots = table.find(kinds)
+        new = np.nonzero(slots < 0)[0]
+        if len(new) and table.n + len(new) > table.limit:
+            table.clear()
+            slots[:] = -1
+            new = np.arange(len(kinds))
+        if len(new):
+            # any place of a new part: the codes are numbered by first use
+            where = np.empty(len(kinds), np.int64)
+            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            at = where[new]
+            parts = [joined[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist())]
+            slots[new] = np.arange(table.n, table.n + len(new))
+            table.add(kinds[new], learn(parts))
+        ids, n = table.gather(slots[codes])
+        owner = np.searchsorted(start, np.r_[0, text_ends])  # parts before each text
+        before = np.r_[0, np.cumsum(n)]
+        return ids, np.diff(before[owner])
 
     return encode
 
@@ -95,16 +206,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: bytes, *, id_col: str =
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, start = word_encoder(sent.value), TaskContext.get().partitionId(), 0
         for piece in pieces(batches, text_col):
-            ids = [x + end for x in encode([x or "" for x in texts_of(piece, text_col)])]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = encode([x or b"" for x in bytes_of(piece, text_col)])
+            ids = np.insert(ids, np.cumsum(n), end_id)
+            n = n + 1
             ends = np.cumsum(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard, np.int32)), column_of(piece, id_col), pa.array(start + ends - n), pa.array(n), lists], names=["shard", id_col, "shard_start", "n_tokens", "token_ids"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype("<i4", copy=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), column_of(piece, id_col), pa.array(start + ends - n), pa.array(n), lists], names=["shard", id_col, "shard_start", "n_tokens", "token_ids"])
             start += int(ends[-1])
 
     rows = docs.select(id_col, text_col).repartitionByRange(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)).sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
