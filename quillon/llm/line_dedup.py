@@ -115,8 +115,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, the text without the lines that go, and ``removed_lines``: their numbers from 0."""
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("removed_lines"))
+    """All columns, the text without the lines that go, and ``removed_lines``: their numbers from 0 (instead of a column of that name)."""
+    docs = docs.drop("removed_lines")
+    gone = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
     met = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
-    return met.select(*[F.when(F.col("removed_lines").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
+    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n")
+    return met.select(*[F.when(F.col("__removed").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("removed_lines"))

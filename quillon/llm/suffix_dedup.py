@@ -42,13 +42,18 @@ BLOCKS = SIDE // BLOCK
 #: Different contexts of an anchor beyond which it is dealt out again.
 MANY = 1000
 #: Contexts after which a shard is closed, at the next change of key.
-SHARD = 8000
+SHARD = 4000
 #: Candidate anchors that may be broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 2_000_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _MAX = np.uint64(2**64 - 1)
+#: Bits that hold a place while the least hash of each window is looked for, and how many places are looked at together.
+_PLACE = np.uint64(2**28 - 1)
+SEGMENT = 1 << 27
+#: Bytes of text whose windows are hashed at a time: small enough for a core's cache.
+PIECE = 512 << 10
 
 
 def _table() -> np.ndarray:
@@ -97,17 +102,19 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     np.cumsum(_BYTES[raw] * power[:n], out=prefix[1:])
     h = _mixed((prefix[ANCHOR:] - prefix[:-ANCHOR]) * inverse[: n - ANCHOR + 1])
     w = LENGTH - ANCHOR + 1
-    least = sliding_least(h, w)
     doc = np.repeat(np.arange(len(use)), size)
-    at = np.arange(len(least))
-    inside = at + LENGTH <= ends[doc[: len(least)]]
-    at = at[inside]
-    # the last place of the least hash: the least is at 'at + k'; places only move forward with the window
-    chosen = np.zeros(len(h), bool)
-    values = least[inside]
-    order = _last_places(h, at, values, w)
-    chosen[order] = True
-    pos = np.nonzero(chosen)[0]
+    chosen = []
+    for a in range(0, n - LENGTH + 1, SEGMENT):
+        own = h[a : a + SEGMENT + w - 1]
+        # the upper bits of the hash, then the place, later ones first
+        keyed = own & ~_PLACE | _PLACE - np.arange(len(own), dtype=np.uint64)
+        least = sliding_least(keyed, w)
+        at = a + np.arange(len(least))
+        least = least[at + LENGTH <= ends[doc[at]]]
+        if len(least):
+            least = least[np.r_[True, least[1:] != least[:-1]]]
+            chosen.append(a + (_PLACE - (least & _PLACE)).astype(np.int64))
+    pos = np.unique(np.concatenate(chosen))
     d = doc[pos]
     low = np.maximum(pos + ANCHOR - LENGTH, starts[d])
     high = np.minimum(pos + LENGTH, ends[d])
@@ -115,18 +122,6 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.array(use)[d], pos - starts[d], h[pos].view(np.int64), context.view(np.int64)
 
 
-def _last_places(h: np.ndarray, at: np.ndarray, values: np.ndarray, w: int) -> np.ndarray:
-    """For windows of w values starting at ``at``: the last place of each one's least value."""
-    places = np.nonzero(np.isin(h, np.unique(values)))[0]
-    keys = np.lexsort((places, h[places]))
-    value, place = h[places][keys], places[keys].astype(np.uint64)
-    # a combined key orders by value, then by place; ranks keep it within 64 bits
-    kinds, rank = np.unique(value, return_inverse=True)
-    combined = rank.astype(np.int64) * (len(h) + 1) + place.astype(np.int64)
-    own = np.searchsorted(kinds, values).astype(np.int64) * (len(h) + 1) + at + w - 1
-    return np.unique(place[np.searchsorted(combined, own, "right") - 1]).astype(np.int64)
-
-
 def repeated(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
     """Of each context, the spans (from the anchor's start) of 400-byte strings that another context of its group has at
     the same distance from the anchor. lefts: bytes before the anchor."""
@@ -217,7 +212,7 @@ def _anchor_rows(docs: DataFrame, count_only: bool) -> DataFrame:
 
         return run
 
-    return map_pieces(docs, "text", make, "anchor long, k long" if count_only else f"anchor long, context long, id {kind}, mark long, at int")
+    return map_pieces(docs, "text", make, "anchor long, k long" if count_only else f"anchor long, context long, id {kind}, mark long, at int", PIECE)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
