@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import byte_bpe, decontamination, line_dedup, near_dedup
@@ -17,10 +17,17 @@ from quillon.llm import quality as quality_model
 from quillon.llm.common import checkpoint, table
 
 
+def shielded(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The table with all columns but id and text renamed, so that none clashes with a stage's own, and how to name them back."""
+    names = {c: c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled ones vote for."""
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.predict(docs, model, keep=tuple(docs.columns)).where("predicted = 1").select(docs.columns)
+    rows, back = shielded(docs)
+    return quality_model.predict(rows, model, keep=tuple(rows.columns)).where("predicted = 1").select(back)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(~F.col("contaminated")).select(docs.columns)
+    rows, back = shielded(docs)
+    found = decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=tuple(rows.columns))
+    return found.where(~F.col("contaminated")).select(back)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
