@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(df: DataFrame) -> str:
-    """spark.checkpoint.dir; set here only where it is unset in a local session, as in tests."""
+    """spark.checkpoint.dir; where it is unset in a local session, as in tests, a temporary folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
