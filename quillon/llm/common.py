@@ -27,14 +27,13 @@ def id_bucket(id_col: str, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor reaches.
 
-    The setting is made here only where it is unset and the session is a local one, as in tests.
+    Where the setting is unset and the session is a local one, as in tests, it is a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
