@@ -107,12 +107,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
 
 def _across(group: pa.Table, percent: int, margin: float) -> pa.Table:
-    """Pairs of a group's members of different components that pass the estimate."""
+    """Pairs of a band's members of different components that pass the estimate, each in the first band that it shares."""
+    band = group["band"][0].as_py()
     ids, comps = group["id"].combine_chunks(), np.unique(np.asarray(group["component"].combine_chunks().dictionary_encode().indices), return_inverse=True)[1]
     blocks = np.asarray(group["block"])
     n = np.asarray(group["n"]).astype(float)
     regs = hmh.unpacked(group["sketch"].to_pylist())
-    left, right = [], []
+    left, right, keys = [], [], None
     first, last = blocks.min(), blocks.max()
     rows = np.nonzero(blocks == first)[0]
     order = np.argsort(n, kind="stable")
@@ -124,6 +125,9 @@ def _across(group: pa.Table, percent: int, margin: float) -> pa.Table:
         if len(other):
             j, error = hmh.estimate(regs[i][None], regs[other], n[i], n[other])
             other = other[j + margin * error >= percent / 100]
+        if len(other):
+            keys = hmh.band_keys(regs) if keys is None else keys
+            other = other[keys[i][(keys[i] == keys[other]).argmax(1)] == band]
             left.append(np.full(len(other), i))
             right.append(other)
     take = lambda x: ids.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
