@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import checkpoint
 
 LEAST_WORDS = 5
-#: Rows of (line hash) that may be broadcast to fetch the candidate lines' texts; beyond, it is a shuffled join.
+#: Rows of hashes that may be broadcast to a join; beyond, it is a shuffled one.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -64,14 +64,18 @@ def half_keys(line: Column, n: Column) -> Column:
     return F.when(h == _half(n - 1), both(h)).otherwise(F.concat(both(h), both(F.floor(h / 2).cast("int"))))
 
 
+def _fit(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of a bounded number of rows; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one word edit."""
     halves = firsts.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.half", "x.side")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
     # an edit lies outside the shared half, so a line that shares one side only needs deletions beyond it only
     some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")))
-    few = some.count() <= BROADCAST_ROWS
-    met = lines.join(F.broadcast(some) if few else some, ["h1", "h2"])
+    met = lines.join(_fit(some), ["h1", "h2"])
     texts = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"), F.min("low").alias("low"), F.max("high").alias("high"))
     # seq numbers lines in the order of their first places, whatever the partitions
     line, n = F.col("line"), F.col("n")
@@ -81,15 +85,15 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     begin, end = F.when(F.col("high") == 0, h).otherwise(0), F.when(F.col("low") == 1, n - h - 1).otherwise(n - 1)
     deleted = F.transform(F.sequence(begin, end), lambda i: F.struct(F.xxhash64(_without(line, n, i)).alias("v"), i.alias("i")))
     whole = F.array(F.struct(F.xxhash64(line).alias("v"), F.lit(-1).alias("i")))
-    keys = lines_.select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i")
+    keys = checkpoint(lines_.select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i"))
     groups = checkpoint(keys.groupBy("v", "i").agg(F.min("seq").alias("e"), F.count(F.lit(1)).alias("k")))
     # substitutions: the same position deleted on both sides
-    same = groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j"))
+    same = checkpoint(groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j")))
     # insertions: a whole line on one side, a deletion on the other
-    place = F.struct(F.col("e").alias("p"), F.col("i").alias("j"))
-    both = groups.groupBy("v").agg(F.min(F.when(F.col("i") < 0, place)).alias("whole"), F.min(F.when(F.col("i") >= 0, place)).alias("part")).where("whole is not null and part is not null")
-    swaps = keys.join(same, ["v", "i"]).where("p < seq").select("seq", "i", "p", "j")
-    grown = keys.join(both, "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
+    wholes = checkpoint(groups.where("i < 0").select("v", F.struct(F.col("e").alias("p"), F.col("i").alias("j")).alias("whole")))
+    parts = groups.where("i >= 0").join(_fit(wholes), "v").groupBy("v").agg(F.min(F.struct(F.col("e").alias("p"), F.col("i").alias("j"))).alias("part"), F.min("whole").alias("whole"))
+    swaps = keys.join(_fit(same), ["v", "i"]).where("p < seq").select("seq", "i", "p", "j")
+    grown = keys.join(_fit(checkpoint(parts)), "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
     pairs = swaps.unionByName(grown)
 
     own = lines_.select("seq", "h1", "h2", "line", "n")
