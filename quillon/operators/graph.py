@@ -30,18 +30,13 @@ def layers(rows: DataFrame) -> DataFrame:
     names = stored(rows.select("name").distinct())
     done, layer = None, 0
     while True:
-        waiting = left.select("name").distinct()
-        ready = names.join(waiting, "name", "left_anti")
         layer += 1
-        if ready.isEmpty():
-            rest = names
-        else:
-            rest = None
-        found = (ready if rest is None else rest).withColumn("layer", F.lit(layer))
+        ready = stored(names.join(left.select("name").distinct(), "name", "left_anti"))
+        stuck = ready.isEmpty()
+        found = (names if stuck else ready).withColumn("layer", F.lit(layer))
         done = found if done is None else done.unionByName(found)
-        if rest is not None:
+        if stuck:
             return done
-        ready = stored(ready)
         names = stored(names.join(ready, "name", "left_anti"))
         if names.isEmpty():
             return done

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scoring
+from quillon.operators.storage import fits
 
 K1, B, DELTA = 1.5, 0.75, 0.5
 
@@ -47,14 +48,18 @@ def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: b
 
 
 def score_matches(queries: DataFrame, index: LexicalIndex, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
-    """(query_id, id, score) of every row with one of the query's tokens. queries: (query_id, tokens)."""
+    """(query_id, id, score) of every row with one of the query's tokens. queries: (query_id, tokens).
+
+    A batch within the bound of ``fits`` is broadcast to the terms and the postings, which aren't shuffled for it.
+    """
     asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    known = asked.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).withColumn("idf", F.log((F.col("n") + 1) / F.col("df")) * F.col("qf"))
+    near = F.broadcast if fits(asked) else lambda df: df
+    known = index.terms.join(near(asked), "term").crossJoin(F.broadcast(index.corpus)).withColumn("idf", F.log((F.col("n") + 1) / F.col("df")) * F.col("qf"))
     base = known.groupBy("query_id").agg((F.sum("idf") * delta).alias("base"))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * (k1 + 1) * tf / (k1 * (1 - b + b * dl / F.col("avgdl")) + tf)
-    matched = index.postings.join(known, "term").groupBy("query_id", "id").agg(F.sum(part).alias("part"))
-    return matched.join(base, "query_id").select("query_id", "id", (F.col("part") + F.col("base")).alias("score"))
+    matched = index.postings.join(near(known), "term").groupBy("query_id", "id").agg(F.sum(part).alias("part"))
+    return matched.join(near(base), "query_id").select("query_id", "id", (F.col("part") + F.col("base")).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

@@ -35,10 +35,16 @@ def dependents(pool: DataFrame) -> DataFrame:
     return names.join(named, ["query_id", "name"], "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
 
 
-def boost(fused: DataFrame, declarations: DataFrame, pool_size: int = POOL) -> DataFrame:
-    """The pool's rows with their declaration's columns, boosted score and rank; ids without a declaration keep a score."""
+def boost(fused: DataFrame, declarations: DataFrame, pool_size: int = POOL, few: bool = True) -> DataFrame:
+    """The pool's rows with their declaration's columns, boosted score and rank; ids without a declaration keep a score.
+
+    few: the query batch is small (the caller has checked), so its pools, pool_size rows a query, are broadcast to pick
+    the declarations where they lie.
+    """
     pool = fused.where(F.col("fused_rank") <= pool_size)
-    rows = pool.join(declarations, "id", "left")
+    wanted = pool.select("id").distinct()
+    picked = declarations.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    rows = pool.join(picked, "id", "left")
     counted = rows.join(dependents(rows), ["query_id", "name"], "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
     most = F.max("dependents").over(Window.partitionBy("query_id"))
     place = scoring.dependency_rank(F.col("dependents"), most, pool_size)

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators.lexical import top_k
+from quillon.operators.storage import fits
 
 LEAST_LISTS, PROBES = 256, 64
+#: Queries whose vectors are sent to the tasks as one matrix.
+QUERY_ROWS = 1000
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:
@@ -20,11 +26,42 @@ def unit_queries(queries: DataFrame) -> DataFrame:
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 1000) -> DataFrame:
-    """(query_id, id, score, rank). The query batch is the broadcast side; each vector meets each query of it."""
-    met = vectors.where("embedding is not null").select("id", "embedding").crossJoin(F.broadcast(unit_queries(queries)))
+    """(query_id, id, score, rank) by inner product with the query scaled to length 1.
+
+    A batch of at most ``QUERY_ROWS`` queries goes to the tasks as one matrix: each Arrow batch of vectors is one matrix
+    product, and only its best k of each query (ties included) leave the task. A larger batch meets the vectors in a join.
+    """
+    own = vectors.where("embedding is not null").select("id", "embedding")
+    if fits(queries, QUERY_ROWS):
+        return top_k(_products(queries, own, k), k)
+    met = own.crossJoin(unit_queries(queries))
     return top_k(met.select("query_id", "id", V.inner_product(F.col("embedding"), F.col("q")).alias("score")), k)
 
 
+def _products(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    rows = [(r["query_id"], r["q"]) for r in unit_queries(queries.where("embedding is not null")).collect()]
+    ids = np.array([q for q, _ in rows], np.int64)
+    matrix = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1 if rows else 0)
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            if not batch.num_rows or not len(ids):
+                continue
+            if set(np.unique(np.diff(np.asarray(lists.offsets)))) != {matrix.shape[1]}:
+                raise ValueError("vectors and queries differ in length")
+            scores = matrix @ np.asarray(lists.flatten()).astype(np.float64).reshape(batch.num_rows, -1).T
+            if batch.num_rows > k:
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                q, v = np.nonzero(scores >= least[:, None])
+            else:
+                q, v = (x.ravel() for x in np.indices(scores.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+
+    return vectors.mapInArrow(run, f"query_id long, id {kind}, score double")
+
+
 def list_count(n: int, least: int = LEAST_LISTS) -> int:
     return max(least, math.isqrt(n))
 
@@ -67,5 +104,6 @@ def probed_top_k(queries: DataFrame, index: InvertedLists, k: int = 1000, probes
     asked = unit_queries(queries)
     near = asked.crossJoin(F.broadcast(index.centroids)).select("query_id", "q", "list_id", V.inner_product(F.col("centroid"), F.col("q")).alias("score"), F.col("list_id").alias("id"))
     wanted = top_k(near, probes).select("query_id", "q", "list_id")
-    met = index.vectors.join(F.broadcast(wanted), "list_id")
+    # the batch's probes prune the vectors' partitions; a batch over the bound meets them in a shuffled join
+    met = index.vectors.join(F.broadcast(wanted) if fits(queries, QUERY_ROWS) else wanted, "list_id")
     return top_k(met.select("query_id", "id", V.inner_product(F.col("embedding"), F.col("q")).alias("score")), k)

@@ -28,6 +28,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fits(df: DataFrame, rows: int = 100_000) -> bool:
+    """Whether the table has no more rows than the bound; no more than that are looked at."""
+    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast a table of no more rows than the bound; a larger one is left to the planner's shuffled join."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df

@@ -13,6 +13,7 @@ from quillon.functions import text
 from quillon.functions.scoring import RerankWeights
 from quillon.functions.udfs import fuzzy_name_score
 from quillon.operators import lexical, ranking, semantic
+from quillon.operators.storage import fits
 from quillon.schema import RESULT_COLUMNS
 
 
@@ -61,7 +62,7 @@ class SearchEngine:
         vectors = self.embed(asked)
         near = semantic.probed_top_k(vectors, self.vectors, semantic_k) if isinstance(self.vectors, semantic.InvertedLists) else semantic.exact_top_k(vectors, self.vectors, semantic_k)
         fused = ranking.fuse(by_name, lexical.best_of(near))
-        boosted = ranking.in_packages(ranking.boost(fused, self.declarations.select(RESULT_COLUMNS)), packages)
+        boosted = ranking.in_packages(ranking.boost(fused, self.declarations.select(RESULT_COLUMNS), few=fits(asked, semantic.QUERY_ROWS)), packages)
         again = bool(rerank_top and rerank_top > 0)
         pool = ranking.candidates(boosted, rerank_top if again else limit)
         if not again:

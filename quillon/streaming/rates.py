@@ -12,9 +12,16 @@ from quillon.operators.enrich import split_by_cache
 
 
 def trailing_counts(events: DataFrame, seconds: int, keys: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Each event with the number of its key's events in the trailing window, itself included. The key is what spreads the work."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count(F.lit(1)).over(w))
+    """Each event with the number of its key's events in the trailing window, itself included.
+
+    Time is cut into slots as long as the window. An event stands in its slot and, to be counted only, in the next one, so
+    the work is spread over keys and slots, however few keys there are.
+    """
+    at, width = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    placed = events.withColumn("__at", at).withColumn("__slot", F.explode(F.array_distinct(F.array(F.floor(F.col("__at") / width), F.floor(F.col("__at") / width) + 1))))
+    w = Window.partitionBy(*keys, "__slot").orderBy("__at").rangeBetween(-width, 0)
+    counted = placed.withColumn("in_window", F.count(F.lit(1)).over(w))
+    return counted.where(F.col("__slot").eqNullSafe(F.floor(F.col("__at") / width))).drop("__at", "__slot")
 
 
 def windowed_counts(events: DataFrame, window: str, slide: str | None = None, keys: Sequence[str] = (), ts: str = "ts", late: str | None = None, value: str | None = None) -> DataFrame:
