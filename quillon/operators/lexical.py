@@ -41,7 +41,8 @@ def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: b
     """distinct: count a token once a row, as the name indices do."""
     own = rows.select(F.col(id_col).alias("id"), (F.array_distinct(tokens) if distinct else tokens).alias("tokens"))
     own = own.withColumn("dl", F.size("tokens").cast("long"))
-    postings = own.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
+    # outer: a plain explode would add a filter on the tokens' number, and with it tokenize twice
+    postings = own.select("id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return LexicalIndex(postings, terms, corpus)
