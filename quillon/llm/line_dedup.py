@@ -44,7 +44,8 @@ def _without(line: Column, n: Column, i: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark of the text, line number, line, two hashes) of every line that isn't blank."""
-    out = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
+    # outer: a plain explode would add a filter on the number of lines, and with it split twice
+    out = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode_outer(F.split(text_col, "\n")).alias("at", "line"))
     return out.where(F.trim("line") != "").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
