@@ -28,11 +28,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Memo, bytes_of, checkpoint, column_of, pieces, read_file, record, texts_of
+from quillon.llm.common import Memo, bytes_of, checkpoint, column_of, drop_caches, pieces, read_file, record, texts_of, worker_cache
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 32 << 20
-_loaded: dict[int, tuple] = {}
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -48,14 +47,15 @@ def splitter(pattern: str):
 
 
 def piece_encoder(ranks: bytes, pattern: str):
-    """(encode one pre-token to ids, a worker's memo of them), kept between tasks."""
-    key = zlib.crc32(ranks)
-    if key not in _loaded:
+    """Encodes one pre-token to ids; kept between tasks."""
+
+    def make():
         import tiktoken
 
         encoding = tiktoken.Encoding("quillon", pat_str=pattern, mergeable_ranks=load_ranks(ranks), special_tokens={})
-        _loaded[key] = encoding.encode_ordinary, Memo(600_000)
-    return _loaded[key]
+        return encoding.encode_ordinary
+
+    return worker_cache(("pieces", zlib.crc32(ranks)), make)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -90,13 +90,13 @@ def _unpack_ranks(data: bytes) -> np.ndarray:
     streams, at = [], 0
     for kind in (np.uint8, np.uint8, np.uint8, "<u2"):
         n = int.from_bytes(data[at : at + 4], "little")
-        streams.append(np.frombuffer(zstandard.decompress(data[at + 4 : at + 4 + n]), kind).astype(np.uint32))
+        streams.append(np.frombuffer(zstandard.decompress(data[at + 4 : at + 4 + n]), kind))
         at += 4 + n
     head, low, high, more = streams
-    out = head.copy()
+    out = head.astype(np.uint32)
     big = np.nonzero(head >= 240)[0]
-    out[big] = low | high << 8
-    out[np.nonzero(head == 241)[0]] |= more << 16
+    out[big] = low | high.astype(np.uint32) << 8
+    out[np.nonzero(head == 241)[0]] |= more.astype(np.uint32) << 16
     return out
 
 
@@ -150,6 +150,7 @@ def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        drop_caches()
         find, task, n = splitter(pattern).findall, TaskContext.get().partitionId(), 0
 
         def close(block: _Block) -> pa.RecordBatch:
@@ -177,7 +178,7 @@ def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, buckets: int) ->
     sent = blocks.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, memo = piece_encoder(sent.value, pattern)
+        encode, memo = piece_encoder(sent.value, pattern), Memo(200_000)
         for piece in pieces(batches, "packed", 1 << 20):
             coded = []
             for packed in bytes_of(piece, "packed"):
@@ -193,7 +194,7 @@ def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, buckets: int) ->
 
 
 class Coded:
-    """A block's words by number: ids, and what they decode to by the token-byte table."""
+    """A block's words by number: ids, their decimal text, and what they decode to by the token-byte table."""
 
     def __init__(self, rows: list[bytes], token_bytes: list[bytes]) -> None:
         found = [_unpack(x) for x in rows]
@@ -204,8 +205,19 @@ class Coded:
         if not np.array_equal(numbers[order], np.arange(len(numbers))):
             raise RuntimeError("words of a block are missing or come twice")
         ends = np.cumsum(counts)
-        self.ids = [ids[ends[i] - counts[i] : ends[i]] for i in order]
-        self.bytes = [b"".join(map(token_bytes.__getitem__, x.tolist())) for x in self.ids]
+        self.counts = counts[order].astype(np.int64)
+        self.starts = (ends - counts)[order].astype(np.int64)
+        self.flat = ids
+        lists = [ids[a : a + n].tolist() for a, n in zip(self.starts.tolist(), self.counts.tolist())]
+        self.bytes = [b"".join(map(token_bytes.__getitem__, x)) for x in lists]
+        self.texts = [b"".join([b"%d," % i for i in x]) for x in lists]
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of words one after another."""
+        n = self.counts[numbers]
+        at = np.repeat((self.starts[numbers] - np.r_[0, np.cumsum(n)[:-1]]), n)
+        at += np.arange(len(at))
+        return self.flat[at]
 
 
 def token_byte_table(ranks: dict[bytes, int]) -> list[bytes]:
@@ -234,22 +246,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         coded = Coded([x for x in group["coded"].to_pylist() if x is not None], table)
         ids = next(x.values for x in group["ids"].drop_null().chunks if len(x))
         lengths, flat = _unpack(group["lengths"].drop_null()[0].as_py())[0], _unpack_ranks(positions[0])
-        text_ids = [b"".join(b"%d," % i for i in x.tolist()) for x in coded.ids]
-        counts = np.array([len(x) for x in coded.ids], np.int64)
         n, sha, decoded, lists, at = [], [], [], [], 0
         for length in lengths.tolist():
             own = flat[at : at + length]
             at += length
             numbers = own.tolist()
-            n.append(int(counts[own].sum()) if length else 0)
-            sha.append(hashlib.sha256(b"".join(map(text_ids.__getitem__, numbers))[:-1]).hexdigest())
+            n.append(int(coded.counts[own].sum()))
+            sha.append(hashlib.sha256(b"".join(map(coded.texts.__getitem__, numbers))[:-1]).hexdigest())
             decoded.append(hashlib.sha256(b"".join(map(coded.bytes.__getitem__, numbers))).hexdigest())
             if with_ids:
-                lists.append(np.concatenate(list(map(coded.ids.__getitem__, numbers))).astype(np.int32) if length else np.zeros(0, np.int32))
+                lists.append(coded.gather(own).astype(np.int32))
         out = record(n_tokens=(n, pa.int64()), ids_sha256=(sha, pa.string()), decoded_sha256=(decoded, pa.string()))
         columns, names = [ids, *out.columns], [id_col, *out.schema.names]
         if with_ids:
-            columns.append(pa.array(lists, pa.list_(pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(lists))))
             names.append("token_ids")
         return pa.table(columns, names=names)
 
@@ -257,14 +267,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     return rows.groupBy("block").applyInArrow(assemble, schema)
 
 
-_tables: dict[int, list[bytes]] = {}
-
-
 def _token_bytes(ranks: bytes) -> list[bytes]:
-    key = zlib.crc32(ranks)
-    if key not in _tables:
-        _tables[key] = token_byte_table(load_ranks(ranks))
-    return _tables[key]
+    return worker_cache(("token bytes", zlib.crc32(ranks)), lambda: token_byte_table(load_ranks(ranks)))
 
 
 def decode_documents(tokens: DataFrame, ranks_path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:

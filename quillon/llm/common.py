@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -128,3 +131,22 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("__label"))
     known = sample_rows(known.where(~held_out), F.col(id_col), rows)
     return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(known, id_col).select(F.col(text_col).alias("text"), "__label")
+
+
+_cached: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """What a Python worker keeps between tasks: one value at a time, so that stages don't add up their memory."""
+    if key not in _cached:
+        drop_caches()
+        _cached[key] = make()
+    return _cached[key]
+
+
+def drop_caches() -> None:
+    if _cached:
+        _cached.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
+            ctypes.CDLL("libc.so.6").malloc_trim(0)

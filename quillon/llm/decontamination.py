@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bytes_of, column_of, pieces
+from quillon.llm.common import bytes_of, column_of, drop_caches, pieces
 from quillon.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -179,6 +179,7 @@ def _search(rows: DataFrame, names: list[str], fields: list[str], windows: Windo
             at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         w = sent.value
         shard, held, words = Shard(w), [], []
         for piece in pieces(batches, "__text"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Memo, checkpoint, column_of, map_pieces, pieces, record, sample_rows, texts_of
+from quillon.llm.common import Memo, checkpoint, column_of, map_pieces, pieces, record, sample_rows, texts_of, worker_cache
 
 #: Documents that a model is fitted on, at most (about): the bound of the fit.
 FIT_ROWS = 6000
@@ -254,13 +254,6 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
     return map_pieces(docs.select(*names, text_col), text_col, make, schema)
 
 
-_memos: dict[int, Memo] = {}
-
-
 def _memo(model: LanguageModel) -> Memo:
-    """The worker's memo for this model; another model drops it."""
-    key = hash((tuple(model.languages), model.p.tobytes()))
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = Memo(300_000)
-    return _memos[key]
+    """The worker's memo for this model."""
+    return worker_cache(("language", hash((tuple(model.languages), model.p.tobytes()))), lambda: Memo(300_000))

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import hyperminhash as hmh
-from quillon.llm.common import bytes_of, checkpoint, column_of, map_pieces, pieces
+from quillon.llm.common import bytes_of, checkpoint, column_of, drop_caches, map_pieces, pieces
 from quillon.llm.components import components
 
 #: Similarity that links, in percent, and the standard errors by which an estimate may fall short before confirmation.
 PERCENT, MARGIN = 85, 4.0
 #: Members of a band that one group may compare.
 BLOCK = 1500
+#: Bytes of text that are sketched at a time.
+PIECE = 1 << 20
 #: Rows of ids that may be broadcast to fetch texts; beyond, it is a shuffled join.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,6 +43,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
+        drop_caches()
+
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
             offsets, hashes = hmh.shingle_sets(bytes_of(piece, text_col))
             n = np.diff(offsets)
@@ -56,7 +60,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return run
 
-    return map_pieces(docs.select(id_col, text_col), text_col, make, f"id {kind}, n long, k1 long, k2 long, sketch binary, bands array<long>")
+    return map_pieces(docs.select(id_col, text_col), text_col, make, f"id {kind}, n long, k1 long, k2 long, sketch binary, bands array<long>", PIECE)
 
 
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int, margin: float) -> DataFrame:

@@ -20,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import column_of, id_bucket, labelled, map_pieces, texts_of
+from quillon.llm.common import column_of, id_bucket, labelled, map_pieces, texts_of, worker_cache
 from quillon.llm.terms import TermHasher, row_sums, starts_of
 
 #: Labelled documents that vote, and that the space is fitted on, at most (about): the bound of what is broadcast.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 BITS = 15
 DIMENSIONS = 32
 NEIGHBOURS = 15
-LEAST_SHARE = 0.01  # of the sample's texts that a term must occur in
+PIECE = 1 << 20  # bytes of text scored at a time
+LEAST_SHARE = 0.02  # of the sample's texts that a term must occur in
 _CLASSES = [(re.compile(r"[^\W\d_a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_a-zß-öø-ÿ]*"), "A"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "B"), (re.compile(r"[^\W\d_AB]+"), "a"), (re.compile(r"\d+"), "0")]
 
 
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = labelled(docs, labels, label, id_col, text_col, rows, id_bucket(id_col, folds) == 0)
 
     def make():
-        hasher = TermHasher(quality_terms, BITS)
+        hasher = _hasher()
 
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(piece, "text")
@@ -151,13 +152,9 @@ def predict(docs: DataFrame, model: NeighbourModel, *, id_col: str = "doc_id", t
 
         return run
 
-    return map_pieces(docs.select(*dict.fromkeys([*names, text_col])), text_col, make, schema)
-
-
-_shared: list[TermHasher] = []
+    return map_pieces(docs.select(*dict.fromkeys([*names, text_col])), text_col, make, schema, PIECE)
 
 
 def _hasher() -> TermHasher:
-    if not _shared:
-        _shared.append(TermHasher(quality_terms, BITS))
-    return _shared[0]
+    """A worker's: its memo doesn't depend on the model."""
+    return worker_cache("quality", lambda: TermHasher(quality_terms, BITS))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bytes_of, checkpoint, column_of, map_pieces, pieces
+from quillon.llm.common import bytes_of, checkpoint, column_of, drop_caches, map_pieces, pieces
 from quillon.llm.suffix_array import suffix_array
 
 LENGTH = 400  # bytes of a string that may not repeat
@@ -202,6 +202,8 @@ def _anchor_rows(docs: DataFrame, count_only: bool) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def make():
+        drop_caches()
+
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
             doc, pos, anchor, context = anchors([x or b"" for x in bytes_of(piece, "text")])
             if count_only:

@@ -15,7 +15,7 @@ class TermHasher:
     """Maps texts to hashed term ids through a memo of space-separated parts; terms(part) lists a part's terms."""
 
     def __init__(self, terms: Callable[[str], list[str]], bits: int) -> None:
-        self.terms, self.mask, self.memo = terms, (1 << bits) - 1, Memo(300_000)
+        self.terms, self.mask, self.memo = terms, (1 << bits) - 1, Memo(100_000)
 
     def ids(self, part: str) -> tuple[int, ...]:
         return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) * 0x9E3779B1 >> 7 & self.mask for t in self.terms(part)})

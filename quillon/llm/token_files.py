@@ -23,18 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import bytes_of, column_of, pieces, read_file, shared_dir
+from quillon.llm.common import bytes_of, column_of, pieces, read_file, shared_dir, worker_cache
 
 END_ID = 2
 #: Signs that end a part: after letters, a run of them is one pre-token.
 SIGNS = "!\"#$%&()*+,-./:;?@[]^_|~"
-_loaded: dict[int, tuple] = {}
 
 
 class WordIds:
     """Ids of distinct parts by the parts' 64-bit hashes: sorted arrays, a large one and a small one that is merged into it."""
 
-    def __init__(self, limit: int = 2_000_000) -> None:
+    def __init__(self, limit: int) -> None:
         self.limit = limit
         self.clear()
 
@@ -118,7 +117,7 @@ def parts_of(raw: np.ndarray, ends: np.ndarray, power: np.ndarray, inverse: np.n
     return start, end, h ^ h >> np.uint64(29)
 
 
-def word_encoder(vocabulary: bytes) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+def word_encoder(vocabulary: bytes, limit: int = 2_000_000) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Encodes UTF-8 texts with the tokenizers library: (ids one after another, count of each text).
 
     The vocabulary's normalizer and pre-tokenizer treat a space or line feed only as an end of words, so a
@@ -127,17 +126,17 @@ def word_encoder(vocabulary: bytes) -> Callable[[list[bytes]], tuple[np.ndarray,
     whatever their case, are encoded many at a time in one text and told apart by the tokens that end a word; a
     run of signs after such a part is a part of its own.
     """
-    key = zlib.crc32(vocabulary)
-    if key not in _loaded:
+
+    def load() -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_buffer(vocabulary)
         ends = np.zeros(tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        _loaded.clear()
-        _loaded[key] = tokenizer, ends, WordIds()
-    tokenizer, ends, table = _loaded[key]
+        return tokenizer, ends, WordIds(limit)
+
+    tokenizer, ends, table = worker_cache(("tokens", zlib.crc32(vocabulary)), load)
     power: list[np.ndarray] = []
 
     def single(parts: list[str]) -> list[bytes]:
@@ -209,7 +208,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: bytes, *, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, start = word_encoder(sent.value), TaskContext.get().partitionId(), 0
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text_col, 2 << 20):
             ids, n = encode([x or b"" for x in bytes_of(piece, text_col)])
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1

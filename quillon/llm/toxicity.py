@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.common import column_of, id_bucket, labelled, map_pieces, texts_of
+from quillon.llm.common import column_of, id_bucket, labelled, map_pieces, texts_of, worker_cache
 from quillon.llm.terms import TermHasher, row_sums, starts_of
 
 #: Labelled documents that the machine is fitted on, at most (about): the bound of the fit.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = labelled(docs, labels, label, id_col, text_col, rows, id_bucket(id_col, folds) == 0)
 
     def make():
-        hasher = TermHasher(toxic_terms, BITS)
+        hasher = _hasher()
 
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(piece, "text")
@@ -152,14 +152,9 @@ def predict(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_
 
         return run
 
-    return map_pieces(docs.select(*names, text_col), text_col, make, schema)
-
-
-_shared: list[TermHasher] = []
+    return map_pieces(docs.select(*names, text_col), text_col, make, schema, 1 << 20)
 
 
 def _hasher() -> TermHasher:
-    """One a worker: its memo doesn't depend on the model."""
-    if not _shared:
-        _shared.append(TermHasher(toxic_terms, BITS))
-    return _shared[0]
+    """A worker's: its memo doesn't depend on the model."""
+    return worker_cache("toxicity", lambda: TermHasher(toxic_terms, BITS))
