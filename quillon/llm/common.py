@@ -40,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
+def checkpoint(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back.
+
+    narrow: the rows are small next to the documents, so two files a core are enough, whatever the number of partitions.
+    """
     path = shared_dir(df.sparkSession)
+    if narrow:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from quillon.llm.common import checkpoint
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of (a, b) edges; component is the least node reachable."""
     up = edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    up = checkpoint(up)
+    up = checkpoint(up, narrow=True)
     before = None
     while True:
         state = up.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -26,6 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("v").alias("n"), F.col("u").alias("s"))
         root = down.groupBy("n").agg(F.min("s").alias("m"))
         small = down.join(root, "n").where("s <> m").select(F.col("m").alias("u"), F.col("s").alias("v")).unionByName(root.select(F.col("m").alias("u"), F.col("n").alias("v"))).distinct()
-        up = checkpoint(small)
+        up = checkpoint(small, narrow=True)
     top = up.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
     return top.unionByName(top.select(F.col("component").alias("node"), "component").distinct())

@@ -75,7 +75,7 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     halves = firsts.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.half", "x.side")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
     # an edit lies outside the shared half, so a line that shares one side only needs deletions beyond it only
-    some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")))
+    some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")), narrow=True)
     met = lines.join(_fit(some), ["h1", "h2"])
     texts = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"), F.min("low").alias("low"), F.max("high").alias("high"))
     # seq numbers lines in the order of their first places, whatever the partitions
@@ -89,12 +89,12 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     keys = checkpoint(lines_.select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i"))
     groups = checkpoint(keys.groupBy("v", "i").agg(F.min("seq").alias("e"), F.count(F.lit(1)).alias("k")))
     # substitutions: the same position deleted on both sides
-    same = checkpoint(groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j")))
+    same = checkpoint(groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j")), narrow=True)
     # insertions: a whole line on one side, a deletion on the other
-    wholes = checkpoint(groups.where("i < 0").select("v", F.struct(F.col("e").alias("p"), F.col("i").alias("j")).alias("whole")))
+    wholes = checkpoint(groups.where("i < 0").select("v", F.struct(F.col("e").alias("p"), F.col("i").alias("j")).alias("whole")), narrow=True)
     parts = groups.where("i >= 0").join(_fit(wholes), "v").groupBy("v").agg(F.min(F.struct(F.col("e").alias("p"), F.col("i").alias("j"))).alias("part"), F.min("whole").alias("whole"))
     swaps = keys.join(_fit(same), ["v", "i"]).where("p < seq").select("seq", "i", "p", "j")
-    grown = keys.join(_fit(checkpoint(parts)), "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
+    grown = keys.join(_fit(checkpoint(parts, narrow=True)), "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
     pairs = swaps.unionByName(grown)
 
     own = lines_.select("seq", "h1", "h2", "line", "n")

@@ -81,7 +81,7 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int, margin: float) ->
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """The (a, b) pairs whose full shingle sets are similar enough."""
     kind = docs.schema[id_col].dataType.simpleString()
-    pairs = checkpoint(pairs.distinct())
+    pairs = checkpoint(pairs.distinct(), narrow=True)
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct()
@@ -93,7 +93,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
         return run
 
-    sets = checkpoint(map_pieces(texts, "text", make, f"id {kind}, hashes binary"))
+    sets = checkpoint(map_pieces(texts, "text", make, f"id {kind}, hashes binary"), narrow=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, None, 16 << 20):
@@ -107,7 +107,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
             yield pa.RecordBatch.from_arrays([column_of(piece, c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
-    return checkpoint(met.mapInArrow(run, f"a {kind}, b {kind}").distinct())
+    return checkpoint(met.mapInArrow(run, f"a {kind}, b {kind}").distinct(), narrow=True)
 
 
 def _across(group: pa.Table, percent: int, margin: float) -> pa.Table:
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     every = checkpoint(sketches(docs, id_col, text_col))
     linked = every.where("n > 0 and id is not null")
-    classes = checkpoint(linked.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
+    classes = checkpoint(linked.groupBy("k1", "k2").agg(F.min("id").alias("rep")), narrow=True)
     reps = checkpoint(linked.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "sketch", "bands"))
 
     bands = reps.select("id", F.explode("bands").alias("band"))
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = checkpoint(bands.join(heads, "band").select("band", "id", "head", "k"))
     stars = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(plausible(stars, reps, percent, margin), docs, id_col, text_col, percent)
-    comps = checkpoint(components(links))
+    comps = checkpoint(components(links), narrow=True)
 
     told = met.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = told.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
