@@ -7,6 +7,7 @@ part, and only postings of the query's terms are read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,15 +38,17 @@ class LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
 
 
-def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: bool = False) -> LexicalIndex:
-    """distinct: count a token once a row, as the name indices do."""
+def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: bool = False, terms: Sequence[str] | None = None) -> LexicalIndex:
+    """distinct: count a token once a row, as the name indices do. terms: all that will be asked, where the index isn't kept."""
     own = rows.select(F.col(id_col).alias("id"), (F.array_distinct(tokens) if distinct else tokens).alias("tokens"))
     own = own.withColumn("dl", F.size("tokens").cast("long"))
+    if terms is not None:
+        own = own.withColumn("tokens", F.filter("tokens", lambda t: t.isin(list(terms))))
     # outer: a plain explode would add a filter on the tokens' number, and with it tokenize twice
     postings = own.select("id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, terms, corpus)
+    return LexicalIndex(postings, frequencies, corpus)
 
 
 def score_matches(queries: DataFrame, index: LexicalIndex, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scoring, text, udfs
 from quillon.functions import vectors as V
 from quillon.operators import enrich, graph, ingest, lexical, ranking, semantic
+from quillon.operators.storage import stored
 from quillon.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,8 +220,8 @@ fused AS (SELECT id, 1 / coalesce(l.rank, (SELECT count(*) FROM l) + 1) + 1 / co
 ranked AS (SELECT id, fused, row_number() OVER (ORDER BY fused DESC, id) AS fused_rank FROM fused)"""
 
 
-def _fused(spark, d):
-    index = lexical.build_index(read(spark, d, "documents"), text.tokenize_words(F.col("text")), "doc_id")
+def _fused(spark, d, terms=None):
+    index = lexical.build_index(read(spark, d, "documents"), text.tokenize_words(F.col("text")), "doc_id", terms=terms)
     asked = spark.createDataFrame([(0, _TERMS)], "query_id long, tokens array<string>")
     left = lexical.top_k(lexical.score_matches(asked, index).withColumn("score", F.round("score", 9)), 100)
     right = semantic.exact_top_k(_vector_query(spark, d), _vectors(spark, d), 100)
@@ -304,13 +305,37 @@ s AS (SELECT id, bm, pair, min(bm) OVER () AS b0, max(bm) OVER () AS b1, min(pai
 SELECT id, round(CASE WHEN p1 - p0 < 1e-9 THEN CASE WHEN p1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (pair - p0) / (p1 - p0) END
   + 0.4 * CASE WHEN b1 - b0 < 1e-9 THEN CASE WHEN b1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (bm - b0) / (b1 - b0) END, 6) AS final FROM s""")
 def rerank_combine(spark, d):
-    """The pool that reranking works on is a bounded one by its nature: here the documents under 50."""
+    """A fixed pool, the documents under 50, as its SQL has it; rerank_fused takes its pool from the ranking of all documents."""
     pool = read(spark, d, "documents").where("doc_id < 50").select(
         F.lit(0).alias("query_id"), F.lit(_RERANK_QUERY).alias("query"), F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
         F.col("text").alias("informalization"), F.array().cast("array<string>").alias("dependencies"), F.col("doc_id").alias("boosted_rank"))
     return ranking.rerank(pool).select("id", r6("final").alias("final"))
 
 
+_DEPTH = 50
+
+
+@query(f"""{_SIDES},
+top AS (SELECT id, fused_rank, 'doc' || doc_id AS name, text FROM (SELECT * FROM ranked WHERE fused_rank <= {_DEPTH}) JOIN documents ON id = doc_id),
+seen AS (SELECT id, {_WORDS % "CASE WHEN coalesce(text, '') <> '' THEN text ELSE name END"} AS t, {_WORDS % "name || ': ' || coalesce(text, '')"} AS shown FROM top),
+words AS (SELECT unnest(['the', 'onre', 'thea']) AS term),
+c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM seen),
+tf AS (SELECT id, term, len(list_filter(t, lambda x: x = term)) AS tf, len(t) AS dl FROM seen, words),
+df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
+b AS (SELECT id, sum(CASE WHEN df = 0 THEN 0 ELSE ln((n + 1) / df) * (0.5 + CASE WHEN tf > 0 THEN 2.5 * tf / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf) ELSE 0 END) END) AS bm FROM tf JOIN df USING (term), c GROUP BY id),
+p AS (SELECT id, len(list_filter(['the', 'onre', 'thea'], lambda x: list_contains(shown, x))) / 3 AS pair FROM seen),
+s AS (SELECT id, bm, pair, min(bm) OVER () AS b0, max(bm) OVER () AS b1, min(pair) OVER () AS p0, max(pair) OVER () AS p1 FROM b JOIN p USING (id))
+SELECT id, fused_rank, round(CASE WHEN p1 - p0 < 1e-9 THEN CASE WHEN p1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (pair - p0) / (p1 - p0) END
+  + 0.4 * CASE WHEN b1 - b0 < 1e-9 THEN CASE WHEN b1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (bm - b0) / (b1 - b0) END, 6) AS final FROM s JOIN ranked USING (id)""")
+def rerank_fused(spark, d):
+    """The rerank of what the fused ranking of all documents has on top, dependency boost between them as in the engine."""
+    docs = read(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("informalization"), F.array().cast("array<string>").alias("dependencies"))
+    # the rerank reads its pool several times, and the boost its fused rows: each is made once
+    pool = stored(ranking.candidates(ranking.boost(stored(_fused(spark, d, _TERMS)), docs), _DEPTH).withColumn("query", F.lit(_RERANK_QUERY)))
+    return ranking.rerank(pool).select("id", F.col("fused_rank").cast("long").alias("fused_rank"), r6("final").alias("final"))
+
+
 @query()
 def fuzzy_name(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(udfs.fuzzy_name_score(F.lit("small_ring"), F.col("p_name")), 6).alias("score"))

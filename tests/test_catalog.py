@@ -37,6 +37,14 @@ def test_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
 
+def test_rerank_takes_all_documents(spark, data):
+    """The pool is the top of the ranking of all documents, not a range of ids."""
+    ranked = {r["id"]: r["fused_rank"] for r in catalog.QUERIES["rrf_fuse"](spark, data).collect()}
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()}
+    got = {r["id"] for r in catalog.QUERIES["rerank_fused"](spark, data).collect()}
+    assert got == {i for i in docs if ranked.get(i, 51) <= 50} and max(got) >= 50
+
+
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["doc_id", "lang", "source", "position"] and out.count() > 0
