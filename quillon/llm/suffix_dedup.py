@@ -14,8 +14,9 @@ A suffix array over a whole corpus fits no machine, so its suffixes are dealt ou
    same distance from the same anchor.
 5. Every text meets its spans once; they are merged and cut out.
 
-An anchor with many different contexts is dealt out again by the 100 bytes before it and by the 100 bytes behind it: two
-strings that share the anchor and 400 bytes share at least one of these, so no match is lost and no anchor is one task.
+An anchor with more than ``MANY`` different contexts isn't dealt to a shard. The distances of its 400-byte strings are cut
+into steps; all strings of a step hold the same core of 361 bytes. Cores are counted, then the strings of those contexts
+whose core occurs twice or more, by hash. Counts are partly summed before they move, so no task holds an anchor's contexts.
 
 Defined results: a null text is empty; matches don't cross texts; a row that repeats another's id and text is another
 place of its strings; texts under 400 bytes lose nothing.
@@ -39,8 +40,10 @@ ANCHOR = 200
 BLOCK = 40  # bytes of a symbol
 SIDE = LENGTH - ANCHOR
 BLOCKS = SIDE // BLOCK
-#: Different contexts of an anchor beyond which it is dealt out again.
+#: Different contexts of an anchor beyond which its strings are counted instead of sorted in a shard.
 MANY = 1000
+#: Distances of a hot anchor's strings that share a core.
+STEP = 40
 #: Contexts after which a shard is closed, at the next change of key.
 SHARD = 4000
 #: Candidate anchors that may be broadcast; beyond, it is a shuffled join.
@@ -217,6 +220,75 @@ def _anchor_rows(docs: DataFrame, count_only: bool) -> DataFrame:
     return map_pieces(docs, "text", make, "anchor long, k long" if count_only else f"anchor long, context long, id {kind}, mark long, at int", PIECE)
 
 
+def steps_of(lefts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(context number, step, core hash, hashes of its strings) of each step of distances in which a context has a string.
+
+    Strings start at 0 to SIDE of the padded context; those that begin before or end behind the text have the hash 0.
+    """
+    width = SIDE + ANCHOR + SIDE
+    raw = np.zeros((len(contexts), width), np.uint8)
+    for k, (left, x) in enumerate(zip(lefts.tolist(), contexts)):
+        raw[k, SIDE - left : SIDE - left + len(x)] = np.frombuffer(x, np.uint8)
+    low = SIDE - lefts
+    high = low + np.array([len(x) for x in contexts], np.int64)
+    power = _powers(width)
+    prefix = np.zeros((len(contexts), width + 1), np.uint64)
+    np.cumsum(_BYTES[raw] * power[:width], axis=1, out=prefix[:, 1:])
+    at = np.arange(SIDE + 1)
+    h = _mixed((prefix[:, LENGTH:] - prefix[:, : SIDE + 1]) * power[width - at]) | np.uint64(1)
+    h[(at < low[:, None]) | (at + LENGTH > high[:, None])] = 0
+    out = []
+    for j, a in enumerate(range(0, SIDE + 1, STEP)):
+        b = min(a + STEP - 1, SIDE)
+        use = np.nonzero(h[:, a : b + 1].any(1))[0]
+        core = _mixed((prefix[use, a + LENGTH] - prefix[use, b]) * power[width - b])
+        out.append((use, np.full(len(use), j), core, list(h[use, a : b + 1])))
+    number, step, core, strings = zip(*out)
+    return np.concatenate(number), np.concatenate(step), np.concatenate(core), [x for part in strings for x in part]
+
+
+def _asked(docs: DataFrame, contexts: DataFrame, several: DataFrame) -> DataFrame:
+    """(id, mark, text, asked) of the texts that have the first place of a context of these anchors."""
+    asked = contexts.join(several, "anchor").select("first.id", "first.mark", F.struct("anchor", "first.at", "k").alias("one")).groupBy("id", "mark").agg(F.collect_list("one").alias("asked"))
+    return docs.join(asked.withColumnsRenamed({"id": "__id", "mark": "__mark"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["mark"] == F.col("__mark"))).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "asked")
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """(id, mark, span) of the contexts of hot anchors, by counts of their cores and of their strings."""
+    kind = met.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            texts = bytes_of(piece, "text")
+            every = [(i, x) for i, asked in enumerate(column_of(piece, "asked").to_pylist()) for x in asked]
+            for a in range(0, len(every), SHARD):
+                doc, some = zip(*every[a : a + SHARD])
+                at = np.array([x["at"] for x in some])
+                lefts = np.minimum(at, SIDE)
+                number, step, core, strings = steps_of(lefts, [texts[i][p - left : p + LENGTH] for i, p, left in zip(doc, at.tolist(), lefts.tolist())])
+                n = pa.array(number)
+                take = pa.array(doc, pa.int64()).take(n)
+                flat = np.concatenate(strings).view(np.int64) if strings else np.zeros(0, np.int64)
+                ends = np.cumsum([0, *map(len, strings)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                anchor, single = pa.array([x["anchor"] for x in some], pa.int64()), pa.array([x["k"] == 1 for x in some])
+                columns = [column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(at, pa.int32()).take(n), single.take(n), anchor.take(n), pa.array(step, pa.int32()), pa.array(core.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "at", "single", "anchor", "step", "core", "strings"])
+
+    def often(rows: DataFrame, *keys: str) -> DataFrame:
+        """The rows whose keys occur twice or more."""
+        twice = checkpoint(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), narrow=True)
+        return rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, list(keys), "left_semi")
+
+    rows = checkpoint(met.mapInArrow(cut, f"id {kind}, mark long, at int, single boolean, anchor long, step int, core long, strings array<long>"))
+    live = checkpoint(often(rows, "anchor", "step", "core"))
+    strings = live.select("id", "mark", "at", "single", "anchor", "step", F.posexplode("strings").alias("i", "h")).where("h <> 0")
+    start = F.col("at") - SIDE + F.col("step") * STEP + F.col("i")
+    # all strings of a context hold its anchor, so those of a step that repeat cover one run
+    found = often(strings, "anchor", "step", "i", "h").where("single").groupBy("id", "mark", "at", "step").agg(F.min(start).alias("low"), F.max(start + LENGTH).alias("high"))
+    return found.select("id", "mark", F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")).alias("span"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, mark, spans) of the texts in docs (id, mark, text) that lose bytes; the spans aren't merged yet."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -230,9 +302,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = rows.join(often, ["anchor", "context"]).select("id", "mark", F.struct((F.col("at") - SIDE).alias("low"), (F.col("at") + LENGTH).alias("high")).alias("span"))
 
     # different contexts of one anchor
-    several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    asked = contexts.join(several, "anchor").select("first.id", "first.mark", F.struct("anchor", "first.at", "k", "contexts").alias("one")).groupBy("id", "mark").agg(F.collect_list("one").alias("asked"))
-    met = docs.join(asked.withColumnsRenamed({"id": "__id", "mark": "__mark"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["mark"] == F.col("__mark"))).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "asked")
+    several = checkpoint(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), narrow=True)
+    met = _asked(docs, contexts, several.where(F.col("contexts") <= MANY))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -243,19 +314,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                     p, anchor = x["at"], x["anchor"]
                     low = max(0, p - SIDE)
                     bytes_ = texts[i][low : p + LENGTH]
-                    if x["contexts"] > MANY:
-                        half = SIDE // 2
-                        parts = [(b"l", texts[i][p - half : p]) if p >= half else None, (b"r", texts[i][p + ANCHOR : p + ANCHOR + half]) if p + ANCHOR + half <= len(texts[i]) else None]
-                        found = [int.from_bytes(hashlib.blake2b(side + part + anchor.to_bytes(8, "little", signed=True), digest_size=8).digest(), "little", signed=True) for side, part in filter(None, parts)]
-                    else:
-                        found = [anchor]
-                    for key in found:
-                        keys.append(key)
-                        lefts.append(p - low)
-                        own.append(bytes_)
-                        doc.append(i)
-                        at.append(p)
-                        singles.append(x["k"] == 1)
+                    keys.append(anchor)
+                    lefts.append(p - low)
+                    own.append(bytes_)
+                    doc.append(i)
+                    at.append(p)
+                    singles.append(x["k"] == 1)
             take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lefts, pa.int32()), pa.array(own, pa.binary()), column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(at, pa.int32()), pa.array(singles, pa.bool_())], names=["key", "left", "bytes", "id", "mark", "at", "single"])
 
@@ -290,7 +354,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([t["id"].combine_chunks().take(take), t["mark"].combine_chunks().take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["id", "mark", "low", "high"])
 
     part = dealt.mapInArrow(shards, f"id {kind}, mark long, low int, high int").select("id", "mark", F.struct("low", "high").alias("span"))
-    return whole.unionByName(part).groupBy("id", "mark").agg(F.collect_set("span").alias("spans"))
+    spans = whole.unionByName(part)
+    hot = several.where(F.col("contexts") > MANY)
+    if hot.take(1):
+        spans = spans.unionByName(_counted(_asked(docs, contexts, hot)))
+    return spans.groupBy("id", "mark").agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

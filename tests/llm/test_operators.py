@@ -142,6 +142,27 @@ def test_suffix_dedup_brute_force(spark, monkeypatch, small_pieces, many):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
+def test_suffix_dedup_bounds_shards(spark, monkeypatch):
+    """A passage that many documents share with different text around it never meets in one shard, and still goes."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(450)
+    texts = [(word(rng.randrange(150, 400)) + passage + word(rng.randrange(150, 400))).encode() for _ in range(60)]
+    monkeypatch.setattr(suffix_dedup, "MANY", 10)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 5)
+    whole = suffix_dedup.repeated
+
+    def bounded(groups, lefts, contexts):
+        if max(Counter(groups.tolist()).values()) > 10:
+            raise AssertionError("a shard holds more of a key's contexts than MANY")
+        return whole(groups, lefts, contexts)
+
+    monkeypatch.setattr(suffix_dedup, "repeated", bounded)
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 def test_suffix_dedup_edges(edge, empty):
     rows = suffix_dedup.remove_repeats(edge)
     got = sorted((r["doc_id"] or -1, r["n_bytes"]) for r in rows.collect())
