@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,34 +30,58 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 1000) -> DataFr
     """(query_id, id, score, rank) by inner product with the query scaled to length 1.
 
     A batch of at most ``QUERY_ROWS`` queries goes to the tasks as one matrix: each Arrow batch of vectors is one matrix
-    product, and only its best k of each query (ties included) leave the task. A larger batch meets the vectors in a join.
+    product, and only its best k of each query (ties included) leave the task. A larger batch is cut into blocks of about
+    so many queries, each of which passes over the vectors.
     """
     own = vectors.where("embedding is not null").select("id", "embedding")
+    return reduce(DataFrame.unionByName, [top_k(_products(block, own, k), k) for block in _blocks(queries)])
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about ``QUERY_ROWS``, dealt by a hash of their id."""
     if fits(queries, QUERY_ROWS):
-        return top_k(_products(queries, own, k), k)
-    met = own.crossJoin(unit_queries(queries))
-    return top_k(met.select("query_id", "id", V.inner_product(F.col("embedding"), F.col("q")).alias("score")), k)
+        return [queries]
+    n = math.ceil(queries.count() / QUERY_ROWS)
+    return [queries.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n)) == i) for i in range(n)]
 
 
-def _products(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _products(queries: DataFrame, vectors: DataFrame, k: int, lists: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 0) -> DataFrame:
+    """(query_id, id, score); with lists (ascending ids, centroids), of the vectors in each query's nearest ``probes`` lists only."""
     rows = [(r["query_id"], r["q"]) for r in unit_queries(queries.where("embedding is not null")).collect()]
     ids = np.array([q for q, _ in rows], np.int64)
     matrix = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     kind = vectors.schema["id"].dataType.simpleString()
+    if lists is not None:
+        numbers, centroids = lists
+        wanted = np.zeros((len(rows), len(numbers)), bool)
+        if wanted.size:
+            near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
+            np.put_along_axis(wanted, near, True, axis=1)
+        # unread lists are pruned as partitions
+        vectors = vectors.where(F.col("list_id").isin(numbers[wanted.any(0)].tolist()))
+    vectors = vectors.select("id", "embedding", *(["list_id"] if lists is not None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            column = batch.column(1)
             if not batch.num_rows or not len(ids):
                 continue
-            if set(np.unique(np.diff(np.asarray(lists.offsets)))) != {matrix.shape[1]}:
+            if set(np.unique(np.diff(np.asarray(column.offsets)))) != {matrix.shape[1]}:
                 raise ValueError("vectors and queries differ in length")
-            scores = matrix @ np.asarray(lists.flatten()).astype(np.float64).reshape(batch.num_rows, -1).T
+            own = np.asarray(column.flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+            if lists is None:
+                scores, read = matrix @ own.T, True
+            else:
+                code = np.searchsorted(numbers, np.asarray(batch.column(2)))
+                scores, read = np.full((len(ids), batch.num_rows), -np.inf), wanted[:, code]
+                for c in np.unique(code):
+                    q, v = np.nonzero(wanted[:, c])[0], np.nonzero(code == c)[0]
+                    scores[np.ix_(q, v)] = matrix[q] @ own[v].T
             if batch.num_rows > k:
                 least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                q, v = np.nonzero(scores >= least[:, None])
+                q, v = np.nonzero((scores >= least[:, None]) & read)
             else:
-                q, v = (x.ravel() for x in np.indices(scores.shape))
+                q, v = np.nonzero(np.ones(scores.shape, bool) & read)
             yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "score"])
 
     return vectors.mapInArrow(run, f"query_id long, id {kind}, score double")
@@ -100,10 +125,7 @@ def build_lists(vectors: DataFrame, lists: int | None = None, seed: int = 11, it
 
 
 def probed_top_k(queries: DataFrame, index: InvertedLists, k: int = 1000, probes: int = PROBES) -> DataFrame:
-    """(query_id, id, score, rank) over each query's nearest lists only; unread lists are pruned as partitions."""
-    asked = unit_queries(queries)
-    near = asked.crossJoin(F.broadcast(index.centroids)).select("query_id", "q", "list_id", V.inner_product(F.col("centroid"), F.col("q")).alias("score"), F.col("list_id").alias("id"))
-    wanted = top_k(near, probes).select("query_id", "q", "list_id")
-    # the batch's probes prune the vectors' partitions; a batch over the bound meets them in a shuffled join
-    met = index.vectors.join(F.broadcast(wanted) if fits(queries, QUERY_ROWS) else wanted, "list_id")
-    return top_k(met.select("query_id", "id", V.inner_product(F.col("embedding"), F.col("q")).alias("score")), k)
+    """(query_id, id, score, rank) over each query's nearest lists only; batches are cut into blocks as in ``exact_top_k``."""
+    rows = index.centroids.orderBy("list_id").collect()
+    lists = np.array([r["list_id"] for r in rows], np.int64), np.array([r["centroid"] for r in rows], np.float64)
+    return reduce(DataFrame.unionByName, [top_k(_products(block, index.vectors, k, lists, probes), k) for block in _blocks(queries)])

@@ -93,3 +93,25 @@ def test_vectors(spark):
     assert semantic.list_count(100) == 256 and semantic.list_count(10**6) == 1000
     best = semantic.exact_top_k(q, spark.createDataFrame([(1, [-1.0, 0.0])], "id long, embedding array<float>"))
     assert lexical.best_of(best).first()["score"] == 0.0
+
+
+def test_large_query_batches(spark, monkeypatch):
+    """Blocks of queries give what each query gives alone, without a cross join."""
+    v = spark.createDataFrame([(i, [math.cos(i / 10), math.sin(i / 10)]) for i in range(40)], "id long, embedding array<float>")
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    found = lambda df: sorted((r["query_id"], r["id"], r["rank"]) for r in df.collect())
+    index = semantic.build_lists(v, lists=4)
+    exact, probed = found(semantic.exact_top_k(q, v, 5)), found(semantic.probed_top_k(q, index, 5, probes=2))
+    monkeypatch.setattr(semantic, "QUERY_ROWS", 9)
+    blocks = semantic.exact_top_k(q, v, 5)
+    assert "CartesianProduct" not in (plan := blocks._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    assert found(blocks) == exact and found(semantic.probed_top_k(q, index, 5, probes=2)) == probed
+    assert found(semantic.probed_top_k(q, index, 5, probes=4)) == exact
+
+
+def test_recall_asks_every_twentieth(spark, data):
+    from quillon.plans import catalog
+
+    row = catalog.QUERIES["knn_ivf_recall"](spark, data).first()
+    assert row["queries"] == spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").count() > 1
+    assert 0 < row["recall"] <= 1 and 0 < row["recall_100"] <= 1
