@@ -26,6 +26,14 @@ def test_stages_in_order(spark, data, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest()
 
 
+def test_near_duplicates_link_from_80(spark, data):
+    words = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]  # 176 of 216 shingles
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert [r["doc_id"] for r in stage(spark, docs, data).collect()] == [1]
+
+
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 50
 
