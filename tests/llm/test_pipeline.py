@@ -26,6 +26,33 @@ def test_stages_in_order(spark, data, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest()
 
 
+def test_stages_decide_as_brute_force(spark, data, tmp_path):
+    """The ids and texts that the stages over lines, near duplicates and the benchmark keep, each from what the one before kept."""
+    from test_operators import brute_components, brute_hits, brute_lines, brute_sets
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+
+    def lines(rows):
+        left = brute_lines(rows)
+        return {i: left.get(i, t) for i, t in rows if left.get(i) == t or left[i].replace("\n", " ").strip(" ")}
+
+    def near_duplicates(rows):
+        least = brute_components([i for i, _ in rows], brute_sets([t for _, t in rows]), 80)
+        return {i: t for i, t in rows if least[i] == i}
+
+    def benchmark(rows):
+        return {i: t for (i, t), hit in zip(rows, brute_hits([t for _, t in rows], items)) if not hit[-1]}
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for want in (lines, near_duplicates, benchmark):
+        rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+        assert len({i for i, _ in rows}) == len(rows)
+        stages[want.__name__](spark, docs, data).write.parquet(f"{tmp_path}/{want.__name__}")
+        docs = spark.read.parquet(f"{tmp_path}/{want.__name__}")
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == want(rows)
+
+
 def test_near_duplicates_link_from_80(spark, data):
     words = [f"w{i}" for i in range(200)]
     near = [f"x{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(words)]  # 176 of 216 shingles
