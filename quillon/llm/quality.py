@@ -24,12 +24,12 @@ from quillon.llm.common import column_of, id_bucket, labelled, map_pieces, texts
 from quillon.llm.terms import TermHasher, row_sums, starts_of
 
 #: Labelled documents that vote, and that the space is fitted on, at most (about): the bound of what is broadcast.
-FIT_ROWS = 2000
+FIT_ROWS = 3000
 BITS = 15
 DIMENSIONS = 32
 NEIGHBOURS = 15
 PIECE = 1 << 20  # bytes of text scored at a time
-LEAST_SHARE = 0.02  # of the sample's texts that a term must occur in
+LEAST_SHARE = 0.01  # of the sample's texts that a term must occur in
 _CLASSES = [(re.compile(r"[^\W\d_a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_a-zß-öø-ÿ]*"), "A"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "B"), (re.compile(r"[^\W\d_AB]+"), "a"), (re.compile(r"\d+"), "0")]
 
 

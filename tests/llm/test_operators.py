@@ -523,3 +523,10 @@ def test_line_dedup_edges(edge, empty):
 def test_line_dedup_is_native(edge):
     plan = line_dedup.dedup_lines(edge)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_quality_fit_is_not_cut():
+    """The voters and the least share of a term that the operator was described with."""
+    from quillon.llm import quality
+
+    assert quality.FIT_ROWS == 3000 and quality.LEAST_SHARE == 0.01
