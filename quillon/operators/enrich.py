@@ -60,17 +60,18 @@ def insert_ignore(target: DataFrame, batch: DataFrame, key: str = "name", order:
 def batches(rows: DataFrame, size: int, order: str = "id") -> DataFrame:
     """Rows with batch numbers from 0, ``size`` rows each, in order.
 
-    Two passes, no global window: counts of range partitions give each one's first number.
+    The sorted rows are written once, each with its partition and place, so that every later step sees the same ones; counts
+    of the partitions, one row each, give each partition's first number. There is no global window over rows.
     """
     if size < 1:
         raise ValueError("a batch has one row at least")
-    parted = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    own = parted.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = own.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    placed = stored(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__place", F.monotonically_increasing_id()))
+    part, at = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__k"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    met = own.join(F.broadcast(starts), F.col("__part") == F.col("__p"))
-    return met.withColumn("batch", F.floor((F.col("__start") + F.col("__n") - 1) / size).cast("long")).drop("__part", "__n", "__p", "__start")
+    starts = counts.select(F.col("__part"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__start"))
+    met = placed.join(F.broadcast(starts), part == F.col("__part"))
+    return met.withColumn("batch", F.floor((F.col("__start") + at) / size).cast("long")).select(*rows.columns, "batch")
 
 
 def described_dependencies(rows: DataFrame, texts: DataFrame, most: int = PROMPT_DEPENDENCIES) -> DataFrame:

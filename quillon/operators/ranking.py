@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import scoring, text
 from quillon.functions.scoring import RerankWeights
 from quillon.operators.lexical import pool_scores
+from quillon.operators.storage import fits
 
 POOL = 500
 
@@ -35,15 +36,14 @@ def dependents(pool: DataFrame) -> DataFrame:
     return names.join(named, ["query_id", "name"], "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
 
 
-def boost(fused: DataFrame, declarations: DataFrame, pool_size: int = POOL, few: bool = True) -> DataFrame:
+def boost(fused: DataFrame, declarations: DataFrame, pool_size: int = POOL, few: bool | None = None) -> DataFrame:
     """The pool's rows with their declaration's columns, boosted score and rank; ids without a declaration keep a score.
 
-    few: the query batch is small (the caller has checked), so its pools, pool_size rows a query, are broadcast to pick
-    the declarations where they lie.
+    few: whether the pools, pool_size rows a query, are broadcast to pick the declarations where they lie; None counts them.
     """
     pool = fused.where(F.col("fused_rank") <= pool_size)
     wanted = pool.select("id").distinct()
-    picked = declarations.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    picked = declarations.join(F.broadcast(wanted) if (fits(wanted, POOL * 1000) if few is None else few) else wanted, "id", "left_semi")
     rows = pool.join(picked, "id", "left")
     counted = rows.join(dependents(rows), ["query_id", "name"], "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
     most = F.max("dependents").over(Window.partitionBy("query_id"))

@@ -19,6 +19,8 @@ from quillon.operators.storage import fits
 LEAST_LISTS, PROBES = 256, 64
 #: Queries whose vectors are sent to the tasks as one matrix.
 QUERY_ROWS = 1000
+#: Bytes of all centroids, which are on the driver and sent to the tasks.
+CENTROID_BYTES = 128 << 20
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:
@@ -87,8 +89,10 @@ def _products(queries: DataFrame, vectors: DataFrame, k: int, lists: tuple[np.nd
     return vectors.mapInArrow(run, f"query_id long, id {kind}, score double")
 
 
-def list_count(n: int, least: int = LEAST_LISTS) -> int:
-    return max(least, math.isqrt(n))
+def list_count(n: int, least: int = LEAST_LISTS, dimension: int = 0) -> int:
+    """The square root of the vectors, ``least`` or more; no more than centroids of ``CENTROID_BYTES`` (lists get longer beyond)."""
+    most = CENTROID_BYTES // (8 * dimension) if dimension else n + least
+    return max(least, min(math.isqrt(n), most))
 
 
 @dataclass
@@ -119,7 +123,8 @@ def build_lists(vectors: DataFrame, lists: int | None = None, seed: int = 11, it
         return InvertedLists(own.withColumn("list_id", F.lit(0)), spark.createDataFrame([], "list_id int, centroid array<double>"))
     rows = own.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     sample = rows if n <= train_rows else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
-    model = KMeans(k=min(lists or list_count(n), n), seed=seed, maxIter=iterations, distanceMeasure="cosine", predictionCol="list_id").fit(sample)
+    dimension = own.select(F.size("embedding")).first()[0]
+    model = KMeans(k=min(lists or list_count(n, dimension=dimension), n), seed=seed, maxIter=iterations, distanceMeasure="cosine", predictionCol="list_id").fit(sample)
     centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centroid array<double>")
     return InvertedLists(model.transform(rows).select("id", "embedding", "list_id"), centroids)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +37,17 @@ def fits(df: DataFrame, rows: int = 100_000) -> bool:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast a table of no more rows than the bound; a larger one is left to the planner's shuffled join."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def kept_path(name: str, source: DataFrame, save: Callable[[str], None]) -> str:
+    """The folder of what ``save`` writes from a table of files: written once a session while the files are the same."""
+    files = source.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (name, source.sparkSession.sparkContext.applicationId, checkpoint_root(source), tuple(sorted(map(tuple, files))))
+    if key not in _KEPT:
+        path = f"{checkpoint_root(source)}/{uuid.uuid4().hex}"
+        save(path)
+        _KEPT[key] = path
+    return _KEPT[key]

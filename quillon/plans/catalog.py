@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from quillon.functions import scoring, text, udfs
 from quillon.functions import vectors as V
 from quillon.operators import enrich, graph, ingest, lexical, ranking, semantic
-from quillon.operators.storage import stored
+from quillon.operators.storage import kept_path, stored
+from quillon.plans import extract
+from quillon.plans.search import SearchEngine
+from quillon.schema import DECLARATION
 from quillon.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +42,12 @@ def r6(c):
     return F.round(c, 6)
 
 
+def _declared(rows: DataFrame, **columns) -> DataFrame:
+    """The table as declarations: columns are names or Columns, others null."""
+    of = {k: F.col(v) if isinstance(v, str) else v for k, v in columns.items()}
+    return rows.select(*(of.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in DECLARATION))
+
+
 # scans, lookups, worklists
 
 
@@ -49,17 +58,19 @@ def scan_project(spark, d):
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 42")
 def lookup_by_id(spark, d):
-    return read(spark, d, "documents").where(F.col("doc_id") == 42).select("doc_id", "lang", "source", "n_chars")
+    rows = _declared(read(spark, d, "documents"), id="doc_id", module="lang", name="source", docstring="n_chars")
+    return SearchEngine(rows).get_by_id([42]).select(F.col("id").alias("doc_id"), F.col("module").alias("lang"), F.col("name").alias("source"), F.col("docstring").alias("n_chars"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name = 'Customer#000000007'")
 def lookup_by_name(spark, d):
-    return read(spark, d, "customer").where(F.col("c_name") == "Customer#000000007").select("c_custkey", "c_name", "c_acctbal")
+    rows = _declared(read(spark, d, "customer"), id="c_custkey", name="c_name", docstring="c_acctbal")
+    return SearchEngine(rows).get_by_name("Customer#000000007").select(F.col("id").alias("c_custkey"), F.col("name").alias("c_name"), F.col("docstring").alias("c_acctbal"))
 
 
 @query("SELECT page_id AS id, url AS name, html AS field FROM pages WHERE page_id = 3")
 def field_getter(spark, d):
-    return read(spark, d, "pages").where("page_id = 3").selectExpr("page_id AS id", "url AS name", "html AS field")
+    return SearchEngine(_declared(read(spark, d, "pages"), id="page_id", name="url", source_text="html")).get_field(3, "source_text")
 
 
 @query("SELECT doc_id, n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
@@ -151,11 +162,16 @@ bm25 AS (SELECT id, sum(idf * 2.5 * tf / (1.5 * (1 - 0.75 + 0.75 * dl / avgdl) +
 _TERMS = ["the", "thea", "onre", "inged"]
 
 
+def _text_index(spark, d) -> lexical.LexicalIndex:
+    """The documents' index: built and saved by the first query of a session that asks for it, then read, sorted by term."""
+    docs = read(spark, d, "documents")
+    return lexical.LexicalIndex.load(spark, kept_path("documents by words", docs, lambda p: lexical.build_index(docs, text.tokenize_words(F.col("text")), "doc_id").save(p)))
+
+
 @query(f"WITH {_bm25_sql(f'SELECT doc_id AS id, {_WORDS % "text"} AS tokens FROM documents', _TERMS)} SELECT id, rank, round(score, 6) AS score FROM (SELECT id, score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM bm25) WHERE rank <= 100")
 def bm25_text(spark, d):
-    index = lexical.build_index(read(spark, d, "documents"), text.tokenize_words(F.col("text")), "doc_id")
     asked = spark.createDataFrame([(0, _TERMS)], "query_id long, tokens array<string>")
-    scores = lexical.score_matches(asked, index).withColumn("score", F.round("score", 9))
+    scores = lexical.score_matches(asked, _text_index(spark, d)).withColumn("score", F.round("score", 9))
     return lexical.top_k(scores, 100).select("id", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
 
 
@@ -223,8 +239,8 @@ fused AS (SELECT id, 1 / coalesce(l.rank, (SELECT count(*) FROM l) + 1) + 1 / co
 ranked AS (SELECT id, fused, row_number() OVER (ORDER BY fused DESC, id) AS fused_rank FROM fused)"""
 
 
-def _fused(spark, d, terms=None):
-    index = lexical.build_index(read(spark, d, "documents"), text.tokenize_words(F.col("text")), "doc_id", terms=terms)
+def _fused(spark, d):
+    index = _text_index(spark, d)
     asked = spark.createDataFrame([(0, _TERMS)], "query_id long, tokens array<string>")
     left = lexical.top_k(lexical.score_matches(asked, index).withColumn("score", F.round("score", 9)), 100)
     right = semantic.exact_top_k(_vector_query(spark, d), _vectors(spark, d), 100)
@@ -273,7 +289,7 @@ def dependency_boost(spark, d):
     rows = _pool(spark, d)
     fused = rows.select(F.lit(0).alias("query_id"), "id", (F.col("id") % 97).alias("fused"))
     fused = fused.withColumn("fused_rank", scoring.rank_by(F.col("fused"), "id"))
-    out = ranking.boost(fused, rows)
+    out = ranking.boost(fused, rows, few=True)  # one query
     return out.select("id", F.col("fused_rank").cast("long").alias("fused_rank"), F.col("pool_dependents").alias("dependents"), r6("boosted").alias("boosted"))
 
 
@@ -293,26 +309,44 @@ def log_normalize(spark, d):
 
 
 _RERANK_QUERY = "the onre thea"
+_EDIT = "1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))"
+
+
+def edit_similarity(query, name):
+    """A name similarity that DuckDB has as well; the engine's default is fuzzy_name_score."""
+    return 1 - F.levenshtein(query, name) / F.greatest(F.length(query), F.length(name))
+
+
+def _rerank_sql(pool: str, query: str, words: list[str]) -> str:
+    """CTEs ending in reranked(q, id, final) over a pool (q, id, name, text, dep: the one dependency)."""
+    flat = lambda x: f"CASE WHEN max({x}) OVER w - min({x}) OVER w < 1e-9 THEN CASE WHEN max({x}) OVER w > 1e-9 THEN 1.0 ELSE 0.0 END ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
+    asked = ", ".join(f"'{x}'" for x in words)
+    return f"""
+seen AS (SELECT *, {_WORDS % "CASE WHEN coalesce(text, '') <> '' THEN text ELSE name END"} AS t, {_WORDS % "name || ': ' || coalesce(text, '')"} AS shown FROM {pool}),
+words AS (SELECT unnest([{asked}]) AS term),
+c AS (SELECT q, count(*) AS n, avg(len(t)) AS avgdl FROM seen GROUP BY q),
+tf AS (SELECT q, id, term, len(list_filter(t, lambda x: x = term)) AS tf, len(t) AS dl FROM seen, words),
+df AS (SELECT q, term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY q, term),
+b AS (SELECT q, id, sum(CASE WHEN df = 0 THEN 0 ELSE ln((n + 1) / df) * (0.5 + CASE WHEN tf > 0 THEN 2.5 * tf / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf) ELSE 0 END) END) AS bm FROM tf JOIN df USING (q, term) JOIN c USING (q) GROUP BY q, id),
+dn AS (SELECT q, dep AS name, count(*) AS dependents FROM seen GROUP BY q, dep),
+s AS (SELECT q, id, bm, len(list_filter([{asked}], lambda x: list_contains(shown, x))) / {len(words)} AS pair, coalesce(dependents, 0) AS dp, {_EDIT.format(f"'{query}'", 'name')} AS fz
+      FROM seen JOIN b USING (q, id) LEFT JOIN dn USING (q, name)),
+reranked AS (SELECT q, id, {flat('pair')} + 0.4 * ({flat('bm')}) + 0.2 * CASE WHEN max(dp) OVER w > 0 THEN ln(1 + dp) / ln(1 + max(dp) OVER w) ELSE 0.0 END
+  + CASE WHEN fz >= 0.7 THEN {flat('fz')} ELSE 0.0 END AS final FROM s WINDOW w AS (PARTITION BY q))"""
 
 
 @query(f"""
-WITH pool AS (SELECT doc_id AS id, 'doc' || doc_id AS name, text FROM documents WHERE doc_id < 50),
-rows AS (SELECT id, {_WORDS % 'text'} AS t, {_WORDS % "name || ': ' || text"} AS shown FROM pool),
-asked AS (SELECT unnest(['the', 'onre', 'thea']) AS term),
-c AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM rows),
-tf AS (SELECT id, term, len(list_filter(t, lambda x: x = term)) AS tf, len(t) AS dl FROM rows, asked),
-df AS (SELECT term, count(*) FILTER (tf > 0) AS df FROM tf GROUP BY term),
-b AS (SELECT id, sum(CASE WHEN df = 0 THEN 0 ELSE ln((n + 1) / df) * (0.5 + CASE WHEN tf > 0 THEN 2.5 * tf / (1.5 * (0.25 + 0.75 * dl / avgdl) + tf) ELSE 0 END) END) AS bm FROM tf JOIN df USING (term), c GROUP BY id),
-p AS (SELECT id, len(list_filter(['the', 'onre', 'thea'], lambda x: list_contains(shown, x))) / 3 AS pair FROM rows),
-s AS (SELECT id, bm, pair, min(bm) OVER () AS b0, max(bm) OVER () AS b1, min(pair) OVER () AS p0, max(pair) OVER () AS p1 FROM b JOIN p USING (id))
-SELECT id, round(CASE WHEN p1 - p0 < 1e-9 THEN CASE WHEN p1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (pair - p0) / (p1 - p0) END
-  + 0.4 * CASE WHEN b1 - b0 < 1e-9 THEN CASE WHEN b1 > 1e-9 THEN 1.0 ELSE 0.0 END ELSE (bm - b0) / (b1 - b0) END, 6) AS final FROM s""")
+WITH pool AS (SELECT lang AS q, doc_id AS id, 'onre the d' || doc_id % 40 AS name, text, 'onre the d' || doc_id * 7 % 10 AS dep FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS k FROM documents) WHERE k <= 50),
+{_rerank_sql('pool', _RERANK_QUERY, ['the', 'onre', 'thea'])}
+SELECT q, id, round(final, 6) AS final FROM reranked""")
 def rerank_combine(spark, d):
-    """A fixed pool, the documents under 50, as its SQL has it; rerank_fused takes its pool from the ranking of all documents."""
-    pool = read(spark, d, "documents").where("doc_id < 50").select(
-        F.lit(0).alias("query_id"), F.lit(_RERANK_QUERY).alias("query"), F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
-        F.col("text").alias("informalization"), F.array().cast("array<string>").alias("dependencies"), F.col("doc_id").alias("boosted_rank"))
-    return ranking.rerank(pool).select("id", r6("final").alias("final"))
+    """Every part of the final score: pair, text, dependency and name similarity. A language's pool is its 50 shortest documents."""
+    number = lambda k: F.concat(F.lit("onre the d"), k.cast("string"))
+    ranked = read(spark, d, "documents").withColumn("boosted_rank", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id"))).where("boosted_rank <= 50")
+    pool = stored(ranked.select(
+        F.col("lang").alias("query_id"), F.lit(_RERANK_QUERY).alias("query"), F.col("doc_id").alias("id"), number(F.col("doc_id") % 40).alias("name"),
+        F.col("text").alias("informalization"), F.array(number(F.col("doc_id") * 7 % 10)).alias("dependencies"), "boosted_rank"))
+    return ranking.rerank(pool, fuzzy=edit_similarity).select(F.col("query_id").alias("q"), "id", r6("final").alias("final"))
 
 
 _DEPTH = 50
@@ -335,21 +369,57 @@ def rerank_fused(spark, d):
     docs = read(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("informalization"), F.array().cast("array<string>").alias("dependencies"))
     # the rerank reads its pool several times, and the boost its fused rows: each is made once
-    pool = stored(ranking.candidates(ranking.boost(stored(_fused(spark, d, _TERMS)), docs), _DEPTH).withColumn("query", F.lit(_RERANK_QUERY)))
+    pool = stored(ranking.candidates(ranking.boost(stored(_fused(spark, d)), docs, few=True), _DEPTH).withColumn("query", F.lit(_RERANK_QUERY)))
     return ranking.rerank(pool).select("id", F.col("fused_rank").cast("long").alias("fused_rank"), r6("final").alias("final"))
 
 
+_DECLARED = """
+WITH decl AS (SELECT p.p_partkey AS id, replace(p.p_name, ' ', '.') || '.' || p.p_partkey AS name, p.p_type || '.' || p.p_brand AS module, lower(p.p_type) || ' ' || p.p_name AS text,
+  replace(q.p_name, ' ', '.') || '.' || q.p_partkey AS dep FROM part p JOIN part q ON q.p_partkey = p.p_partkey * 7 % 11)"""
+_SEARCHED = "small ring 35"
+_PACKAGES = ["ECONOMY", "SMALL"]
+
+
+@query(f"""{_DECLARED}, {_bm25_sql(f'SELECT id, list_distinct({_SPACED % "name"}) AS tokens FROM decl', _SEARCHED.split())},
+l AS (SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25) WHERE rank <= 1000),
+qv AS (SELECT [x / sqrt(list_sum([CAST(y AS DOUBLE) * y FOR y IN embedding])) FOR x IN embedding] AS b FROM embeddings WHERE vec_id = 7),
+dots AS (SELECT vec_id AS id, {_DOT} AS score FROM (SELECT vec_id, embedding AS a, b FROM embeddings JOIN decl ON vec_id = id, qv)),
+r AS (SELECT id, row_number() OVER (ORDER BY greatest(score, 0) DESC, id) AS rank FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS k FROM dots) WHERE k <= 1000),
+fused AS (SELECT id, row_number() OVER (ORDER BY fused DESC, id) AS fused_rank FROM (SELECT id, 1 / coalesce(l.rank, (SELECT count(*) FROM l) + 1) + 1 / coalesce(r.rank, (SELECT count(*) FROM r) + 1) AS fused FROM l FULL JOIN r USING (id))),
+p AS (SELECT * FROM fused JOIN decl USING (id) WHERE fused_rank <= 500),
+n AS (SELECT p.*, coalesce(k, 0) AS n FROM p LEFT JOIN (SELECT dep AS name, count(*) AS k FROM p GROUP BY dep) USING (name)),
+boosted AS (SELECT *, row_number() OVER (ORDER BY 1 / fused_rank + 1 / CASE WHEN n > 0 THEN most - n + 1 WHEN most > 0 THEN most + 1 ELSE 501 END DESC, fused_rank) AS boosted_rank FROM n, (SELECT max(n) AS most FROM n)),
+top AS (SELECT 0 AS q, * FROM (SELECT *, row_number() OVER (ORDER BY boosted_rank) AS place FROM boosted WHERE split_part(module, '.', 1) IN ({', '.join(f"'{x}'" for x in _PACKAGES)})) WHERE place <= 25),
+{_rerank_sql('top', _SEARCHED, _SEARCHED.split())}
+SELECT CAST(row_number() OVER (ORDER BY final DESC, boosted_rank) AS BIGINT) AS position, id, name, module, text AS informalization FROM reranked JOIN top USING (id) QUALIFY position <= 20""")
+def full_search(spark, d):
+    """The engine's whole search: names and vectors, fusion, boost, package filter, candidates, rerank with all its parts, over saved indices."""
+    parts = read(spark, d, "part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), F.col("p_partkey").cast("string"))
+    named = parts.select(F.col("p_partkey").alias("base"), name.alias("dep"))
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
+    rows = parts.join(vectors, "p_partkey", "left").join(named, F.col("base") == F.col("p_partkey") * 7 % 11)
+    declared = _declared(rows, id="p_partkey", name=name, module=F.concat_ws(".", "p_type", "p_brand"), informalization=F.concat_ws(" ", F.lower("p_type"), "p_name"), dependencies=F.array("dep"), informalization_embedding="embedding")
+    asked = spark.createDataFrame([(0, _SEARCHED)], "query_id long, query string")
+    wanted = vectors.where("p_partkey = 7").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    path = kept_path("parts", parts, lambda p: SearchEngine.build(declared, lambda q: wanted).save(p))
+    engine = SearchEngine.load(spark, path, declared, lambda q: wanted, fuzzy=edit_similarity)
+    found = engine.search(asked, limit=20, packages=_PACKAGES)
+    return found.select(F.col("position").cast("long").alias("position"), "id", "name", "module", "informalization")
+
+
 @query()
 def fuzzy_name(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(udfs.fuzzy_name_score(F.lit("small_ring"), F.col("p_name")), 6).alias("score"))
 
 
 @query("""
-WITH a AS (SELECT vec_id AS id, label - 4.0 AS s FROM embeddings), b AS (SELECT vec_id AS id, label / 2.0 - 3 AS s FROM embeddings WHERE vec_id % 2 = 0)
+WITH a AS (SELECT vec_id AS id, label - 4.0 AS s FROM embeddings), b AS (SELECT doc_id AS id, quality * 7.0 - 3 AS s FROM labels)
 SELECT id, greatest(max(s), 0.0) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id""")
 def max_merge(spark, d):
-    rows = read(spark, d, "embeddings").select(F.lit(0).alias("query_id"), F.col("vec_id").alias("id"), F.col("label").cast("double").alias("l"))
-    return lexical.best_of(rows.withColumn("score", F.col("l") - 4), rows.where("id % 2 = 0").withColumn("score", F.col("l") / 2 - 3)).select("id", "score")
+    rows = read(spark, d, "embeddings").select(F.lit(0).alias("query_id"), F.col("vec_id").alias("id"), (F.col("label") - F.lit(4.0)).alias("score"))
+    other = read(spark, d, "labels").select(F.lit(0).alias("query_id"), F.col("doc_id").alias("id"), (F.col("quality") * 7.0 - 3).alias("score"))
+    return lexical.best_of(rows, other).select("id", "score")
 
 
 # text functions
@@ -423,14 +493,15 @@ _TEMPLATE = "Name {name}\n{docstring}\n{source_text}\n{dependencies}"
 WITH r AS (SELECT doc_id, 'doc' || doc_id AS name, source, lang FROM documents),
 e AS (SELECT doc_id, k, 'doc' || (doc_id - k) AS dep FROM r, range(1, 4) t(k)),
 x AS (SELECT doc_id, string_agg('- ' || dep || ': ' || CASE WHEN length(d.text) > 256 THEN left(d.text, 253) || '...' ELSE d.text END, chr(10) ORDER BY k) AS deps
-      FROM e JOIN (SELECT 'doc' || doc_id AS dep, text FROM documents WHERE doc_id % 2 = 0) d USING (dep) GROUP BY doc_id)
+      FROM e JOIN (SELECT 'doc' || doc_id AS dep, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) d USING (dep) GROUP BY doc_id)
 SELECT doc_id, md5('Name ' || name || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'No docstring available' ELSE lang END || chr(10) || source || chr(10) || coalesce('Dependencies:' || chr(10) || deps, '')) AS prompt
 FROM r LEFT JOIN x USING (doc_id)""")
 def prompt_build(spark, d):
     docs = read(spark, d, "documents")
     name = lambda c: F.concat(F.lit("doc"), c.cast("string"))
     rows = docs.select("doc_id", name(F.col("doc_id")).alias("name"), F.col("source").alias("source_text"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("docstring"), F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: name(F.col("doc_id") - k)).alias("dependencies"))
-    texts = docs.where("doc_id % 2 = 0").select(name(F.col("doc_id")).alias("name"), "text")
+    # texts that have been made so far: those of labelled documents
+    texts = docs.join(read(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(name(F.col("doc_id")).alias("name"), "text")
     return enrich.prompts(rows, texts, _TEMPLATE).select("doc_id", F.md5("prompt").alias("prompt"))
 
 
@@ -485,9 +556,22 @@ def apply_cached(spark, d):
     return enrich.apply_values(rows, values, ["doc_id"], "lang", "quality").select("doc_id", "lang")
 
 
-@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) AS BIGINT) AS batch FROM documents")
+@query("SELECT doc_id, text, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 100) AS BIGINT) AS batch FROM documents")
 def chunk_batches(spark, d):
-    return enrich.batches(read(spark, d, "documents").select("doc_id"), 100, "doc_id")
+    return enrich.batches(read(spark, d, "documents").select("doc_id", "text"), 100, "doc_id")
+
+
+@query("""
+WITH e AS (SELECT 'doc' || doc_id || CASE WHEN lang = 'de' THEN '.toB' ELSE '' END AS name, source AS module, md5(text) AS source_text FROM documents),
+kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY source_text) AS k FROM e) WHERE NOT (suffix(name, '.toB') AND k > 1)),
+known AS (SELECT doc_id + 1 AS id, 'doc' || doc_id AS name, 'known' AS module, 'x' AS source_text FROM labels)
+SELECT * FROM known UNION ALL
+SELECT row_number() OVER (ORDER BY name) + (SELECT max(id) FROM known), name, module, source_text FROM kept WHERE name NOT IN (SELECT name FROM known)""")
+def add_declarations(spark, d):
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    known = _declared(read(spark, d, "labels"), id=F.col("doc_id") + 1, name=name, module=F.lit("known"), source_text=F.lit("x"))
+    found = _declared(read(spark, d, "documents"), name=F.concat(name, F.when(F.col("lang") == "de", ".toB").otherwise("")), module="source", source_text=F.md5("text"), source_link=F.lit("l"))
+    return extract.add_declarations(known, found.drop("id"))[0].select("id", "name", "module", "source_text")
 
 
 def _graph(spark, d):
@@ -527,6 +611,13 @@ def rolling_rate(spark, d):
     return rates.trailing_counts(read(spark, d, "events"), 60, ["event_type"]).select("event_id", "in_window")
 
 
+@query("""
+SELECT event_id, round(count(*) OVER w / nullif(epoch_us(ts) - min(epoch_us(ts)) OVER w, 0) * 1000000, 6) AS per_second
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW)""")
+def rolling_per_second(spark, d):
+    return rates.trailing_rates(read(spark, d, "events"), 300, ["event_type"]).select("event_id", r6("per_second").alias("per_second"))
+
+
 _HOURS = "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY ALL"
 
 

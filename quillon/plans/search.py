@@ -25,10 +25,10 @@ class SearchEngine:
     """
 
     declarations: DataFrame
-    spaced: lexical.LexicalIndex
-    raw: lexical.LexicalIndex
-    vectors: DataFrame | semantic.InvertedLists
-    embed: Callable[[DataFrame], DataFrame]
+    spaced: lexical.LexicalIndex | None = None  # lookups need no index
+    raw: lexical.LexicalIndex | None = None
+    vectors: DataFrame | semantic.InvertedLists | None = None
+    embed: Callable[[DataFrame], DataFrame] | None = None
     pair_score: Callable[[Column, Column], Column] = ranking.word_overlap
     fuzzy: Callable[[Column, Column], Column] | None = fuzzy_name_score
     weights: RerankWeights = field(default_factory=RerankWeights)
@@ -44,6 +44,9 @@ class SearchEngine:
     def save(self, path: str) -> None:
         self.spaced.save(f"{path}/spaced")
         self.raw.save(f"{path}/raw")
+        self.save_vectors(path)
+
+    def save_vectors(self, path: str) -> None:
         if isinstance(self.vectors, semantic.InvertedLists):
             self.vectors.save(f"{path}/lists")
         else:
@@ -76,6 +79,10 @@ class SearchEngine:
             return self.declarations.join(ids.select("id").distinct(), "id", "left_semi").select(RESULT_COLUMNS)
         return self.declarations.where(F.col("id").isin(list(ids))).select(RESULT_COLUMNS)
 
+    def get_field(self, declaration_id: int, name: str) -> DataFrame:
+        """(id, name, field) of one declaration; no row for an unknown id."""
+        return self.declarations.where(F.col("id") == declaration_id).select("id", F.col("name"), F.col(name).alias("field"))
+
     def get_by_name(self, name: str) -> DataFrame:
         """The row of an exact name; more than one is an error."""
         found = self.declarations.where(F.col("name") == name).select(RESULT_COLUMNS)
@@ -121,8 +128,8 @@ class Service:
 
     def get_field(self, declaration_id: int, name: str) -> dict | None:
         """(id, name, field) of one declaration; None for an unknown id."""
-        row = self.engine.declarations.where(F.col("id") == declaration_id).select("id", "name", name).first()
-        return {k: v for k, v in row.asDict().items() if v is not None} if row else None
+        row = self.engine.get_field(declaration_id, name).first()
+        return {k: v for k, v in zip(("id", "name", name), row) if v is not None} if row else None
 
 
 def hashed_words(dimension: int = 64) -> Callable[[DataFrame], DataFrame]:

@@ -67,11 +67,14 @@ def resolve_sources(links: DataFrame, packages: DataFrame, files: DataFrame) ->
     """
     parts = links.select("source_link").distinct().withColumn("p", text.link_parts(F.col("source_link"))).where("p is not null")
     wanted = parts.select("source_link", text.rebased_path(F.col("p.package"), F.col("p.path")).alias("tail"), F.posexplode(text.package_variants(F.col("p.package"))).alias("priority", "package"))
-    folders = small(packages)
-    named = wanted.join(folders, "package").select("source_link", "priority", F.concat_ws("/", "folder", "tail").alias("path"))
+    named = wanted.join(small(packages), "package").select("source_link", "priority", F.concat_ws("/", "folder", "tail").alias("path"))
     rest = wanted.select("source_link", "tail").distinct()
     root = rest.select("source_link", F.lit(100).alias("priority"), F.col("tail").alias("path"))
-    anywhere = rest.crossJoin(folders).select("source_link", F.lit(101).alias("priority"), F.concat_ws("/", "folder", "tail").alias("path"))
+    # any package: each file's folders above it meet the packages' folders, and what is below them the tails
+    steps = F.split("path", "/")
+    cut = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), "/").alias("folder"), F.array_join(F.slice(steps, k + 1, F.size(steps)), "/").alias("tail")))
+    below = files.select("path").distinct().where(F.size(steps) > 1).select("path", F.inline(cut)).join(packages.select("folder").distinct(), "folder")
+    anywhere = rest.join(below, "tail").select("source_link", F.lit(101).alias("priority"), "path")
     found = named.unionByName(root).unionByName(anywhere).join(files.select("path").distinct(), "path", "left_semi")
     return found.groupBy("source_link").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
 

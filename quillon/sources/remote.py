@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -16,6 +19,33 @@ from quillon.schema import RESULT_COLUMNS
 _RESULT = "query_id long, position int, id long, name string, module string, docstring string, source_text string, source_link string, dependencies string, informalization string"
 
 
+def retried(call: Callable, attempts: int = 3, waits: Callable[[int], float] = lambda k: min(10.0, max(2.0, 2.0**k)), sleep: Callable[[float], None] = time.sleep):
+    """What ``call`` gives; after a failure it waits (2 to 10 s, doubling) and tries again; the last failure is raised."""
+    for k in range(attempts):
+        try:
+            return call()
+        except Exception:
+            if k == attempts - 1:
+                raise
+            sleep(waits(k))
+
+
+def doubling(base: float) -> Callable[[int], float]:
+    """Waits of base, 2 base, 4 base, ... seconds, for long downloads."""
+    return lambda k: base * 2**k
+
+
+def read_url(url: str, headers: dict[str, str] | None = None, timeout: float = 30.0) -> str:
+    with urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}), timeout=timeout) as r:
+        return r.read().decode("utf-8")
+
+
+def http_post(url: str, body: dict, timeout: float = 120.0, headers: dict[str, str] | None = None) -> dict:
+    data = json.dumps(body).encode()
+    with urllib.request.urlopen(urllib.request.Request(url, data, {"Content-Type": "application/json"} | (headers or {})), timeout=timeout) as r:
+        return json.load(r)
+
+
 def http_get(url: str, headers: dict[str, str], timeout: float = 10.0) -> dict | None:
     """The JSON answer; None for 404, other errors are raised."""
     try:
@@ -56,3 +86,81 @@ def remote_search(queries: DataFrame, client: RemoteClient, limit: int = 20, pac
             yield pd.DataFrame(rows, columns=["query_id", "position", *RESULT_COLUMNS])
 
     return queries.select("query_id", "query").coalesce(tasks).mapInPandas(run, _RESULT)
+
+
+def remote_vectors(texts: DataFrame, url: str, text_col: str = "text", batch: int = 256, tasks: int = 2, post: Callable[[str, dict], dict] = http_post) -> DataFrame:
+    """All columns and ``embedding``: a server's vector of each text, asked for in batches; ``tasks`` bounds how many requests run at once."""
+    endpoint = f"{url.rstrip('/')}/api/v2/embed"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for a in range(0, len(rows), batch):
+                some = rows.iloc[a : a + batch]
+                found = retried(lambda: post(endpoint, {"texts": list(some[text_col])}))["embeddings"]  # noqa: B023
+                if len(found) != len(some):
+                    raise ValueError("the server gave another number of vectors")
+                yield some.assign(embedding=found)
+
+    return texts.coalesce(tasks).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", embedding array<float>")
+
+
+def remote_texts(prompts: DataFrame, url: str, model: str, key: str | None = None, temperature: float = 0.7, tasks: int = 10, post: Callable[..., dict] = http_post) -> DataFrame:
+    """All columns and ``answer``: a chat model's text for each ``prompt``; a blank answer is null."""
+    headers = {"Authorization": f"Bearer {key}"} if key else {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            ask = lambda p: post(f"{url.rstrip('/')}/chat/completions", {"model": model, "temperature": temperature, "messages": [{"role": "user", "content": p}]}, headers=headers)
+            answers = [retried(lambda: ask(p))["choices"][0]["message"]["content"] for p in rows["prompt"]]  # noqa: B023
+            yield rows.assign(answer=[(a or "").strip() or None for a in answers])
+
+    return prompts.repartition(tasks).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes) + ", answer string")
+
+
+# what is read of a source repository before its documentation is
+
+_REPOSITORY = re.compile(r"github\.com[/:]([^/]+)/([^/]+?)(?:\.git)?/?$")
+
+
+def _repository(url: str) -> tuple[str, str]:
+    m = _REPOSITORY.search(url)
+    if not m:
+        raise ValueError(f"not a repository's address: {url}")
+    return m[1], m[2]
+
+
+def toolchain(url: str, ref: str = "main", read: Callable[[str], str] = read_url) -> str:
+    """The content of a repository's toolchain file at a branch or tag."""
+    owner, name = _repository(url)
+    place = f"https://raw.githubusercontent.com/{owner}/{name}/{ref}/lean-toolchain"
+    try:
+        return read(place).strip()
+    except Exception as e:
+        raise RuntimeError(f"no toolchain at {place}: {e}") from e
+
+
+def newest_tag(url: str, read: Callable[[str], str] = read_url) -> str:
+    """The newest version-like one of a repository's first hundred tags, else its first; candidates of a release sort after it."""
+    owner, name = _repository(url)
+    place = f"https://api.github.com/repos/{owner}/{name}/tags?per_page=100"
+    try:
+        tags = [t["name"] for t in json.loads(read(place))]
+    except Exception as e:
+        raise RuntimeError(f"no tags at {place}: {e}") from e
+    if not tags:
+        raise RuntimeError(f"{url} has no tags")
+    like = [t for t in tags if re.match(r"v?\d+\.\d+\.\d+", t)]
+    return max(like, key=lambda t: [int(x) for x in re.findall(r"\d+", t)]) if like else tags[0]
+
+
+def pin_version(path: str, requirement: str, version: str) -> bool:
+    """Set the version after ``@`` in a build file's requirement of a package; whether the file changed (it is written only then)."""
+    with open(path) as f:
+        old = f.read()
+    new = re.sub(rf'(require\s+«?{re.escape(requirement)}»?\s+from\s+git\s+"[^"]*"\s*@\s*)"[^"]*"', lambda m: f'{m[1]}"{version}"', old)
+    if new == old:
+        return False
+    with open(f"{path}.part", "w") as f:
+        f.write(new)
+    os.replace(f"{path}.part", path)
+    return True

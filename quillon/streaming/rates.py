@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,13 +18,25 @@ def trailing_counts(events: DataFrame, seconds: int, keys: Sequence[str], ts: st
     Time is cut into slots as long as the window. An event stands in its slot and, to be counted only, in the next one, so
     the work is spread over keys and slots, however few keys there are.
     """
-    at, width = F.unix_micros(F.col(ts).cast("timestamp")), seconds * 1_000_000
+    return _trailing(events, seconds, keys, F.unix_micros(F.col(ts).cast("timestamp")), F.min("__at")).drop("__found")
+
+
+def _trailing(events: DataFrame, seconds: int, keys: Sequence[str], at: Column, found: Column) -> DataFrame:
+    width = seconds * 1_000_000
     placed = events.withColumn("__at", at).withColumn("__slot", F.explode(F.array_distinct(F.array(F.floor(F.col("__at") / width), F.floor(F.col("__at") / width) + 1))))
     w = Window.partitionBy(*keys, "__slot").orderBy("__at").rangeBetween(-width, 0)
-    counted = placed.withColumn("in_window", F.count(F.lit(1)).over(w))
+    counted = placed.withColumns({"in_window": F.count(F.lit(1)).over(w), "__found": found.over(w)})
     return counted.where(F.col("__slot").eqNullSafe(F.floor(F.col("__at") / width))).drop("__at", "__slot")
 
 
+def trailing_rates(events: DataFrame, seconds: int, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """Each event with ``in_window`` and ``per_second``: that number over the time since the window's first event, null where none has passed."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    counted = _trailing(events, seconds, keys, at, F.min("__at"))
+    passed = (at - F.col("__found")) / 1_000_000
+    return counted.withColumn("per_second", F.when(passed > 0, F.col("in_window") / passed)).drop("__found")
+
+
 def windowed_counts(events: DataFrame, window: str, slide: str | None = None, keys: Sequence[str] = (), ts: str = "ts", late: str | None = None, value: str | None = None) -> DataFrame:
     """Counts (and sums) of tumbling or sliding windows; on a stream with a watermark, windows close when it has passed."""
     rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -52,7 +65,9 @@ def enrich_stream(rows: DataFrame, cache_path: str, keys: Sequence[str], value:
         spark = batch.sparkSession
         try:
             cache = spark.read.parquet(cache_path)
-        except Exception:  # the first batch
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # other failures aren't a first batch
+                raise
             cache = spark.createDataFrame([], batch.select(*keys).schema.add(value, "string"))
         _, misses = split_by_cache(batch.dropDuplicates(list(keys)), cache, keys, value)
         generate(misses).select(*keys, value).write.mode("append").parquet(cache_path)

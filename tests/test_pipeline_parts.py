@@ -49,6 +49,24 @@ def test_insert_ignore_and_batches(spark):
     assert {r["id"]: r["batch"] for r in numbered} == {i: i // 10 for i in range(25)}
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_batches_of_wide_rows(spark, coalesce):
+    """No row is lost, and numbers follow the order, however the shuffle is cut."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        rows = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 30).alias("text"))
+        got = enrich.batches(rows, 1000).select("id", "batch", F.length("text").alias("n")).toPandas()
+        assert sorted(got["id"]) == list(range(20_000)) and (got["batch"] == got["id"] // 1000).all() and (got["n"] == 1920).all()
+        extracted = rows.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.lit("M").alias("module"), F.lit(None).cast("string").alias("docstring"), F.col("text").alias("source_text"), F.lit("l").alias("source_link"), F.lit(None).cast("array<string>").alias("dependencies"))
+        out, n = extract.add_declarations(spark.createDataFrame([], DECLARATION), extracted)
+        assert n == 20_000 and out.select("id").distinct().count() == 20_000 == out.agg(F.max("id")).first()[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_generate_in_layers(spark):
     rows = [(1, "base", "src1", None, None, None), (2, "top", "src2", None, ["base", "known", "gone"], None), (3, "known", "s", None, None, "K text"), (4, "blank", " ", None, None, None)]
     df = spark.createDataFrame(rows, "id long, name string, source_text string, docstring string, dependencies array<string>, informalization string")
@@ -185,6 +203,22 @@ def test_extract_steps(spark):
     assert all(sum(r["informalization_embedding"]) == 1 for r in done.collect())
 
 
+def test_stream_failures_are_not_a_first_batch(spark, tmp_path):
+    spark.range(3).withColumn("v", F.lit("x")).write.parquet(f"{tmp_path}/in")
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_bytes(b"broken")
+    stream = spark.readStream.schema("id long, v string").parquet(f"{tmp_path}/in").drop("v")
+    q = rates.enrich_stream(stream, f"{tmp_path}/cache", ["id"], "v", lambda m: m.withColumn("v", F.lit("y")), f"{tmp_path}/state")
+    with pytest.raises(Exception):
+        q.awaitTermination()
+
+
+def test_trailing_rates(spark):
+    rows = spark.createDataFrame([(0, "a"), (2, "a"), (4, "a"), (100, "a")], "s long, k string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["s"]: r["per_second"] for r in rates.trailing_rates(rows, 10, ["k"]).collect()}
+    assert got == {0: None, 2: 1.0, 4: 0.75, 100: None}
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i % 60:02d}:00", "u", float(i)) for i in range(90)]
     spark.createDataFrame(rows, "id long, ts string, k string, value double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")

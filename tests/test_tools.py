@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import io
+import json
+import sqlite3
+
 import pytest
 
 from quillon import __main__
+from quillon.plans.serve import serve
 from quillon.plans.search import hashed_vector
 from quillon.plans.tools import Backend, Tools, header, rendered
 from quillon.sources import remote, versions
@@ -69,3 +74,93 @@ def test_command_line(spark, tmp_path, capsys):
     df.write.parquet(f"{tmp_path}/declarations.parquet")
     assert __main__.main(["search", "map", "--data", str(tmp_path)]) == 0
     assert capsys.readouterr().out.startswith("1. List.map  Map.")
+
+
+def test_retries():
+    calls, waits = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return 5
+
+    assert remote.retried(call, sleep=waits.append) == 5 and waits == [2.0, 2.0]
+    with pytest.raises(ZeroDivisionError):
+        remote.retried(lambda: 1 / 0, sleep=waits.append)
+    assert [remote.doubling(30)(k) for k in range(3)] == [30, 60, 120] and remote.retried(lambda: 1) == 1
+
+
+def test_remote_vectors_and_texts(spark):
+    texts = spark.createDataFrame([(1, "a"), (2, "bcd"), (3, "ef")], "id long, text string")
+    got = remote.remote_vectors(texts, "http://x/", batch=2, post=lambda url, body: {"embeddings": [[float(len(t)), float(url.endswith("/api/v2/embed"))] for t in body["texts"]]})
+    assert {r["id"]: list(r["embedding"]) for r in got.collect()} == {1: [1, 1], 2: [3, 1], 3: [2, 1]}
+    chat = lambda url, body, headers: {"choices": [{"message": {"content": " " if body["messages"][0]["content"] == "a" else body["model"] + headers["Authorization"]}}]}
+    answers = remote.remote_texts(texts.withColumnRenamed("text", "prompt"), "http://x", "m", "k", tasks=2, post=chat)
+    assert {r["id"]: r["answer"] for r in answers.collect()} == {1: None, 2: "mBearer k", 3: "mBearer k"}
+
+
+def test_repository_metadata(tmp_path):
+    seen = {"https://raw.githubusercontent.com/o/r/v1/lean-toolchain": "lean:v4.2.0\n", "https://api.github.com/repos/o/r/tags?per_page=100": json.dumps([{"name": n} for n in ("nightly", "v1.9.0", "v1.10.0", "v1.10.0-rc1")])}
+    assert remote.toolchain("https://github.com/o/r.git", "v1", seen.__getitem__) == "lean:v4.2.0"
+    assert remote.newest_tag("git@github.com:o/r", seen.__getitem__) == "v1.10.0-rc1"
+    assert remote.newest_tag("https://github.com/o/r", lambda _: '[{"name": "b"}, {"name": "a"}]') == "b"
+    for bad in (lambda _: "[]", lambda _: "no"):
+        with pytest.raises(RuntimeError):
+            remote.newest_tag("https://github.com/o/r", bad)
+    with pytest.raises(ValueError):
+        remote.toolchain("https://example.com/x")
+    f = tmp_path / "build"
+    f.write_text('require «docs» from git\n  "https://x/y" @ "v1"\nrequire other from git "z" @ "v1"\n')
+    assert remote.pin_version(str(f), "docs", "v2") and not remote.pin_version(str(f), "docs", "v2")
+    assert f.read_text() == 'require «docs» from git\n  "https://x/y" @ "v2"\nrequire other from git "z" @ "v1"\n'
+
+
+def test_serve():
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_module", "arguments": {"declaration_id": 1}}}, {"id": 4, "method": "tools/call", "params": {"name": "search"}}, {"id": 5, "method": "gone"}]
+    out = io.StringIO()
+    serve(Tools(remote.RemoteClient("http://x", None, fake([]))), [*map(json.dumps, asked), "", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [a["id"] for a in got] == [1, 2, 3, 4, 5, None] and len(got[1]["result"]["tools"]) == 8
+    assert json.loads(got[2]["result"]["content"][0]["text"]) == {"id": 1, "name": "a", "module": "M"}
+    assert ["error" in a for a in got] == [False, False, False, True, True, True]
+
+
+def test_extract_command(spark, tmp_path, capsys):
+    db = sqlite3.connect(f"{tmp_path}/api.db")
+    db.executescript("""
+        CREATE TABLE modules (name TEXT, source_url TEXT); CREATE TABLE name_info (module_name TEXT, position INTEGER, kind TEXT, name TEXT, type BLOB, render INTEGER);
+        CREATE TABLE declaration_ranges (module_name TEXT, position INTEGER, start_line INTEGER, end_line INTEGER);
+        CREATE TABLE declaration_markdown_docstrings (module_name TEXT, position INTEGER, text TEXT); CREATE TABLE declaration_verso_docstrings (module_name TEXT, position INTEGER, content BLOB);
+        INSERT INTO modules VALUES ('M.A', 'https://github.com/o/pkg/blob/r/M/A.lean');
+        INSERT INTO name_info VALUES ('M.A', 1, 'def', 'f', NULL, 1), ('M.A', 2, 'def', 'g', NULL, 1), ('M.A', 3, 'def', 'far', NULL, 1);
+        INSERT INTO declaration_ranges VALUES ('M.A', 1, 1, 1), ('M.A', 2, 2, 2), ('M.A', 3, 90, 91);""")
+    db.commit()
+    (tmp_path / "src" / "pkg" / "M").mkdir(parents=True)
+    (tmp_path / "src" / "pkg" / "M" / "A.lean").write_text("def f := 1\ndef g := 2\n")
+    (tmp_path / "runs").mkdir()
+    run = ["extract", "--root", f"{tmp_path}/runs", "--database", f"{tmp_path}/api.db", "--sources", f"{tmp_path}/src"]
+    assert __main__.main(run) == 0
+    here = capsys.readouterr().out.strip()
+    rows = {r["name"]: r for r in spark.read.parquet(f"{here}/declarations").collect()}
+    assert {n: r["source_text"].strip() for n, r in rows.items()} == {"f": "def f := 1", "g": "def g := 2"}
+    assert rows["f"]["informalization"] == "f" and len(rows["g"]["informalization_embedding"]) == 64
+    assert __main__.main(["search", "g", "--data", f"{tmp_path}/runs"]) == 0
+    assert capsys.readouterr().out.startswith("1. g")
+    assert __main__.main([*run, "--index"]) == 0  # the index step alone, over the snapshot that is there
+    again = capsys.readouterr().out.strip()
+    assert again != here and spark.read.parquet(f"{again}/declarations").count() == 2
+
+
+def test_index_parts(spark, tmp_path):
+    from quillon.plans import extract
+    from quillon.schema import DECLARATION
+
+    empty = spark.createDataFrame([], DECLARATION)
+    assert extract.build_index(empty, f"{tmp_path}/none") == []
+    some = spark.createDataFrame([(1, "a.b", "M", None, "s", "l", None, None, None)], DECLARATION)
+    assert extract.build_index(some, f"{tmp_path}/names") == ["spaced", "raw"]
+    full = spark.createDataFrame([(k, f"a{k}", "M", None, "s", "l", None, "t", [1.0, float(k)]) for k in range(9)], DECLARATION)
+    assert extract.build_index(full, f"{tmp_path}/all", inverted=True) == ["spaced", "raw", "lists"]
+    report = extract.index_report(full.withColumnRenamed("informalization_embedding", "embedding")).first()
+    assert (report["vectors"], report["dimension"]) == (9, 2)
