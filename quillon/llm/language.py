@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum,
 over all its segmentations into pieces, of the product of their probabilities (forward algorithm); pieces never
 span words, so a text's log-probability is the sum over its words. Piece probabilities are fitted by expected
-counts (forward-backward) over the distinct words of a bounded sample, in a few distributed rounds.
+counts over the distinct words of a bounded sample, in a few distributed rounds. A word may be as long as a text (scripts
+without spaces): sums are scaled as they go, so none becomes 0, and the work is linear in the length.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; ties go to the language that
 sorts first; rows without a language teach nothing; without any labelled row every text is ``und``.
@@ -28,7 +29,9 @@ FIT_ROWS = 6000
 ROUNDS = 3
 START = "▁"
 WORD = re.compile(r"[^\W\d_]+")
-LONG = 40  # longer words are scored in parts of so many characters
+LONG = 64  # longer words aren't kept in the memo of scores: few of them come again
+CELLS = 200_000  # characters of words that are scored together
+LOW, RAISE = 1e-100, 1e100  # sums below are raised by the factor; a few steps can't take them to 0
 _B = 0x9E3779B97F4A7C15
 
 
@@ -76,19 +79,18 @@ class Pieces:
             out[:, j] = h
         return out
 
-    def spans(self, words: list[str], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, piece row of each word) for all spans that some word has as a piece; single characters always."""
+    def rows(self, words: list[str], length: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(k, piece row of each word's k characters from each start), for all lengths k that some word has a piece of; 1 always."""
         codes = _codes(words, length)
         prefix = np.concatenate([np.zeros((len(words), 1), np.uint64), self._hash(codes)], 1)
         power = _powers(length)
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                h = prefix[:, end] - prefix[:, start] * power[end - start]
-                at = np.searchsorted(self.keys, h)
-                at[at == self.n] = 0
-                row = np.where(self.keys[at] == h, self.order[at], self.n) if self.n else np.zeros(len(h), np.int32)
-                if end - start == 1 or (row < self.n).any():
-                    yield start, end, row
+        for k in range(1, min(self.longest, length) + 1):
+            h = prefix[:, k:] - prefix[:, :-k] * power[k]
+            at = np.searchsorted(self.keys, h)
+            at[at == self.n] = 0
+            row = np.where(self.keys[at] == h, self.order[at], self.n) if self.n else np.zeros(h.shape, np.int32)
+            if k == 1 or (row < self.n).any():
+                yield k, row
 
 
 @dataclass
@@ -104,57 +106,82 @@ class LanguageModel:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """(words, languages): log-probabilities, summed over all segmentations."""
         out = np.zeros((len(words), len(self.languages)))
-        lengths = np.array([len(w) for w in words])
-        for length in np.unique(lengths):
-            own = np.nonzero(lengths == length)[0]
-            if length > LONG:
-                for i in own:
-                    parts = [words[i][k : k + LONG] for k in range(0, length, LONG)]
-                    out[i] = self.word_scores(parts).sum(0)
-                continue
-            for a in range(0, len(own), 20_000):
-                some = own[a : a + 20_000]
-                out[some] = np.log(forward(self, [words[i] for i in some], int(length))[-1])
+        for some, length in _alike(words):
+            f = Forward(self, [words[i] for i in some], length, False)
+            out[some] = np.log(f.sums[length]) - np.log(RAISE) * f.raised[length]
         return out
 
 
-def chance(model: LanguageModel, row: np.ndarray, single: bool) -> np.ndarray:
-    p = model.p[row]
-    return np.where((row == model.pieces.n)[:, None], model.other, p) if single else p
-
-
-def forward(model: LanguageModel, words: list[str], length: int) -> list[np.ndarray]:
-    """Of each prefix length, the summed probability of its segmentations."""
-    f = [np.ones((len(words), len(model.languages)))] + [np.zeros((len(words), len(model.languages))) for _ in range(length)]
-    for start, end, row in model.pieces.spans(words, length):
-        f[end] += f[start] * chance(model, row, end - start == 1)
-    return f
+def _alike(words: list[str]) -> Iterator[tuple[np.ndarray, int]]:
+    """Numbers of words of one length, about CELLS characters at a time."""
+    lengths = np.array([len(w) for w in words])
+    for length in np.unique(lengths):
+        own = np.nonzero(lengths == length)[0]
+        step = max(1, CELLS // int(length))
+        for a in range(0, len(own), step):
+            yield own[a : a + step], int(length)
+
+
+class Forward:
+    """The forward sums of words of one length: of each prefix length, the summed probability of its segmentations.
+
+    sums[e] times LOW to the power raised[e] is the probability, (words, languages) each. A pass needs the last sums only;
+    ``keep`` holds all, as expected counts need them.
+    """
+
+    def __init__(self, model: LanguageModel, words: list[str], length: int, keep: bool) -> None:
+        self.model, n, lang = model, len(words), len(model.languages)
+        none = model.pieces.n
+        self.rows = [(k, row, (row < none).any(0) | (k == 1)) for k, row in model.pieces.rows(words, length)]
+        # a pass that keeps nothing holds as many steps as its longest piece
+        self.sums = np.empty((length + 1, n, lang)) if keep else {}
+        self.raised = np.zeros((length + 1, n, lang), np.int32) if keep else {}
+        self.sums[0], self.raised[0] = np.ones((n, lang)), np.zeros((n, lang), np.int32)
+        reach = max(k for k, _, _ in self.rows)
+        for end in range(1, length + 1):
+            f = np.zeros((n, lang))
+            for k, row, used in self.rows:
+                if k <= end and used[end - k]:
+                    f += self.sums[end - k] * self.chance(row[:, end - k], k)
+            self.sums[end], self.raised[end] = f, self.raised[end - 1]
+            if end % 8 == 0 and f.min() < LOW:
+                low = f < LOW
+                for s in range(max(0, end - reach), end + 1):
+                    self.sums[s] = np.where(low, self.sums[s] * RAISE, self.sums[s])
+                    self.raised[s] = self.raised[s] + low
+            if not keep and end >= reach:
+                del self.sums[end - reach], self.raised[end - reach]
+
+    def chance(self, row: np.ndarray, k: int) -> np.ndarray:
+        p = self.model.p[row]
+        return np.where((row == self.model.pieces.n)[:, None], self.model.other, p) if k == 1 else p
 
 
 def expected_counts(model: LanguageModel, words: list[str], weights: np.ndarray) -> np.ndarray:
-    """(pieces + 1, languages): expected uses of each piece, of unknown characters in the last row."""
+    """(pieces + 1, languages): expected uses of each piece, of unknown characters in the last row.
+
+    From a word's end backwards, reach[e] is the chance that a piece ends at e; a piece from s to e takes the share of it
+    that s's sum times the piece's probability has in e's sum.
+    """
     n, lang = model.pieces.n, len(model.languages)
     out = np.zeros((n + 1, lang))
-    lengths = np.array([len(w) for w in words])
-    for length in np.unique(lengths):
-        own = np.nonzero(lengths == length)[0]
-        for a in range(0, len(own), 10_000):
-            some = own[a : a + 10_000]
-            group, length = [words[i] for i in some], int(length)
-            spans = list(model.pieces.spans(group, length))
-            f = [np.ones((len(some), lang))] + [np.zeros((len(some), lang)) for _ in range(length)]
-            b = [np.zeros((len(some), lang)) for _ in range(length)] + [np.ones((len(some), lang))]
-            ps = [chance(model, row, end - start == 1) for start, end, row in spans]
-            for (start, end, _), p in zip(spans, ps):
-                f[end] += f[start] * p
-            for k in sorted(range(len(spans)), key=lambda k: -spans[k][0]):
-                start, end, _ = spans[k]
-                b[start] += ps[k] * b[end]
-            scale = weights[some] / f[length]
-            for (start, end, row), p in zip(spans, ps):
-                use = f[start] * p * b[end] * scale
+    for some, length in _alike(words):
+        f = Forward(model, [words[i] for i in some], length, True)
+        reach = np.zeros((length + 1, len(some), lang))
+        reach[length] = weights[some]
+        for end in range(length, 0, -1):
+            for k, row, used in f.rows:
+                start = end - k
+                if start < 0 or not used[start]:
+                    continue
+                share = f.sums[start] * f.chance(row[:, start], k) / f.sums[end]
+                later = f.raised[end] - f.raised[start]
+                if later.any():
+                    share = share * RAISE**later
+                use = reach[end] * share
+                reach[start] += use
                 for g in range(lang):
-                    out[:, g] += np.bincount(row, use[:, g], n + 1)
+                    out[:, g] += np.bincount(row[:, start], use[:, g], n + 1)
     return out
 
 
@@ -199,11 +226,10 @@ def fit(docs: DataFrame, vocabulary: list[str], *, text_col: str = "text", lang_
             at = {x: i for i, x in enumerate(m.languages)}
             for piece in pieces(batches, "word"):
                 words, langs, k = texts_of(piece, "word"), texts_of(piece, "lang"), column_of(piece, "n").to_pylist()
-                keep = [i for i, w in enumerate(words) if len(w) < LONG]
-                weights = np.zeros((len(keep), len(at)))
-                for j, i in enumerate(keep):
-                    weights[j, at[langs[i]]] = k[i]
-                found = expected_counts(m, parts_of([words[i] for i in keep]), weights)
+                weights = np.zeros((len(words), len(at)))
+                for i, x in enumerate(langs):
+                    weights[i, at[x]] = k[i]
+                found = expected_counts(m, parts_of(words), weights)
                 sums = found if sums is None else sums + found
             if sums is not None:
                 row, g = np.nonzero(sums)
@@ -232,12 +258,14 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
 
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
             words = [words_of(x) if x else [] for x in texts_of(piece, text_col)]
-            todo = cache.missing(set().union(*words))
-            if todo:
-                scores = m.word_scores(parts_of(todo)) if m.languages else np.zeros((len(todo), 1))
-                cache.new.update(zip(todo, map(tuple, scores.tolist())))
+            every = set().union(*words)
+            long = {w for w in every if len(w) > LONG}
+            todo = cache.missing(every - long)
+            score = lambda some: zip(some, map(tuple, (m.word_scores(parts_of(some)) if m.languages else np.zeros((len(some), 1))).tolist()))
+            cache.new.update(score(todo))
             langs, best = [], []
-            get = cache.new.__getitem__
+            own = dict(score(list(long)))
+            get = (lambda w: own[w] if w in own else cache.new[w]) if own else cache.new.__getitem__
             for w in words:
                 if not m.languages or not any(c.isalpha() for x in w for c in x):
                     langs.append("und")

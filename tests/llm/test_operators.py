@@ -73,6 +73,55 @@ def test_forward_sums_all_segmentations():
         assert np.isclose(np.exp(model.word_scores([w])[0, 0]), brute(w))
 
 
+def segmentation_model(languages=2):
+    rng = np.random.default_rng(6)
+    pieces = language.Pieces(["a", "b", "ab", "ba", "aba", "bbb", "abababab", "▁", "▁a"])
+    p = rng.random((pieces.n + 1, languages)) / 30
+    p[-1] = 0
+    return language.LanguageModel([f"l{g}" for g in range(languages)], pieces, p, np.array([1e-11, 1e-7])[:languages], np.zeros(languages))
+
+
+def brute_segmentations(model, word):
+    """(logarithms of the sums, expected uses of each piece and language), in exact fractions of whole numbers."""
+    from fractions import Fraction
+
+    vocabulary = sorted(["a", "b", "ab", "ba", "aba", "bbb", "abababab", "▁", "▁a"])
+    n, out, logs = len(vocabulary), np.zeros((len(vocabulary) + 1, len(model.languages))), []
+    for g in range(len(model.languages)):
+        chance = {v: Fraction(float(model.p[i, g])) for i, v in enumerate(vocabulary)}
+        spans = [(s, e, chance.get(word[s:e], Fraction(float(model.other[g])) if e - s == 1 else 0)) for e in range(1, len(word) + 1) for s in range(max(0, e - 8), e)]
+        spans = [x for x in spans if x[2]]
+        f = [Fraction(1)] + [Fraction(0)] * len(word)
+        b = [Fraction(0)] * len(word) + [Fraction(1)]
+        for s, e, c in spans:
+            f[e] += f[s] * c
+        for s, e, c in sorted(spans, reverse=True):
+            b[s] += c * b[e]
+        z = f[-1]
+        logs.append(np.log(float(z.numerator >> max(0, z.numerator.bit_length() - 60))) + max(0, z.numerator.bit_length() - 60) * np.log(2) - np.log(float(z.denominator >> max(0, z.denominator.bit_length() - 60))) - max(0, z.denominator.bit_length() - 60) * np.log(2))
+        for s, e, c in spans:
+            i = vocabulary.index(word[s:e]) if word[s:e] in chance else n
+            out[i, g] += float(f[s] * c * b[e] / z)
+    return np.array(logs), out
+
+
+@pytest.mark.parametrize("word", ["▁" + "ab" * 40, "日本語" * 30, "▁aあb" + "bba" * 21, "b" * 65, "ж" * 129])
+def test_long_words_and_expected_counts(word):
+    """Words over 40 letters, unknown scripts and what the fit counts, against exact sums over all segmentations."""
+    model = segmentation_model()
+    logs, counts = brute_segmentations(model, word)
+    assert np.allclose(model.word_scores([word, word])[1], logs, rtol=1e-9)
+    weights = np.array([[2.0, 0.5]])
+    assert np.allclose(language.expected_counts(model, [word], weights), counts * weights, rtol=1e-8, atol=1e-12)
+
+
+def test_unknown_scripts_have_scores(spark, docs):
+    model = language.fit(docs.limit(80), language.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), rounds=1)
+    rows = spark.createDataFrame([(n, "ꙮ" * n) for n in (1, 30, 39, 40, 41, 100, 5000)], "doc_id long, text string")
+    for r in language.predict(rows, model).collect():
+        assert 0 <= r["score"] <= 1 and r["lang_pred"] in model.languages
+
+
 def test_language_held_out(docs):
     vocabulary = language.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     from pyspark.sql import functions as F
