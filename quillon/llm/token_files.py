@@ -31,7 +31,10 @@ SIGNS = "!\"#$%&()*+,-./:;?@[]^_|~"
 
 
 class WordIds:
-    """Ids of distinct parts by the parts' 64-bit hashes: sorted arrays, a large one and a small one that is merged into it."""
+    """Ids and bytes of distinct parts by the parts' 64-bit hashes: sorted arrays, a large one and a small one that is merged into it.
+
+    A hash only says where to look: what is found counts if its bytes are the part's (``holds``).
+    """
 
     def __init__(self, limit: int) -> None:
         self.limit = limit
@@ -41,6 +44,8 @@ class WordIds:
         self.levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2
         self.ends = np.zeros(1, np.int64)
         self.flat = np.zeros(0, "<u4")
+        self.byte_ends = np.zeros(1, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
         self.n = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -52,24 +57,40 @@ class WordIds:
                 out = np.where(known[at] == keys, slots[at], out)
         return out
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        """A part's ids as bytes; keys are new."""
+    @staticmethod
+    def _appended(flat: np.ndarray, ends: np.ndarray, n: int, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = ends[n]
+        need = used + len(values)
+        if need > len(flat):
+            flat = np.concatenate([flat[:used], np.zeros(need * 5 // 4 - used + 1024, flat.dtype)])
+        flat[used:need] = values
+        if n + len(counts) + 1 > len(ends):
+            ends = np.concatenate([ends[: n + 1], np.zeros((n + len(counts)) // 4 + len(counts) + 1, np.int64)])
+        ends[n + 1 : n + 1 + len(counts)] = used + np.cumsum(counts)
+        return flat, ends
+
+    def holds(self, slots: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each slot are raw[start:end]."""
+        own = self.byte_ends[slots]
+        return same_bytes(self.bytes, own, self.byte_ends[slots + 1], raw, start, end)
+
+    def add(self, keys: np.ndarray | None, parts: list[bytes], ids: list[bytes]) -> np.ndarray:
+        """The slots of parts with their ids as bytes; keys are new. Without keys the parts aren't found again."""
         counts = np.array([len(x) // 4 for x in ids], np.int64)
-        used = self.ends[self.n]
-        need = used + int(counts.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(need * 3 // 2 - used + 1024, "<u4")])
-        self.flat[used:need] = np.frombuffer(b"".join(ids), "<u4")
-        if self.n + len(keys) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends[: self.n + 1], np.zeros((self.n + len(keys)) // 2 + len(keys) + 1, np.int64)])
-        self.ends[self.n + 1 : self.n + 1 + len(keys)] = used + np.cumsum(counts)
-        new = (keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
-        self.n += len(keys)
+        self.flat, self.ends = self._appended(self.flat, self.ends, self.n, np.frombuffer(b"".join(ids), "<u4"), counts)
+        lengths = np.array([len(x) for x in parts], np.int64)
+        self.bytes, self.byte_ends = self._appended(self.bytes, self.byte_ends, self.n, np.frombuffer(b"".join(parts), np.uint8), lengths)
+        slots = np.arange(self.n, self.n + len(parts), dtype=np.int32)
+        self.n += len(parts)
+        if keys is None:
+            return slots
+        new = (keys, slots)
         large, small = self.levels
         small = self._merged(small, new)
         if len(small[0]) > 50_000 + len(large[0]) // 4:
             large, small = self._merged(large, small), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.levels = [large, small]
+        return slots
 
     @staticmethod
     def _merged(*levels: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +107,19 @@ class WordIds:
         return self.flat[at], n
 
 
+def same_bytes(x: np.ndarray, x_start: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
+    """Of each pair of spans, whether they hold the same bytes."""
+    n = x_end - x_start
+    same = n == y_end - y_start
+    own = np.nonzero(same & (n > 0))[0]
+    n = n[own]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    other = x[at + np.repeat(x_start[own], n)] != y[at + np.repeat(y_start[own], n)]
+    if other.any():
+        same[own[np.unique(np.repeat(np.arange(len(own)), n)[other])]] = False
+    return same
+
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,12 +151,13 @@ def parts_of(raw: np.ndarray, ends: np.ndarray, power: np.ndarray, inverse: np.n
     return start, end, h ^ h >> np.uint64(29)
 
 
-def word_encoder(vocabulary: bytes, limit: int = 2_000_000) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+def word_encoder(vocabulary: bytes, limit: int = 1_000_000) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     """Encodes UTF-8 texts with the tokenizers library: (ids one after another, count of each text).
 
     The vocabulary's normalizer and pre-tokenizer treat a space or line feed only as an end of words, so a
     text's ids are those of its parts between them, in order; each distinct part is encoded once a worker
-    (within the bound of its table) and found by its hash. Parts of Latin letters, which are one pre-token each
+    (within the bound of its table) and found by its hash, then compared byte by byte: a part that only shares the
+    hash of another is encoded by itself. Parts of Latin letters, which are one pre-token each
     whatever their case, are encoded many at a time in one text and told apart by the tokens that end a word; a
     run of signs after such a part is a part of its own.
     """
@@ -176,21 +211,30 @@ def word_encoder(vocabulary: bytes, limit: int = 2_000_000) -> Callable[[list[by
             power[:] = [powers(_MULTIPLIER, len(raw)), powers(_INVERSE, len(raw))]
         start, end, h = parts_of(raw, text_ends, *power)
         codes, kinds = pd.factorize(h)
+        if table.n + len(kinds) > table.limit:
+            table.clear()
+        # any place of each kind: the codes are numbered by first use
+        where = np.empty(len(kinds), np.int64)
+        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         slots = table.find(kinds)
+        known = slots >= 0
+        known[known] = table.holds(slots[known], raw, start[where[known]], end[where[known]])
         new = np.nonzero(slots < 0)[0]
-        if len(new) and table.n + len(new) > table.limit:
-            table.clear()
-            slots[:] = -1
-            new = np.arange(len(kinds))
         if len(new):
-            # any place of a new part: the codes are numbered by first use
-            where = np.empty(len(kinds), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = where[new]
-            parts = [joined[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist())]
-            slots[new] = np.arange(table.n, table.n + len(new))
-            table.add(kinds[new], learn(parts))
-        ids, n = table.gather(slots[codes])
+            parts = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+            slots[new] = table.add(kinds[new], parts, learn([p.decode("utf-8") for p in parts]))
+            known[new] = True
+        slot = slots[codes]
+        # parts that aren't their kind's, or whose kind isn't the table's
+        odd = ~(known[codes] & same_bytes(raw, start[where][codes], end[where][codes], raw, start, end))
+        if odd.any():
+            at = np.nonzero(odd)[0]
+            parts = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+            own = list(dict.fromkeys(parts))
+            of = dict(zip(own, table.add(None, own, learn([p.decode("utf-8") for p in own])).tolist()))
+            slot[at] = [of[p] for p in parts]
+        ids, n = table.gather(slot)
         owner = np.searchsorted(start, np.r_[0, text_ends])  # parts before each text
         before = np.r_[0, np.cumsum(n)]
         return ids, np.diff(before[owner])
@@ -233,7 +277,8 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    return files.join(F.broadcast(offsets), F.col("shard") == F.col("__shard")).select(id_col, (F.col("__base") + F.col("shard_start")).alias("start"), "n_tokens", "token_ids")
+    # a row a file; their offsets are a running sum over as many rows
+    return files.join(offsets, F.col("shard") == F.col("__shard")).select(id_col, (F.col("__base") + F.col("shard_start")).alias("start"), "n_tokens", "token_ids")
 
 
 def token_digest(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -290,6 +290,27 @@ def test_token_files(spark, edge, tmp_path, encoding):
     assert digest[3] == zlib.crc32((2).to_bytes(4, "little"))
 
 
+def test_parts_that_share_a_hash():
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the multiplier."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    raw = np.frombuffer((x + " " + y).encode(), np.uint8)
+    power = [token_files.powers(b, len(raw)) for b in (token_files._MULTIPLIER, token_files._INVERSE)]
+    assert len(set(token_files.parts_of(raw, np.array([len(raw)]), *power)[2].tolist())) == 1
+    for calls in ([[x, y, f"{y} {x} other"]], [[x], [y], [x + " " + y]], [[y + "! " + x], [x]]):
+        common.drop_caches()
+        encode = token_files.word_encoder(open(path, "rb").read())
+        for texts in calls:
+            ids, n = encode([k.encode() for k in texts])
+            want = [t.encode(k, add_special_tokens=False).ids for k in texts]
+            assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    common.drop_caches()
+
+
 def test_token_table_survives_clearing():
     path = public_tokenizers.path("word_bpe_49k.json")
     from tokenizers import Tokenizer
