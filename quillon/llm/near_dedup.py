@@ -11,8 +11,9 @@
 
 A band of more than ``BLOCK`` members is dealt into pairs of blocks, one task's group each, so no group is unbounded.
 
-Defined results: without words or text the set is empty and linked with nothing; rows of equal id are one node; a row
-without id is linked with nothing, has no component and is kept.
+Defined results: without words or text the set is empty and linked with nothing; rows of equal id are one node, whatever
+their texts: the links of each are the links of all, and all have one component; a row without id is linked with nothing,
+has no component and is kept.
 """
 
 from __future__ import annotations
@@ -146,11 +147,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = checkpoint(linked.groupBy("k1", "k2").agg(F.min("id").alias("rep")), narrow=True)
     reps = checkpoint(linked.join(classes, ["k1", "k2"]).where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "n", "sketch", "bands"))
 
+    # ids of rows with different sets tie the classes of these sets together
+    key = F.struct("k1", "k2", "n")
+    several = checkpoint(every.where("id is not null").groupBy("id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("id"), narrow=True)
+    torn = several.count()
+    own = linked.select("id", "k1", "k2").distinct()
+    ties = own.join(F.broadcast(several) if torn <= BROADCAST_ROWS else several, "id", "left_semi").join(classes, ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+
     bands = reps.select("id", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
     met = checkpoint(bands.join(heads, "band").select("band", "id", "head", "k"))
     stars = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(plausible(stars, reps, percent, margin), docs, id_col, text_col, percent)
+    if torn:
+        links = links.unionByName(checkpoint(ties, narrow=True))
     comps = checkpoint(components(links), narrow=True)
 
     told = met.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -170,5 +180,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     out = every.select("id", "n", "k1", "k2").join(classes, (every["k1"] == classes["k1"]) & (every["k2"] == classes["k2"]) & (every["n"] > 0) & every["id"].isNotNull(), "left").select("id", "n", "rep")
     out = out.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    out = out.withColumn("component", F.coalesce("component", "rep", "id"))
+    if torn:  # a row without words has no class, but another row of its id may have one
+        tied = final.select(F.col("node").alias("id"), F.col("component").alias("tied")).join(F.broadcast(several) if torn <= BROADCAST_ROWS else several, "id", "left_semi")
+        out = out.join(tied, "id", "left").withColumn("component", F.least("component", "tied"))
+    component = F.col("component")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -415,6 +415,23 @@ def test_near_duplicates_brute_force(spark, block):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(s), want[i], want[i] == i)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_near_duplicates_of_repeated_ids(spark, seed):
+    """Rows of one id are one node: the links of each of its texts are its own."""
+    a, b = (" ".join(f"{x}{k}" for k in range(9)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (8, None)]
+    if seed:
+        rng = random.Random(seed)
+        rows = [(rng.randrange(25), t) for t in near_texts(seed)[::2]]
+    ids, sets = [i for i, _ in rows], brute_sets([t for _, t in rows])
+    least = brute_components(ids, sets)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == sorted((i, len(s), least[i], least[i] == i) for i, s in zip(ids, sets))
+    if not seed:
+        assert {r[2] for r in got if r[0] in (3, 5, 7)} == {3}
+
+
 def test_estimate_follows_similarity():
     rng = random.Random(0)
     a = [str(rng.random()) for _ in range(2000)]
