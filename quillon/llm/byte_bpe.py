@@ -2,15 +2,16 @@
 
 1. Blocks: each task splits its documents into pre-tokens and gathers them into blocks of a bounded number of bytes. A
    block is one row: its document ids, the positions of its pre-tokens (numbers of distinct words, in document order) and
-   its distinct words, dealt into buckets by their hash. The blocks are written to the shared folder once, so all that
-   follows sees the same numbers, whatever executors are lost.
-2. Words: (bucket, block, words) rows are shuffled by bucket, so a distinct word of the corpus goes to one task, whatever
-   the number of its uses, and is encoded once there (as far as the task's bounded memo reaches).
-3. Join back: the words' ids return to their block, and the documents are put together by position. Decoding looks
-   every id up in the token-byte table, which has one row for each entry of the vocabulary.
+   its distinct words. The blocks are written to the shared folder once, so all that follows sees the same numbers,
+   whatever executors are lost.
+2. Words: (block, number, word) rows, one for each distinct word of a block, are shuffled and sorted by word. A distinct
+   word of the corpus is one run of rows in one task, which encodes it once and sends its ids to every block of the run.
+   Nothing is kept but the run's own ids, so a task's memory doesn't depend on the number of words.
+3. Join back: the ids return to their block, and the documents are put together by position. Decoding looks every id up
+   in the token-byte table, which has one row for each entry of the vocabulary.
 
-Hot words cost one entry a block. Rows of a word are bounded by the number of blocks, those of a block by the number of
-buckets, and a block by its bytes (a longer text is a block of its own).
+A hot word has one row a block, not one a use. The number of tasks of step 2 follows the number of rows (``WORD_ROWS``
+each), and a block is bounded by its bytes (a longer text is a block of its own).
 
 Defined results: a null or empty text has no ids; repeated rows are each encoded; an empty table gives no rows.
 """
@@ -28,10 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Memo, bytes_of, checkpoint, column_of, drop_caches, pieces, read_file, record, texts_of, worker_cache
+from quillon.llm.common import bytes_of, checkpoint, column_of, drop_caches, pieces, read_file, record, texts_of, worker_cache
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 32 << 20
+#: Rows of distinct words that a task encodes, about, and that it sends back together.
+WORD_ROWS = 500_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -115,49 +118,31 @@ class _Block:
         self.flat.append(own)
         self.bytes += n_bytes
 
-    def row(self, name: str, buckets: int) -> dict:
+    def row(self) -> tuple[bytes, bytes, list[bytes]]:
+        """(lengths, positions, words): a word's number is its rank by uses in the block."""
         flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.uint32)
         words = [w.encode("utf-8") for w in self.numbers]
         common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[common] = np.arange(len(words))
-        words = [words[i] for i in common]
-        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        packed = []
-        for a, b in zip(cut[:-1], cut[1:]):
-            own = order[a:b]
-            some = [words[i] for i in own]
-            head = _pack(np.diff(own, prepend=0), np.array([len(w) for w in some], np.uint32))
-            packed.append(len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join(some), 3) if b > a else None)
-        return {"block": name, "positions": _pack_ranks(rank[flat]), "lengths": _pack(np.array([len(x) for x in self.flat], np.uint32)), "words": packed}
-
-
-def _words_of(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Numbers within the block, and the words."""
-    n = int.from_bytes(packed[:4], "little")
-    step, lengths = _unpack(packed[4 : 4 + n])
-    raw = zstandard.ZstdDecompressor().decompress(packed[4 + n :])
-    ends = np.cumsum(lengths).tolist()
-    return np.cumsum(step), [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, lengths, positions, words): step 1, not yet written."""
+        return _pack(np.array([len(x) for x in self.flat], np.uint32)), _pack_ranks(rank[flat]), [words[i] for i in common]
+
+
+def blocks_of(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, ids, lengths, positions, words, n_words): step 1, not yet written."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         drop_caches()
-        find, task, n = splitter(pattern).findall, TaskContext.get().partitionId(), 0
+        find, number = splitter(pattern).findall, TaskContext.get().partitionId() << 32
 
         def close(block: _Block) -> pa.RecordBatch:
-            row = block.row(f"{task}-{n}", buckets)
+            lengths, positions, words = block.row()
             ids = pa.concat_arrays(block.ids)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return pa.RecordBatch.from_arrays([pa.array([row["block"]]), lists, pa.array([row["lengths"]], pa.binary()), pa.array([row["positions"]], pa.binary()), pa.array([row["words"]], pa.list_(pa.binary()))], names=["block", "ids", "lengths", "positions", "words"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(words, pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), lists[0], pa.array([lengths], pa.binary()), pa.array([positions], pa.binary()), lists[1], pa.array([len(words)])], names=["block", "ids", "lengths", "positions", "words", "n_words"])
 
         block = _Block()
         for piece in pieces(batches, text_col, min(block_bytes, 4 << 20)):
@@ -166,31 +151,53 @@ def blocks_of(docs: DataFrame, pattern: str, buckets: int, *, id_col: str = "doc
             block.ids.append(column_of(piece, id_col))
             if block.bytes >= block_bytes:
                 yield close(block)
-                block, n = _Block(), n + 1
+                block, number = _Block(), number + 1
         if block.ids:
             yield close(block)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"block string, ids array<{kind}>, lengths binary, positions binary, words array<binary>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<{kind}>, lengths binary, positions binary, words array<binary>, n_words long")
 
 
-def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, buckets: int) -> DataFrame:
-    """(block, coded): step 2; coded holds the numbers of a bucket's words within the block, their counts of ids, and the ids."""
-    sent = blocks.sparkSession.sparkContext.broadcast(ranks)
+def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, rows: int = WORD_ROWS) -> DataFrame:
+    """(block, coded): step 2; coded holds numbers of a block's words, their counts of ids, and the ids."""
+    spark = blocks.sparkSession
+    sent = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, memo = piece_encoder(sent.value, pattern), Memo(200_000)
-        for piece in pieces(batches, "packed", 1 << 20):
+        encode, last, last_ids = piece_encoder(sent.value, pattern), None, b""
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            block, at = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            ids = [x for h in held for x in h[2]]
+            order = np.lexsort((at, block))
+            block, at = block[order], at[order]
+            cut = np.r_[0, np.nonzero(np.diff(block))[0] + 1, len(block)]
             coded = []
-            for packed in bytes_of(piece, "packed"):
-                numbers, words = _words_of(packed)
-                for w in memo.missing(set(words)):
-                    memo.new[w] = np.array(encode(w.decode("utf-8")), "<u4").tobytes()
-                ids = list(map(memo.new.__getitem__, words))
-                coded.append(_pack(np.diff(numbers, prepend=0), np.array([len(x) // 4 for x in ids], np.uint32), np.frombuffer(b"".join(ids), "<u4")))
-            yield pa.RecordBatch.from_arrays([column_of(piece, "block"), pa.array(coded, pa.binary())], names=["block", "coded"])
-
-    words = blocks.select("block", F.posexplode("words").alias("bucket", "packed")).where("packed is not null")
-    return words.repartition(buckets, "bucket").select("block", "packed").mapInArrow(run, "block string, coded binary")
+            for a, b in zip(cut[:-1], cut[1:]):
+                own = [ids[i] for i in order[a:b]]
+                coded.append(_pack(np.diff(at[a:b], prepend=0), np.array([len(x) // 4 for x in own], np.uint32), np.frombuffer(b"".join(own), "<u4")))
+            return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(coded, pa.binary())], names=["block", "coded"])
+
+        for piece in pieces(batches, "word", 1 << 20):
+            out = []
+            for w in bytes_of(piece, "word"):
+                if w != last:  # the rows come sorted: each word is met once
+                    last, last_ids = w, np.array(encode(w.decode("utf-8")), "<u4").tobytes()
+                out.append(last_ids)
+            held.append((np.asarray(column_of(piece, "block")), np.asarray(column_of(piece, "at")), out))
+            n += len(out)
+            if n >= rows:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
+    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, "block long, coded binary")
 
 
 class Coded:
@@ -231,10 +238,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
     """(id, [token_ids], n_tokens, ids_sha256, decoded_sha256) of every whole text."""
     spark = docs.sparkSession
     ranks = read_file(ranks_path)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = checkpoint(blocks_of(docs, pattern, buckets, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
+    blocks = checkpoint(blocks_of(docs, pattern, id_col=id_col, text_col=text_col, block_bytes=block_bytes))
     none = F.lit(None)
-    rows = blocks.select("block", "ids", "lengths", "positions", none.cast("binary").alias("coded")).unionByName(encode_words(blocks, ranks, pattern, buckets).select("block", none.cast(blocks.schema["ids"].dataType).alias("ids"), none.cast("binary").alias("lengths"), none.cast("binary").alias("positions"), "coded"))
+    rows = blocks.select("block", "ids", "lengths", "positions", none.cast("binary").alias("coded")).unionByName(encode_words(blocks, ranks, pattern).select("block", none.cast(blocks.schema["ids"].dataType).alias("ids"), none.cast("binary").alias("lengths"), none.cast("binary").alias("positions"), "coded"))
     sent = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -487,6 +487,34 @@ def test_byte_bpe(spark, edge, empty):
     assert byte_bpe.encode_documents(empty, RANKS, PATTERN).count() == 0
 
 
+def test_words_are_encoded_once(spark, tmp_path, monkeypatch):
+    """Whatever the number of blocks and of tasks, each distinct word of the corpus reaches the encoder once."""
+    rng = random.Random(8)
+    words = ["w" + str(k) for k in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    log = str(tmp_path)
+
+    def counting(ranks, pattern):
+        import os
+        import uuid
+
+        def encode(w):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(w)
+            return [0]
+
+        return encode
+
+    monkeypatch.setattr(byte_bpe, "piece_encoder", counting)
+    blocks = common.checkpoint(byte_bpe.blocks_of(docs, PATTERN, block_bytes=300))
+    assert blocks.count() > 20
+    coded = byte_bpe.encode_words(blocks, b"", PATTERN, rows=70).collect()
+    seen = Counter((tmp_path / f).read_text() for f in __import__("os").listdir(log))
+    assert seen == Counter({w for b in blocks.collect() for w in (bytes(x).decode() for x in b["words"])})
+    assert sum(len(byte_bpe._unpack(bytes(r["coded"]))[0]) for r in coded) == blocks.agg({"n_words": "sum"}).first()[0]
+
+
 def test_rank_packing():
     x = np.random.default_rng(0).zipf(1.2, 5000).clip(0, 10**7).astype(np.uint32)
     assert np.array_equal(byte_bpe._unpack_ranks(byte_bpe._pack_ranks(x)), x)
