@@ -4,14 +4,14 @@
    block is one row: its document ids, the positions of its pre-tokens (numbers of distinct words, in document order) and
    its distinct words. The blocks are written to the shared folder once, so all that follows sees the same numbers,
    whatever executors are lost.
-2. Words: (block, number, word) rows, one for each distinct word of a block, are shuffled and sorted by word. A distinct
-   word of the corpus is one run of rows in one task, which encodes it once and sends its ids to every block of the run.
-   Nothing is kept but the run's own ids, so a task's memory doesn't depend on the number of words.
+2. Words: a block's distinct words are dealt by their hash into packets of (bucket, block), which are shuffled by bucket. All
+   uses of a distinct word of the corpus meet in one bucket, where it is encoded once and its ids go into every packet that
+   has it. Buckets are as many as make ``BUCKET_WORDS`` words each, so a task's memory doesn't depend on the input's size;
+   packets without words aren't made, so there are never more of them than distinct words of blocks.
 3. Join back: the ids return to their block, and the documents are put together by position. Decoding looks every id up
    in the token-byte table, which has one row for each entry of the vocabulary.
 
-A hot word has one row a block, not one a use. The number of tasks of step 2 follows the number of rows (``WORD_ROWS``
-each), and a block is bounded by its bytes (a longer text is a block of its own).
+A hot word has one entry a block, not one a use, and a block is bounded by its bytes (a longer text is a block of its own).
 
 Defined results: a null or empty text has no ids; repeated rows are each encoded; an empty table gives no rows.
 """
@@ -33,8 +33,8 @@ from quillon.llm.common import bytes_of, checkpoint, column_of, drop_caches, pie
 
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 32 << 20
-#: Rows of distinct words that a task encodes, about, and that it sends back together.
-WORD_ROWS = 500_000
+#: Distinct words of blocks in a bucket, about, and buckets of a task.
+BUCKET_WORDS, TASK_BUCKETS = 125_000, 4
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -118,14 +118,28 @@ class _Block:
         self.flat.append(own)
         self.bytes += n_bytes
 
-    def row(self) -> tuple[bytes, bytes, list[bytes]]:
-        """(lengths, positions, words): a word's number is its rank by uses in the block."""
+    def row(self) -> tuple[bytes, bytes, bytes, int]:
+        """(lengths, positions, words, number of words): a word's number is its rank by uses in the block."""
         flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.uint32)
         words = [w.encode("utf-8") for w in self.numbers]
         common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[common] = np.arange(len(words))
-        return _pack(np.array([len(x) for x in self.flat], np.uint32)), _pack_ranks(rank[flat]), [words[i] for i in common]
+        return _pack(np.array([len(x) for x in self.flat], np.uint32)), _pack_ranks(rank[flat]), _packed_words(np.arange(len(words)), [words[i] for i in common]), len(words)
+
+
+def _packed_words(numbers: np.ndarray, words: list[bytes]) -> bytes:
+    head = _pack(np.diff(numbers, prepend=0), np.array([len(w) for w in words], np.uint32))
+    return len(head).to_bytes(4, "little") + head + zstandard.compress(b"".join(words), 3)
+
+
+def _words_of(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """Ascending numbers within the block, and the words."""
+    n = int.from_bytes(packed[:4], "little")
+    step, lengths = _unpack(packed[4 : 4 + n])
+    raw = zstandard.ZstdDecompressor().decompress(packed[4 + n :])
+    ends = np.cumsum(lengths).tolist()
+    return np.cumsum(step), [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def blocks_of(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -139,10 +153,10 @@ def blocks_of(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col
         find, number = splitter(pattern).findall, TaskContext.get().partitionId() << 32
 
         def close(block: _Block) -> pa.RecordBatch:
-            lengths, positions, words = block.row()
             ids = pa.concat_arrays(block.ids)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(words, pa.binary()))]
-            return pa.RecordBatch.from_arrays([pa.array([number]), lists[0], pa.array([lengths], pa.binary()), pa.array([positions], pa.binary()), lists[1], pa.array([len(words)])], names=["block", "ids", "lengths", "positions", "words", "n_words"])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            *packed, n = block.row()
+            return pa.RecordBatch.from_arrays([pa.array([number]), lists, *(pa.array([x], pa.binary()) for x in packed), pa.array([n])], names=["block", "ids", "lengths", "positions", "words", "n_words"])
 
         block = _Block()
         for piece in pieces(batches, text_col, min(block_bytes, 4 << 20)):
@@ -155,49 +169,46 @@ def blocks_of(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col
         if block.ids:
             yield close(block)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<{kind}>, lengths binary, positions binary, words array<binary>, n_words long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"block long, ids array<{kind}>, lengths binary, positions binary, words binary, n_words long")
+
 
+def packets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, packed): the words of each block, dealt by their hash."""
 
-def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, rows: int = WORD_ROWS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "words", 1):
+            numbers, words = _words_of(column_of(piece, "words")[0].as_py())
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            cut = np.r_[0, np.nonzero(np.diff(bucket))[0] + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+            packed = [_packed_words(numbers[order[a:b]], [words[i] for i in order[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+            block = column_of(piece, "block").take(pa.array(np.zeros(len(packed), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), block, pa.array(packed, pa.binary())], names=["bucket", "block", "packed"])
+
+    return blocks.select("block", "words").mapInArrow(run, "bucket long, block long, packed binary")
+
+
+def encode_words(blocks: DataFrame, ranks: bytes, pattern: str, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(block, coded): step 2; coded holds numbers of a block's words, their counts of ids, and the ids."""
     spark = blocks.sparkSession
     sent = spark.sparkContext.broadcast(ranks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, last_ids = piece_encoder(sent.value, pattern), None, b""
-        held: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        n = 0
-
-        def flush() -> pa.RecordBatch:
-            block, at = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            ids = [x for h in held for x in h[2]]
-            order = np.lexsort((at, block))
-            block, at = block[order], at[order]
-            cut = np.r_[0, np.nonzero(np.diff(block))[0] + 1, len(block)]
-            coded = []
-            for a, b in zip(cut[:-1], cut[1:]):
-                own = [ids[i] for i in order[a:b]]
-                coded.append(_pack(np.diff(at[a:b], prepend=0), np.array([len(x) // 4 for x in own], np.uint32), np.frombuffer(b"".join(own), "<u4")))
-            return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.array(coded, pa.binary())], names=["block", "coded"])
-
-        for piece in pieces(batches, "word", 1 << 20):
-            out = []
-            for w in bytes_of(piece, "word"):
-                if w != last:  # the rows come sorted: each word is met once
-                    last, last_ids = w, np.array(encode(w.decode("utf-8")), "<u4").tobytes()
-                out.append(last_ids)
-            held.append((np.asarray(column_of(piece, "block")), np.asarray(column_of(piece, "at")), out))
-            n += len(out)
-            if n >= rows:
-                yield flush()
-                held, n = [], 0
-        if held:
-            yield flush()
-
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    def coded(group: pa.Table) -> pa.Table:
+        encode = piece_encoder(sent.value, pattern)
+        found = [_words_of(x.as_py()) for x in group["packed"]]
+        ids = {w: np.array(encode(w.decode("utf-8")), "<u4").tobytes() for w in set().union(*(words for _, words in found))}
+        out = []
+        for numbers, words in found:
+            own = list(map(ids.__getitem__, words))
+            out.append(_pack(np.diff(numbers, prepend=0), np.array([len(x) // 4 for x in own], np.uint32), np.frombuffer(b"".join(own), "<u4")))
+        return pa.table([group["block"], pa.array(out, pa.binary())], names=["block", "coded"])
+
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
-    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, "block long, coded binary")
+    buckets = max(1, -(-total // bucket_words))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // TASK_BUCKETS))
+    dealt = packets(blocks, max(buckets, tasks)).repartition(tasks, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(coded, "block long, coded binary")
 
 
 class Coded:

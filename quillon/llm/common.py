@@ -48,7 +48,7 @@ def checkpoint(df: DataFrame, narrow: bool = False) -> DataFrame:
     path = shared_dir(df.sparkSession)
     if narrow:
         df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

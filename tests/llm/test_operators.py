@@ -509,9 +509,9 @@ def test_words_are_encoded_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(byte_bpe, "piece_encoder", counting)
     blocks = common.checkpoint(byte_bpe.blocks_of(docs, PATTERN, block_bytes=300))
     assert blocks.count() > 20
-    coded = byte_bpe.encode_words(blocks, b"", PATTERN, rows=70).collect()
+    coded = byte_bpe.encode_words(blocks, b"", PATTERN, 70).collect()
     seen = Counter((tmp_path / f).read_text() for f in __import__("os").listdir(log))
-    assert seen == Counter({w for b in blocks.collect() for w in (bytes(x).decode() for x in b["words"])})
+    assert seen == Counter({w.decode() for b in blocks.collect() for w in byte_bpe._words_of(bytes(b["words"]))[1]})
     assert sum(len(byte_bpe._unpack(bytes(r["coded"]))[0]) for r in coded) == blocks.agg({"n_words": "sum"}).first()[0]
 
 
