@@ -18,8 +18,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quillon.llm.common import bytes_of, column_of, map_pieces, pieces, record
+from quillon.llm.common import bytes_of, checkpoint, column_of, map_pieces, pieces, record
 
 # Element ids of the Matroska format.
 EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
@@ -248,12 +249,12 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
     return b"".join(data[o : o + n] for t, _, o, n, *_ in media.packets if t == track)
 
 
-def feature(media: Media, payload: bytes) -> str:
+def feature(tracks: int, clusters: int, cues: int, packets: int, last_ns: int, payload: bytes) -> str:
     """What is computed from the stored form: packet table totals, and level, zero crossings and peak of the samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     rms = int(np.sqrt((x * x).mean()) * 1000)
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"tracks={len(media.tracks)} clusters={len(media.clusters)} cues={len(media.cues)} packets={len(media.packets)} last_ns={media.packets[-1][1]} rms_milli={rms} crossings={crossings} peak={int(np.abs(x).max())}"
+    return f"tracks={tracks} clusters={clusters} cues={cues} packets={packets} last_ns={last_ns} rms_milli={rms} crossings={crossings} peak={int(np.abs(x).max())}"
 
 
 def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,46 +271,79 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_pieces(docs.select(id_col, text_col), text_col, make, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row for each packet; a file that can't be read gives one row with its error and a null byte range."""
-    kind = media.schema[id_col].dataType.simpleString()
-    names = ["track", "timestamp_ns", "offset", "size", "keyframe", "cluster", "block", "lace"]
+_PACKET = [("track", pa.int64()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("cluster", pa.int32()), ("block", pa.int32()), ("lace", pa.int32())]
+_CUE = [("time_ns", pa.int64()), ("track", pa.int64()), ("position", pa.int64())]
+
+
+def _lists(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
+    flat = list(zip(*(x for r in rows for x in r))) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields)], names=[n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
+
+
+def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, packets, cues, clusters, tracks, error) of every stored file; a file that can't be read has an error and empty lists."""
+    names = list(dict.fromkeys([id_col, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, media_col):
-            rows: list[tuple] = []
-            at: list[int] = []
-            for i, data in enumerate(bytes_of(piece, media_col)):
+            found, errors = [], []
+            for data in bytes_of(piece, media_col):
                 try:
-                    found = [(*p, None) for p in demux(data).packets] if data else [(*[None] * 8, "empty")]
+                    if not data:
+                        raise ValueError("empty")
+                    found.append(demux(data))
+                    errors.append(None)
                 except (ValueError, IndexError) as e:
-                    found = [(*[None] * 8, str(e))]
-                rows += found
-                at += [i] * len(found)
-            columns = list(zip(*rows)) or [()] * 9
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([column_of(piece, id_col).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *names, "error"])
+                    found.append(Media())
+                    errors.append(str(e))
+            columns = [_lists([m.packets for m in found], _PACKET), _lists([m.cues for m in found], _CUE), pa.array([m.clusters for m in found], pa.list_(pa.int64())), pa.array([len(m.tracks) for m in found], pa.int32()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(column_of(piece, c) for c in names), *columns], names=[*names, "packets", "cues", "clusters", "tracks", "error"])
 
-    return media.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, track long, timestamp_ns long, offset long, size long, keyframe boolean, cluster int, block int, lace int, error string")
+    fields = [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in names]
+    packet = "struct<track:long,timestamp_ns:long,offset:long,size:long,keyframe:boolean,cluster:int,block:int,lace:int>"
+    return media.select(*dict.fromkeys([*names, media_col])).mapInArrow(run, ", ".join([*fields, f"packets array<{packet}>", "cues array<struct<time_ns:long,track:long,position:long>>", "clusters array<long>", "tracks int", "error string"]))
 
 
-def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text, read the stored bytes back, and describe both."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row for each packet; a file that can't be read gives one row with its error and a null byte range."""
+    read = read_media(media, id_col, media_col).where((F.size("packets") > 0) | F.col("error").isNotNull())
+    return read.select(id_col, "error", F.inline_outer("packets")).select(id_col, *(n for n, _ in _PACKET), "error")
 
-    def make():
-        def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+
+def cue_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row for each cue: its time, track, and the byte position of the cluster; ``found`` tells whether one begins there."""
+    read = read_media(media, id_col, media_col).select(id_col, "clusters", F.inline("cues"))
+    return read.select(id_col, "time_ns", "track", "position", F.array_contains("clusters", F.col("position")).alias("found"))
+
+
+def stored_digest(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, n_bytes, sizes, hashes and feature) of stored files (id, n_bytes, media): payloads are read by the packets' byte ranges."""
+    kind = media.schema[id_col].dataType.simpleString()
+    read = read_media(media, id_col, media_col, (id_col, "n_bytes", media_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, media_col):
             rows = []
-            for text in bytes_of(piece, text_col):
-                text = text or b""
-                stored = mux(pad(text))
-                media = demux(stored)
-                payload = payload_of(stored, media)
-                rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(media, payload)))
-            n_bytes, size, sha, tail, media_bytes, media_sha, features = zip(*rows)
-            out = record(n_bytes=(n_bytes, pa.int64()), payload_bytes=(size, pa.int64()), payload_sha256=(sha, pa.string()), tail_crc32=(tail, pa.int64()), media_bytes=(media_bytes, pa.int64()), media_sha256=(media_sha, pa.string()), feature=(features, pa.string()))
-            return pa.RecordBatch.from_arrays([column_of(piece, id_col), *out.columns], names=[id_col, *out.schema.names])
+            cols = [column_of(piece, c) for c in ("packets", "cues", "clusters")]
+            count = [np.diff(np.asarray(c.offsets)) for c in cols]
+            flat = cols[0].flatten()
+            track, time, offset, size = (np.asarray(flat.field(k)) for k in range(4))
+            ends = np.cumsum(count[0])
+            for i, data in enumerate(bytes_of(piece, media_col)):
+                own = range(ends[i] - count[0][i], ends[i])
+                payload = b"".join([data[offset[j] : offset[j] + size[j]] for j in own if track[j] == 1])
+                if not payload:
+                    raise ValueError("a stored file has no packets")
+                what = feature(column_of(piece, "tracks")[i].as_py(), int(count[2][i]), int(count[1][i]), len(own), int(time[own[-1]]), payload)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), what))
+            total, sha, tail, media_bytes, media_sha, features = zip(*rows)
+            out = record(payload_bytes=(total, pa.int64()), payload_sha256=(sha, pa.string()), tail_crc32=(tail, pa.int64()), media_bytes=(media_bytes, pa.int64()), media_sha256=(media_sha, pa.string()), feature=(features, pa.string()))
+            yield pa.RecordBatch.from_arrays([column_of(piece, id_col), column_of(piece, "n_bytes"), *out.columns], names=[id_col, "n_bytes", *out.schema.names])
+
+    return read.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
-        return run
 
-    return map_pieces(docs.select(id_col, text_col), text_col, make, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store every text in a table of the shared folder, read the stored files' packet tables, and describe both."""
+    return stored_digest(checkpoint(encode_media(docs, id_col, text_col)), id_col)
