@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -128,12 +128,12 @@ def byte_spans(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[Windows]:
-    """The benchmark's windows in blocks of about block_bytes of text."""
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[int, Callable[[int], Windows]]:
+    """How many blocks of about block_bytes of text the benchmark has, and what makes each: the driver holds one at a time."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).cast("binary").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
-    return [windows_of([(r["i"], bytes(r["t"])) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window) for k in range(n)]
+    return n, lambda k: windows_of([(r["i"], bytes(r["t"])) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()], window)
 
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -142,11 +142,14 @@ _SPANS = "array<struct<start:int,end:int>>"
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, *keep, n_words, n_hit, items, spans, byte_spans, contaminated): spans are merged removal spans, of words and of bytes."""
     names = list(dict.fromkeys([id_col, *keep]))
+    clash = set(names) & {"n_words", "n_hit", "items", "spans", "byte_spans", "contaminated", "__text"}
+    if clash:
+        raise ValueError(f"kept columns have names of the result: {sorted(clash)}")
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
-    blocks = blocks_of(benchmark, item_col, item_text_col, window, block_bytes) or [Windows({}, [])]
+    n, block = blocks_of(benchmark, item_col, item_text_col, window, block_bytes)
     rows = docs.select(*names, F.col(text_col).cast("binary").alias("__text"))
-    for k, windows in enumerate(blocks):
-        rows = _search(rows, names, fields, windows, k == 0, k == len(blocks) - 1)
+    for k in range(max(1, n)):  # a broadcast lies in a file: the driver forgets its block
+        rows = _search(rows, names, fields, block(k) if n else Windows({}, []), k == 0, k >= n - 1)
     hit: Column = F.col("n_hit")
     return rows.withColumn("contaminated", (hit > 0) & (hit * 20 >= F.col("n_words")))
 
