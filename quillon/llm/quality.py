@@ -1,7 +1,7 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
 Terms are the parts of a text (words in lower case), the parts' shapes (runs of capitals, small letters, digits and
-signs), and whether a part repeats the one before. Hashed term counts are weighted log(1 + tf) * idf, projected
+signs), and the parts that repeat the one before. Hashed term counts are weighted log(1 + tf) * idf, projected
 on the leading singular vectors of a bounded labelled sample, and scaled to length 1. The labelled vectors are
 broadcast (rows x dimensions, both parameters); for every text the exact cosine products with all of them are
 computed in blocks, and its nearest ones vote with their similarity as weight.
@@ -36,22 +36,17 @@ _CLASSES = [(re.compile(r"[^\W\d_a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_a-zß-
 def shape(part: str) -> str:
     for pattern, letter in _CLASSES:
         part = pattern.sub(letter, part)
-    return part[:8]
+    return part
 
 
 def quality_terms(part: str) -> list[str]:
-    if part[:1] == "\0":  # made by prepare()
-        return [part[:8]]
-    return [part.lower(), "\1" + shape(part)]
+    return ["w" + part.lower(), "s" + shape(part)]
 
 
-def prepare(text: str) -> str:
-    """Add a mark for each part that repeats the one before it, if that is a tenth of them or more; the mark tells a third or more."""
-    parts = text.split()
+def repeat_marks(parts: list[str]) -> list[str]:
+    """What a text says by repeating parts: for each that repeats the one before it, a term with the share of such parts, as a power of two."""
     repeats = sum(map(eq, parts, parts[1:]))
-    if not repeats or 10 * repeats < len(parts):
-        return text
-    return text + (" \0many" if 3 * repeats >= len(parts) else " \0some") * repeats
+    return ["r" + str((repeats * 8 // len(parts)).bit_length())] * repeats if repeats else []
 
 
 @dataclass
@@ -108,7 +103,7 @@ def fit_space(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray, labels: np.
 
 
 def _counted(hasher: TermHasher, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return hasher.counted([prepare(x) if x else "" for x in texts])
+    return hasher.counted([x or "" for x in texts])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", rows: int = FIT_ROWS, folds: int = 5) -> NeighbourModel:
@@ -157,4 +152,4 @@ def predict(docs: DataFrame, model: NeighbourModel, *, id_col: str = "doc_id", t
 
 def _hasher() -> TermHasher:
     """A worker's: its memo doesn't depend on the model."""
-    return worker_cache("quality", lambda: TermHasher(quality_terms, BITS))
+    return worker_cache("quality", lambda: TermHasher(quality_terms, BITS, repeat_marks))

@@ -12,13 +12,19 @@ from quillon.llm.common import Memo
 
 
 class TermHasher:
-    """Maps texts to hashed term ids through a memo of space-separated parts; terms(part) lists a part's terms."""
+    """Maps texts to hashed term ids through a memo of space-separated parts; terms(part) lists a part's terms.
 
-    def __init__(self, terms: Callable[[str], list[str]], bits: int) -> None:
-        self.terms, self.mask, self.memo = terms, (1 << bits) - 1, Memo(100_000)
+    whole(parts) lists terms of the text as a whole, which counted() adds.
+    """
+
+    def __init__(self, terms: Callable[[str], list[str]], bits: int, whole: Callable[[list[str]], list[str]] | None = None) -> None:
+        self.terms, self.mask, self.memo, self.whole = terms, (1 << bits) - 1, Memo(100_000), whole
 
     def ids(self, part: str) -> tuple[int, ...]:
-        return tuple({zlib.crc32(t.encode("utf-8", "surrogatepass")) * 0x9E3779B1 >> 7 & self.mask for t in self.terms(part)})
+        return tuple(set(map(self.id, self.terms(part))))
+
+    def id(self, term: str) -> int:
+        return zlib.crc32(term.encode("utf-8", "surrogatepass")) * 0x9E3779B1 >> 7 & self.mask
 
     def distinct(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of all texts one after another: number of the text, and each of its distinct term ids, in order."""
@@ -45,7 +51,8 @@ class TermHasher:
         get = new.__getitem__
         rows, ids, counts = [], [], []
         for i, p in enumerate(parts):
-            own = np.bincount(np.fromiter(chain.from_iterable(map(get, p)), np.int64), minlength=1)
+            more = list(map(self.id, self.whole(p))) if self.whole else []
+            own = np.bincount(np.fromiter(chain(chain.from_iterable(map(get, p)), more), np.int64), minlength=1)
             k = np.nonzero(own)[0]
             ids.append(k)
             counts.append(own[k])
