@@ -4,7 +4,7 @@ A line is what stands between line feeds; blank lines are always kept. A line go
 if a line within one word edit of it (insertion, deletion or substitution of one space-separated word; both lines of
 five words or more) first occurs earlier. Earlier: smaller (doc id, line number), null ids first.
 
-* Equal lines meet in one aggregation; only its one row a line goes on.
+* Equal lines meet in one aggregation, partly done before its shuffle; only its one row a line goes on.
 * Two lines within one edit have equal first or equal last words (a quarter of the line or more), so lines that share
   neither with another line need no neighbourhood, and others none of the shared side. That leaves out nothing.
 * The others emit themselves and every text with one word deleted as hashed keys. Equal keys join: the same word
@@ -26,6 +26,8 @@ from quillon.llm.common import checkpoint
 LEAST_WORDS = 5
 #: Rows of hashes that may be broadcast to a join; beyond, it is a shuffled one.
 BROADCAST_ROWS = 1_000_000
+#: A line is common if its occurrences are more than one in so many of all; there can't be more common lines than that.
+COMMON = 10_000
 
 
 def _words(line: Column) -> Column:
@@ -72,12 +74,14 @@ def _fit(df: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one word edit."""
-    halves = firsts.where("halves is not null").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.half", "x.side")
+    halves = firsts.where("halves is not null").select("h1", "h2", "first", F.explode("halves").alias("x")).select("h1", "h2", "first", "x.half", "x.side")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("half")
     # an edit lies outside the shared half, so a line that shares one side only needs deletions beyond it only
-    some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("low"), F.max("side").alias("high")), narrow=True)
-    met = lines.join(_fit(some), ["h1", "h2"])
-    texts = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.min("line").alias("line"), F.min("low").alias("low"), F.max("high").alias("high"))
+    some = checkpoint(halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("side").alias("low"), F.max("side").alias("high")), narrow=True)
+    # a line's text is fetched at its first place only, so a common line doesn't meet its occurrences
+    places = _fit(some.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first", "low", "high"))
+    met = lines.join(places, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at")))
+    texts = met.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.min("line").alias("line"), F.min("low").alias("low"), F.max("high").alias("high"))
     # seq numbers lines in the order of their first places, whatever the partitions
     line, n = F.col("line"), F.col("n")
     lines_ = checkpoint(texts.orderBy("first").select("h1", "h2", "line", "low", "high", _words(line).alias("n"), F.monotonically_increasing_id().alias("seq")))
@@ -111,18 +115,29 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a line's halves are the same wherever it occurs, and few are kept; the minimum is any of them
     known = known.select("id", "at", "h1", "h2", F.when(F.col("n") >= LEAST_WORDS, half_keys(F.col("line"), F.col("n"))).alias("halves"))
     firsts = checkpoint(known.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("k"), F.min("halves").alias("halves")))
-    near = near_lines(lines, firsts).withColumn("near", F.lit(True))
+    near = checkpoint(near_lines(lines, firsts).withColumn("near", F.lit(True)), narrow=True)
     # lines that occur once and have no near line can't go: they don't need to meet their occurrences
-    told = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").where("k > 1 or near")
-    met = lines.select("id", "mark", "at", "h1", "h2").join(told, ["h1", "h2"])
-    gone = met.where(F.coalesce("near", F.lit(False)) | (F.struct("id", "at") > F.col("first")))
+    told = firsts.select("h1", "h2", "first", "k").join(near, ["h1", "h2"], "left").withColumn("near", F.coalesce("near", F.lit(False))).where("k > 1 or near")
+    # common lines, COMMON at most, are broadcast, and their occurrences spread; the others meet theirs by hash
+    common = F.col("k") * COMMON > (firsts.agg(F.sum("k")).first()[0] or 0)
+    hot = told.where(common).select("h1", "h2", F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))
+    salt = F.when(F.col("hot_first").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "at"), F.lit(1 << 20)) + 1).cast("long")
+    spread = lines.select("id", "mark", "at", "h1", "h2").join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", salt)
+    met = spread.join(told.where(~common).withColumn("salt", F.lit(0).cast("long")), ["h1", "h2", "salt"], "left")
+    met = met.withColumns({"first": F.coalesce("hot_first", "first"), "near": F.coalesce("hot_near", "near")}).where("first is not null")
+    gone = met.where(F.col("near") | (F.struct("id", "at") > F.col("first")))
     return gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns, the text without the lines that go, and ``removed_lines``: their numbers from 0 (instead of a column of that name)."""
-    docs = docs.drop("removed_lines")
-    gone = dropped_lines(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("removed").alias("__removed"))
-    met = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__mark")), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda _, i: ~F.array_contains("__removed", i)), "\n")
-    return met.select(*[F.when(F.col("__removed").isNull(), docs[c]).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("__removed", F.array().cast("array<int>")).alias("removed_lines"))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_lines") -> DataFrame:
+    """All columns, the text without the lines that go, and ``removed_col``: their numbers from 0. No column may have that name already."""
+    if removed_col in docs.columns:
+        raise ValueError(f"there is a column {removed_col}: name the numbers of removed lines by removed_col")
+    gone = dropped_lines(docs, id_col, text_col)
+    # the input's columns go under names of their own, whatever they are called
+    own = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    key, text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    met = own.join(gone, key.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("mark")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    left = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    return met.select(*((left if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)), F.coalesce("removed", F.array().cast("array<int>")).alias(removed_col))
