@@ -253,6 +253,13 @@ def test_votes_match_brute_force():
         assert np.isclose(got[i], (w * y[near]).sum() / w.sum(), atol=1e-5)
 
 
+def test_votes_of_equal_neighbours():
+    """Ties at the last place: any of the equally near ones may vote, and all have the same weight."""
+    v = np.array([[1, 0]] * 4 + [[0, 1]] * 3, np.float32)
+    m = quality.NeighbourModel(np.zeros((1, 2), np.float32), v, np.array([1.0, 1, 1, 1, 0, 0, 0]), 3)
+    assert m.votes(np.array([[1, 0], [0, 1], [0, 0]], np.float32)).tolist() == [1.0, 0.0, 4 / 7]
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(spark, module, label, edge, empty):
     sf = "/root/testdata/sf0.01"
@@ -355,12 +362,27 @@ def test_lacing_and_unknown_sizes(lacing):
     assert {p[1] for p in found.packets} == {95_000_000, 895_000_000} and len(found.clusters) == 2
 
 
+def packets_of(data):
+    return len(media.demux(data).packets)
+
+
 def test_media_tables(spark, edge, empty):
     stored = media.encode_media(edge)
     packets = media.packet_table(stored).toPandas()
     assert packets["error"].isna().all() and len(packets) >= len(EDGE)
     bad = spark.createDataFrame([(1, b"\x1a\x45\xdf\xa3\x84ab"), (2, None), (3, b"xx")], "doc_id long, media binary")
     assert media.packet_table(bad).where("error is not null").count() == 3
+    cues = media.cue_table(stored).toPandas()
+    assert cues["found"].all() and set(cues["doc_id"].dropna()) == {i for i, _ in EDGE if i is not None}
+    texts = {i: (t or "").encode() for i, t in EDGE}
+    for r in media.media_digest(edge).collect():
+        payload = media.pad(texts[r["doc_id"]])
+        whole = media.mux(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(texts[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(whole), hashlib.sha256(whole).hexdigest())
+        x = [b - 128 for b in payload]
+        packets = int(packets_of(whole))
+        assert r["feature"].split()[3] == f"packets={packets}" and r["feature"].endswith(f"peak={max(map(abs, x))}")
     rows = {r["doc_id"]: r for r in media.media_digest(edge).collect()}
     assert rows[2]["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest() and rows[2]["n_bytes"] == 0
     assert media.media_digest(empty).count() == 0
@@ -627,8 +649,13 @@ def test_line_dedup_brute_force(spark):
 
 
 def test_line_dedup_edges(edge, empty):
-    rows = line_dedup.dedup_lines(edge)
-    assert rows.columns[:3] == ["doc_id", "text", "lang"] and rows.count() == len(EDGE)
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(edge)
+    named = edge.withColumnsRenamed({"h1": "__id", "h2": "__mark", "k": "__removed"})
+    rows = line_dedup.dedup_lines(named, removed_col="gone")
+    assert rows.columns == [*named.columns, "gone"] and rows.count() == len(EDGE)
+    assert all(r["removed_lines"] == CLASH.index("removed_lines") and r["__id"] == CLASH.index("h1") for r in rows.collect())
+    rows = line_dedup.dedup_lines(edge.drop("removed_lines"))
     got = {r["doc_id"]: r for r in rows.collect()}
     assert got[5]["text"] == "" and got[5]["removed_lines"] == [0, 1] and got[1]["removed_lines"] == [] and got[2]["text"] is None
     assert got[8]["text"] == "  \n\n " and got[4]["text"] == LONG
@@ -636,7 +663,7 @@ def test_line_dedup_edges(edge, empty):
 
 
 def test_line_dedup_is_native(edge):
-    plan = line_dedup.dedup_lines(edge)._jdf.queryExecution().toString()
+    plan = line_dedup.dedup_lines(edge.drop("removed_lines"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -645,3 +672,6 @@ def test_quality_fit_is_not_cut():
     from quillon.llm import quality
 
     assert quality.FIT_ROWS == 3000 and quality.LEAST_SHARE == 0.01
+    assert quality.shape("aB" * 9 + "!" * 20) != quality.shape("aB" * 9 + "!" * 21)
+    assert quality.quality_terms("\0many")[0] == "w\0many"  # what a text holds is a word, whatever it begins with
+    assert quality.repeat_marks("a a b".split()) == ["r2"] and quality.repeat_marks(["a", "b"]) == quality.repeat_marks([]) == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -26,10 +27,45 @@ def test_stages_in_order(spark, data, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest()
 
 
+def brute_votes(model, texts):
+    """Votes of a fitted model, one text and one labelled vector at a time."""
+    import math
+    import zlib
+    from collections import Counter
+
+    from quillon.llm import quality
+
+    out = []
+    for t in texts:
+        parts = (t or "").split()
+        place = lambda x: zlib.crc32(x.encode()) * 0x9E3779B1 >> 7 & (1 << quality.BITS) - 1
+        count = Counter(p for x in parts for p in set(map(place, quality.quality_terms(x))))
+        count.update(map(place, quality.repeat_marks(parts)))
+        v = sum((math.log1p(n) * model.axes[p].astype(float) for p, n in count.items()), np.zeros(model.axes.shape[1]))
+        length = math.sqrt(v @ v)
+        near = sorted(((float(x @ v) / length, y) for x, y in zip(model.vectors.astype(float), model.labels)), reverse=True)[: model.neighbours] if length else []
+        weight = [(max(s, 0) ** 2, y) for s, y in near]
+        total = sum(w for w, _ in weight)
+        out.append(sum(w * y for w, y in weight) / total if total > 1e-9 else model.labels.mean())
+    return out
+
+
 def test_stages_decide_as_brute_force(spark, data, tmp_path):
-    """The ids and texts that the stages over lines, near duplicates and the benchmark keep, each from what the one before kept."""
+    """The whole run: the ids and texts that each stage keeps, from what the one before kept, and the tokens at its end."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
     from test_operators import brute_components, brute_hits, brute_lines, brute_sets
 
+    from quillon.llm import quality as quality_model
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = quality_model.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+
+    def quality(rows):
+        return {i: t for (i, t), vote in zip(rows, brute_votes(model, [t for _, t in rows])) if vote >= 0.3}
+
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
 
     def lines(rows):
@@ -43,14 +79,18 @@ def test_stages_decide_as_brute_force(spark, data, tmp_path):
     def benchmark(rows):
         return {i: t for (i, t), hit in zip(rows, brute_hits([t for _, t in rows], items)) if not hit[-1]}
 
-    docs = spark.read.parquet(f"{data}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    for want in (lines, near_duplicates, benchmark):
-        rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-        assert len({i for i, _ in rows}) == len(rows)
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert len({i for i, _ in rows}) == len(rows)
+    for want in (quality, lines, near_duplicates, benchmark):
         stages[want.__name__](spark, docs, data).write.parquet(f"{tmp_path}/{want.__name__}")
         docs = spark.read.parquet(f"{tmp_path}/{want.__name__}")
-        assert {r["doc_id"]: r["text"] for r in docs.collect()} == want(rows)
+        rows = sorted(want(rows).items())
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == rows
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    encode = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    got = {r["doc_id"]: list(r["token_ids"]) for r in corpus_pipeline.run(spark, data).collect()}
+    assert got == {i: encode(t) for i, t in rows}
 
 
 def test_near_duplicates_link_from_80(spark, data):
@@ -61,8 +101,14 @@ def test_near_duplicates_link_from_80(spark, data):
     assert [r["doc_id"] for r in stage(spark, docs, data).collect()] == [1]
 
 
-def test_run(spark, data):
-    assert corpus_pipeline.run(spark, data).count() > 50
+def test_clashing_names(spark, data):
+    """Columns with the stages' own names come through each stage as they are; n_chars may be missing."""
+    names = ["removed_lines", "__gone", "__id", "__mark", "id", "mark", "score", "predicted", "kept", "kept_id", "spans", "items", "component_id", "contaminated"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(40).select("doc_id", "text", *(__import__("pyspark.sql.functions", fromlist=["lit"]).lit(f"own {n}").alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, data).collect()
+        assert rows, name
+        assert all(r[n] == f"own {n}" for r in rows for n in names)
 
 
 def test_edge_rows(spark, data):
