@@ -31,9 +31,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; documents that lose their last line with words go."""
-    out = line_dedup.dedup_lines(docs).where((F.size("removed_lines") == 0) | (F.trim(F.replace("text", F.lit("\n"), F.lit(" "))) != ""))
-    return out.withColumn("n_chars", F.when(F.size("removed_lines") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+    """Texts without repeated lines (``n_chars``, if it is there, follows); documents that lose their last line with words go."""
+    rows, back = shielded(docs)
+    whole = F.size("__gone") == 0
+    out = line_dedup.dedup_lines(rows, removed_col="__gone").where(whole | (F.trim(F.replace("text", F.lit("\n"), F.lit(" "))) != ""))
+    back = [F.when(whole, c).otherwise(F.length("text")).alias("n_chars") if n == "n_chars" else c for n, c in zip(docs.columns, back)]
+    return out.select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
