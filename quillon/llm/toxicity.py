@@ -24,6 +24,9 @@ from quillon.llm.terms import TermHasher, row_sums, starts_of
 FIT_ROWS = 10_000
 BITS = 18
 FACTORS = 4
+EPOCHS = 12
+#: Share of the texts that a term must have for its pairs to be looked at, where it isn't tied to the label by itself.
+PAIR_SHARE = 0.02
 _WORD = re.compile(r"\w+")
 
 
@@ -55,62 +58,129 @@ class FactorizationMachine:
 
 def tie(df: np.ndarray, hits: np.ndarray, n: int, positive: float) -> np.ndarray:
     """Likelihood ratio statistic of each term's 2 x 2 table with the label."""
-    out = np.zeros(len(df))
-    for seen, total in ((df, n), (n - df, n)):
-        for k, share in ((hits if seen is df else positive - hits, positive / total), (df - hits if seen is df else (n - df) - (positive - hits), 1 - positive / total)):
-            expected = seen * share
-            out += 2 * np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    part = lambda k, total, share: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(total * share, 1e-9)), 0)
+    yes, no = positive / n, 1 - positive / n
+    return 2 * (part(hits, df, yes) + part(df - hits, df, no) + part(positive - hits, n - df, yes) + part(n - df - positive + hits, n - df, no))
+
+
+def paired(x: np.ndarray, residual: np.ndarray, variance: np.ndarray, least: float, block: int = 1024, texts: int = 2048) -> np.ndarray:
+    """Columns of x (texts x terms, 0 or 1) that are tied to the residual together with another: a standard score of ``least`` or more.
+
+    The score of a pair is the sum of residual times both centred columns over its standard deviation, by the residuals'
+    variance; all pairs are scored, in blocks of columns.
+    """
+    n, terms = x.shape
+    mean = x.mean(0, dtype=np.float32) if n else np.zeros(terms, np.float32)
+    out = np.zeros(terms, bool)
+    for a in range(0, terms, block):
+        total, square = (np.zeros((min(block, terms - a), terms), np.float32) for _ in range(2))
+        for d in range(0, n, texts):
+            c = x[d : d + texts] - mean
+            e = residual[d : d + texts, None].astype(np.float32)
+            total += (c[:, a : a + block] * e).T @ c
+            c *= c
+            square += (c[:, a : a + block] * variance[d : d + texts, None].astype(np.float32)).T @ c
+        score = np.abs(total) >= least * np.sqrt(np.maximum(square, 1e-9))
+        score[np.arange(len(score)), np.arange(a, a + len(score))] = False
+        out |= score.any(0)
+        out[a : a + block] |= score.any(1)
     return out
 
 
-def fit_machine(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = 12, batch: int = 32, rate: float = 0.1, penalty: float = 1e-4, least: int = 4, tied: float = 12.0, common: int = 300, seed: int = 5) -> FactorizationMachine:
+def fit_machine(rows: np.ndarray, ids: np.ndarray, labels: np.ndarray, *, bits: int = BITS, factors: int = FACTORS, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.1, penalty: float = 1e-4, least: int = 4, tied: float = 12.0, together: float = 6.5, pair_share: float = PAIR_SHARE, frequent: float = 0.05, seed: int = 5) -> FactorizationMachine:
     """labels: one for each text; rows, ids: the texts' distinct terms in order.
 
-    Fitted are the ``common`` commonest terms, which may matter in pairs only, and those of ``least`` texts or more that
-    are tied to the label (a likelihood ratio statistic of ``tied`` or more); all others stay 0.
+    Fitted are the terms of ``least`` texts or more that are tied to the label (a likelihood ratio statistic of ``tied``); then,
+    again, with those that are tied to what these left unexplained together with another term (a standard score of
+    ``together``; all pairs of terms of ``pair_share`` of the texts or more are scored), for a pair may tell what neither
+    term does. The number of either kind isn't bounded.
+    Terms of ``frequent`` of the texts or more are centred while it is fitted (x less its mean), or their many chance pairs
+    would hide the pairs that matter; the centres go into bias and linear weights afterwards, so it scores as any other.
     """
     n, size = len(labels), 1 << bits
-    table = np.zeros((size, 2 + factors), np.float32)
     if not n:
-        return FactorizationMachine(0.0, table, True)
-    share = (labels.sum() + 0.5) / (n + 1)
-    bias = float(np.log(share / (1 - share)))
+        return FactorizationMachine(0.0, np.zeros((size, 2 + factors), np.float32), True)
     df = np.bincount(ids, minlength=size)
+    column = np.full(size, -1)
+
+    def matrix(terms: np.ndarray) -> np.ndarray:
+        column[terms] = np.arange(len(terms))
+        own = np.zeros(size, bool)
+        own[terms] = True
+        own = own[ids]
+        x = np.zeros((n, len(terms)), bool)
+        x[rows[own], column[ids[own]]] = True
+        return x
+
+    def descended(known: np.ndarray) -> FactorizationMachine:
+        dense = np.nonzero(known & (df >= frequent * n))[0]
+        sparse = np.nonzero(known & (df < frequent * n))[0]
+        mean = (df[dense] / n).astype(np.float32)
+        x = matrix(dense)
+        column[sparse] = np.arange(len(sparse))
+        own = np.zeros(size, bool)
+        own[sparse] = True
+        own = own[ids]
+        at, own_ids = starts_of(rows[own], n), column[ids[own]]
+
+        share = (labels.sum() + 0.5) / (n + 1)
+        bias = float(np.log(share / (1 - share)))
+        rng = np.random.default_rng(seed)
+        model = [np.zeros((len(t), 1 + factors)) for t in (dense, sparse)]  # weight, factors
+        for m in model:
+            m[:, 1:] = rng.normal(0, 0.01, (len(m), factors))
+        seen, seen_bias = [np.full(m.shape, 1e-2) for m in model], 1e-2
+        speed = np.array([rate, *[rate * 0.2] * factors])
+
+        def step(m: np.ndarray, g: np.ndarray, which: slice | np.ndarray, gradient: np.ndarray) -> None:
+            gradient = gradient + penalty * m[which]
+            g[which] += gradient**2
+            m[which] -= speed * gradient / np.sqrt(g[which])
+
+        for _ in range(epochs):
+            order = rng.permutation(n)
+            for a in range(0, n, batch):
+                docs = order[a : a + batch]
+                k = len(docs)
+                xd = x[docs] - mean
+                flat = np.concatenate([np.arange(at[d], at[d + 1]) for d in docs])
+                own = np.repeat(np.arange(k), at[docs + 1] - at[docs])
+                f = own_ids[flat]
+                md, ms = model[0], model[1][f]
+                both = xd @ md + row_sums(ms, own, k)  # sums of weights, and of factors
+                sums = both[:, 1:]
+                squares = (xd**2) @ (md[:, 1:] ** 2).sum(1) + row_sums((ms[:, 1:] ** 2).sum(1), own, k)
+                z = bias + both[:, 0] + 0.5 * ((sums**2).sum(1) - squares)
+                err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[docs]) / k
+                wide = np.concatenate([err[:, None], err[:, None] * sums], 1)
+                step(*(y[0] for y in (model, seen)), slice(None), xd.T @ wide - np.concatenate([np.zeros((len(dense), 1)), ((xd**2).T @ err)[:, None] * md[:, 1:]], 1))
+                u, back = np.unique(f, return_inverse=True)
+                e = wide[own]
+                e[:, 1:] -= err[own, None] * ms[:, 1:]
+                step(*(y[1] for y in (model, seen)), u, np.stack([np.bincount(back, e[:, j], len(u)) for j in range(1 + factors)], 1))
+                gradient = err.sum()
+                seen_bias += gradient**2
+                bias -= rate * gradient / np.sqrt(seen_bias)
+        table = np.zeros((size, 2 + factors), np.float32)
+        for terms, m in ((dense, model[0]), (sparse, model[1])):
+            table[terms, 0], table[terms, 1], table[terms, 2:] = m[:, 0], 0.5 * (m[:, 1:] ** 2).sum(1), m[:, 1:]
+        v, centre = model[0][:, 1:], mean @ model[0]
+        square = (v**2).sum(1)
+        table[dense, 0] += square * mean
+        fitted = np.concatenate([dense, sparse])
+        table[fitted, 0] -= table[fitted, 2:] @ centre[1:]
+        bias += 0.5 * (centre[1:] @ centre[1:] - square @ mean**2) - centre[0]
+        return FactorizationMachine(float(bias), table)
+
     known = (df >= least) & (tie(df, np.bincount(ids, labels[rows], size), n, labels.sum()) >= tied)
-    known[np.argsort(-df, kind="stable")[:common]] = True
-    known &= df > 0
-    keep = known[ids]
-    rows, ids = rows[keep], ids[keep]
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(size), np.zeros((size, factors))
-    used = np.nonzero(known)[0]
-    v[used] = rng.normal(0, 0.01, (len(used), factors))
-    gw, gv, gb = np.full(size, 1e-2), np.full((size, factors), 1e-2), 1e-2
-    at = starts_of(rows, n)
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for a in range(0, n, batch):
-            docs = order[a : a + batch]
-            flat = np.concatenate([np.arange(at[d], at[d + 1]) for d in docs])
-            own = np.repeat(np.arange(len(docs)), at[docs + 1] - at[docs])
-            f = ids[flat]
-            vf = v[f]
-            sums = row_sums(vf, own, len(docs))
-            z = bias + row_sums(w[f], own, len(docs)) + 0.5 * ((sums**2).sum(1) - row_sums((vf**2).sum(1), own, len(docs)))
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[docs]
-            u, back = np.unique(f, return_inverse=True)
-            e = err[own]
-            dw = np.bincount(back, e, len(u)) / len(docs) + penalty * w[u]
-            dv = np.stack([np.bincount(back, e * (sums[own, k] - vf[:, k]), len(u)) for k in range(factors)], 1) / len(docs) + penalty * v[u]
-            gw[u] += dw**2
-            gv[u] += dv**2
-            w[u] -= rate * dw / np.sqrt(gw[u])
-            v[u] -= rate * 0.2 * dv / np.sqrt(gv[u])
-            db = err.mean()
-            gb += db**2
-            bias -= rate * db / np.sqrt(gb)
-    table[:, 0], table[:, 1], table[:, 2:] = w, 0.5 * (v**2).sum(1), v
-    return FactorizationMachine(float(bias), table)
+    first = descended(known)
+    pairs = np.nonzero((df >= max(least, pair_share * n)) & (df < n))[0]
+    chance = first.scores(rows, ids, n)
+    found = pairs[paired(matrix(pairs), labels - chance, chance * (1 - chance), together)]
+    if known[found].all():
+        return first
+    known[found] = True
+    return descended(known)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = FIT_ROWS, folds: int = 5) -> FactorizationMachine:

@@ -241,6 +241,29 @@ def test_machine_learns_pairs():
     assert np.isclose(s[0], brute_machine(m, ids[order][rows[order] == 0]), atol=1e-5)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_machine_finds_a_pair_among_common_terms(seed):
+    """320 commoner terms without meaning don't hide the pair, in texts that weren't fitted either."""
+    rng = np.random.default_rng(seed)
+    n = 2000
+    x = np.array([*rng.integers(0, 2, (2, n)), *((rng.random(n) < rng.uniform(0.6, 0.95)).astype(int) for _ in range(320))]).T
+    y = (x[:, 0] == x[:, 1]).astype(float)
+    rows, ids = np.nonzero(x)
+    m = toxicity.fit_machine(rows[rows < n // 2], ids[rows < n // 2], y[: n // 2], bits=9)
+    assert ((m.scores(rows, ids, n) >= 0.5) == (y > 0)).mean() > 0.99
+    assert np.isclose(m.scores(rows, ids, n)[5], brute_machine(m, ids[rows == 5]), atol=1e-5)
+
+
+def test_pair_scores_match_brute_force():
+    rng = np.random.default_rng(2)
+    x, e, var = rng.random((300, 11)) < rng.random(11), rng.normal(size=300), rng.random(300)
+    c = x - x.mean(0)
+    score = np.abs(np.einsum("n,ni,nj->ij", e, c, c)) / np.sqrt(np.einsum("n,ni,nj->ij", var, c**2, c**2))
+    np.fill_diagonal(score, 0)
+    for least in (1.0, 1.5, 2.5):
+        assert toxicity.paired(x, e, var, least, block=4, texts=70).tolist() == (score >= least).any(0).tolist()
+
+
 def test_votes_match_brute_force():
     rng = np.random.default_rng(0)
     unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
