@@ -1,25 +1,27 @@
 """Removal of bytes covered by a 400-byte string that also starts elsewhere, by sharded suffix arrays.
 
-A suffix array over a whole corpus fits no machine, so its suffixes are dealt out by anchors that equal strings share:
+A suffix array over a whole corpus fits no machine, so its suffixes are dealt out by cores that equal strings share:
 
 1. Anchors. Of all 200-byte windows within a 400-byte string, the last one with the least hash is its anchor. Equal strings
    have equal anchors at equal distances, so strings that repeat meet under one anchor, with no text in between.
    Anchors that occur once are dropped.
-2. Contexts. An anchor's context is the 600 bytes (less at a text's ends) that hold every 400-byte string around it.
-   Equal contexts are counted before they move; all strings of a context that occurs twice or more repeat.
-3. Suffix arrays. The different contexts under one anchor meet in a shard, each once. A context is cut into blocks at
-   fixed distances from its anchor; the blocks are the symbols of a suffix array built by grouping (suffix_array.py).
-   Suffixes that share with a neighbour as many blocks as a 400-byte string must cover mark their contexts.
-4. An exact check of the marked contexts: each 400-byte string is compared by a 61-bit polynomial hash with those at the
-   same distance from the same anchor.
-5. Every text meets its spans once; they are merged and cut out.
-
-An anchor with more than ``MANY`` different contexts isn't dealt to a shard. The distances of its 400-byte strings are cut
-into steps; all strings of a step hold the same core of 361 bytes. Cores are counted, then the strings of those contexts
-whose core occurs twice or more, by hash. Counts are partly summed before they move, so no task holds an anchor's contexts.
+2. Nodes. A node is a core (at first an anchor) and the range of distances at which 400-byte strings lie around it; a place's
+   extent is the 600 bytes (less at a text's ends) that hold all these strings. Places of equal extents are counted before
+   they move: two stand for any number.
+3. Suffix arrays. The different extents of a node meet in a shard, those that occur more often twice. An extent is cut into
+   blocks at fixed distances from its core; the blocks are the symbols of a suffix array built by grouping
+   (suffix_array.py). Neighbours of the array that share all symbols are copies: all strings of the extent repeat. Runs of
+   neighbours that share as many blocks as must lie within a common 400-byte string are compared byte by byte, each with
+   what shares a string with it, which gives the bytes that both lose.
+4. Every text meets its spans once; they are merged and cut out.
+
+A node with more than ``MANY`` different extents isn't dealt to a shard: its range is cut into smaller ones, whose cores are
+longer and whose extents are shorter, so that more of them are equal and fewer cores are; again, down to single strings, whose
+extent is the core. So no shard holds an unbounded node, and all nodes' strings are decided by suffix arrays.
 
 Defined results: a null text is empty; matches don't cross texts; a row that repeats another's id and text is another
-place of its strings; texts under 400 bytes lose nothing.
+place of its strings; texts under 400 bytes lose nothing. Anchors are found by a 64-bit hash, equal extents by 128 bits of a
+cryptographic one; spans within different extents are decided by their bytes.
 """
 
 from __future__ import annotations
@@ -37,14 +39,13 @@ from quillon.llm.suffix_array import suffix_array
 
 LENGTH = 400  # bytes of a string that may not repeat
 ANCHOR = 200
-BLOCK = 40  # bytes of a symbol
 SIDE = LENGTH - ANCHOR
-BLOCKS = SIDE // BLOCK
-#: Different contexts of an anchor beyond which its strings are counted instead of sorted in a shard.
+BLOCKS = 5  # symbols of an extent on either side of its core
+#: Widths of the ranges of distances: each is cut into the next.
+RANGES = [SIDE, 100, 50, 25, 5, 1, 0]
+#: Different extents of a node beyond which its range is cut.
 MANY = 1000
-#: Distances of a hot anchor's strings that share a core.
-STEP = 40
-#: Contexts after which a shard is closed, at the next change of key.
+#: Extents after which a shard is closed, at the next change of node.
 SHARD = 4000
 #: Candidate anchors that may be broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 2_000_000
@@ -89,10 +90,10 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, anchor hash, context hash) of all anchors, ascending."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, position, anchor hash) of all anchors, ascending."""
     use = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
-    none = (np.zeros(0, np.int64),) * 4
+    none = (np.zeros(0, np.int64),) * 3
     if not use:
         return none
     raw = np.frombuffer(b"".join(texts[i] for i in use), np.uint8)
@@ -119,75 +120,139 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             chosen.append(a + (_PLACE - (least & _PLACE)).astype(np.int64))
     pos = np.unique(np.concatenate(chosen))
     d = doc[pos]
-    low = np.maximum(pos + ANCHOR - LENGTH, starts[d])
-    high = np.minimum(pos + LENGTH, ends[d])
-    context = _mixed((prefix[high] - prefix[low]) * inverse[low] + (pos - low).astype(np.uint64) * np.uint64(1000003) + (high - pos).astype(np.uint64))
-    return np.array(use)[d], pos - starts[d], h[pos].view(np.int64), context.view(np.int64)
-
-
-def repeated(groups: np.ndarray, lefts: np.ndarray, contexts: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Of each context, the spans (from the anchor's start) of 400-byte strings that another context of its group has at
-    the same distance from the anchor. lefts: bytes before the anchor."""
-    m = len(contexts)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    width = SIDE + ANCHOR + SIDE
-    raw = np.zeros((m, width), np.uint8)
-    for k, (left, x) in enumerate(zip(lefts.tolist(), contexts)):
-        raw[k, SIDE - left : SIDE - left + len(x)] = np.frombuffer(x, np.uint8)
-    low = SIDE - lefts
-    high = low + np.array([len(x) for x in contexts])
-    marked = _marked(groups, raw, low, high)
-    if not len(marked):
-        return out
-    power = _powers(width)
-    prefix = np.zeros((len(marked), width + 1), np.uint64)
-    np.cumsum(_BYTES[raw[marked]] * power[:width], axis=1, out=prefix[:, 1:])
-    at = np.arange(SIDE + 1)
-    h = (prefix[:, LENGTH:] - prefix[:, : SIDE + 1]) * power[width - at]
-    salt = _mixed(np.unique(groups[marked], return_inverse=True)[1].astype(np.uint64)[:, None] * np.uint64(SIDE + 1) + at.astype(np.uint64) + np.uint64(1))
-    h = _mixed(h ^ salt) >> np.uint64(3)
-    valid = (at >= low[marked][:, None]) & (at + LENGTH <= high[marked][:, None])
-    flat = h[valid]
-    _, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    hit = np.zeros(h.shape, bool)
-    hit[valid] = counts[back] > 1
-    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    for (k, a), (_, b) in zip(np.argwhere(edge == 1), np.argwhere(edge == -1)):
-        out[marked[k]].append((int(a) - SIDE, int(b) - 1 + LENGTH - SIDE))
-    return out
+    return np.array(use)[d], pos - starts[d], h[pos].view(np.int64)
+
+
+def _digest(*parts: bytes) -> bytes:
+    """128 bits."""
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
+def extent(text: bytes, at: int, near: int, far: int) -> tuple[int, bytes]:
+    """(bytes before the core, extent) around an anchor at ``at``, for strings that begin ``near`` to ``far`` bytes before it."""
+    low = max(0, at - far)
+    return at - near - low, text[low : at - near + LENGTH]
+
+
+def children(near: int, far: int) -> list[tuple[int, int]]:
+    """The smaller ranges of distances that a range is cut into; their ends overlap."""
+    step = RANGES[RANGES.index(far - near) + 1]
+    return [(x, x + step) for x in range(near, far, step)] if step else [(near, near), (far, far)]
+
 
+def repeated(nodes: np.ndarray, width: int, lefts: np.ndarray, extents: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """(whether all strings of an extent repeat, as copies do; spans from the core's start that others of its node share).
 
-def _marked(groups: np.ndarray, raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Contexts that share enough blocks with another one of their group, by a suffix array over the blocks."""
-    m, width = raw.shape
-    power = _powers(BLOCK)
-    left = raw[:, :SIDE].reshape(m, BLOCKS, BLOCK)
-    right = raw[:, SIDE + ANCHOR :].reshape(m, BLOCKS, BLOCK)
-    hashes = [_mixed((_BYTES[x] * power[:BLOCK]).sum(2)) for x in (left, right)]
-    anchor = np.unique(groups, return_inverse=True)[1].astype(np.uint64)
-    symbols = np.concatenate([hashes[0], _mixed(anchor + np.uint64(5))[:, None], hashes[1]], 1)
-    # a block that isn't whole is like no other
-    at = np.arange(BLOCKS) * BLOCK
-    broken = np.concatenate([at < low[:, None], np.zeros((m, 1), bool), at + SIDE + ANCHOR + BLOCK > high[:, None]], 1)
+    width: of the range of distances; lefts: bytes before the core; copies: extents that occur twice or more.
+    """
+    m, core = len(extents), LENGTH - width
+    raw = np.zeros((m, LENGTH + width), np.uint8)
+    for k, (left, x) in enumerate(zip(lefts.tolist(), extents)):
+        raw[k, width - left : width - left + len(x)] = np.frombuffer(x, np.uint8)
+    low = width - lefts
+    high = low + np.array([len(x) for x in extents])
+    blocks = min(BLOCKS, width)
+    size = width // blocks if blocks else 0
+
+    # symbols: blocks before the core, the node, blocks behind it; a block that isn't whole is like no other's
+    power = _powers(size)
+    hashes = [_mixed((_BYTES[x.reshape(m, blocks, size)] * power[:size]).sum(2, dtype=np.uint64)) for x in (raw[:, :width], raw[:, LENGTH:])]
+    node = np.unique(nodes, return_inverse=True)[1].astype(np.uint64)
+    symbols = np.concatenate([hashes[0], _mixed(node + np.uint64(5))[:, None], hashes[1]], 1)
+    at = np.arange(blocks) * size
+    broken = np.concatenate([at < low[:, None], np.zeros((m, 1), bool), at + LENGTH + size > high[:, None]], 1)
     codes = np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape).astype(np.int64) + 1
-    codes[broken] = codes.max() + 1 + np.arange(broken.sum())
+    codes[broken] = codes.max(initial=0) + 1 + np.arange(broken.sum())
+    own = np.concatenate([np.arange(m), np.nonzero(copies)[0]])  # of each row of symbols, its extent
     k = codes.shape[1]
-    text = np.concatenate([codes, np.zeros((m, 1), np.int64)], 1).ravel()
-    order = suffix_array(text)
-    row, column = np.divmod(order, k + 1)
-    use = column <= BLOCKS  # starts before or at the anchor
-    row, column = row[use], column[use]
-    # neighbours that start at different distances from the anchor can't share it, so each distance is a list of its own
-    found = np.zeros(m, bool)
-    padded = np.concatenate([codes, np.zeros((m, 1), np.int64)], 1)
-    for c in range(BLOCKS + 1):
+    padded = np.concatenate([codes[own], np.zeros((len(own), 1), np.int64)], 1)
+    row, column = np.divmod(suffix_array(padded.ravel()), k + 1)
+
+    whole, runs = np.zeros(m, bool), []
+    for c in range(blocks + 1):
         r = row[column == c]
         a, b = padded[r[:-1], c:-1], padded[r[1:], c:-1]
         shared = np.where((a == b).all(1), k - c, (a != b).argmax(1))
-        near = shared >= max(BLOCKS - c + 1, BLOCKS)  # the anchor, and in all but one of the blocks that 400 bytes take
-        found[r[:-1][near]] = True
-        found[r[1:][near]] = True
-    return np.nonzero(found)[0]
+        if c == 0:
+            same = (shared == k) & (own[r[:-1]] == own[r[1:]])
+            whole[own[r[1:]][same]] = True
+        else:  # blocks - c before the core, the core, c - 1 behind it
+            run = np.cumsum(np.r_[True, shared < blocks])
+            runs.append(np.unique(np.stack([np.full(len(r), c), run, own[r]]), axis=1))
+    spans: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    if not runs:
+        return whole, spans
+    c, run, member = np.concatenate(runs, 1)
+    run = np.unique(c * (len(own) + 1) + run, return_inverse=True)[1]
+    x, y, of, claimed = _pairs(blocks - c, run, member, raw, low, high, width, size)
+    (x, y), back = np.unique(np.sort(np.stack([x, y]), axis=0), axis=1, return_inverse=True)
+    good = np.zeros(len(x), bool)
+    for a in range(0, len(x), 4000):
+        p, q = x[a : a + 4000], y[a : a + 4000]
+        before, behind, whole_string = matched(raw, low, high, p, q, width)
+        good[a : a + 4000] = whole_string
+        for k in np.nonzero(whole_string)[0].tolist():
+            span = (-int(before[k]), core + int(behind[k]))
+            spans[p[k]].append(span)
+            spans[q[k]].append(span)
+    for one in np.unique(of[claimed & ~good[back.ravel()]]):  # strings of equal hash that differ
+        _by_bytes(member[run == one], raw, low, high, width, spans)
+    return whole, spans
+
+
+def _pairs(left: np.ndarray, run: np.ndarray, member: np.ndarray, raw: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """(x, y, run, claimed): pairs of a run's members such that each string that a member shares is shared with a partner.
+
+    Two members are a pair, to be compared (not claimed). Of more, each is paired, for every string that the run's blocks
+    (``left`` of them before the core) leave room for, with the first that has the string's hash.
+    """
+    order = np.lexsort((member, run))
+    left, run, member = left[order], run[order], member[order]
+    begin = np.nonzero(np.r_[True, run[1:] != run[:-1]])[0]
+    count = np.diff(np.r_[begin, len(run)])
+    two = begin[count == 2]
+    many = np.repeat(count > 2, count)
+    found = [np.stack([member[two], member[two + 1], run[two], np.zeros(len(two), np.int64)])]
+    left, run, member = left[many], run[many], member[many]
+    if len(run):
+        own, row = np.unique(member, return_inverse=True)
+        power = _powers(raw.shape[1])
+        prefix = np.zeros((len(own), raw.shape[1] + 1), np.uint64)
+        np.cumsum(_BYTES[raw[own]] * power[:-1], axis=1, out=prefix[:, 1:])
+        for t in range(size + 1):
+            start = width - left * size - t
+            some = np.nonzero((start >= low[member]) & (start + LENGTH <= high[member]))[0]
+            start = start[some]
+            h = (prefix[row[some], start + LENGTH] - prefix[row[some], start]) * power[raw.shape[1] - start]
+            h = _mixed(h ^ _mixed(run[some].astype(np.uint64) + np.uint64(1)))
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            x, y = member[some], member[some][first[back]]
+            pair = np.stack([x, y, run[some], np.ones(len(x), np.int64)])[:, x != y]
+            found.append(np.unique(pair, axis=1) if pair.shape[1] else pair)
+    every = np.concatenate(found, 1)
+    x, y, run, claimed = np.unique(every, axis=1) if every.shape[1] else every
+    return x, y, run, claimed.astype(bool)
+
+
+def matched(raw: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair: equal bytes before the core and behind it, and whether the core is equal and some whole string is."""
+    at = np.arange(raw.shape[1])
+    equal = (raw[x] == raw[y]) & (at >= np.maximum(low[x], low[y])[:, None]) & (at < np.minimum(high[x], high[y])[:, None])
+    first = lambda e: np.where(e.all(1), e.shape[1], e.argmin(1)) if e.shape[1] else np.zeros(len(x), np.int64)
+    before, behind = first(equal[:, :width][:, ::-1]), first(equal[:, LENGTH:])
+    return before, behind, equal[:, width:LENGTH].all(1) & (before + behind >= width)
+
+
+def _by_bytes(members: np.ndarray, raw: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, spans: list[list[tuple[int, int]]]) -> None:
+    """Add the strings that members share, one start at a time."""
+    for start in range(width + 1):
+        having: dict[bytes, list[int]] = {}
+        for i in members.tolist():
+            if low[i] <= start and start + LENGTH <= high[i]:
+                having.setdefault(raw[i, start : start + LENGTH].tobytes(), []).append(i)
+        for own in having.values():
+            for i in own if len(own) > 1 else ():
+                spans[i].append((start - width, start - width + LENGTH))
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,163 +266,151 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _anchor_rows(docs: DataFrame, count_only: bool) -> DataFrame:
-    """Anchors of every text: (anchor, k) counted by piece, or (anchor, context, id, mark, at)."""
+    """Anchors of every text: (node, k) counted by piece, or (node, e1, e2, id, mark, at, near, far, k) of each place."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def make():
         drop_caches()
 
         def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-            doc, pos, anchor, context = anchors([x or b"" for x in bytes_of(piece, "text")])
+            texts = [x or b"" for x in bytes_of(piece, "text")]
+            doc, pos, anchor = anchors(texts)
             if count_only:
                 value, k = np.unique(anchor, return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(k, pa.int64())], names=["anchor", "k"])
-            take = pa.array(doc, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(context, pa.int64()), column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(pos, pa.int32())], names=["anchor", "context", "id", "mark", "at"])
+                return pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(k, pa.int64())], names=["node", "k"])
+            return _places(piece, texts, doc.tolist(), pos.tolist(), anchor, [0] * len(doc), [SIDE] * len(doc), [1] * len(doc))
 
         return run
 
-    return map_pieces(docs, "text", make, "anchor long, k long" if count_only else f"anchor long, context long, id {kind}, mark long, at int", PIECE)
+    return map_pieces(docs, "text", make, "node long, k long" if count_only else _PLACES.format(kind=kind), PIECE)
 
 
-def steps_of(lefts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(context number, step, core hash, hashes of its strings) of each step of distances in which a context has a string.
+_PLACES = "node long, e1 long, e2 long, id {kind}, mark long, at int, near int, far int, k long"
 
-    Strings start at 0 to SIDE of the padded context; those that begin before or end behind the text have the hash 0.
-    """
-    width = SIDE + ANCHOR + SIDE
-    raw = np.zeros((len(contexts), width), np.uint8)
-    for k, (left, x) in enumerate(zip(lefts.tolist(), contexts)):
-        raw[k, SIDE - left : SIDE - left + len(x)] = np.frombuffer(x, np.uint8)
-    low = SIDE - lefts
-    high = low + np.array([len(x) for x in contexts], np.int64)
-    power = _powers(width)
-    prefix = np.zeros((len(contexts), width + 1), np.uint64)
-    np.cumsum(_BYTES[raw] * power[:width], axis=1, out=prefix[:, 1:])
-    at = np.arange(SIDE + 1)
-    h = _mixed((prefix[:, LENGTH:] - prefix[:, : SIDE + 1]) * power[width - at]) | np.uint64(1)
-    h[(at < low[:, None]) | (at + LENGTH > high[:, None])] = 0
-    out = []
-    for j, a in enumerate(range(0, SIDE + 1, STEP)):
-        b = min(a + STEP - 1, SIDE)
-        use = np.nonzero(h[:, a : b + 1].any(1))[0]
-        core = _mixed((prefix[use, a + LENGTH] - prefix[use, b]) * power[width - b])
-        out.append((use, np.full(len(use), j), core, list(h[use, a : b + 1])))
-    number, step, core, strings = zip(*out)
-    return np.concatenate(number), np.concatenate(step), np.concatenate(core), [x for part in strings for x in part]
-
-
-def _asked(docs: DataFrame, contexts: DataFrame, several: DataFrame) -> DataFrame:
-    """(id, mark, text, asked) of the texts that have the first place of a context of these anchors."""
-    asked = contexts.join(several, "anchor").select("first.id", "first.mark", F.struct("anchor", "first.at", "k").alias("one")).groupBy("id", "mark").agg(F.collect_list("one").alias("asked"))
+
+def _places(piece: pa.RecordBatch, texts: list[bytes], doc: list[int], at: list[int], node: np.ndarray, near: list[int], far: list[int], k: list[int]) -> pa.RecordBatch:
+    keys = []
+    for i, p, a, b in zip(doc, at, near, far):
+        left, x = extent(texts[i], p, a, b)
+        keys.append(_digest(left.to_bytes(2, "little"), x))
+    e = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+    take = pa.array(doc, pa.int64())
+    columns = [pa.array(node, pa.int64()), pa.array(e[:, 0]), pa.array(e[:, 1]), column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(at, pa.int32()), pa.array(near, pa.int32()), pa.array(far, pa.int32()), pa.array(k, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "e1", "e2", "id", "mark", "at", "near", "far", "k"])
+
+
+def _asked(docs: DataFrame, extents: DataFrame) -> DataFrame:
+    """(id, mark, text, asked) of the texts that have the first place of these extents."""
+    asked = extents.select("first.id", "first.mark", F.struct("deal", "node", "e1", "e2", "first.at", "first.near", "first.far", "k").alias("one")).groupBy("id", "mark").agg(F.collect_list("one").alias("asked"))
     return docs.join(asked.withColumnsRenamed({"id": "__id", "mark": "__mark"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["mark"] == F.col("__mark"))).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "asked")
 
 
-def _counted(met: DataFrame) -> DataFrame:
-    """(id, mark, span) of the contexts of hot anchors, by counts of their cores and of their strings."""
+def _cut(met: DataFrame) -> DataFrame:
+    """The extents themselves, with where their core begins."""
     kind = met.schema["id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             texts = bytes_of(piece, "text")
-            every = [(i, x) for i, asked in enumerate(column_of(piece, "asked").to_pylist()) for x in asked]
-            for a in range(0, len(every), SHARD):
-                doc, some = zip(*every[a : a + SHARD])
-                at = np.array([x["at"] for x in some])
-                lefts = np.minimum(at, SIDE)
-                number, step, core, strings = steps_of(lefts, [texts[i][p - left : p + LENGTH] for i, p, left in zip(doc, at.tolist(), lefts.tolist())])
-                n = pa.array(number)
-                take = pa.array(doc, pa.int64()).take(n)
-                flat = np.concatenate(strings).view(np.int64) if strings else np.zeros(0, np.int64)
-                ends = np.cumsum([0, *map(len, strings)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                anchor, single = pa.array([x["anchor"] for x in some], pa.int64()), pa.array([x["k"] == 1 for x in some])
-                columns = [column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(at, pa.int32()).take(n), single.take(n), anchor.take(n), pa.array(step, pa.int32()), pa.array(core.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "at", "single", "anchor", "step", "core", "strings"])
-
-    def often(rows: DataFrame, *keys: str) -> DataFrame:
-        """The rows whose keys occur twice or more."""
-        twice = checkpoint(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), narrow=True)
-        return rows.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, list(keys), "left_semi")
-
-    rows = checkpoint(met.mapInArrow(cut, f"id {kind}, mark long, at int, single boolean, anchor long, step int, core long, strings array<long>"))
-    live = checkpoint(often(rows, "anchor", "step", "core"))
-    strings = live.select("id", "mark", "at", "single", "anchor", "step", F.posexplode("strings").alias("i", "h")).where("h <> 0")
-    start = F.col("at") - SIDE + F.col("step") * STEP + F.col("i")
-    # all strings of a context hold its anchor, so those of a step that repeat cover one run
-    found = often(strings, "anchor", "step", "i", "h").where("single").groupBy("id", "mark", "at", "step").agg(F.min(start).alias("low"), F.max(start + LENGTH).alias("high"))
-    return found.select("id", "mark", F.struct(F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high")).alias("span"))
-
+            rows = [(i, x, *extent(texts[i], x["at"], x["near"], x["far"])) for i, asked in enumerate(column_of(piece, "asked").to_pylist()) for x in asked]
+            doc, one, left, own = zip(*rows) if rows else ((), (), (), ())
+            take = pa.array(doc, pa.int64())
+            longs = [pa.array([x[c] for x in one], pa.int64()) for c in ("deal", "node", "e1", "e2")]
+            columns = [*longs, pa.array([x["far"] - x["near"] for x in one], pa.int32()), pa.array(left, pa.int32()), pa.array(own, pa.binary()), column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array([x["at"] - x["near"] for x in one], pa.int32()), pa.array([x["k"] > 1 for x in one], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["deal", "node", "e1", "e2", "width", "left", "bytes", "id", "mark", "core", "copies"])
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, mark, spans) of the texts in docs (id, mark, text) that lose bytes; the spans aren't merged yet."""
-    kind = docs.schema["id"].dataType.simpleString()
-    shared = checkpoint(_anchor_rows(docs, True).groupBy("anchor").agg(F.sum("k").alias("k")).where("k > 1").select("anchor"))
-    few = shared.count() <= BROADCAST_ROWS
-    rows = checkpoint(_anchor_rows(docs, False).join(F.broadcast(shared) if few else shared, "anchor", "left_semi"))
-    contexts = checkpoint(rows.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "mark", "at")).alias("first")))
+    return met.mapInArrow(run, f"deal long, node long, e1 long, e2 long, width int, left int, bytes binary, id {kind}, mark long, core int, copies boolean")
 
-    # contexts that occur twice or more: all their strings repeat, at every place
-    often = contexts.where("k > 1").select("anchor", "context")
-    whole = rows.join(often, ["anchor", "context"]).select("id", "mark", F.struct((F.col("at") - SIDE).alias("low"), (F.col("at") + LENGTH).alias("high")).alias("span"))
 
-    # different contexts of one anchor
-    several = checkpoint(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), narrow=True)
-    met = _asked(docs, contexts, several.where(F.col("contexts") <= MANY))
+def _smaller(met: DataFrame) -> DataFrame:
+    """The places in smaller ranges: of each, the strings' common core is the node."""
+    kind = met.schema["id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             texts = bytes_of(piece, "text")
-            keys, lefts, own, doc, at, singles = [], [], [], [], [], []
-            for i, asked_ in enumerate(column_of(piece, "asked").to_pylist()):
-                for x in asked_:
-                    p, anchor = x["at"], x["anchor"]
-                    low = max(0, p - SIDE)
-                    bytes_ = texts[i][low : p + LENGTH]
-                    keys.append(anchor)
-                    lefts.append(p - low)
-                    own.append(bytes_)
-                    doc.append(i)
-                    at.append(p)
-                    singles.append(x["k"] == 1)
-            take = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lefts, pa.int32()), pa.array(own, pa.binary()), column_of(piece, "id").take(take), column_of(piece, "mark").take(take), pa.array(at, pa.int32()), pa.array(singles, pa.bool_())], names=["key", "left", "bytes", "id", "mark", "at", "single"])
-
-    dealt = met.mapInArrow(cut, f"key long, left int, bytes binary, id {kind}, mark long, at int, single boolean").repartition("key").sortWithinPartitions("key")
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows, nodes = [], []
+            for i, asked in enumerate(column_of(piece, "asked").to_pylist()):
+                for x in asked:
+                    p, n = x["at"], len(texts[i])
+                    for near, far in children(x["near"], x["far"]):
+                        if near <= p and p - far + LENGTH <= n:
+                            nodes.append(_digest(near.to_bytes(2, "little"), far.to_bytes(2, "little"), texts[i][p - near : p - far + LENGTH])[:8])
+                            rows.append((i, p, near, far, x["k"]))
+            if rows:
+                doc, at, near, far, k = map(list, zip(*rows))
+                yield _places(piece, texts, doc, at, np.frombuffer(b"".join(nodes), "<i8"), near, far, k)
+
+    return met.mapInArrow(run, _PLACES.format(kind=kind))
+
+
+def _shards(dealt: DataFrame) -> DataFrame:
+    """(whole, node, e1, e2, id, mark, low, high): extents whose places all lose it, or the spans that a single place loses."""
+    kind = dealt.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n, last = 0, None
         for piece in pieces(batches, "bytes", 2 << 20):
-            keys = np.asarray(column_of(piece, "key"))
+            nodes = np.asarray(column_of(piece, "deal"))
             if n >= SHARD:
-                change = np.nonzero(keys != last)[0]
+                change = np.nonzero(nodes != last)[0]
                 if len(change):
                     held.append(piece.slice(0, change[0]))
                     yield shard(held)
                     held, n, piece = [], 0, piece.slice(change[0])
             held.append(piece)
             n += piece.num_rows
-            last = keys[-1]
+            last = nodes[-1]
         if held:
             yield shard(held)
 
     def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        found = repeated(np.asarray(t["key"]), np.asarray(t["left"]).astype(np.int64), t["bytes"].to_pylist())
-        # contexts that occur more often are removed whole anyway
-        single = np.asarray(t["single"])
-        at = np.asarray(t["at"])
-        rows_ = [(k, int(at[k]) + a, int(at[k]) + b) for k, spans in enumerate(found) if single[k] for a, b in spans]
-        k, low, high = zip(*rows_) if rows_ else ((), (), ())
-        take = pa.array(k, pa.int64())
-        return pa.RecordBatch.from_arrays([t["id"].combine_chunks().take(take), t["mark"].combine_chunks().take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["id", "mark", "low", "high"])
-
-    part = dealt.mapInArrow(shards, f"id {kind}, mark long, low int, high int").select("id", "mark", F.struct("low", "high").alias("span"))
-    spans = whole.unionByName(part)
-    hot = several.where(F.col("contexts") > MANY)
-    if hot.take(1):
-        spans = spans.unionByName(_counted(_asked(docs, contexts, hot)))
+        width, copies, core = (np.asarray(t[c]) for c in ("width", "copies", "core"))
+        nodes, lefts, own = np.asarray(t["deal"]), np.asarray(t["left"]).astype(np.int64), t["bytes"].to_pylist()
+        rows: list[tuple[bool, int, int, int]] = []
+        for w in np.unique(width).tolist():
+            some = np.nonzero(width == w)[0]
+            whole, spans = repeated(nodes[some], w, lefts[some], [own[i] for i in some], copies[some])
+            rows += [(True, int(i), 0, 0) for i in some[whole]]
+            rows += [(False, int(i), int(core[i]) + a, int(core[i]) + b) for i, found in zip(some, spans) if not copies[i] for a, b in _merge(found)]
+        all_, at, low, high = zip(*rows) if rows else ((), (), (), ())
+        take = pa.array(at, pa.int64())
+        kept = [t[c].combine_chunks().take(take) for c in ("node", "e1", "e2", "id", "mark")]
+        return pa.RecordBatch.from_arrays([pa.array(all_, pa.bool_()), *kept, pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["whole", "node", "e1", "e2", "id", "mark", "low", "high"])
+
+    return dealt.mapInArrow(run, f"whole boolean, node long, e1 long, e2 long, id {kind}, mark long, low int, high int")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(id, mark, spans) of the texts in docs (id, mark, text) that lose bytes; the spans aren't merged yet."""
+    shared = checkpoint(_anchor_rows(docs, True).groupBy("node").agg(F.sum("k").alias("k")).where("k > 1").select("node"))
+    few = shared.count() <= BROADCAST_ROWS
+    rows = checkpoint(_anchor_rows(docs, False).join(F.broadcast(shared) if few else shared, "node", "left_semi"))
+    places, dealt = rows, None
+    while True:
+        extents = checkpoint(rows.groupBy("node", "e1", "e2").agg(F.sum("k").alias("k"), F.min(F.struct("id", "mark", "at", "near", "far")).alias("first")))
+        nodes = extents.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+        if dealt is not None:  # cores of smaller ranges that one place has
+            extents = extents.join(nodes.where("k > 1").select("node"), "node", "left_semi")
+        hot = checkpoint(nodes.where(F.col("n") > MANY).select("node"), narrow=True)
+        n = hot.count()
+        hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        mine = extents.withColumn("deal", F.col("node"))
+        if n:  # copies in a node that is cut are decided by themselves
+            alone = extents.join(hot, "node", "left_semi").where("k > 1").withColumn("deal", F.xxhash64("node", "e1", "e2"))
+            mine = mine.join(hot, "node", "left_anti").unionByName(alone)
+        own = _cut(_asked(docs, mine))
+        dealt = own if dealt is None else dealt.unionByName(own)
+        if not n:
+            break
+        rows = checkpoint(_smaller(_asked(docs, extents.join(hot, "node", "left_semi").withColumn("deal", F.col("node")))))
+        places = places.unionByName(rows)
+    found = checkpoint(_shards(dealt.repartition("deal").sortWithinPartitions("deal")))
+    whole = places.where("k = 1").join(found.where("whole").select("node", "e1", "e2"), ["node", "e1", "e2"])
+    whole = whole.select("id", "mark", F.struct((F.col("at") - F.col("far")).alias("low"), (F.col("at") - F.col("near") + LENGTH).alias("high")).alias("span"))
+    spans = whole.unionByName(found.where("not whole").select("id", "mark", F.struct("low", "high").alias("span")))
     return spans.groupBy("id", "mark").agg(F.collect_set("span").alias("spans"))
 
 

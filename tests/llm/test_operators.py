@@ -180,36 +180,83 @@ def planted(seed=1):
     return [t.encode() for t in texts] + [bytes(x) for x in near]
 
 
+def check_repeats(spark, texts):
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
 @pytest.mark.parametrize("many", [1000, 3])
 def test_suffix_dedup_brute_force(spark, monkeypatch, small_pieces, many):
     monkeypatch.setattr(suffix_dedup, "map_pieces", small_pieces)
     monkeypatch.setattr(suffix_dedup, "MANY", many)
     monkeypatch.setattr(suffix_dedup, "SHARD", 7)
-    texts = planted()
-    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+    check_repeats(spark, planted())
 
 
-def test_suffix_dedup_bounds_shards(spark, monkeypatch):
-    """A passage that many documents share with different text around it never meets in one shard, and still goes."""
+def test_suffix_array_decides(monkeypatch):
+    """Copies and shared strings are found among neighbours of the array's order, or not at all."""
+    x = random.Random(1).randbytes(600)
+    asked = (np.zeros(2, np.int64), 200, np.array([200, 200]), [x, x[:-30] + b"." * 30], np.array([True, False]))
+    whole, spans = suffix_dedup.repeated(*asked)
+    assert whole.tolist() == [True, False] and spans[0] == spans[1] == [(-200, 370)]
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: np.zeros(0, np.int64))
+    whole, spans = suffix_dedup.repeated(*asked)
+    assert not whole.any() and spans == [[], []]
+
+
+@pytest.mark.parametrize("length", [360, 390, 399, 450])
+def test_suffix_dedup_bounds_shards(spark, monkeypatch, length):
+    """A passage that many documents share with different text around it never meets in one shard, and what must go goes."""
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    passage = word(450)
+    passage = word(length)
     texts = [(word(rng.randrange(150, 400)) + passage + word(rng.randrange(150, 400))).encode() for _ in range(60)]
+    texts += [(word(rng.randrange(150, 400)) + texts[0][300:300 + rng.randrange(300, 420)].decode() + word(200)).encode() for _ in range(10)]
     monkeypatch.setattr(suffix_dedup, "MANY", 10)
     monkeypatch.setattr(suffix_dedup, "SHARD", 5)
     whole = suffix_dedup.repeated
 
-    def bounded(groups, lefts, contexts):
-        if max(Counter(groups.tolist()).values()) > 10:
-            raise AssertionError("a shard holds more of a key's contexts than MANY")
-        return whole(groups, lefts, contexts)
+    def bounded(nodes, *more):
+        if max(Counter(nodes.tolist()).values()) > 10:
+            raise AssertionError("a shard holds more of a node's extents than MANY")
+        return whole(nodes, *more)
 
     monkeypatch.setattr(suffix_dedup, "repeated", bounded)
-    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    rows = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(df).collect()}
-    assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
+    check_repeats(spark, texts)
+
+
+def test_shared_strings_by_bytes(monkeypatch):
+    """What members of a node share, against all pairs; also where every hash is the same, so that bytes alone decide."""
+    rng = random.Random(9)
+    for width in (0, 1, 5, 25, 200):
+        for blunt in (False, True):
+            base = bytes(rng.choice(b"ab") for _ in range(400 + width))
+            own = [base]
+            for _ in range(12):
+                x = bytearray(base)
+                for _ in range(rng.randrange(3) if width else 0):
+                    k = rng.choice([*range(width), *range(400, 400 + width)])
+                    x[k] = ord("c") + rng.randrange(2)
+                own.append(bytes(x))
+            own = list(dict.fromkeys(own))
+            cut = [(rng.randrange(width + 1), rng.randrange(width + 1)) if rng.random() < 0.3 else (0, 0) for _ in own]
+            cut = [(a, b) if a + b <= width else (0, 0) for a, b in cut]
+            lefts = np.array([width - a for a, _ in cut])
+            parts = [x[a : len(x) - b] for x, (a, b) in zip(own, cut)]
+            if blunt:
+                monkeypatch.setattr(suffix_dedup, "_mixed", lambda x: x * np.uint64(0))
+            _, spans = suffix_dedup.repeated(np.zeros(len(own), np.int64), width, lefts, parts, np.zeros(len(own), bool))
+            monkeypatch.undo()
+            for i, x in enumerate(own):
+                want, got = set(), set()
+                for s in range(width + 1):
+                    for j, y in enumerate(own):
+                        if i != j and all(c[0] <= s and s + 400 <= 400 + width - c[1] for c in (cut[i], cut[j])) and x[s : s + 400] == y[s : s + 400]:
+                            want |= set(range(s - width, s - width + 400))
+                for a, b in spans[i]:
+                    got |= set(range(a, b))
+                assert got == want
 
 
 def test_suffix_dedup_edges(edge, empty):
