@@ -40,15 +40,16 @@ from quillon.llm.suffix_array import suffix_array
 LENGTH = 400  # bytes of a string that may not repeat
 ANCHOR = 200
 SIDE = LENGTH - ANCHOR
-BLOCKS = 5  # symbols of an extent on either side of its core
 #: Widths of the ranges of distances: each is cut into the next.
 RANGES = [SIDE, 100, 50, 25, 5, 1, 0]
 #: Different extents of a node beyond which its range is cut.
 MANY = 1000
 #: Extents after which a shard is closed, at the next change of node.
 SHARD = 4000
-#: Candidate anchors that may be broadcast; beyond, it is a shuffled join.
+#: Candidate anchors (8 bytes each) that may be broadcast; beyond, it is a shuffled join.
 BROADCAST_ROWS = 2_000_000
+#: Places (about 100 bytes each) that may be broadcast to fetch their texts; beyond, the texts are shuffled to them.
+FEW_PLACES = 200_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -151,7 +152,7 @@ def repeated(nodes: np.ndarray, width: int, lefts: np.ndarray, extents: list[byt
         raw[k, width - left : width - left + len(x)] = np.frombuffer(x, np.uint8)
     low = width - lefts
     high = low + np.array([len(x) for x in extents])
-    blocks = min(BLOCKS, width)
+    blocks = 0 if not width else 1 if width % 2 else 2  # on either side of the core
     size = width // blocks if blocks else 0
 
     # symbols: blocks before the core, the node, blocks behind it; a block that isn't whole is like no other's
@@ -171,6 +172,8 @@ def repeated(nodes: np.ndarray, width: int, lefts: np.ndarray, extents: list[byt
     whole, runs = np.zeros(m, bool), []
     for c in range(blocks + 1):
         r = row[column == c]
+        if not len(r):
+            continue
         a, b = padded[r[:-1], c:-1], padded[r[1:], c:-1]
         shared = np.where((a == b).all(1), k - c, (a != b).argmax(1))
         if c == 0:
@@ -299,10 +302,11 @@ def _places(piece: pa.RecordBatch, texts: list[bytes], doc: list[int], at: list[
     return pa.RecordBatch.from_arrays(columns, names=["node", "e1", "e2", "id", "mark", "at", "near", "far", "k"])
 
 
-def _asked(docs: DataFrame, extents: DataFrame) -> DataFrame:
+def _asked(docs: DataFrame, extents: DataFrame, few: bool = False) -> DataFrame:
     """(id, mark, text, asked) of the texts that have the first place of these extents."""
     asked = extents.select("first.id", "first.mark", F.struct("deal", "node", "e1", "e2", "first.at", "first.near", "first.far", "k").alias("one")).groupBy("id", "mark").agg(F.collect_list("one").alias("asked"))
-    return docs.join(asked.withColumnsRenamed({"id": "__id", "mark": "__mark"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["mark"] == F.col("__mark"))).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "asked")
+    asked = asked.withColumnsRenamed({"id": "__id", "mark": "__mark"})
+    return docs.join(F.broadcast(asked) if few else asked, docs["id"].eqNullSafe(F.col("__id")) & (docs["mark"] == F.col("__mark"))).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "asked")
 
 
 def _cut(met: DataFrame) -> DataFrame:
@@ -386,26 +390,27 @@ def _shards(dealt: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, mark, spans) of the texts in docs (id, mark, text) that lose bytes; the spans aren't merged yet."""
     shared = checkpoint(_anchor_rows(docs, True).groupBy("node").agg(F.sum("k").alias("k")).where("k > 1").select("node"))
-    few = shared.count() <= BROADCAST_ROWS
-    rows = checkpoint(_anchor_rows(docs, False).join(F.broadcast(shared) if few else shared, "node", "left_semi"))
-    places, dealt = rows, None
+    rows = checkpoint(_anchor_rows(docs, False).join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "node", "left_semi"))
+    places, dealt, few = rows, None, False
     while True:
         extents = checkpoint(rows.groupBy("node", "e1", "e2").agg(F.sum("k").alias("k"), F.min(F.struct("id", "mark", "at", "near", "far")).alias("first")))
         nodes = extents.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
         if dealt is not None:  # cores of smaller ranges that one place has
             extents = extents.join(nodes.where("k > 1").select("node"), "node", "left_semi")
-        hot = checkpoint(nodes.where(F.col("n") > MANY).select("node"), narrow=True)
-        n = hot.count()
-        hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+        hot = checkpoint(nodes.where(F.col("n") > MANY).select("node", "n"), narrow=True)
+        count, several = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        hot = F.broadcast(hot.select("node")) if count <= BROADCAST_ROWS else hot.select("node")
         mine = extents.withColumn("deal", F.col("node"))
-        if n:  # copies in a node that is cut are decided by themselves
+        if count:  # copies in a node that is cut are decided by themselves
             alone = extents.join(hot, "node", "left_semi").where("k > 1").withColumn("deal", F.xxhash64("node", "e1", "e2"))
             mine = mine.join(hot, "node", "left_anti").unionByName(alone)
-        own = _cut(_asked(docs, mine))
+        own = _cut(_asked(docs, mine, few))
         dealt = own if dealt is None else dealt.unionByName(own)
-        if not n:
+        if not count:
             break
-        rows = checkpoint(_smaller(_asked(docs, extents.join(hot, "node", "left_semi").withColumn("deal", F.col("node")))))
+        cut = extents.join(hot, "node", "left_semi").withColumn("deal", F.col("node"))
+        rows = checkpoint(_smaller(_asked(docs, cut, several <= FEW_PLACES)))
+        few = rows.count() <= FEW_PLACES
         places = places.unionByName(rows)
     found = checkpoint(_shards(dealt.repartition("deal").sortWithinPartitions("deal")))
     whole = places.where("k = 1").join(found.where("whole").select("node", "e1", "e2"), ["node", "e1", "e2"])
