@@ -10,7 +10,7 @@ A suffix array over a whole corpus fits no machine, so its suffixes are dealt ou
    they move: two stand for any number.
 3. Suffix arrays. The different extents of a node meet in a shard, those that occur more often twice. An extent is cut into
    blocks at fixed distances from its core; the blocks are the symbols of a suffix array built by grouping
-   (suffix_array.py). Neighbours of the array that share all symbols are copies: all strings of the extent repeat. Runs of
+   (suffix_array.py); one that meets no other is a single symbol. Neighbours of the array that share all symbols are copies: all strings of the extent repeat. Runs of
    neighbours that share as many blocks as must lie within a common 400-byte string are compared byte by byte, each with
    what shares a string with it, which gives the bytes that both lose.
 4. Every text meets its spans once; they are merged and cut out.
@@ -394,19 +394,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places, dealt, few = rows, None, False
     while True:
         extents = checkpoint(rows.groupBy("node", "e1", "e2").agg(F.sum("k").alias("k"), F.min(F.struct("id", "mark", "at", "near", "far")).alias("first")))
-        nodes = extents.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
-        if dealt is not None:  # cores of smaller ranges that one place has
-            extents = extents.join(nodes.where("k > 1").select("node"), "node", "left_semi")
-        hot = checkpoint(nodes.where(F.col("n") > MANY).select("node", "n"), narrow=True)
-        count, several = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        hot = F.broadcast(hot.select("node")) if count <= BROADCAST_ROWS else hot.select("node")
-        mine = extents.withColumn("deal", F.col("node"))
-        if count:  # copies in a node that is cut are decided by themselves
-            alone = extents.join(hot, "node", "left_semi").where("k > 1").withColumn("deal", F.xxhash64("node", "e1", "e2"))
-            mine = mine.join(hot, "node", "left_anti").unionByName(alone)
-        own = _cut(_asked(docs, mine, few))
+        nodes = extents.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        nodes = checkpoint(nodes, narrow=True)  # with several extents
+        count, hot_count, several = nodes.agg(F.count(F.lit(1)), F.count_if(F.col("n") > MANY), F.coalesce(F.sum(F.when(F.col("n") > MANY, F.col("n"))), F.lit(0))).first()
+        hot, every, met = (nodes.where(c).select("node") for c in (F.col("n") > MANY, F.lit(True), F.col("n") <= MANY))
+        if count <= BROADCAST_ROWS:
+            hot, every, met = map(F.broadcast, (hot, every, met))
+        # copies that meet no other extent, or whose node is cut, are decided by themselves: their text isn't needed
+        copies = extents.where("k > 1")
+        alone = copies.join(every, "node", "left_anti")
+        if hot_count:
+            alone = alone.unionByName(copies.join(hot, "node", "left_semi"))
+        alone = alone.select(F.xxhash64("node", "e1", "e2").alias("deal"), "node", "e1", "e2", F.lit(0).alias("width"), F.lit(0).alias("left"), F.lit(b"").alias("bytes"), "first.id", "first.mark", F.col("first.at").alias("core"), F.lit(True).alias("copies"))
+        own = _cut(_asked(docs, extents.join(met, "node", "left_semi").withColumn("deal", F.col("node")), few)).unionByName(alone)
         dealt = own if dealt is None else dealt.unionByName(own)
-        if not count:
+        if not hot_count:
             break
         cut = extents.join(hot, "node", "left_semi").withColumn("deal", F.col("node"))
         rows = checkpoint(_smaller(_asked(docs, cut, several <= FEW_PLACES)))
