@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from quillon.llm.common import bytes_of, column_of, pieces, read_file, shared_dir, worker_cache
 
 END_ID = 2
+#: Files whose offsets (16 bytes each) may be broadcast; beyond, they meet the ids by a shuffle.
+FILES = 500_000
 #: Signs that end a part: after letters, a run of them is one pre-token.
 SIGNS = "!\"#$%&()*+,-./:;?@[]^_|~"
 
@@ -277,8 +279,9 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    # a row a file; their offsets are a running sum over as many rows
-    return files.join(offsets, F.col("shard") == F.col("__shard")).select(id_col, (F.col("__base") + F.col("shard_start")).alias("start"), "n_tokens", "token_ids")
+    # a row a file: broadcast within a bound of files, so that the ids aren't shuffled
+    few = len(sums.select("shard").take(FILES + 1)) <= FILES
+    return files.join(F.broadcast(offsets) if few else offsets, F.col("shard") == F.col("__shard")).select(id_col, (F.col("__base") + F.col("shard_start")).alias("start"), "n_tokens", "token_ids")
 
 
 def token_digest(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
