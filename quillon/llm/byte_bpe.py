@@ -281,7 +281,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
         return pa.table(columns, names=names)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
-    return rows.groupBy("block").applyInArrow(assemble, schema)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count())
+    return rows.repartition(tasks, "block").groupBy("block").applyInArrow(assemble, schema)
 
 
 def _token_bytes(ranks: bytes) -> list[bytes]:
