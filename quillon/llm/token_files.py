@@ -109,16 +109,22 @@ class WordIds:
         return self.flat[at], n
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def same_bytes(x: np.ndarray, x_start: np.ndarray, x_end: np.ndarray, y: np.ndarray, y_start: np.ndarray, y_end: np.ndarray) -> np.ndarray:
-    """Of each pair of spans, whether they hold the same bytes."""
+    """Of each pair of spans, whether they hold the same bytes: eight at a time, and as a whole beyond 64."""
     n = x_end - x_start
     same = n == y_end - y_start
     own = np.nonzero(same & (n > 0))[0]
-    n = n[own]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    other = x[at + np.repeat(x_start[own], n)] != y[at + np.repeat(y_start[own], n)]
-    if other.any():
-        same[own[np.unique(np.repeat(np.arange(len(own)), n)[other])]] = False
+    eights = [np.ndarray(len(z) + 1, "<u8", np.r_[z, np.zeros(8, np.uint8)], strides=(1,)) for z in (x, y)]
+    for k in range(0, 64, 8):
+        left = n[own] - k
+        other = ((eights[0][x_start[own] + k] ^ eights[1][y_start[own] + k]) & _MASKS[np.minimum(left, 8)]) != 0
+        same[own[other]] = False
+        own = own[~other & (left > 8)]
+    for i in own.tolist():
+        same[i] = np.array_equal(x[x_start[i] + 64 : x_end[i]], y[y_start[i] + 64 : y_end[i]])
     return same
 
 

@@ -367,6 +367,16 @@ def test_token_files(spark, edge, tmp_path, encoding):
     assert digest[3] == zlib.crc32((2).to_bytes(4, "little"))
 
 
+def test_same_bytes():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, 900).astype(np.uint8)
+    y = x.copy()
+    y[rng.integers(0, 900, 6)] ^= 1
+    a, n = rng.integers(0, 700, (2, 3000)) // np.array([[1], [4]])
+    got = token_files.same_bytes(x, a, a + n, y, a, a + n - (n > 170))
+    assert got.tolist() == [bool(k <= 170 and np.array_equal(x[i : i + k], y[i : i + k])) for i, k in zip(a, n)]
+
+
 def test_parts_that_share_a_hash():
     """The Thue-Morse word and its complement have one polynomial hash modulo 2^64, whatever the multiplier."""
     from tokenizers import Tokenizer
