@@ -77,6 +77,15 @@ class NeighbourModel:
         return out
 
 
+def leading(x: np.ndarray, dimensions: int, spare: int = 8, rounds: int = 20, seed: int = 7) -> np.ndarray:
+    """The right singular vectors of the largest singular values, as columns, by subspace iteration: it needs no square matrix."""
+    k = min(dimensions + spare, *x.shape)
+    q = np.random.default_rng(seed).normal(size=(x.shape[1], k)).astype(np.float32)
+    for _ in range(rounds if k else 0):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :dimensions] if k else q
+
+
 def fit_space(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> NeighbourModel:
     n, size = len(labels), 1 << BITS
     axes = np.zeros((size, dimensions), np.float32)
@@ -90,12 +99,8 @@ def fit_space(rows: np.ndarray, ids: np.ndarray, counts: np.ndarray, labels: np.
     keep = column[ids] >= 0
     x = np.zeros((n, len(terms)), np.float32)
     x[rows[keep], column[ids[keep]]] = np.log1p(counts[keep]) * idf[column[ids[keep]]]
-    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-    if len(terms) > n:
-        values, turned = np.linalg.eigh((x @ x.T).astype(np.float64))
-        lead = x.T @ (turned[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-9)))[:, :dimensions]
-    else:
-        lead = np.linalg.eigh((x.T @ x).astype(np.float64))[1][:, ::-1][:, :dimensions]
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    lead = leading(x, dimensions)
     axes[terms, : lead.shape[1]] = lead * idf[:, None]
     model = NeighbourModel(axes, np.zeros((0, dimensions), np.float32), labels)
     model.vectors = model.project(rows, ids, counts, n).astype(np.float32)

@@ -323,6 +323,14 @@ def test_votes_match_brute_force():
         assert np.isclose(got[i], (w * y[near]).sum() / w.sum(), atol=1e-5)
 
 
+def test_leading_vectors():
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(90, 12)) * 2.0 ** -np.arange(12) @ rng.normal(size=(12, 200))).astype(np.float32)
+    got, want = quality.leading(x, 6), np.linalg.svd(x)[2][:6].T
+    assert np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-3)
+    assert quality.leading(np.zeros((3, 0), np.float32), 6).shape == (0, 0) and quality.leading(x[:2], 6).shape == (200, 2)
+
+
 def test_votes_of_equal_neighbours():
     """Ties at the last place: any of the equally near ones may vote, and all have the same weight."""
     v = np.array([[1, 0]] * 4 + [[0, 1]] * 3, np.float32)
