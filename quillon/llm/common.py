@@ -52,6 +52,14 @@ def checkpoint(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder that keeps the partitions as they are, and their order."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str | None = None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Split batches so that a piece's text column stays near ``limit`` bytes; a longer text is a piece of its own."""
     for batch in batches:

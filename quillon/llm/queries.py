@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, decontamination, filter_audit, language, line_dedup, media, near_dedup, quality, suffix_dedup, token_files, toxicity
+from quillon.llm import byte_bpe, decontamination, filter_audit, language, line_dedup, media, merkle, near_dedup, quality, suffix_dedup, token_files, toxicity
 from quillon.llm.common import id_bucket, table
 
 
@@ -68,6 +68,14 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when((id_bucket("doc_id", 7) == 0) & F.col("doc_id").isNotNull(), merkle.row_hash(fields))
+    found = merkle.manifest(docs, changed=tampered).withColumn("folded_root", merkle.folded(F.col("changed"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,5 +167,36 @@ rows_ AS (
          CAST(coalesce(sum(g) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (mask & own <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
   FROM counts, steps GROUP BY part, filter_order, step, own)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM rows_
+""",
+    "op13_merkle": """
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(b))),
+texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, CAST(doc_id AS VARCHAR) AS d, source AS s, lang AS l, CAST(n_chars AS VARCHAR) AS c, CAST(n_chars + 1 AS VARCHAR) AS c1, text AS t FROM documents),
+hashed AS (
+  SELECT rid, doc_id, coalesce('1' || l, '0') AS g, d,
+         sha256(concat(coalesce(strlen(d) || ':' || d, '-'), coalesce(strlen(s) || ':' || s, '-'), coalesce(strlen(l) || ':' || l, '-'), coalesce(strlen(c) || ':' || c, '-'), coalesce(strlen(t) || ':' || t, '-'))) AS leaf,
+         sha256(concat(coalesce(strlen(d) || ':' || d, '-'), coalesce(strlen(s) || ':' || s, '-'), coalesce(strlen(l) || ':' || l, '-'), coalesce(strlen(c1) || ':' || c1, '-'), coalesce(strlen(t) || ':' || t, '-'))) AS other
+  FROM texts),
+placed AS (
+  SELECT rid, doc_id, g, leaf, CASE WHEN doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, [CAST(ascii(d[j]) AS BIGINT) FOR j IN range(1, len(d) + 1)]), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 7 = 0 THEN other ELSE leaf END AS changed,
+         row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM hashed, crc),
+nodes(g, k, i, h, n) AS (
+  SELECT g, 0, i, leaf, n FROM placed UNION ALL SELECT g, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY g, k, n, i // 2),
+subs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS gi, count(*) OVER () AS gn FROM nodes WHERE n = 1),
+tops(k, i, h, n) AS (
+  SELECT 0, gi, subroot, gn FROM subs UNION ALL SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY k, n, i // 2),
+climb(rid, g, k, i, h, p, n) AS (
+  SELECT rid, g, 0, i, changed, '', n FROM placed
+  UNION ALL
+  SELECT f.rid, f.g, f.k + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.p || coalesce(s.h, ''), (f.n + 1) // 2
+  FROM climb f LEFT JOIN nodes s ON s.g = f.g AND s.k = f.k AND s.i = xor(f.i, 1) WHERE f.n > 1),
+last(rid, k, i, h, p, n) AS (
+  SELECT rid, 0, gi, h, p, gn FROM climb JOIN subs USING (g) WHERE n = 1
+  UNION ALL
+  SELECT f.rid, f.k + 1, f.i // 2, sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END), f.p || coalesce(s.h, ''), (f.n + 1) // 2
+  FROM last f LEFT JOIN tops s ON s.k = f.k AND s.i = xor(f.i, 1) WHERE f.n > 1)
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(last.p) AS proof_sha256, last.h AS folded_root, last.h = t.h AS verified
+FROM placed JOIN subs USING (g) JOIN last USING (rid), tops t WHERE last.n = 1 AND t.n = 1
 """,
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from hashlib import sha256
 from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import filter_audit
+from quillon.llm import filter_audit, merkle
 
 
 def same_rows(got, want):
@@ -95,3 +97,96 @@ def test_runs_over_partitions():
     """A run of equal texts that fills whole partitions keeps its first least id."""
     told = [dict(pid=p, first_hash=a, last_hash=b, least=i, open=whole) for p, a, b, i, whole in ((0, "x", "y", 3, False), (1, "y", "y", 4, True), (2, "y", "y", 9, True), (5, "y", "z", 11, False), (6, "w", "w", 1, True))]
     assert filter_audit.carried(told) == [(1, 3), (2, 3), (5, 3)]
+
+
+# 13 Merkle manifest
+
+
+def h(*texts):
+    return sha256("".join(texts).encode()).hexdigest()
+
+
+def tree_by_hand(leaves):
+    """(root, the siblings of each leaf)."""
+    rows, at, proofs = [list(leaves)], list(range(len(leaves))), [[] for _ in leaves]
+    while len(rows[-1]) > 1:
+        level = rows[-1]
+        for j, i in enumerate(at):
+            if i ^ 1 < len(level):
+                proofs[j].append((bool(i & 1), level[i ^ 1]))
+            else:
+                proofs[j].append((False, None))
+            at[j] = i >> 1
+        rows.append([h(*level[i : i + 2]) for i in range(0, len(level), 2)])
+    return rows[-1][0], proofs
+
+
+def manifest_by_hand(rows):
+    """rows: (doc_id, source, lang, n_chars, text)."""
+    leaf = lambda r: h(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in r))
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[2] is not None, (r[2] or "").encode()), []).append(((r[0] is not None, r[0] or 0), leaf(r), r[0]))
+    roots, out = [], []
+    for g in sorted(groups):
+        own = sorted(groups[g], key=lambda x: x[:2])
+        root, proofs = tree_by_hand([x[1] for x in own])
+        roots.append(root)
+        out.append([(x[2], x[1], root, p) for x, p in zip(own, proofs)])
+    top, more = tree_by_hand(roots)
+    return [(i, leaf_, root, top, p + m) for own, m in zip(out, more) for i, leaf_, root, p in own]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_manifest(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, *range(-5, 400)]), rng.choice(["web", None, ""]), rng.choice(["hot", "hot", "hot", None, "", "é", "z"]), rng.choice([None, 3, 10**12]), rng.choice([None, "", "é😀", "text " * 50])) for _ in range(500)]
+    rows += [(1, "s", f"only{i}", 1, "x") for i in range(40)] + [(9, "same", "hot", 1, "row")] * 70
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, grp string, leaf string, proof string").repartition(4)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = merkle.manifest(docs, changed=F.when(F.col("doc_id") % 2 == 0, F.sha2(F.lit("forged"), 256))).withColumn("folded", merkle.folded(F.col("changed"), F.col("proof")))
+        got = found.withColumn("digest", merkle.siblings_hash(F.col("proof"))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = manifest_by_hand(rows)
+    same_rows([(r["doc_id"], r["leaf"], r["subroot"], r["root"], [tuple(x) for x in r["proof"]]) for r in got], want)
+    for r in got:
+        assert r["digest"] == h(*(x["hash"] for x in r["proof"] if x["hash"]))
+        forged = r["doc_id"] is not None and r["doc_id"] % 2 == 0
+        assert r["changed"] == (h("forged") if forged else r["leaf"]) and (r["folded"] == r["root"]) == (not forged)
+
+
+def test_manifest_of_few_rows(spark):
+    schema = "doc_id long, source string, lang string, n_chars long, text string"
+    assert merkle.manifest(spark.createDataFrame([], schema)).count() == 0
+    (one,) = merkle.manifest(spark.createDataFrame([(1, None, None, None, None)], schema)).collect()
+    assert one["leaf"] == one["subroot"] == one["root"] == h("1:1", "-", "-", "-", "-") and one["proof"] == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cut_trees(seed):
+    """However leaves are cut into ranges, what the ranges tell and are told gives the tree."""
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 3, 5, 8, 31, 64, 100, 257])
+    leaves = [sha256(str(i).encode()).digest() for i in range(n)]
+    cuts = sorted({0, n, *(rng.randrange(n + 1) for _ in range(rng.choice([0, 1, 4, 30])))})
+    ranges = list(zip(cuts, cuts[1:]))
+    nodes = {(k, i): x for s, e in ranges for k, i, x in merkle.edges(b"".join(leaves[s:e]), s, e, n)}
+    assert len(nodes) <= len(ranges) * 2 * (merkle.height(n) + 1)
+    reach = 0
+    while reach < merkle.height(n):  # in rounds, each on its own blocks
+        reach = min(reach + rng.choice([1, 3, 20]), merkle.height(n))
+        below = {x: v for x, v in nodes.items() if x[0] <= reach}
+        covered = {(k, i) for k, i in below if (k + 1, i >> 1) in nodes}
+        blocks = {}
+        for k, i in below.keys() - covered:
+            blocks.setdefault((i << k) >> reach, {})[k, i] = below[k, i]
+        for own in blocks.values():
+            nodes |= merkle.finished(own, n, reach)
+    root, proofs = tree_by_hand([x.hex() for x in leaves])
+    for s, e in ranges:
+        outside = {x: nodes[x] for x in merkle.beside(s, e, n)}
+        tree, top = merkle.levels(b"".join(leaves[s:e]), s, n, outside)
+        assert top.hex() == root and len(tree) == merkle.height(n)
