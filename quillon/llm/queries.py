@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, decontamination, filter_audit, language, line_dedup, media, merkle, near_dedup, quality, suffix_dedup, token_files, toxicity
+from quillon.llm import byte_bpe, decontamination, filter_audit, language, line_dedup, media, merkle, near_dedup, quality, simhash_dedup, suffix_dedup, token_files, toxicity
 from quillon.llm.common import id_bucket, table
 
 
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines.cast("long").alias("n_lines"), n_removed.alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_simhash_dedup": op11_simhash_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle": op13_merkle,
 }

@@ -6,12 +6,14 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
-from itertools import permutations
+from itertools import permutations, product
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import filter_audit, merkle
+from quillon.llm import filter_audit, merkle, simhash_dedup
 
 
 def same_rows(got, want):
@@ -190,3 +192,100 @@ def test_cut_trees(seed):
         outside = {x: nodes[x] for x in merkle.beside(s, e, n)}
         tree, top = merkle.levels(b"".join(leaves[s:e]), s, n, outside)
         assert top.hex() == root and len(tree) == merkle.height(n)
+
+
+# 11 SimHash classes
+
+
+def fingerprint_by_hand(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
+def classes_by_hand(fps, ids, distance=2):
+    """Least id reachable of each; equal ids are one node."""
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in product(range(len(fps)), repeat=2):
+        if i < j and ((fps[i] ^ fps[j]).bit_count() <= distance or ids[i] == ids[j]):
+            root[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), x), x)
+    return [least[find(i)] for i in range(len(fps))]
+
+
+def crowd(rng, n, bits, base=0):
+    """Fingerprints that differ in some bits only."""
+    own = rng.sample(range(64), bits)
+    return [base ^ sum(1 << b for b in own if rng.random() < 0.5) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed,parts", [(s, p) for s in range(6) for p in (None, 1, 2, 3, 4)])
+def test_pigeonhole_loses_nothing(seed, parts):
+    """Cells of entries, cut until they are small, hold every pair within the distance."""
+    rng = random.Random(seed)
+    fps = [rng.getrandbits(64) for _ in range(60)] + crowd(rng, 100, 10, rng.getrandbits(64)) + crowd(rng, 60, 30, rng.getrandbits(64))
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3]))) for f in fps[:60]]
+    fps = np.array(sorted(set(fps)), np.uint64)
+    plan = simhash_dedup.plan_for(fps[:: 1 + seed], len(fps), parts=parts)
+    assert sorted(b for g in plan.groups for b in g.tolist()) == list(range(64)) and (plan.thresholds(fps)[0].sum(1) == 2 - len(plan.groups) + 1).all()
+    rows, cells, fixed, stands, slack = plan.entries(fps)
+    want = {(a, b) for a, b in product(range(len(fps)), repeat=2) if a != b and int(fps[a] ^ fps[b]).bit_count() <= 2}
+    for _ in range(3):
+        standing = {}
+        for r, c in zip(rows[stands].tolist(), cells[stands].tolist()):
+            standing.setdefault(c, []).append(r)
+        found = {(r, b) for r, c in zip(rows[slack >= 0].tolist(), cells[slack >= 0].tolist()) for b in standing.get(c, ()) if r != b and int(fps[r] ^ fps[b]).bit_count() <= 2}
+        assert {(b, a) for a, b in found} == found == want and want
+        more = simhash_dedup.finer(np.concatenate(plan.groups), cells, fixed, fps[rows], stands, slack, 2)
+        rows, (cells, fixed, stands, slack) = rows[more[0]], more[1:]
+
+
+@pytest.mark.parametrize("block,parts", [(512, None), (4, None), (4, 2)])
+def test_simhash_links(spark, block, parts):
+    """Links within crowds, over many cuts, tie what brute force ties, and there are few of them."""
+    rng = random.Random(block)
+    fps = sorted({*(rng.getrandbits(64) for _ in range(150)), *crowd(rng, 250, 12), *crowd(rng, 150, 25, rng.getrandbits(64))})
+    ids = rng.sample(range(10_000), len(fps))
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for f, i in zip(fps, ids)], "fp long, id long").repartition(5)
+    plan = simhash_dedup.plan_for(np.array(fps[::3], np.uint64), len(fps), parts=parts)
+    links = simhash_dedup.links_between(nodes, plan, block).collect()
+    of = dict(zip(ids, fps))
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    want = classes_by_hand(fps, ids)
+    got = {}
+    for i in ids:
+        got.setdefault(find(i), []).append(i)
+    assert {frozenset(x) for x in got.values()} == {frozenset(i for i, w in zip(ids, want) if w == c) for c in set(want)}
+    assert all(a in of and b in of for a, b in links)
+
+
+def test_simhash_dedup(spark):
+    rng = random.Random(3)
+    words = [f"Word{i}" for i in range(80)] + ["É", "ß", "\x1f", "a\u00a0b"]
+    base = [" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 40, 400]))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.replace("Word7 ", "word8 ", 1)) for i, t in enumerate(base)]
+    rows += [(300, None), (301, ""), (302, " \t\x0b"), (5, "another text of the same id"), (None, base[0]), (None, None), (400, base[3]), (400, base[3]), (401, "long " * 70_000), (402, "long " * 70_001)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, fp int, id int, k int").repartition(4)
+    got = simhash_dedup.near_duplicates(docs, block=3).collect()
+    fps = [fingerprint_by_hand(t) if len(t or "") < 100_000 else fingerprint_by_hand("long long long") for _, t in rows]
+    own = [(f, i) for f, (i, _) in zip(fps, rows) if i is not None]
+    want = [(i, f"{f:016x}", c) for (f, i), c in zip(own, classes_by_hand(*zip(*own)))] + [(None, f"{f:016x}", None) for f, (i, _) in zip(fps, rows) if i is None]
+    same_rows(map(tuple, got), want)
+    assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
