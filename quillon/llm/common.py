@@ -140,10 +140,13 @@ def sample_rows(df: DataFrame, key: Column, rows: int, seed: int = 7) -> DataFra
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int, held_out: Column) -> DataFrame:
-    """(text, label) of about ``rows`` labelled rows outside the held-out part; the ids choose rows, and go no further."""
+    """(text, label, order) of about ``rows`` labelled rows outside the held-out part; the ids choose rows, and go no further.
+
+    order: a hash of the text, by which a fit sorts what it gathers, so that it doesn't depend on the partitions.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("__label"))
     known = sample_rows(known.where(~held_out), F.col(id_col), rows)
-    return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(known, id_col).select(F.col(text_col).alias("text"), "__label")
+    return docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(known, id_col).select(F.col(text_col).alias("text"), "__label", F.sha2(text_col, 256).alias("__order"))
 
 
 _cached: dict = {}

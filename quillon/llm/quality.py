@@ -4,7 +4,8 @@ Terms are the parts of a text (words in lower case), the parts' shapes (runs of
 signs), and the parts that repeat the one before. Hashed term counts are weighted log(1 + tf) * idf, projected
 on the leading singular vectors of a bounded labelled sample, and scaled to length 1. The labelled vectors are
 broadcast (rows x dimensions, both parameters); for every text the exact cosine products with all of them are
-computed in blocks, and its nearest ones vote with their similarity as weight.
+computed in blocks, and its nearest ones vote with their similarity as weight; all that are as near as the last of them
+(to ``TIE``) vote too. The sample is sorted by a hash of the text, so the same rows give the same model in any partitions.
 
 Defined results: a text without known terms (null, empty) gets the labels' mean; repeated label rows count once (the
 larger label); without labelled rows every score is 0.
@@ -28,6 +29,7 @@ FIT_ROWS = 3000
 BITS = 15
 DIMENSIONS = 32
 NEIGHBOURS = 15
+TIE = 1e-5  # of cosines in single precision
 PIECE = 1 << 20  # bytes of text scored at a time
 LEAST_SHARE = 0.01  # of the sample's texts that a term must occur in
 _CLASSES = [(re.compile(r"[^\W\d_a-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2,}[^\W\d_a-zß-öø-ÿ]*"), "A"), (re.compile(r"[A-ZÀ-ÖØ-Þ]"), "B"), (re.compile(r"[^\W\d_AB]+"), "a"), (re.compile(r"\d+"), "0")]
@@ -69,11 +71,11 @@ class NeighbourModel:
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(x), block):
             sims = x[a : a + block] @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 2
+            last = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+            weight = np.where(sims >= last - TIE, np.maximum(sims, 0), 0).astype(np.float64)
             total = weight.sum(1)
             known = total > 1e-9
-            out[a : a + block][known] = np.clip((weight * self.labels[near]).sum(1)[known] / total[known], 0, 1)
+            out[a : a + block][known] = np.clip((weight @ self.labels)[known] / total[known], 0, 1)
         return out
 
 
@@ -123,14 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             r, ids, counts = _counted(hasher, texts)
             at = pa.array(starts_of(r, len(texts)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (ids, counts)]
-            return pa.RecordBatch.from_arrays([column_of(piece, "__label"), *lists], names=["label", "ids", "counts"])
+            return pa.RecordBatch.from_arrays([column_of(piece, "__label"), column_of(piece, "__order"), *lists], names=["label", "order", "ids", "counts"])
 
         return run
 
-    got = map_pieces(sample, "text", make, "label int, ids array<int>, counts array<int>").toArrow()
+    got = map_pieces(sample, "text", make, "label int, order string, ids array<int>, counts array<int>").toArrow()
     empty = np.zeros(0, np.int64)
     if not got.num_rows:
         return fit_space(empty, empty, empty, np.zeros(0))
+    got = got.sort_by([("order", "ascending"), ("label", "ascending")])
     lists = got["ids"].combine_chunks()
     n = np.asarray(lists.value_lengths())
     return fit_space(np.repeat(np.arange(len(n)), n), np.asarray(lists.flatten()).astype(np.int64), np.asarray(got["counts"].combine_chunks().flatten()), np.asarray(got["label"]).astype(float))

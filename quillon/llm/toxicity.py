@@ -2,7 +2,8 @@
 
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 for a term that a text has. Terms are
 lower-case words and their beginnings of four and five letters. The pairwise part costs as much as the linear one:
-half of |sum v_i|^2 - sum |v_i|^2. It is fitted with AdaGrad on a bounded sample of labelled rows.
+half of |sum v_i|^2 - sum |v_i|^2. It is fitted with AdaGrad on a bounded sample of labelled rows, sorted by a hash of the
+text, so the same rows give the same machine in any partitions.
 
 Defined results: null and empty texts have no terms and get the bias's score; repeated label rows count once
 (the larger label); without labelled rows every score is 0.
@@ -194,13 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             texts = texts_of(piece, "text")
             r, ids = hasher.distinct(texts)
             lists = pa.ListArray.from_arrays(pa.array(starts_of(r, len(texts)).astype(np.int32)), pa.array(ids.astype(np.int32)))
-            return pa.RecordBatch.from_arrays([column_of(piece, "__label"), lists], names=["label", "ids"])
+            return pa.RecordBatch.from_arrays([column_of(piece, "__label"), column_of(piece, "__order"), lists], names=["label", "order", "ids"])
 
         return run
 
-    got = map_pieces(sample, "text", make, "label int, ids array<int>").toArrow().combine_chunks()
+    got = map_pieces(sample, "text", make, "label int, order string, ids array<int>").toArrow()
     if not got.num_rows:
         return fit_machine(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    got = got.sort_by([("order", "ascending"), ("label", "ascending")])
     lists = got["ids"].combine_chunks()
     n = np.asarray(lists.value_lengths())
     return fit_machine(np.repeat(np.arange(len(n)), n), np.asarray(lists.flatten()).astype(np.int64), np.asarray(got["label"]).astype(float))

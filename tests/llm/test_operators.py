@@ -319,7 +319,7 @@ def test_votes_match_brute_force():
     for i in range(40):
         s = v @ x[i]
         near = np.argsort(-s)[:9]
-        w = np.maximum(s[near], 0).astype(float) ** 2
+        w = np.maximum(s[near], 0).astype(float)
         assert np.isclose(got[i], (w * y[near]).sum() / w.sum(), atol=1e-5)
 
 
@@ -332,10 +332,29 @@ def test_leading_vectors():
 
 
 def test_votes_of_equal_neighbours():
-    """Ties at the last place: any of the equally near ones may vote, and all have the same weight."""
-    v = np.array([[1, 0]] * 4 + [[0, 1]] * 3, np.float32)
-    m = quality.NeighbourModel(np.zeros((1, 2), np.float32), v, np.array([1.0, 1, 1, 1, 0, 0, 0]), 3)
-    assert m.votes(np.array([[1, 0], [0, 1], [0, 0]], np.float32)).tolist() == [1.0, 0.0, 4 / 7]
+    """All that are as near as the last one vote, in any order of the labelled rows."""
+    v = np.array([[1, 0]] * 6 + [[0.6, 0.8]] * 3, np.float32)
+    y = np.array([1.0, 1, 1, 0, 0, 0, 1, 1, 0])
+    for seed in range(10):
+        order = np.random.default_rng(seed).permutation(9)
+        m = quality.NeighbourModel(np.zeros((1, 2), np.float32), v[order], y[order], 3)
+        assert np.allclose(m.votes(np.array([[1, 0], [0.6, 0.8], [0, 0]], np.float32)), [0.5, 2 / 3, 5 / 9])
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_in_any_partitions(spark, module, label):
+    """The same rows, however they are dealt, give the same scores."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n, key in ((3, "doc_id"), (8, "text"), (200, "n_chars")):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = module.fit(docs.repartition(n, key), labels.repartition(n, "doc_id"))
+            found.append(sorted((r["doc_id"], r["score"]) for r in module.predict(docs, model).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1] == found[2]
 
 
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
