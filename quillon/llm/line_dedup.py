@@ -7,7 +7,8 @@ five words or more) first occurs earlier. Earlier: smaller (doc id, line number)
 * Equal lines meet in one aggregation, partly done before its shuffle; only its one row a line goes on.
 * Two lines within one edit have equal first or equal last words (a quarter of the line or more), so lines that share
   neither with another line need no neighbourhood, and others none of the shared side. That leaves out nothing.
-* The others emit themselves and every text with one word deleted as hashed keys. Equal keys join: the same word
+* The others emit themselves and every text with one word deleted as hashed keys; of lines of ``LONG`` words or more, keys
+  are running sums (xor) of the hashes of words and places, before a word and behind it, so no line is built for each word. Equal keys join: the same word
   position deleted on both sides is a substitution, a whole line that equals a deletion is an insertion. A group's
   members are each compared with its earliest member only, which is all that "an earlier one exists" needs: no pairs
   within a group are made. The matched texts are then compared, so a hash collision can't remove a line.
@@ -18,7 +19,9 @@ treated alike; the text of a document that loses all lines is empty; extra colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpoint
@@ -28,6 +31,8 @@ LEAST_WORDS = 5
 BROADCAST_ROWS = 1_000_000
 #: A line is common if its occurrences are more than one in so many of all; there can't be more common lines than that.
 COMMON = 10_000
+#: Lines of so many words or more get their deletions' keys from running sums over exploded words, in linear time.
+LONG = 512
 
 
 def _words(line: Column) -> Column:
@@ -67,6 +72,22 @@ def half_keys(line: Column, n: Column) -> Column:
     return F.when(h == _half(n - 1), both(h)).otherwise(F.concat(both(h), both(F.floor(h / 2).cast("int"))))
 
 
+def _place_hashes(line: Column) -> Column:
+    """Xor of the hashes of all words with their places."""
+    return F.aggregate(F.transform(F.split(line, " "), lambda w, j: F.xxhash64(w, j)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def long_keys(lines: DataFrame) -> DataFrame:
+    """(seq, v, i) of long lines (seq, line, begin, end): for each of these places, the xor of the other words' hashes with their places."""
+    words = lines.select("seq", "begin", "end", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    here, moved = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
+    line = Window.partitionBy("seq")
+    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = words.withColumns({"here": here, "moved": moved}).select("seq", "begin", "end", "i", "here", F.bit_xor("here").over(before).alias("head"), F.bit_xor("moved").over(before).alias("passed"), F.bit_xor("moved").over(line).alias("all"))
+    xor = lambda *c: reduce(Column.bitwiseXOR, map(F.col, c))
+    return sums.where("i between begin and end").select("seq", xor("head", "here", "all", "passed").alias("v"), "i")
+
+
 def _fit(df: DataFrame) -> DataFrame:
     """Broadcast a written table of a bounded number of rows; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -90,7 +111,11 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     begin, end = F.when(F.col("high") == 0, h).otherwise(0), F.when(F.col("low") == 1, n - h - 1).otherwise(n - 1)
     deleted = F.transform(F.sequence(begin, end), lambda i: F.struct(F.xxhash64(_without(line, n, i)).alias("v"), i.alias("i")))
     whole = F.array(F.struct(F.xxhash64(line).alias("v"), F.lit(-1).alias("i")))
-    keys = checkpoint(lines_.select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i"))
+    short = lines_.where(n < LONG).select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i")
+    # a line of one word less than a long one can be a deletion of it
+    longer = lines_.where(n >= LONG - 1).select("seq", _place_hashes(line).alias("v"), F.lit(-1).alias("i"))
+    long_ = long_keys(lines_.where(n >= LONG).select("seq", "line", begin.alias("begin"), end.alias("end")))
+    keys = checkpoint(short.unionByName(longer).unionByName(long_))
     groups = checkpoint(keys.groupBy("v", "i").agg(F.min("seq").alias("e"), F.count(F.lit(1)).alias("k")))
     # substitutions: the same position deleted on both sides
     same = checkpoint(groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j")), narrow=True)
@@ -99,7 +124,8 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     parts = groups.where("i >= 0").join(_fit(wholes), "v").groupBy("v").agg(F.min(F.struct(F.col("e").alias("p"), F.col("i").alias("j"))).alias("part"), F.min("whole").alias("whole"))
     swaps = keys.join(_fit(same), ["v", "i"]).where("p < seq").select("seq", "i", "p", "j")
     grown = keys.join(_fit(checkpoint(parts, narrow=True)), "v").withColumn("o", F.when(F.col("i") < 0, F.col("part")).otherwise(F.col("whole"))).select("seq", "i", "o.p", "o.j").where("p < seq")
-    pairs = swaps.unionByName(grown)
+    # equal words in a row give a pair at many places: one will do
+    pairs = swaps.unionByName(grown).groupBy("seq", "p").agg(F.min(F.struct("i", "j")).alias("x")).select("seq", "p", "x.i", "x.j")
 
     own = lines_.select("seq", "h1", "h2", "line", "n")
     partner = lines_.select(F.col("seq").alias("p"), F.col("line").alias("p_line"), F.col("n").alias("p_n"))

@@ -755,6 +755,28 @@ def test_line_dedup_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_long_lines(spark):
+    """Edits of lines about the length from which keys are running sums, of equal words in a row, and of a very long line."""
+    k = line_dedup.LONG
+    base = [f"u{i}" for i in range(k + 2)]
+    lines = []
+    for n in (k - 2, k - 1, k, k + 1):
+        own = [f"{n}-{w}" for w in base[:n]]
+        lines += [own, own[:7] + own[8:], [*own[:-1], "other"], ["more", *own], [*own[: n // 2], "x", "y", *own[n // 2 :]], own[::-1], ["far", *own[1:-1], "away"]]
+    lines += [["same"] * k, ["same"] * (k + 1), ["same"] * (k + 3), ["same"] * (k - 1), ["same"] * 100 + ["odd"] + ["same"] * k]
+    lines += [[f"v{i}" for i in range(60_000)], [f"v{i}" for i in range(60_000) if i != 33_333]]
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        return any(a[head + x :] == b[head + y :] for x, y in ((1, 1), (0, 1), (1, 0)))
+
+    want = {i for i, b in enumerate(lines) if not any(near(a, b) for a in lines[:i])}
+    got = line_dedup.dedup_lines(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"] for r in got if r["text"]} == want and len(want) < len(lines) - 8
+
+
 def test_line_dedup_edges(edge, empty):
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(edge)
