@@ -1,4 +1,9 @@
-"""Nearest vectors by inner product: exact, or through inverted lists of a k-means quantizer."""
+"""Nearest vectors by inner product: exact, or through inverted lists of a k-means quantizer.
+
+A vector stands in two lists: that of its nearest centroid, and a second one, chosen so that the error it makes there points
+another way than the first one's, for a query that misses the first list misses it because of that error. A copy in the
+second list is read for a query that doesn't read the first, so no vector is scored twice. Scores are exact products.
+"""
 
 from __future__ import annotations
 
@@ -14,13 +19,14 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators.lexical import top_k
-from quillon.operators.storage import fits
 
 LEAST_LISTS, PROBES = 256, 64
 #: Queries whose vectors are sent to the tasks as one matrix.
 QUERY_ROWS = 1000
 #: Bytes of all centroids, which are on the driver and sent to the tasks.
 CENTROID_BYTES = 128 << 20
+#: Vectors that are dealt to lists at a time.
+DEAL_ROWS = 1024
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:
@@ -39,17 +45,19 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 1000) -> DataFr
     return reduce(DataFrame.unionByName, [top_k(_products(block, own, k), k) for block in _blocks(queries)])
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries in parts of about ``QUERY_ROWS``, dealt by a hash of their id."""
-    if fits(queries, QUERY_ROWS):
-        return [queries]
-    n = math.ceil(queries.count() / QUERY_ROWS)
-    return [queries.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n)) == i) for i in range(n)]
+def _blocks(queries: DataFrame) -> list[list]:
+    """The rows (query_id, q) of the queries in parts of about ``QUERY_ROWS``, dealt by a hash of their id."""
+    asked = unit_queries(queries.where("embedding is not null"))
+    first = asked.take(QUERY_ROWS + 1)
+    if len(first) <= QUERY_ROWS:
+        return [first]
+    n = math.ceil(asked.count() / QUERY_ROWS)
+    return [asked.where(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n)) == i).collect() for i in range(n)]
 
 
-def _products(queries: DataFrame, vectors: DataFrame, k: int, lists: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 0) -> DataFrame:
+def _products(queries: list, vectors: DataFrame, k: int, lists: tuple[np.ndarray, np.ndarray] | None = None, probes: int = 0) -> DataFrame:
     """(query_id, id, score); with lists (ascending ids, centroids), of the vectors in each query's nearest ``probes`` lists only."""
-    rows = [(r["query_id"], r["q"]) for r in unit_queries(queries.where("embedding is not null")).collect()]
+    rows = [(r["query_id"], r["q"]) for r in queries]
     ids = np.array([q for q, _ in rows], np.int64)
     matrix = np.array([v for _, v in rows], np.float64).reshape(len(rows), -1 if rows else 0)
     kind = vectors.schema["id"].dataType.simpleString()
@@ -61,7 +69,7 @@ def _products(queries: DataFrame, vectors: DataFrame, k: int, lists: tuple[np.nd
             np.put_along_axis(wanted, near, True, axis=1)
         # unread lists are pruned as partitions
         vectors = vectors.where(F.col("list_id").isin(numbers[wanted.any(0)].tolist()))
-    vectors = vectors.select("id", "embedding", *(["list_id"] if lists is not None else []))
+    vectors = vectors.select("id", "embedding", *(["list_id", "home"] if lists is not None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,11 +82,13 @@ def _products(queries: DataFrame, vectors: DataFrame, k: int, lists: tuple[np.nd
             if lists is None:
                 scores, read = matrix @ own.T, True
             else:
-                code = np.searchsorted(numbers, np.asarray(batch.column(2)))
-                scores, read = np.full((len(ids), batch.num_rows), -np.inf), wanted[:, code]
+                code, home = (np.searchsorted(numbers, np.asarray(batch.column(i))) for i in (2, 3))
+                # a copy in a second list isn't read where the first is
+                scores, read = np.full((len(ids), batch.num_rows), -np.inf), wanted[:, code] & ((code == home) | ~wanted[:, home])
                 for c in np.unique(code):
                     q, v = np.nonzero(wanted[:, c])[0], np.nonzero(code == c)[0]
                     scores[np.ix_(q, v)] = matrix[q] @ own[v].T
+                scores[~read] = -np.inf
             if batch.num_rows > k:
                 least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
                 q, v = np.nonzero((scores >= least[:, None]) & read)
@@ -97,7 +107,7 @@ def list_count(n: int, least: int = LEAST_LISTS, dimension: int = 0) -> int:
 
 @dataclass
 class InvertedLists:
-    """vectors (id, embedding, list_id), written by list_id; centroids (list_id, centroid)."""
+    """vectors (id, embedding, list_id, home), written by list_id; home: the list of the nearest centroid; centroids (list_id, centroid)."""
 
     vectors: DataFrame
     centroids: DataFrame
@@ -112,7 +122,7 @@ class InvertedLists:
 
 
 def build_lists(vectors: DataFrame, lists: int | None = None, seed: int = 11, iterations: int = 10, train_rows: int = 1_000_000) -> InvertedLists:
-    """Train centroids on at most about train_rows vectors; every vector gets the list of its nearest centroid."""
+    """Train centroids on at most about train_rows vectors; every vector stands in the list of its nearest centroid and in a second one."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -120,13 +130,39 @@ def build_lists(vectors: DataFrame, lists: int | None = None, seed: int = 11, it
     n = own.count()
     spark = vectors.sparkSession
     if not n:
-        return InvertedLists(own.withColumn("list_id", F.lit(0)), spark.createDataFrame([], "list_id int, centroid array<double>"))
+        return InvertedLists(own.withColumns({"list_id": F.lit(0), "home": F.lit(0)}), spark.createDataFrame([], "list_id int, centroid array<double>"))
     rows = own.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     sample = rows if n <= train_rows else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
     dimension = own.select(F.size("embedding")).first()[0]
     model = KMeans(k=min(lists or list_count(n, dimension=dimension), n), seed=seed, maxIter=iterations, distanceMeasure="cosine", predictionCol="list_id").fit(sample)
-    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list_id int, centroid array<double>")
-    return InvertedLists(model.transform(rows).select("id", "embedding", "list_id"), centroids)
+    centres = np.array(model.clusterCenters())
+    centroids = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "list_id int, centroid array<double>")
+    sent = spark.sparkContext.broadcast(centres)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, DEAL_ROWS):
+                batch = whole.slice(a, DEAL_ROWS)
+                x = np.asarray(batch.column(1).flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+                first, second = two_lists(x, sent.value)
+                for own in (first, second) if len(sent.value) > 1 else (first,):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(first.astype(np.int32))], names=["id", "embedding", "list_id", "home"])
+
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("id", "embedding"))
+    return InvertedLists(own.mapInArrow(deal, f"{kinds}, list_id int, home int"), centroids)
+
+
+def two_lists(x: np.ndarray, centres: np.ndarray, weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector, and the other one of the least error, where error along the first one's counts more by ``weight``."""
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    x, c = unit(x), unit(centres)
+    near = x @ c.T
+    first = near.argmax(1)
+    left = unit(x - c[first])
+    along = (x * left).sum(1, keepdims=True) - left @ c.T
+    error = 2 - 2 * near + weight * along**2
+    error[np.arange(len(x)), first] = np.inf
+    return first, error.argmin(1)
 
 
 def probed_top_k(queries: DataFrame, index: InvertedLists, k: int = 1000, probes: int = PROBES) -> DataFrame:
