@@ -91,9 +91,20 @@ def source_link(module: Column, url: Column, start: Column, end: Column, version
     return out
 
 
-def rebased_path(package: Column, path: Column, toolchain: str = "lean4") -> Column:
-    """A toolchain's files lie in a folder without the repository's own first folders."""
-    return F.when((package == toolchain) & path.startswith("src/lean/"), F.substring(path, len("src/lean/") + 1, 1 << 30)).otherwise(path)
+# Folders of the toolchain's repository that lie elsewhere on disk, and where from its source folder.
+TOOLCHAIN = "lean4"
+TOOLCHAIN_FOLDERS = {"src/lean/": "", "src/lake/": "../lake/", "src/": ""}
+
+
+def path_in_package(package: Column, folder: Column, path: Column, toolchain: str = TOOLCHAIN) -> Column:
+    """Where a repository's file lies below a package's folder; the toolchain's own folders are rebased, the first that fits."""
+    above = F.regexp_replace(folder, "/?[^/]*$", "")
+    out = F.when(package != toolchain, F.concat_ws("/", folder, path))
+    for prefix, place in TOOLCHAIN_FOLDERS.items():
+        rest = F.substring(path, len(prefix) + 1, 1 << 30)
+        base = F.concat_ws("/", F.when(above != "", above), F.lit(place[3:].rstrip("/"))) if place.startswith("../") else folder
+        out = out.when(path.startswith(prefix), F.concat_ws("/", base, rest))
+    return out.otherwise(F.concat_ws("/", folder, path))
 
 
 def package_variants(package: Column) -> Column:

@@ -18,6 +18,7 @@ from quillon.operators.storage import kept_path, stored
 from quillon.plans import extract
 from quillon.plans.search import SearchEngine
 from quillon.schema import DECLARATION
+from quillon.sources import files
 from quillon.streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,6 +455,34 @@ def link_parse(spark, d):
     return read(spark, d, "pages").select("page_id", *(p[c].alias(c) for c in ("package", "path", "line_start", "line_end")))
 
 
+_TAG_LINES = "replace(replace(replace(html, '><', '>' || chr(10) || '<'), '<p>', '@[simp]' || chr(10)), 'class=', ' class :=')"
+_PAGE_HOST = r"regexp_extract(url, '//([^/]+)', 1)"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, {_PAGE_HOST} AS host, string_split({_TAG_LINES}, chr(10)) AS l FROM pages),
+asked AS (
+  SELECT page_id, 'https://github.com/o/' || host || '/blob/main/p/' || page_id || '.lean#L' || a || '-L' || b AS source_link, a, b, l
+  FROM (SELECT *, 3 AS a, 6 AS b FROM p UNION ALL SELECT *, list_position(l, '@[simp]'), list_position(l, '@[simp]') FROM p WHERE list_contains(l, '@[simp]'))),
+lines AS (SELECT page_id, i AS number, l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END AS line FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM p)),
+own AS (SELECT source_link, page_id, a, b, len(l) AS size, array_to_string(l[a:b], chr(10)) || CASE WHEN b < len(l) THEN chr(10) ELSE '' END AS t FROM asked WHERE b <= len(l)),
+marks AS (SELECT page_id, number FROM lines WHERE regexp_matches(line, ' (def|theorem|lemma|instance|class|structure|inductive|abbrev) |:=')),
+ends AS (
+  SELECT source_link, page_id, a, CASE WHEN b >= size THEN b WHEN regexp_matches(t, ' (def|theorem|lemma|instance|class|structure|inductive|abbrev) |:=') THEN b + 1
+         ELSE coalesce((SELECT min(number) FROM marks m WHERE m.page_id = own.page_id AND number > b), size) END AS e
+  FROM own WHERE starts_with(ltrim(t, ' ' || chr(9) || chr(10)), '@[')),
+longer AS (SELECT source_link, rtrim(string_agg(line, '' ORDER BY number), ' ' || chr(9) || chr(10)) AS t FROM ends JOIN lines USING (page_id) WHERE number BETWEEN a AND e GROUP BY source_link)
+SELECT source_link, CASE WHEN l.t IS NOT NULL THEN l.t ELSE o.t END AS source_text FROM (SELECT DISTINCT source_link FROM asked) LEFT JOIN own o USING (source_link) LEFT JOIN longer l USING (source_link)""")
+def source_lines(spark, d):
+    """Lines of files by their links: folders of mixed case, ranges, and texts that begin with an attribute."""
+    pages = read(spark, d, "pages").select("page_id", F.expr(_PAGE_HOST).alias("host"), F.expr(_TAG_LINES).alias("text"))
+    lines = files.line_table(pages.withColumn("path", F.concat(F.upper("host"), F.lit("/p/"), F.col("page_id"), F.lit(".lean"))))
+    first = F.array_position(F.split("text", "\n"), "@[simp]")
+    link = lambda a, b: F.concat(F.lit("https://github.com/o/"), "host", F.lit("/blob/main/p/"), "page_id", F.lit(".lean#L"), a, F.lit("-L"), b)
+    links = pages.select(link(F.lit(3), F.lit(6)).alias("source_link")).unionByName(pages.where(first > 0).select(link(first, first).alias("source_link")))
+    return files.read_sources(links, files.package_registry(pages.select(F.upper("host").alias("folder")).distinct()), lines)
+
+
 _MODULE = "CASE page_id % 4 WHEN 0 THEN 'Init.A' WHEN 1 THEN 'Lake.B.C' WHEN 2 THEN 'Other.D' ELSE 'Std' END"
 
 

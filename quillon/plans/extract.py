@@ -70,13 +70,17 @@ def embed(rows: DataFrame, caches: Sequence[DataFrame], vector: Callable[[Column
     return enrich.apply_values(rows, made, [source], target, "__made")
 
 
-def read_documentation(spark: SparkSession, database: str, sources: str, prefixes: Sequence[str] = ()) -> DataFrame:
-    """Declarations of a documentation database and its packages' source files; packages are the folders below ``sources``."""
+def read_documentation(spark: SparkSession, database: str, sources: str, prefixes: Sequence[str] = (), toolchain: str | None = None) -> DataFrame:
+    """Declarations of a documentation database and its packages' source files; packages are the folders below ``sources``.
+
+    toolchain: the folder below ``sources`` with the toolchain's sources; its other folders lie beside it.
+    """
     names = [sqlite.read_table(spark, database, n) for n in ("name_info", "declaration_ranges", "declaration_markdown_docstrings", "declaration_verso_docstrings", "modules")]
     include = (lambda m: text.has_any_prefix(m, list(prefixes))) if prefixes else (lambda m: F.lit(True))
     rows = ingest.with_skip_reason(ingest.join_tables(*names), include)
-    folders = spark.createDataFrame([(n, n) for n in sorted(os.listdir(sources)) if os.path.isdir(os.path.join(sources, n))], "package string, folder string")
-    found = files.read_sources(rows.where("skip_reason is null"), folders, files.source_files(spark, sources))
+    lines = files.source_files(spark, sources)
+    folders = lines.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
+    found = files.read_sources(rows.where("skip_reason is null"), files.package_registry(folders, toolchain), lines)
     return ingest.to_declarations(rows, found).where("source_text is not null")
 
 

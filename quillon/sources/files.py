@@ -6,18 +6,22 @@ import os
 import re
 import time
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text
-from quillon.operators.storage import small
+from quillon.operators.storage import small, stored
 from quillon.schema import JSON_MODULE
 from quillon.sources.sqlite import is_usable
 
 # What shows that a text which began with an attribute has come to its declaration.
 DECLARATION_MARKS = [" def ", " theorem ", " lemma ", " instance ", " class ", " structure ", " inductive ", " abbrev ", ":="]
 
+#: Lines of a block, in which ranges of lines meet a file.
+BLOCK_LINES = 64
+
 
 def documentation_format(database: str, modules: str) -> str:
     """'sqlite' for a usable database, else 'bmp' if there are JSON modules, else 'none'."""
@@ -37,54 +41,101 @@ def json_modules(spark: SparkSession, path: str, include: Callable[[Column], Col
     return out.where(~text.is_autogenerated(F.col("name")))
 
 
+def line_table(files: DataFrame, path: str = "path", content: str = "text") -> DataFrame:
+    """(path, number, line): the lines of whole texts, numbered from 1; a line keeps its line feed, and all line ends become one."""
+    lines = F.split(F.regexp_replace(content, "\r\n?", "\n"), "(?<=\n)")
+    rows = files.select(F.col(path).cast("string").alias("path"), F.posexplode(lines).alias("at", "line")).where("line <> ''")
+    return rows.select("path", (F.col("at") + 1).alias("number"), "line")
+
+
 def source_files(spark: SparkSession, root: str, pattern: str = "*.lean") -> DataFrame:
-    """(path below the root, lines): whole files; a line keeps its line feed."""
+    """(path below the root, number, line) of source files."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    full = F.col("_metadata.file_path")
-    below = F.substring_index(full, root.rstrip("/") + "/", -1)
-    lines = F.filter(F.transform(F.split("value", "(?<=\n)"), lambda x: x), lambda x: x != "")
-    return files.select(below.alias("path"), lines.alias("lines"))
+    below = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/") + "/", -1)
+    return line_table(files.select(below.alias("path"), F.col("value").alias("text")))
+
 
+def package_registry(folders: DataFrame, toolchain: str | None = None) -> DataFrame:
+    """(package, folder): lower-cased last parts of folders below the root, the last of several by name; the toolchain's source folder under its name."""
+    name = F.lower(F.element_at(F.split(F.rtrim(F.col("folder"), F.lit("/")), "/"), -1))
+    known = folders.select(name.alias("package"), F.rtrim(F.col("folder"), F.lit("/")).alias("folder"))
+    if toolchain is not None:
+        spark = folders.sparkSession
+        known = known.where(F.col("package") != text.TOOLCHAIN).unionByName(spark.createDataFrame([(text.TOOLCHAIN, toolchain.rstrip("/"))], "package string, folder string"))
+    return known.groupBy("package").agg(F.max("folder").alias("folder"))
 
-def line_range(lines: Column, start: Column, end: Column) -> Column:
-    """Lines from start to end (1-based); null out of bounds. A text that starts with an attribute goes on, line by line,
-    to the first line with which it has a declaration's mark, or to the file's end, without white space at its end."""
-    inside = (start <= F.size(lines)) & (end <= F.size(lines)) & (start >= 1) & (end >= start)
-    own = F.array_join(F.slice(lines, start, end - start + 1), "")
-    marked = lambda s: F.exists(F.array(*map(F.lit, DECLARATION_MARKS)), lambda m: F.contains(s, m))
-    # a mark may stand across the join of lines, so each longer text is looked at whole
-    more = F.filter(F.sequence(end + 1, F.size(lines)), lambda e: marked(F.array_join(F.slice(lines, start, e - start + 1), "")))
-    last = F.when(end >= F.size(lines), end).otherwise(F.coalesce(F.get(more, F.lit(0)), F.size(lines)))
-    longer = F.regexp_replace(F.array_join(F.slice(lines, start, last - start + 1), ""), r"(?U)\s+$", "")
-    return F.when(inside, F.when(F.regexp_replace(own, r"(?U)^\s+", "").startswith("@["), longer).otherwise(own))
+
+def spans(ranges: DataFrame, lines: DataFrame, block: int = BLOCK_LINES) -> DataFrame:
+    """(all columns of ranges, text): the lines from ``first`` to ``last`` of each (key, path, first, last), joined.
+
+    A range join over blocks of lines: a range meets only the blocks that it touches, so neither a file's lines meet all
+    of its ranges, nor do they all come to one task.
+    """
+    block_of = lambda c: F.floor(F.col(c) / block)
+    asked = ranges.select("key", "path", "first", "last", F.explode(F.sequence(block_of("first"), block_of("last"))).alias("block"))
+    near = lines.withColumn("block", block_of("number"))
+    met = asked.join(near, ["path", "block"]).where("number between first and last")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "")
+    return ranges.join(met.groupBy("key").agg(joined.alias("text")), "key", "left")
+
+
+def marked_lines(lines: DataFrame) -> DataFrame:
+    """The lines with a declaration's mark; no mark goes over a line's end."""
+    return lines.where(reduce(Column.__or__, (F.contains("line", F.lit(m)) for m in DECLARATION_MARKS)))
+
+
+def line_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, source_text) of each (key, path, first, last), 1-based; null out of bounds.
+
+    A text that starts with an attribute goes on to the first later line with which it has a declaration's mark (the next
+    line, if it has one already), or to the file's end, and loses white space at its end. Of such texts' files only, marked
+    lines and ranges are sorted together, and each range takes the next mark: linear in the file.
+    """
+    sizes = lines.groupBy("path").agg(F.max("number").alias("size"))
+    inside = ranges.join(sizes, "path").where("first >= 1 and last >= first and last <= size").select("key", "path", "first", "last", "size")
+    own = stored(spans(inside, lines))
+    attribute = F.regexp_replace("text", r"(?U)^\s+", "").startswith("@[")
+    open_ = own.where(attribute & (F.col("last") < F.col("size")))
+    has = reduce(Column.__or__, (F.contains("text", F.lit(m)) for m in DECLARATION_MARKS))
+    some = lines.join(open_.select("path").distinct(), "path", "left_semi")
+    places = open_.where(~has).select("path", F.col("last").alias("number"), "key").unionByName(marked_lines(some).select("path", "number", F.lit(None).cast(ranges.schema["key"].dataType).alias("key")))
+    # from the file's end backwards, ranges before a mark in the line where they end: the last mark seen is the next one
+    w = Window.partitionBy("path").orderBy(F.col("number").desc(), F.col("key").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    nexts = places.withColumn("mark", F.last(F.when(F.col("key").isNull(), F.col("number")), ignorenulls=True).over(w)).where("key is not null").select("key", "mark")
+    until = open_.join(nexts, "key", "left").select("key", "path", (F.col("last") + 1).alias("first"), F.when(has, F.col("last") + 1).otherwise(F.coalesce("mark", "size")).alias("last"))
+    more = spans(until, some).select("key", F.col("text").alias("more"))
+    whole = F.concat("text", F.coalesce("more", F.lit("")))
+    return own.join(more, "key", "left").select("key", F.when(attribute, F.regexp_replace(whole, r"(?U)\s+$", "")).otherwise(F.col("text")).alias("source_text"))
 
 
 def resolve_sources(links: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
     """(source_link, path): the first candidate place that exists, by priority.
 
-    links (source_link); packages (package, folder): where each package lies below the root; files (path). Candidates are
-    the package under its variants, then the root itself, then any package.
+    links (source_link); packages (package, folder), a ``package_registry``; files (path). Candidates are the package under
+    its variants, then the root itself, then any package's folder.
     """
     parts = links.select("source_link").distinct().withColumn("p", text.link_parts(F.col("source_link"))).where("p is not null")
-    wanted = parts.select("source_link", text.rebased_path(F.col("p.package"), F.col("p.path")).alias("tail"), F.posexplode(text.package_variants(F.col("p.package"))).alias("priority", "package"))
-    named = wanted.join(small(packages), "package").select("source_link", "priority", F.concat_ws("/", "folder", "tail").alias("path"))
+    wanted = parts.select("source_link", F.col("p.path").alias("tail"), F.posexplode(text.package_variants(F.col("p.package"))).alias("priority", "package"))
+    named = wanted.join(small(packages), "package").select("source_link", "priority", text.path_in_package(F.col("package"), F.col("folder"), F.col("tail")).alias("path"))
     rest = wanted.select("source_link", "tail").distinct()
     root = rest.select("source_link", F.lit(100).alias("priority"), F.col("tail").alias("path"))
     # any package: each file's folders above it meet the packages' folders, and what is below them the tails
+    known = stored(files.select("path").distinct())
     steps = F.split("path", "/")
     cut = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), "/").alias("folder"), F.array_join(F.slice(steps, k + 1, F.size(steps)), "/").alias("tail")))
-    below = files.select("path").distinct().where(F.size(steps) > 1).select("path", F.inline(cut)).join(packages.select("folder").distinct(), "folder")
+    below = known.where(F.size(steps) > 1).select("path", F.inline(cut)).join(small(packages.select("folder").distinct()), "folder")
     anywhere = rest.join(below, "tail").select("source_link", F.lit(101).alias("priority"), "path")
-    found = named.unionByName(root).unionByName(anywhere).join(files.select("path").distinct(), "path", "left_semi")
+    found = named.unionByName(root).unionByName(anywhere).join(known, "path", "left_semi")
     return found.groupBy("source_link").agg(F.min_by("path", F.struct("priority", "path")).alias("path"))
 
 
-def read_sources(links: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
-    """(source_link, source_text); null where the file or its lines aren't there."""
-    places = resolve_sources(links, packages, files)
-    met = links.select("source_link").distinct().join(places, "source_link", "left").join(files, "path", "left")
+def read_sources(links: DataFrame, packages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(source_link, source_text); null where the file or its lines aren't there. lines (path, number, line)."""
+    places = resolve_sources(links, packages, lines)
     p = text.link_parts(F.col("source_link"))
-    return met.select("source_link", line_range(F.col("lines"), p["line_start"].cast("int"), p["line_end"].cast("int")).alias("source_text"))
+    ranges = stored(places.select(F.col("source_link").alias("key"), "path", p["line_start"].alias("first"), p["line_end"].alias("last")))
+    own = line_ranges(ranges, lines).withColumnRenamed("key", "source_link")
+    return links.select("source_link").distinct().join(own, "source_link", "left")
 
 
 # snapshots

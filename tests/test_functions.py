@@ -58,7 +58,9 @@ def test_small_functions(spark):
     assert (p["package"], p["path"], p["line_start"], p["line_end"]) == ("pkg-4", "src/lean/A/B.lean", 3, 9)
     assert one(spark, text.link_parts(X), "nothing") is None
     assert one(spark, text.package_variants(X), "Some-Pkg4") == ["some-pkg4", "some-pkg", "somepkg4"]
-    assert one(spark, text.rebased_path(F.lit("lean4"), X), "src/lean/Init/A.lean") == "Init/A.lean"
+    place = lambda p, f: (one(spark, text.path_in_package(F.lit(p), F.lit(f), X), "src/lean/A.lean"), one(spark, text.path_in_package(F.lit(p), F.lit(f), X), "src/lake/A.lean"), one(spark, text.path_in_package(F.lit(p), F.lit(f), X), "src/A.lean"))
+    assert place("lean4", "t/src/lean") == ("t/src/lean/A.lean", "t/src/lake/A.lean", "t/src/lean/A.lean")
+    assert place("lean4", "lean") == ("lean/A.lean", "lake/A.lean", "lean/A.lean") and place("x", "x") == ("x/src/lean/A.lean", "x/src/lake/A.lean", "x/src/A.lean")
     assert one(spark, text.shortened(X), "x" * 300) == "x" * 253 + "..." and one(spark, text.shortened(X), "x" * 256) == "x" * 256
     assert one(spark, text.trimmed(X), "  \t a b\n") == "a b" and one(spark, text.trimmed(X), " \n") is None
     assert one(spark, text.is_blank(X), "  ") and not one(spark, text.is_blank(X), " a")

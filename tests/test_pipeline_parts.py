@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import sqlite3
 
 import pytest
@@ -113,16 +114,51 @@ def test_sqlite_to_declarations(spark, database, tmp_path):
     (root / "pkg" / "M").mkdir(parents=True)
     (root / "pkg" / "M" / "A.lean").write_text("one\n@[simp]\nlater\n def f := 1\nend\n")
     source = files.source_files(spark, str(root))
-    found = files.read_sources(rows.where("skip_reason is null"), spark.createDataFrame([("pkg", "pkg")], "package string, folder string"), source)
+    found = files.read_sources(rows.where("skip_reason is null"), files.package_registry(spark.createDataFrame([("pkg",)], "folder string")), source)
     got = {r["name"]: r for r in ingest.to_declarations(rows, found).collect()}
     assert got["f"]["source_text"] == "@[simp]\nlater\n def f := 1" and got["f"]["dependencies"] == ["Nat.add"] and got["f"]["docstring"] == "doc"
     assert got["c"]["source_text"] is None and got["c"]["source_link"].endswith("/blob/master/src/lean/Init/C.lean#L1-L2")
 
 
-def test_line_range(spark):
-    lines = F.array(*(F.lit(x) for x in ("a\n", "b\n", "c")))
-    get = lambda a, b: spark.range(1).select(files.line_range(lines, F.lit(a), F.lit(b)).alias("x")).first()["x"]
-    assert get(1, 2) == "a\nb\n" and get(3, 3) == "c" and get(2, 4) is None
+def test_line_ranges(spark):
+    """Against a reading line by line: bounds, attributes, marks before, in and behind the range, and no mark at all."""
+    rng = random.Random(2)
+    pool = ["@[simp]", "plain", "  @[a, b]", " def f", "x := y", "", "theorem t", "a lemma b ", " lemma c"]
+    texts = {f"f{i}": "\n".join(rng.choices(pool, k=rng.choice([0, 1, 2, 5, 300]))) + rng.choice(["", "\n", "\r\n", "\r"]) for i in range(12)}
+    lines = files.line_table(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    asked = [(k, f"f{rng.randrange(13)}", a := rng.randrange(0, 8) if k % 3 else rng.randrange(0, 310), a + rng.randrange(-1, 3)) for k in range(300)]
+
+    def by_hand(path, first, last):
+        own = texts.get(path, "").replace("\r\n", "\n").replace("\r", "\n").splitlines(keepends=True)
+        if not 1 <= first <= last <= len(own):
+            return None
+        out = "".join(own[first - 1 : last])
+        if not out.strip().startswith("@["):
+            return out
+        while last < len(own):
+            last += 1
+            if any(m in "".join(own[first - 1 : last]) for m in files.DECLARATION_MARKS):
+                break
+        return "".join(own[first - 1 : last]).rstrip()
+
+    got = {r["key"]: r["source_text"] for r in files.line_ranges(spark.createDataFrame(asked, "key int, path string, first long, last long"), lines).collect()}
+    assert {k: got.get(k) for k, *_ in asked} == {k: by_hand(*x) for k, *x in asked}
+
+
+def test_source_folders(spark, tmp_path):
+    """Packages are found whatever their folders' case, before any other package; the toolchain's folders are rebased."""
+    for place in ("Aaa/A/B", "Mathlib/A/B", "Mathlib/Only", "pkg4/X", "chain/src/lean/Init/P", "chain/src/lake/Lake/Q", "chain/src/lean/R", "Root", "Aaa/Some"):
+        (tmp_path / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{place}.lean").write_text(f"{place}\n")
+    lines = files.source_files(spark, str(tmp_path))
+    registry = files.package_registry(spark.createDataFrame([("Aaa",), ("Mathlib",), ("pkg4",)], "folder string"), "chain/src/lean/")
+    assert {r["package"]: r["folder"] for r in registry.collect()} == {"aaa": "Aaa", "mathlib": "Mathlib", "pkg4": "pkg4", "lean4": "chain/src/lean"}
+    at = {("Mathlib", "A/B"): "Mathlib/A/B", ("mathlib4", "A/B"): "Mathlib/A/B", ("Aaa", "A/B"): "Aaa/A/B", ("other", "Only"): "Mathlib/Only", ("pkg-4", "X"): "pkg4/X", ("any", "A/B"): "Aaa/A/B", ("any", "Root"): "Root", ("any", "None"): None,
+          ("lean4", "src/lean/Init/P"): "chain/src/lean/Init/P", ("Lean4", "src/lake/Lake/Q"): "chain/src/lake/Lake/Q", ("lean4", "src/R"): "chain/src/lean/R", ("lean4", "Some"): "Aaa/Some"}
+    link = lambda p, f: f"https://github.com/o/{p}/blob/main/{f}.lean#L1-L1"
+    links = spark.createDataFrame([(link(*x),) for x in at], "source_link string")
+    got = {r["source_link"]: r["source_text"] for r in files.read_sources(links, registry, lines).collect()}
+    assert got == {link(*x): want and f"{want}\n" for x, want in at.items()}
 
 
 def test_json_modules(spark, tmp_path):
