@@ -7,8 +7,9 @@ five words or more) first occurs earlier. Earlier: smaller (doc id, line number)
 * Equal lines meet in one aggregation, partly done before its shuffle; only its one row a line goes on.
 * Two lines within one edit have equal first or equal last words (a quarter of the line or more), so lines that share
   neither with another line need no neighbourhood, and others none of the shared side. That leaves out nothing.
-* The others emit themselves and every text with one word deleted as hashed keys; of lines of ``LONG`` words or more, keys
-  are running sums (xor) of the hashes of words and places, before a word and behind it, so no line is built for each word. Equal keys join: the same word
+* The others emit themselves and every text with one word deleted as hashed keys; of lines of ``LONG`` words or more, a key
+  is the xor of the other words' hashes with their places, put together from sums over blocks of words, so no line is built
+  for each word: a line of n words costs n times its root. Equal keys join: the same word
   position deleted on both sides is a substitution, a whole line that equals a deletion is an insertion. A group's
   members are each compared with its earliest member only, which is all that "an earlier one exists" needs: no pairs
   within a group are made. The matched texts are then compared, so a hash collision can't remove a line.
@@ -19,9 +20,9 @@ treated alike; the text of a document that loses all lines is empty; extra colum
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpoint
@@ -31,7 +32,7 @@ LEAST_WORDS = 5
 BROADCAST_ROWS = 1_000_000
 #: A line is common if its occurrences are more than one in so many of all; there can't be more common lines than that.
 COMMON = 10_000
-#: Lines of so many words or more get their deletions' keys from running sums over exploded words, in linear time.
+#: Lines of so many words or more get their deletions' keys from sums over blocks of words.
 LONG = 512
 
 
@@ -72,20 +73,42 @@ def half_keys(line: Column, n: Column) -> Column:
     return F.when(h == _half(n - 1), both(h)).otherwise(F.concat(both(h), both(F.floor(h / 2).cast("int"))))
 
 
-def _place_hashes(line: Column) -> Column:
-    """Xor of the hashes of all words with their places."""
-    return F.aggregate(F.transform(F.split(line, " "), lambda w, j: F.xxhash64(w, j)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value bound to a variable, computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def long_keys(lines: DataFrame) -> DataFrame:
-    """(seq, v, i) of long lines (seq, line, begin, end): for each of these places, the xor of the other words' hashes with their places."""
-    words = lines.select("seq", "begin", "end", F.posexplode(F.split("line", " ")).alias("i", "word"))
-    here, moved = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    line = Window.partitionBy("seq")
-    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = words.withColumns({"here": here, "moved": moved}).select("seq", "begin", "end", "i", "here", F.bit_xor("here").over(before).alias("head"), F.bit_xor("moved").over(before).alias("passed"), F.bit_xor("moved").over(line).alias("all"))
-    xor = lambda *c: reduce(Column.bitwiseXOR, map(F.col, c))
-    return sums.where("i between begin and end").select("seq", xor("head", "here", "all", "passed").alias("v"), "i")
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _place_hashes(line: Column, moved: int = 0) -> Column:
+    """The hash of each word with its place."""
+    return F.transform(F.split(line, " "), lambda w, j: F.xxhash64(w, j - F.lit(moved)))
+
+
+def long_keys(line: Column, n: Column, begin: Column, end: Column) -> Column:
+    """(v, i) for each of the line's places i from begin to end: the xor of the other words' hashes with their places without it."""
+    size = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), f)
+
+    def keys(h: Column, sums: Column, reach: Column) -> Column:
+        def key(i: Column) -> Column:
+            b = F.floor(i / size).cast("int")
+            own = _xor(F.slice(h["here"], b * size + 1, i - b * size)).bitwiseXOR(_xor(F.slice(h["moved"], i + 2, (b + 1) * size - i - 1)))
+            return F.struct(own.bitwiseXOR(F.get(reach["before"], b)).bitwiseXOR(F.get(reach["behind"], b)).alias("v"), i.alias("i"))
+
+        return F.transform(F.sequence(begin, end), key)
+
+    def reaching(s: Column) -> Column:
+        return F.struct(each(lambda b: _xor(F.slice(s["here"], F.lit(1), b))).alias("before"), each(lambda b: _xor(F.slice(s["moved"], b + 2, n))).alias("behind"))
+
+    def blocks(h: Column) -> Column:
+        sums = lambda c: each(lambda b: _xor(F.slice(h[c], b * size + 1, size))).alias(c)
+        return F.struct(sums("here"), sums("moved"))
+
+    hashes = F.struct(_place_hashes(line).alias("here"), _place_hashes(line, 1).alias("moved"))
+    return _let(hashes, lambda h: _let(blocks(h), lambda s: _let(reaching(s), lambda r: keys(h, s, r))))
 
 
 def _fit(df: DataFrame) -> DataFrame:
@@ -111,11 +134,10 @@ def near_lines(lines: DataFrame, firsts: DataFrame, least_words: int = LEAST_WOR
     begin, end = F.when(F.col("high") == 0, h).otherwise(0), F.when(F.col("low") == 1, n - h - 1).otherwise(n - 1)
     deleted = F.transform(F.sequence(begin, end), lambda i: F.struct(F.xxhash64(_without(line, n, i)).alias("v"), i.alias("i")))
     whole = F.array(F.struct(F.xxhash64(line).alias("v"), F.lit(-1).alias("i")))
-    short = lines_.where(n < LONG).select("seq", F.explode(F.concat(whole, deleted)).alias("x")).select("seq", "x.v", "x.i")
+    long_whole = F.array(F.struct(_xor(_place_hashes(line)).alias("v"), F.lit(-1).alias("i")))
     # a line of one word less than a long one can be a deletion of it
-    longer = lines_.where(n >= LONG - 1).select("seq", _place_hashes(line).alias("v"), F.lit(-1).alias("i"))
-    long_ = long_keys(lines_.where(n >= LONG).select("seq", "line", begin.alias("begin"), end.alias("end")))
-    keys = checkpoint(short.unionByName(longer).unionByName(long_))
+    every = F.when(n < LONG - 1, F.concat(whole, deleted)).when(n < LONG, F.concat(whole, long_whole, deleted)).otherwise(F.concat(long_whole, long_keys(line, n, begin, end)))
+    keys = checkpoint(lines_.select("seq", F.explode(every).alias("x")).select("seq", "x.v", "x.i"))
     groups = checkpoint(keys.groupBy("v", "i").agg(F.min("seq").alias("e"), F.count(F.lit(1)).alias("k")))
     # substitutions: the same position deleted on both sides
     same = checkpoint(groups.where("k > 1 and i >= 0").select("v", "i", F.col("e").alias("p"), F.col("i").alias("j")), narrow=True)
