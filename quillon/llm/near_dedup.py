@@ -4,12 +4,14 @@
    representative is its least id; only representatives go on.
 2. Bands of compressed registers are hashed; each representative meets the least one of each of its bands. Pairs that
    the collision-corrected estimate can't rule out (a margin of several standard errors) are confirmed on full sets.
-3. Bands that still hold several components are compared inside, sketch with sketch in blocks, across components only.
-   What passes the estimate is confirmed on full sets as well. So no link is lost by comparing with the least member only,
-   and no group's pairs are emitted.
+3. Bands that still hold several components are compared inside, in cells of blocks, across components only: sketch with
+   sketch first, and what passes the estimate on full sets, which a cell gets once for each member. A link that is found
+   makes one component of two at once, so a cell emits a spanning forest: no link is lost by comparing with the least
+   member only, and no pairs leave a cell, whether they are linked or fall short by little.
 4. Components of the confirmed links give each document the least id reachable.
 
-A band of more than ``BLOCK`` members is dealt into pairs of blocks, one task's group each, so no group is unbounded.
+A band of more than ``BLOCK`` members, or of more than ``SHINGLES`` shingles for each block, is dealt into pairs of blocks, one
+task's group each, so no group is unbounded.
 
 Defined results: without words or text the set is empty and linked with nothing; rows of equal id are one node, whatever
 their texts: the links of each are the links of all, and all have one component; a row without id is linked with nothing,
@@ -33,6 +35,8 @@ from quillon.llm.components import components
 PERCENT, MARGIN = 85, 4.0
 #: Members of a band that one group may compare.
 BLOCK = 1500
+#: Shingles of a block, about.
+SHINGLES = 1 << 20
 #: Bytes of text that are sketched at a time.
 PIECE = 1 << 20
 #: Rows of ids that may be broadcast to fetch texts; beyond, it is a shuffled join.
@@ -79,11 +83,9 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int, margin: float) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets are similar enough."""
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hashes): the shingle sets of the rows of these ids, as sorted 64-bit hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    pairs = checkpoint(pairs.distinct(), narrow=True)
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(wanted) if few else wanted, "id", "left_semi").distinct()
 
@@ -94,7 +96,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
         return run
 
-    sets = checkpoint(map_pieces(texts, "text", make, f"id {kind}, hashes binary"), narrow=True)
+    return checkpoint(map_pieces(texts, "text", make, f"id {kind}, hashes binary"), narrow=True)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The (a, b) pairs whose full shingle sets are similar enough."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    pairs = checkpoint(pairs.distinct(), narrow=True)
+    sets = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, None, 16 << 20):
@@ -112,30 +121,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, per
 
 
 def _across(group: pa.Table, percent: int, margin: float) -> pa.Table:
-    """Pairs of a band's members of different components that pass the estimate, each in the first band that it shares."""
+    """A spanning forest of the links between a cell's members of different components, each pair looked at in the first band that it shares."""
     band = group["band"][0].as_py()
     ids, comps = group["id"].combine_chunks(), np.unique(np.asarray(group["component"].combine_chunks().dictionary_encode().indices), return_inverse=True)[1]
     blocks = np.asarray(group["block"])
-    n = np.asarray(group["n"]).astype(float)
-    regs = hmh.unpacked(group["sketch"].to_pylist())
-    left, right, keys = [], [], None
+    sets = [np.frombuffer(x, np.uint64) for x in group["hashes"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    offsets = np.r_[0, np.cumsum(sizes)]
+    every = np.concatenate(sets)
+    regs, code = hmh.registers(offsets, every), np.unique(every, return_inverse=True)[1]
+    keys, own = None, np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+    left, right = [], []
     first, last = blocks.min(), blocks.max()
-    rows = np.nonzero(blocks == first)[0]
-    order = np.argsort(n, kind="stable")
-    sizes = n[order]
-    for i in rows:
-        a, b = np.searchsorted(sizes, [n[i] * percent / 100 - 1, n[i] * 100 / percent + 1])
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    for i in np.nonzero(blocks == first)[0]:
+        a, b = np.searchsorted(ordered, [sizes[i] * percent / 100 - 1, sizes[i] * 100 / percent + 1])
         other = order[a:b]
         other = other[(comps[other] != comps[i]) & ((blocks[other] == last) if first != last else (other > i))]
         if len(other):
-            j, error = hmh.estimate(regs[i][None], regs[other], n[i], n[other])
+            j, error = hmh.estimate(regs[i][None], regs[other], float(sizes[i]), sizes[other].astype(float))
             other = other[j + margin * error >= percent / 100]
         if len(other):
             keys = hmh.band_keys(regs) if keys is None else keys
             other = other[keys[i][(keys[i] == keys[other]).argmax(1)] == band]
-            left.append(np.full(len(other), i))
-            right.append(other)
-    take = lambda x: ids.take(pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+        if len(other):
+            own[code[offsets[i] : offsets[i + 1]]] = True
+            # the others' shingles one set after another
+            ends = np.cumsum(sizes[other])
+            at = np.repeat(offsets[other] - (ends - sizes[other]), sizes[other]) + np.arange(ends[-1])
+            same = np.add.reduceat(own[code[at]].astype(np.int64), ends - sizes[other])
+            own[code[offsets[i] : offsets[i + 1]]] = False
+            for o in other[100 * same >= percent * (sizes[i] + sizes[other] - same)]:
+                if comps[o] != comps[i]:
+                    left.append(i)
+                    right.append(o)
+                    comps[comps == comps[o]] = comps[i]
+    take = lambda x: ids.take(pa.array(np.array(x, np.int64)))
     return pa.table([take(left), take(right)], names=["a", "b"])
 
 
@@ -154,9 +176,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = linked.select("id", "k1", "k2").distinct()
     ties = own.join(F.broadcast(several) if torn <= BROADCAST_ROWS else several, "id", "left_semi").join(classes, ["k1", "k2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
 
-    bands = reps.select("id", F.explode("bands").alias("band"))
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = checkpoint(bands.join(heads, "band").select("band", "id", "head", "k"))
+    bands = reps.select("id", "n", F.explode("bands").alias("band"))
+    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles")).where("k > 1")
+    met = checkpoint(bands.join(heads, "band").select("band", "id", "head", "k", "shingles"))
     stars = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = confirmed(plausible(stars, reps, percent, margin), docs, id_col, text_col, percent)
     if torn:
@@ -165,17 +187,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     told = met.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = told.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    parts = F.ceil(F.col("k") / block).cast("int")
+    parts = F.greatest(F.ceil(F.col("k") / block), F.least(F.ceil(F.col("shingles") / SHINGLES), F.col("k"))).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    members = told.join(mixed, "band", "left_semi").withColumn("parts", parts).withColumn("own", own).select("band", "id", "component", F.col("own").alias("block"), F.explode(F.array_distinct(cells)).alias("cell"))
-    rows = members.join(reps.select("id", "n", "sketch"), "id").select("band", "cell.i", "cell.j", "id", "component", "block", "n", "sketch")
+    told = checkpoint(told.join(mixed, "band", "left_semi"), narrow=True)
+    sets = full_sets(told.select("id").distinct(), docs, id_col, text_col)
+    members = told.withColumn("parts", parts).withColumn("own", own).select("band", "id", "component", F.col("own").alias("block"), F.explode(F.array_distinct(cells)).alias("cell"))
+    rows = members.join(sets.where(F.length("hashes") > 0), "id").select("band", "cell.i", "cell.j", "id", "component", "block", "hashes")
 
     def across(group: pa.Table) -> pa.Table:
         return _across(group, percent, margin)
 
     more = rows.groupBy("band", "i", "j").applyInArrow(across, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(confirmed(more, docs, id_col, text_col, percent))
+    links = links.unionByName(checkpoint(more.distinct(), narrow=True))
     final = components(links)
 
     out = every.select("id", "n", "k1", "k2").join(classes, (every["k1"] == classes["k1"]) & (every["k2"] == classes["k2"]) & (every["n"] > 0) & every["id"].isNotNull(), "left").select("id", "n", "rep")

@@ -533,6 +533,24 @@ def near_texts(seed=2):
     return texts + [" ".join(short), " ".join(short).upper(), " ".join(short[:-1]), "a b c", "A B  c", "a b", "", " \n", *(" ".join(word() for _ in range(40)) for _ in range(10))]
 
 
+def test_cells_emit_spanning_links_only():
+    """Many documents just under the bound leave no pair; linked ones leave one link a member less at most, however many pairs there are."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    common = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    for own, links in ((50, 0), (40, 119)):  # similarities of 0.833 and 0.862
+        sets = [np.sort(np.r_[common, rng.integers(0, 1 << 63, own).astype(np.uint64)]) for _ in range(120)]
+        keys = hmh.band_keys(hmh.registers(np.arange(121) * (500 + own), np.concatenate(sets)))
+        found = []
+        for band in np.unique(keys):
+            at = np.nonzero((keys == band).any(1))[0]
+            cell = pa.table({"band": [int(band)] * len(at), "id": at, "component": at, "block": [0] * len(at), "hashes": [sets[i].tobytes() for i in at]})
+            found += [len(near_dedup._across(cell, 85, 4.0))]
+            assert found[-1] < len(at)
+        assert (sum(found) == 0) if not links else sum(found) >= links
+
+
 @pytest.mark.parametrize("block", [1500, 8])
 def test_near_duplicates_brute_force(spark, block):
     texts = near_texts()

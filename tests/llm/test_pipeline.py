@@ -43,8 +43,8 @@ def brute_votes(model, texts):
         count.update(map(place, quality.repeat_marks(parts)))
         v = sum((math.log1p(n) * model.axes[p].astype(float) for p, n in count.items()), np.zeros(model.axes.shape[1]))
         length = math.sqrt(v @ v)
-        near = sorted(((float(x @ v) / length, y) for x, y in zip(model.vectors.astype(float), model.labels)), reverse=True)[: model.neighbours] if length else []
-        weight = [(max(s, 0) ** 2, y) for s, y in near]
+        near = sorted(((float(x @ v) / length, y) for x, y in zip(model.vectors.astype(float), model.labels)), reverse=True) if length else []
+        weight = [(max(s, 0), y) for s, y in near if s >= near[min(model.neighbours, len(near)) - 1][0] - quality.TIE]
         total = sum(w for w, _ in weight)
         out.append(sum(w * y for w, y in weight) / total if total > 1e-9 else model.labels.mean())
     return out
