@@ -6,20 +6,22 @@ dependency lists, embeddings for vectors, labels for what has been enriched befo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.functions import scoring, text, udfs
 from quillon.functions import vectors as V
 from quillon.operators import enrich, graph, ingest, lexical, ranking, semantic
-from quillon.operators.storage import kept_path, stored
+from quillon.operators.storage import checkpoint_root, kept_path, stored
 from quillon.plans import extract
 from quillon.plans.search import SearchEngine
 from quillon.schema import DECLARATION
 from quillon.sources import files
-from quillon.streaming import rates
+from quillon.streaming import rates, resumable, trailing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -668,13 +670,53 @@ def session_counts(spark, d):
     return rows.select("user_id", F.unix_micros("start").alias("start"), "events")
 
 
+def _arriving(spark, d, name):
+    """A table's files as a stream."""
+    schema = read(spark, d, name).schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+
+
+def _streamed(rows, keep=None):
+    """What a stream writes of all that is there: files in the shared folder, read back."""
+    spark = rows.sparkSession
+    path = f"{checkpoint_root(rows)}/{uuid.uuid4().hex}"
+    out = rows.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if keep is None:
+        out.format("parquet").start(f"{path}/out").awaitTermination()
+    else:  # the last state of complete results
+        out.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
 @query(_HOURS)
 def stream_windows(spark, d):
     """The same counts by a stream that reads what is there and stops."""
-    schema = read(spark, d, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    name = f"stream_windows_{abs(hash(d))}"
-    counts = rates.windowed_counts(source, "1 hour", keys=["event_type"], value="value")
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return _hours(spark.table(name))
+    counts = rates.windowed_counts(_arriving(spark, d, "events"), "1 hour", keys=["event_type"], value="value")
+    return _hours(_streamed(counts, "all"))
+
+
+@query("""
+SELECT event_id, count(*) OVER w AS in_window, round(count(*) OVER w / nullif(epoch_us(ts) - min(epoch_us(ts)) OVER w, 0) * 1000000, 6) AS per_second
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)""")
+def stream_rolling_rate(spark, d):
+    """The trailing window's count and rate by a stream with keyed state and timers."""
+    was = spark.conf.get(trailing.STATE_STORE[0])
+    spark.conf.set(*trailing.STATE_STORE)
+    try:
+        found = _streamed(trailing.trailing_stream(_arriving(spark, d, "events"), 60, ["event_type"]))
+    finally:
+        spark.conf.set(trailing.STATE_STORE[0], was)
+    return found.select("event_id", "in_window", r6("per_second").alias("per_second"))
+
+
+@query("SELECT event_type, user_id, 'v' || event_type || '-' || user_id AS value FROM (SELECT DISTINCT event_type, user_id FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL)")
+def stream_enrich(spark, d):
+    """Values for all arriving keys, each generated once, though the second run of the stream reads everything again."""
+    events = _arriving(spark, d, "events").select("event_type", "user_id")
+    path = f"{checkpoint_root(events)}/{uuid.uuid4().hex}"
+    made = lambda rows: rows.withColumn("value", F.concat(F.lit("v"), "event_type", F.lit("-"), "user_id"))
+    for run in ("a", "b"):
+        resumable.enrich_stream(events, f"{path}/cache", ["event_type", "user_id"], "value", made, f"{path}/{run}").awaitTermination()
+    schema = StructType([events.schema["event_type"], events.schema["user_id"]]).add("value", "string")
+    return resumable.ResumableCache(spark, f"{path}/cache", schema, ["event_type", "user_id"]).rows()
 

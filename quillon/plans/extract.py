@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from quillon.operators.storage import stored
 from quillon.plans.search import SearchEngine
 from quillon.schema import DECLARATION
 from quillon.sources import files, sqlite
+from quillon.sources.folders import Folder
 
 
 @dataclass(frozen=True)
@@ -110,8 +109,8 @@ def run_steps(spark: SparkSession, root: str, steps: Steps, *, extracted: DataFr
     snapshots' texts and vectors are taken before any is made anew.
     """
     last, here = files.latest_snapshot(root), files.new_snapshot(root)
-    while os.path.exists(here):  # two runs within a second
-        here = files.new_snapshot(root, os.path.getmtime(here) + 1)
+    while Folder(here).exists():  # two runs within a second
+        here = files.new_snapshot(root, Folder(here).modified() + 1)
     rows = spark.read.parquet(f"{last}/declarations") if last else spark.createDataFrame([], DECLARATION)
     earlier = [f"{p}/declarations" for p in [*files.earlier_snapshots(root), *caches]]
     at = 0

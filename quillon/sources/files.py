@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text
 from quillon.operators.storage import small, stored
 from quillon.schema import JSON_MODULE
+from quillon.sources.folders import Folder
 from quillon.sources.sqlite import is_usable
 
 # What shows that a text which began with an attribute has come to its declaration.
@@ -138,7 +139,7 @@ def read_sources(links: DataFrame, packages: DataFrame, lines: DataFrame) -> Dat
     return links.select("source_link").distinct().join(own, "source_link", "left")
 
 
-# snapshots
+# snapshots, on any file system that Spark reaches
 
 _STAMP = re.compile(r"\d{8}_\d{6}$")
 COMPLETE = "_COMPLETE"
@@ -146,24 +147,23 @@ COMPLETE = "_COMPLETE"
 
 def new_snapshot(root: str, now: float | None = None) -> str:
     """The folder of a run that begins now."""
-    return os.path.join(root, time.strftime("%Y%m%d_%H%M%S", time.localtime(now)))
+    return f"{root.rstrip('/')}/" + time.strftime("%Y%m%d_%H%M%S", time.localtime(now))
 
 
 def mark_complete(path: str) -> None:
-    os.makedirs(path, exist_ok=True)
-    with open(os.path.join(path, COMPLETE), "w"):
-        pass
+    Folder(path).touch(COMPLETE)
 
 
 def latest_snapshot(root: str) -> str | None:
     """The newest complete one."""
-    names = [n for n in (os.listdir(root) if os.path.isdir(root) else []) if _STAMP.match(n) and os.path.exists(os.path.join(root, n, COMPLETE))]
-    return os.path.join(root, max(names)) if names else None
+    folder = Folder(root)
+    names = [n for n in folder.names() if _STAMP.match(n) and folder.exists(f"{n}/{COMPLETE}")]
+    return f"{folder.path}/{max(names)}" if names else None
 
 
 def earlier_snapshots(*roots: str) -> list[str]:
     """Complete snapshots of all roots in order of priority: roots as given, newest first."""
-    return [os.path.join(r, n) for r in roots if os.path.isdir(r) for n in sorted(os.listdir(r), reverse=True) if os.path.exists(os.path.join(r, n, COMPLETE))]
+    return [f"{f.path}/{n}" for f in map(Folder, roots) for n in reversed(f.names()) if f.exists(f"{n}/{COMPLETE}")]
 
 
 def readable(spark: SparkSession, paths: list[str], columns: list[str]) -> list[DataFrame]:

@@ -1,15 +1,11 @@
-"""Event rates, in batch and as a stream, and incremental enrichment of arriving rows."""
+"""Event rates and sessions; windows and sessions take streams as well."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from quillon.operators.enrich import split_by_cache
 
 
 def trailing_counts(events: DataFrame, seconds: int, keys: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -53,23 +49,3 @@ def sessions(events: DataFrame, gap: str, keys: Sequence[str], ts: str = "ts", l
     if late:
         rows = rows.withWatermark(ts, late)
     return rows.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "events")
-
-
-def enrich_stream(rows: DataFrame, cache_path: str, keys: Sequence[str], value: str, generate: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Generate values for arriving rows that the cache table hasn't, and append them to it; a rerun resumes at the checkpoint.
-
-    generate: rows to (keys, value). A batch that is run again finds its values in the cache.
-    """
-
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            cache = spark.read.parquet(cache_path)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # other failures aren't a first batch
-                raise
-            cache = spark.createDataFrame([], batch.select(*keys).schema.add(value, "string"))
-        _, misses = split_by_cache(batch.dropDuplicates(list(keys)), cache, keys, value)
-        generate(misses).select(*keys, value).write.mode("append").parquet(cache_path)
-
-    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.functions import text
 from quillon.operators import enrich, graph, ingest
@@ -15,7 +16,8 @@ from quillon.plans import extract
 from quillon.plans.search import SearchEngine, Service, hashed_vector, hashed_words
 from quillon.schema import DECLARATION
 from quillon.sources import files, sqlite
-from quillon.streaming import rates
+from quillon.sources.folders import Folder
+from quillon.streaming import rates, resumable, trailing
 
 
 def names(spark, rows):
@@ -239,14 +241,77 @@ def test_extract_steps(spark):
     assert all(sum(r["informalization_embedding"]) == 1 for r in done.collect())
 
 
-def test_stream_failures_are_not_a_first_batch(spark, tmp_path):
-    spark.range(3).withColumn("v", F.lit("x")).write.parquet(f"{tmp_path}/in")
-    (tmp_path / "cache").mkdir()
-    (tmp_path / "cache" / "part-0.parquet").write_bytes(b"broken")
+def test_killed_enrichment(spark, tmp_path):
+    """A batch that fails halfway leaves nothing that counts, and is made again; one that was logged is not."""
+    spark.range(40).withColumn("v", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("id long, v string").parquet(f"{tmp_path}/in").drop("v")
-    q = rates.enrich_stream(stream, f"{tmp_path}/cache", ["id"], "v", lambda m: m.withColumn("v", F.lit("y")), f"{tmp_path}/state")
+    cache = resumable.ResumableCache(spark, f"{tmp_path}/cache", StructType().add("id", "long").add("v", "string"), ["id"], 8)
+    asked = []
+
+    def generate(rows):
+        asked.append(rows.count())
+        return rows.withColumn("v", F.lit(f"run {len(asked)}"))
+
+    def run(fails=False, state="state"):
+        touch = Folder.touch
+        if fails:  # the rows are written, the log isn't
+            Folder.touch = lambda *_: 1 / 0
+        try:
+            resumable.enrich_stream(stream, cache.path, ["id"], "v", generate, f"{tmp_path}/{state}", 8).awaitTermination()
+        finally:
+            Folder.touch = touch
+
+    with pytest.raises(Exception):
+        run(fails=True)
+    left = Folder(cache.path, spark).matching("bucket=*/addition=0")
+    assert left and cache.log() == [] and cache.rows().count() == 0
+    run()
+    assert asked == [40, 40] and len(cache.log()) == 1 and cache.rows().groupBy("v").count().collect() == [("run 2", 40)]
+    run()  # nothing arrives
+    spark.createDataFrame([(i, None) for i in [*range(30, 50), None, 45]], "id long, v string").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert asked == [40, 40, 10] and sorted(r["id"] for r in cache.rows().collect()) == list(range(50))
+    run(state="other")  # a new stream over the same cache finds all of it
+    assert asked[3:] in ([0], [0, 0]) and cache.rows().count() == 50
+    assert "bucket" in cache.rows([3])._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("]")[0]
+    for f in Folder(cache.path, spark).matching("bucket=3/addition=*/part-*"):  # a file that can't be read is an error, not a first batch
+        (tmp_path / f.split(f"{tmp_path}/")[1]).write_bytes(b"broken")
+    spark.range(100, 140).withColumn("v", F.lit(None).cast("string")).write.mode("append").parquet(f"{tmp_path}/in")
     with pytest.raises(Exception):
+        run()
+
+
+def test_trailing_stream(spark, tmp_path):
+    """In batches that come in order, the batch operator's rows; late rows as the docstring says; state goes with the watermark."""
+    rng = random.Random(1)
+    times = sorted(rng.sample(range(20_000), 400))
+    rows = [(i, rng.choice("ab"), t, "x") for i, t in enumerate(times)]
+    schema = "id long, k string, s long, _odd string"
+    make = lambda r: spark.createDataFrame(r, schema).withColumn("ts", F.timestamp_seconds("s"))
+    was = spark.conf.get(trailing.STATE_STORE[0])
+    spark.conf.set(*trailing.STATE_STORE)
+
+    def run():
+        source = spark.readStream.schema(make(rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = trailing.trailing_stream(source, 60, ["k"], late=100).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
         q.awaitTermination()
+        return q.lastProgress
+
+    try:
+        for part in range(4):
+            make(rows[part * 100 : part * 100 + 100]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            run()
+        got = {r["id"]: (r["in_window"], r["per_second"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        want = {r["id"]: (r["in_window"], r["per_second"]) for r in rates.trailing_rates(make(rows), 60, ["k"]).collect()}
+        assert got == want
+        last = times[-1]
+        make([(900, "a", last - 50, "x"), (901, "a", last + 10_000, "x"), (902, "a", 5, "x"), (903, "b", None, "x")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        progress = run()
+        got = {r["id"]: r["in_window"] for r in spark.read.parquet(f"{tmp_path}/out").where("id >= 900").collect()}
+        assert got == {900: 1 + sum(k == "a" and last - 110 <= t <= last - 50 for _, k, t, _ in rows), 901: 1}
+        assert progress["stateOperators"][0]["numRowsTotal"] <= 12  # of some 400 events
+    finally:
+        spark.conf.set(trailing.STATE_STORE[0], was)
 
 
 def test_trailing_rates(spark):
@@ -263,7 +328,3 @@ def test_streams(spark, tmp_path):
     rates.windowed_counts(stream, "10 minutes", "5 minutes", ["k"], late="1 hour").writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start().awaitTermination()
     want = rates.windowed_counts(batch, "10 minutes", "5 minutes", ["k"])
     assert sorted(spark.table("w").collect()) == sorted(want.collect()) and want.agg(F.sum("events")).first()[0] == 180
-    for _ in range(2):
-        q = rates.enrich_stream(stream, f"{tmp_path}/cache", ["id"], "v", lambda m: m.withColumn("v", F.concat(F.lit("v"), F.col("id").cast("string"))), f"{tmp_path}/state")
-        q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/cache").count() == 90
