@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text, udfs
+from quillon.operators.storage import small
 
 
 def join_tables(names: DataFrame, ranges: DataFrame, markdown: DataFrame, verso: DataFrame, modules: DataFrame) -> DataFrame:
@@ -60,7 +61,20 @@ def union_packages(parts: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def latest_tag(tags: DataFrame) -> DataFrame:
-    """tags (repo, seq, tag): each repository's newest version-like tag, else its first."""
+    """tags (repo, seq, tag): each repository's newest version-like tag, else its first; ties go by seq, then by the tag itself."""
     like = text.is_version_tag(F.col("tag"))
-    w = Window.partitionBy("repo").orderBy(like.desc(), F.when(like, text.version_key(F.col("tag"))).desc(), "seq")
+    w = Window.partitionBy("repo").orderBy(like.desc(), F.when(like, text.version_key(F.col("tag"))).desc(), "seq", "tag")
     return tags.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("repo", "tag")
+
+
+def with_prefixes(rows: DataFrame, prefixes: DataFrame, name: str = "module") -> DataFrame:
+    """Rows whose dotted name is one of the prefixes (prefix), or goes on with a dot after one.
+
+    A name's ancestors, itself included, are met by equality, once for each distinct name: no prefix is compared with every name.
+    """
+    parts = F.split("__name", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    names = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("__name")).distinct().withColumn("__above", F.explode(above))
+    known = prefixes.where("prefix is not null").select("prefix").distinct()
+    found = names.join(small(known), F.col("__above") == F.col("prefix"), "left_semi").select("__name").distinct()
+    return rows.join(found, F.col(name) == F.col("__name"), "left_semi")

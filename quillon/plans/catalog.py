@@ -94,13 +94,19 @@ def package_filter(spark, d):
     return ranking.in_packages(rows, ["src1", "src3"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PREFIXES = ["small", "large.ring", "med"]
+_MODULES = "replace(p_name, ' ', '.') || '.' || p_type || '.' || p_brand"
 
 
-@query(f"SELECT p_partkey, m FROM (SELECT p_partkey, replace(p_name, ' ', '.') AS m FROM part) WHERE EXISTS (SELECT 1 FROM (VALUES {', '.join(f"('{p}')" for p in _PREFIXES)}) t(p) WHERE m = p OR starts_with(m, p || '.'))")
+@query(f"""
+WITH m AS (SELECT p_partkey, p_size, replace(p_name, ' ', '.') AS name, {_MODULES} AS m FROM part),
+p AS (SELECT DISTINCT m AS prefix FROM m WHERE p_size = 50 UNION SELECT DISTINCT name FROM m WHERE p_size = 1 UNION SELECT min(split_part(name, '.', 1)) FROM m)
+SELECT p_partkey, m FROM m WHERE EXISTS (SELECT 1 FROM p WHERE m = prefix OR starts_with(m, prefix || '.'))""")
 def prefix_join(spark, d):
-    rows = read(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(".")).alias("m"))
-    return rows.where(text.has_any_prefix(F.col("m"), _PREFIXES))
+    """Modules below any of a table of prefixes: whole modules, names of two parts, and one of a single part."""
+    rows = read(spark, d, "part").select("p_partkey", "p_size", F.replace("p_name", F.lit(" "), F.lit(".")).alias("name"), F.expr(_MODULES).alias("m"))
+    firsts = rows.agg(F.min(F.split_part("name", F.lit("."), F.lit(1))).alias("prefix"))
+    prefixes = rows.where("p_size = 50").select(F.col("m").alias("prefix")).unionByName(rows.where("p_size = 1").select(F.col("name").alias("prefix"))).unionByName(firsts)
+    return ingest.with_prefixes(rows, prefixes, "m").select("p_partkey", "m")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT suffix(CASE WHEN p_size % 7 = 0 THEN p_name || '.mk' ELSE p_name END, '.mk')")
@@ -428,17 +434,21 @@ def max_merge(spark, d):
 # text functions
 
 
-@query("""
-WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '--[^\\n]*', '', 'g'), '\\s+', ' ', 'g')) AS s, CASE WHEN doc_id % 2 = 0 THEN 'a.toB' ELSE 'a.to' END AS name FROM documents WHERE NOT contains(text, '/-'))
+@query(r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '/-(.|\n)*?-/|/-(.|\n)*$|--[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS s, CASE WHEN doc_id % 2 = 0 THEN 'a.toB' ELSE 'a.to' END AS name FROM documents)
 SELECT doc_id, name = 'a.toB' AND count(*) OVER (PARTITION BY s) > 1 AS generated FROM t""")
 def projection_filter(spark, d):
-    rows = read(spark, d, "documents").where(~F.contains("text", F.lit("/-"))).withColumn("name", F.when(F.col("doc_id") % 2 == 0, "a.toB").otherwise("a.to"))
-    return ingest.split_projections(rows, source="text").select("doc_id", "generated")
+    """Every text with nested comments that differ from row to row: what is counted are the texts without them."""
+    noted = F.replace("text", F.lit(". "), F.concat(F.lit(". /- note /- of -/ "), F.col("doc_id"), F.lit(" -/")))
+    rows = read(spark, d, "documents").withColumn("name", F.when(F.col("doc_id") % 2 == 0, "a.toB").otherwise("a.to")).withColumn("noted", noted)
+    return ingest.split_projections(rows, source="noted").select("doc_id", "generated")
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(html, '<!--', '/-'), '-->', '-/') || ' -- end', '/-(.|\n)*?-/|/-(.|\n)*$|--[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS stripped FROM pages""")
 def strip_comments(spark, d):
-    source = F.concat(F.lit("/- a /- b -/ c -/"), F.col("html"), F.lit(" -- end"))
+    """Pages' own comments as block comments, after a nested one, before one to the line's end."""
+    html = F.replace(F.replace("html", F.lit("<!--"), F.lit("/-")), F.lit("-->"), F.lit("-/"))
+    source = F.concat(F.lit("/- a /- b -/ c -/"), html, F.lit(" -- end"))
     return read(spark, d, "pages").select("page_id", udfs.strip_comments(source).alias("stripped"))
 
 
@@ -624,14 +634,15 @@ def in_degrees(spark, d):
     return graph.in_degrees(_graph(spark, d))
 
 
-_TAGS = [("a", 0, "nightly"), ("a", 1, "v1.2.0"), ("a", 2, "v1.2.0-rc1"), ("a", 3, "v1.1.9"), ("b", 0, "nightly"), ("b", 1, "stable"), ("c", 0, "2.0.0"), ("c", 1, "v10.0.0")]
+_TAG = "CASE WHEN l_returnflag = 'A' THEN 'nightly-' || l_linenumber ELSE CASE WHEN l_tax > 0.01 THEN 'v' ELSE '' END || CAST(l_quantity AS INT) || '.' || l_suppkey || '.' || l_linenumber || CASE WHEN l_linestatus = 'F' THEN '-rc' || l_linenumber ELSE '' END END"
 
 
-@query(rf"""WITH t(repo, seq, tag) AS (VALUES {', '.join(map(str, _TAGS))}),
+@query(rf"""WITH t AS (SELECT l_partkey AS repo, l_orderkey * 10 + l_linenumber AS seq, {_TAG} AS tag FROM lineitem),
 k AS (SELECT *, regexp_matches(tag, '^v?\d+\.\d+\.\d+') AS ok, [CAST(x AS BIGINT) FOR x IN regexp_extract_all(tag, '\d+')] AS key FROM t)
-SELECT repo, tag FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ok DESC, CASE WHEN ok THEN key END DESC, seq) AS n FROM k) WHERE n = 1""")
+SELECT repo, tag FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ok DESC, CASE WHEN ok THEN key END DESC, seq, tag) AS n FROM k) WHERE n = 1""")
 def semver_argmax(spark, d):
-    return ingest.latest_tag(spark.createDataFrame(_TAGS, "repo string, seq int, tag string"))
+    """Each part's newest tag, of those that its lines give."""
+    return ingest.latest_tag(read(spark, d, "lineitem").select(F.col("l_partkey").alias("repo"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.expr(_TAG).alias("tag")))
 
 
 # events over time
