@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.storage import stored
 
+#: Layers that are peeled by joins before the rest is dealt by connected part; edges of a part that one task peels.
+ROUNDS, PART_EDGES = 6, 1_000_000
+
 
 def edges(rows: DataFrame) -> DataFrame:
     """(name, dep): distinct edges between names of the table; outside names and self-references are left out."""
@@ -20,27 +27,91 @@ def in_degrees(rows: DataFrame) -> DataFrame:
     return rows.select("name").distinct().join(found, "name", "left").withColumn("waits", F.coalesce("waits", F.lit(0)))
 
 
-def layers(rows: DataFrame) -> DataFrame:
+def connected_parts(pairs: DataFrame) -> DataFrame:
+    """(name, part) of the names of (name, dep) edges: the least name of the connected part, whatever the edges' direction.
+
+    Each round joins every name's larger neighbours to the least of its neighbourhood, then its smaller ones: the rounds
+    grow with the logarithm of a part's size, not with the length of its chains.
+    """
+    up = stored(pairs.select(F.least("name", "dep").alias("u"), F.greatest("name", "dep").alias("v")).distinct())
+    before = None
+    while True:
+        state = up.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+        ways = up.unionByName(up.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = ways.join(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u").where("v > u and m <> v").select("m", "v").distinct()
+        least = large.groupBy("v").agg(F.min("m").alias("r"))
+        small_ = large.join(least, "v").where("m <> r").select(F.col("r").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("r").alias("u"), "v"))
+        up = stored(small_.distinct())
+    top = up.groupBy(F.col("v").alias("name")).agg(F.min("u").alias("part"))
+    return top.unionByName(top.select(F.col("part").alias("name"), "part").distinct())
+
+
+def _peeled(part: pd.DataFrame) -> pd.DataFrame:
+    """(name, layer) of a part's edges, peeled in memory; 0 for names in or behind a cycle."""
+    waits, behind = Counter(part["name"]), defaultdict(list)
+    for name, dep in zip(part["name"], part["dep"]):
+        behind[dep].append(name)
+    layer = {n: 0 for n in [*waits, *behind]}
+    ready, k = [n for n in layer if not waits[n]], 0
+    while ready:
+        k, after = k + 1, []
+        for n in ready:
+            layer[n] = k
+            for m in behind[n]:
+                waits[m] -= 1
+                if not waits[m]:
+                    after.append(m)
+        ready = after
+    return pd.DataFrame({"name": list(layer), "layer": list(layer.values())}).astype({"layer": "int32"})
+
+
+def layers(rows: DataFrame, rounds: int = ROUNDS, part_edges: int = PART_EDGES) -> DataFrame:
     """(name, layer), from 1: a name's dependencies are all in earlier layers; names in or behind a cycle are one last layer.
 
-    A round peels the names that wait for nothing: one job each, its lineage cut in the shared folder. The rounds are as
-    many as the longest chain, whatever the number of rows.
+    A round peels the names that wait for nothing: one job each, its lineage cut in the shared folder. What is left after
+    ``rounds`` of them is dealt by connected part, and a part of ``part_edges`` edges or fewer is peeled to its end in one task,
+    however long its chains; only larger parts go on by rounds, as many as their longest chain.
     """
     left = stored(edges(rows))
     names = stored(rows.select("name").distinct())
-    done, layer = None, 0
-    while True:
+    found: list[DataFrame] = []
+    layer, cyclic = 0, None
+    while not names.isEmpty():
+        if layer == rounds:
+            parts = stored(connected_parts(left))
+            tagged = left.join(parts, "name")
+            sizes = tagged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+            fit = sizes.where(F.col("k") <= part_edges).select("part")
+            inside = stored(tagged.join(fit, "part", "left_semi").groupBy("part").applyInPandas(lambda part: _peeled(part), "name string, layer int"))
+            found.append(inside.where("layer > 0").select("name", (F.col("layer") + layer).alias("layer")))
+            # a name without an edge left waits for nothing
+            alone = names.join(parts.select("name"), "name", "left_anti")
+            found.append(alone.withColumn("layer", F.lit(layer + 1)))
+            cyclic = inside.where("layer = 0").select("name")
+            large = parts.join(fit, "part", "left_anti").select("name")
+            names = stored(names.join(large, "name", "left_semi"))
+            left = stored(left.join(large, "name", "left_semi"))
+            if names.isEmpty():
+                break
         layer += 1
         ready = stored(names.join(left.select("name").distinct(), "name", "left_anti"))
-        stuck = ready.isEmpty()
-        found = (names if stuck else ready).withColumn("layer", F.lit(layer))
-        done = found if done is None else done.unionByName(found)
-        if stuck:
-            return done
+        if ready.isEmpty():
+            cyclic = names if cyclic is None else cyclic.unionByName(names)
+            break
+        found.append(ready.withColumn("layer", F.lit(layer)))
         names = stored(names.join(ready, "name", "left_anti"))
-        if names.isEmpty():
-            return done
         left = stored(left.join(ready.select(F.col("name").alias("dep")), "dep", "left_anti").select("name", "dep"))
+    if not found and cyclic is None:
+        return names.withColumn("layer", F.lit(1))
+    done = reduce(DataFrame.unionByName, found) if found else None
+    if cyclic is None or cyclic.isEmpty():
+        return done
+    last = (done.agg(F.max("layer")).first()[0] or 0) if done is not None else 0
+    behind = cyclic.withColumn("layer", F.lit(last + 1))
+    return behind if done is None else done.unionByName(behind)
 
 
 def topological(names: dict[str, list[str]]) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -10,6 +11,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,7 +87,7 @@ def remote_search(queries: DataFrame, client: RemoteClient, limit: int = 20, pac
                     rows.append({"query_id": q.query_id, "position": k} | {c: r.get(c) for c in RESULT_COLUMNS})
             yield pd.DataFrame(rows, columns=["query_id", "position", *RESULT_COLUMNS])
 
-    return queries.select("query_id", "query").coalesce(tasks).mapInPandas(run, _RESULT)
+    return queries.select("query_id", "query").repartition(tasks).mapInPandas(run, _RESULT)
 
 
 def remote_vectors(texts: DataFrame, url: str, text_col: str = "text", batch: int = 256, tasks: int = 2, post: Callable[[str, dict], dict] = http_post) -> DataFrame:
@@ -101,18 +103,59 @@ def remote_vectors(texts: DataFrame, url: str, text_col: str = "text", batch: in
                     raise ValueError("the server gave another number of vectors")
                 yield some.assign(embedding=found)
 
-    return texts.coalesce(tasks).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", embedding array<float>")
+    return texts.repartition(tasks).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", embedding array<float>")
 
 
-def remote_texts(prompts: DataFrame, url: str, model: str, key: str | None = None, temperature: float = 0.7, tasks: int = 10, post: Callable[..., dict] = http_post) -> DataFrame:
-    """All columns and ``answer``: a chat model's text for each ``prompt``; a blank answer is null."""
+def as_completed(ask: Callable[[str], str | None], rows: Iterator[tuple], bound: int) -> Iterator[tuple]:
+    """(row, answer, error) of rows whose first item is asked for, in the order of completion, ``bound`` requests at a time.
+
+    A new row is taken when a request has ended, so neither threads nor rows that wait grow with the input.
+    """
+    with ThreadPoolExecutor(bound) as pool:
+        waiting: dict[Future, tuple] = {}
+        try:
+            while True:
+                for row in itertools.islice(rows, bound - len(waiting)):
+                    waiting[pool.submit(ask, row[0])] = row
+                if not waiting:
+                    return
+                for done in wait(waiting, return_when=FIRST_COMPLETED).done:
+                    row = waiting.pop(done)
+                    yield (row, None, done.exception()) if done.exception() else (row, done.result(), None)
+        finally:
+            for f in waiting:
+                f.cancel()
+
+
+def remote_texts(prompts: DataFrame, url: str, model: str, key: str | None = None, temperature: float = 0.7, tasks: int = 2, in_flight: int = 10, chunk: int = 100, failures: int = 20, post: Callable[..., dict] = http_post) -> DataFrame:
+    """All columns and ``answer``: a chat model's text for each ``prompt``; a blank answer is null. In any order.
+
+    Each of ``tasks`` tasks has ``in_flight`` requests under way and gives out answers ``chunk`` at a time as they come, so a
+    slow one holds up none. A request that fails for good leaves null, to be asked for by a later run, and what others gave
+    is kept; after more than ``failures`` in a row a task fails.
+    """
     headers = {"Authorization": f"Bearer {key}"} if key else {}
+    names = prompts.columns
+    place = names.index("prompt")
+
+    def ask(prompt: str) -> str | None:
+        body = {"model": model, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]}
+        return retried(lambda: post(f"{url.rstrip('/')}/chat/completions", body, headers=headers))["choices"][0]["message"]["content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            ask = lambda p: post(f"{url.rstrip('/')}/chat/completions", {"model": model, "temperature": temperature, "messages": [{"role": "user", "content": p}]}, headers=headers)
-            answers = [retried(lambda: ask(p))["choices"][0]["message"]["content"] for p in rows["prompt"]]  # noqa: B023
-            yield rows.assign(answer=[(a or "").strip() or None for a in answers])
+        rows = ((r[place], r) for b in batches for r in b.itertuples(index=False, name=None))
+        frame = lambda done: pd.DataFrame(done, columns=[*names, "answer"])
+        done, failed = [], 0
+        for (_, row), answer, error in as_completed(ask, rows, in_flight):
+            failed = failed + 1 if error else 0
+            if failed > failures:
+                raise error
+            done.append((*row, (answer or "").strip() or None))
+            if len(done) >= chunk:
+                yield frame(done)
+                done = []
+        if done:
+            yield frame(done)
 
     return prompts.repartition(tasks).mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes) + ", answer string")
 

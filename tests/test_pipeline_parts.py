@@ -225,6 +225,30 @@ def test_service(engine):
     assert engine.get_by_name("List.map").first()["id"] == 7 and engine.get_by_name("list.map").count() == 0
 
 
+def test_deep_layers(spark):
+    """A chain of 1,000 names, a tree and a cycle, by a bounded number of jobs, and the same by rounds only."""
+    rng = random.Random(5)
+    deps = {f"c{i:04d}": [f"c{i - 1:04d}"] if i else [] for i in range(1000)}
+    deps |= {f"t{i:03d}": [f"t{rng.randrange(i):03d}" for _ in range(rng.randrange(3))] if i else [] for i in range(150)}
+    deps |= {"x1": ["x3"], "x2": ["x1"], "x3": ["x2", "x0"], "x0": [], "y": ["x3", "c0003"], "alone": ["outside", "alone"]}
+    layer = {}
+    while more := {n: 1 + max((layer[d] for d in own if d in deps and d != n), default=0) for n, own in deps.items() if n not in layer and all(d in layer or d not in deps or d == n for d in own)}:
+        layer |= more
+    layer |= {n: max(layer.values()) + 1 for n in deps if n not in layer}
+    rows = names(spark, list(deps.items()))
+    context = spark.sparkContext
+    context.setJobGroup("layers", "counted")
+    try:
+        got = graph.layers(rows)
+        jobs = len(context.statusTracker().getJobIdsForGroup("layers"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["name"]: r["layer"] for r in got.collect()} == layer and got.count() == len(deps) and jobs < 300
+    few = names(spark, [x for x in deps.items() if x[0][0] in "txy" or x[0] < "c0012"])
+    whole = {r["name"]: r["layer"] for r in graph.layers(few).collect()}
+    assert whole == {r["name"]: r["layer"] for r in graph.layers(few, 2, 5).collect()} == {r["name"]: r["layer"] for r in graph.layers(few, 100).collect()}
+
+
 def test_extract_steps(spark):
     assert extract.resolve_steps() == extract.Steps() and extract.resolve_steps(embed=True) == extract.Steps(False, False, True, False)
     assert extract.resolve_steps(embed=False) == extract.Steps(False, False, False, False)

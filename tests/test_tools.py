@@ -3,8 +3,10 @@ from __future__ import annotations
 import io
 import json
 import sqlite3
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import __main__
 from quillon.plans.serve import serve
@@ -100,6 +102,30 @@ def test_remote_vectors_and_texts(spark):
     assert {r["id"]: r["answer"] for r in answers.collect()} == {1: None, 2: "mBearer k", 3: "mBearer k"}
 
 
+def test_requests_in_flight(spark, tmp_path):
+    """A task has so many requests under way at once and no more, and a slow or failing one holds up or loses no other."""
+    place = str(tmp_path)
+
+    def slow(url, body, headers):
+        text = body["messages"][0]["content"]
+        began = time.time()
+        time.sleep(2.5 if text == "p0" else 0.05)
+        with open(f"{place}/{text}", "w") as f:
+            f.write(f"{began} {time.time()}")
+        if text == "p7":
+            raise ValueError("refused")
+        return {"choices": [{"message": {"content": text.upper()}}]}
+
+    prompts = spark.range(60).select("id", F.concat(F.lit("p"), F.col("id")).alias("prompt")).coalesce(1)
+    rows = remote.remote_texts(prompts, "http://x", "m", tasks=1, in_flight=4, chunk=5, post=slow).collect()
+    assert {r["id"]: r["answer"] for r in rows} == {i: None if i == 7 else f"P{i}" for i in range(60)}
+    at = {i: tuple(map(float, (tmp_path / f"p{i}").read_text().split())) for i in range(60)}
+    under_way = [sum(a <= t < b for a, b in at.values()) for t, _ in at.values()]
+    assert max(under_way) == 4 and [r["id"] for r in rows].index(0) > 20
+    with pytest.raises(Exception, match="refused"):
+        remote.remote_texts(spark.createDataFrame([("p7",)] * 5, "prompt string"), "http://x", "m", tasks=1, failures=2, in_flight=2, post=slow).collect()
+
+
 def test_repository_metadata(tmp_path):
     seen = {"https://raw.githubusercontent.com/o/r/v1/lean-toolchain": "lean:v4.2.0\n", "https://api.github.com/repos/o/r/tags?per_page=100": json.dumps([{"name": n} for n in ("nightly", "v1.9.0", "v1.10.0", "v1.10.0-rc1")])}
     assert remote.toolchain("https://github.com/o/r.git", "v1", seen.__getitem__) == "lean:v4.2.0"
