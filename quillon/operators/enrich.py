@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators.graph import layers
-from quillon.operators.storage import stored
+from quillon.operators.storage import stored, stored_observed
 
 PROMPT_DEPENDENCIES = 20
 
@@ -89,10 +89,11 @@ def prompts(rows: DataFrame, texts: DataFrame, template: str) -> DataFrame:
     return met.withColumn("prompt", text.prompt(template, F.col("name"), F.col("source_text"), F.col("docstring"), text.dependency_lines(pairs))).drop("pairs")
 
 
-def generate_in_layers(rows: DataFrame, template: str, generate: Callable[[Column], Column], target: str = "informalization") -> DataFrame:
+def generate_in_layers(rows: DataFrame, template: str, generate: Callable[[Column], Column], target: str = "informalization", report: Callable[[int, dict], None] | None = None) -> DataFrame:
     """Fill null targets, dependencies before what depends on them; ``generate`` maps a prompt column to a text column.
 
-    A layer is one job whose result is written before the next one starts, so that a failure costs one layer.
+    A layer is one job whose result is written before the next one starts, so that a failure costs one layer. report gets each
+    layer's number and the count of its filled texts, which that job tells.
     """
     todo = rows.where(F.col(target).isNull())
     order = stored(layers(todo.select("name", F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"))))
@@ -101,7 +102,10 @@ def generate_in_layers(rows: DataFrame, template: str, generate: Callable[[Colum
     made = None
     for layer in range(1, last + 1):
         own = todo.join(order.where(F.col("layer") == layer).select("name"), "name", "left_semi")
-        new = stored(prompts(own, texts, template).select("name", text.trimmed(generate(F.col("prompt"))).alias("text")).where("text is not null"))
+        answers = prompts(own, texts, template).select("name", text.trimmed(generate(F.col("prompt"))).alias("text")).where("text is not null")
+        new, told = stored_observed(answers, filled=F.count(F.lit(1)))
+        if report:
+            report(layer, told)
         texts = texts.unionByName(new)
         made = new if made is None else made.unionByName(new)
     return apply_values(rows, made, ["name"], target, "text") if made is not None else rows

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillon.functions import text, udfs
 from quillon.operators.storage import small
 
+SKIP_REASONS = ["prefix", "constructor", "no_source"]
+
 
 def join_tables(names: DataFrame, ranges: DataFrame, markdown: DataFrame, verso: DataFrame, modules: DataFrame) -> DataFrame:
     """Rendered names with their line ranges, either kind of docstring and their module's url, by module and position."""
@@ -26,6 +28,12 @@ def with_skip_reason(rows: DataFrame, include: Callable[[Column], Column], versi
     return linked.withColumn("skip_reason", reason).withColumn("verso_only", (F.coalesce("docstring", F.lit("")) == "") & F.col("verso_docstring").isNotNull())
 
 
+def skip_metrics() -> dict[str, Column]:
+    """The counts of kept rows, of each reason to skip one and of those with a docstring of the other kind only, as aggregates of ``with_skip_reason``'s rows."""
+    reason = F.col("skip_reason")
+    return {"kept": F.count_if(reason.isNull())} | {r: F.count_if(reason.eqNullSafe(r)) for r in SKIP_REASONS} | {"verso_only": F.count_if(reason.isNull() & F.col("verso_only"))}
+
+
 def skip_counts(rows: DataFrame) -> DataFrame:
     return rows.where("skip_reason is not null").groupBy("skip_reason").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of the rows that the same job computes while it writes; no second pass."""
+    seen = Observation()
+    out = stored(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return out, seen.get
+
+
 def fits(df: DataFrame, rows: int = 100_000) -> bool:
     """Whether the table has no more rows than the bound; no more than that are looked at."""
     return len(df.select(F.lit(1)).take(rows + 1)) <= rows

@@ -628,6 +628,19 @@ def dependency_layers(spark, d):
     return graph.layers(_graph(spark, d))
 
 
+@query("""
+WITH c AS (SELECT 'p' || p_partkey AS name, row_number() OVER (ORDER BY p_partkey) AS layer FROM part)
+SELECT name, CAST(layer AS INT) AS layer FROM c UNION ALL SELECT 's' || s_suppkey, CAST((SELECT max(layer) + 1 FROM c) AS INT) FROM supplier""")
+def deep_layers(spark, d):
+    """One chain of all parts, and one cycle of all suppliers: as many layers as parts, by a bounded number of jobs."""
+    parts, suppliers = read(spark, d, "part").select("p_partkey"), read(spark, d, "supplier").select("s_suppkey")
+    first, last = suppliers.agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    chain = parts.select(F.concat(F.lit("p"), "p_partkey").alias("name"), F.array(F.concat(F.lit("p"), F.col("p_partkey") - 1)).alias("dependencies"))
+    after = F.when(F.col("s_suppkey") == last, F.lit(first)).otherwise(F.col("s_suppkey") + 1)
+    cycle = suppliers.select(F.concat(F.lit("s"), "s_suppkey").alias("name"), F.array(F.concat(F.lit("s"), after)).alias("dependencies"))
+    return graph.layers(chain.unionByName(cycle))
+
+
 @query("""WITH n AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT DISTINCT k, d FROM (SELECT k, k % 6 AS d FROM n UNION ALL SELECT k, k // 7 FROM n) WHERE d <> k AND d IN (SELECT k FROM n))
 SELECT CAST(n.k AS VARCHAR) AS name, count(d) AS waits FROM n LEFT JOIN e ON n.k = e.k GROUP BY n.k""")
 def in_degrees(spark, d):

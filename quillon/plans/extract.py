@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text
 from quillon.operators import enrich, ingest
-from quillon.operators.storage import stored
+from quillon.operators.storage import stored, stored_observed
 from quillon.plans.search import SearchEngine
 from quillon.schema import DECLARATION
 from quillon.sources import files, sqlite
@@ -36,8 +36,9 @@ def resolve_steps(**flags: bool | None) -> Steps:
 def add_declarations(target: DataFrame, extracted: DataFrame) -> tuple[DataFrame, int]:
     """The next snapshot of the declarations and the number of rows inserted: generated projections out, known names ignored."""
     kept = ingest.split_projections(extracted).where("not generated").drop("generated")
-    new = stored(enrich.insert_ignore(target, kept.withColumn("seq", F.struct("module", "name", "source_link"))).drop("seq"))
-    n = new.count()
+    rows = enrich.insert_ignore(target, kept.withColumn("seq", F.struct("module", "name", "source_link"))).drop("seq")
+    new, told = stored_observed(rows, inserted=F.count(F.lit(1)))
+    n = told.get("inserted", 0)  # nothing is told of a table that is known to be empty
     if not n:
         return target, 0
     last = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -76,7 +77,8 @@ def read_documentation(spark: SparkSession, database: str, sources: str, prefixe
     """
     names = [sqlite.read_table(spark, database, n) for n in ("name_info", "declaration_ranges", "declaration_markdown_docstrings", "declaration_verso_docstrings", "modules")]
     include = (lambda m: text.has_any_prefix(m, list(prefixes))) if prefixes else (lambda m: F.lit(True))
-    rows = ingest.with_skip_reason(ingest.join_tables(*names), include)
+    rows, told = stored_observed(ingest.with_skip_reason(ingest.join_tables(*names), include), **ingest.skip_metrics())
+    print("declarations read:", ", ".join(f"{k} {v}" for k, v in told.items()))
     lines = files.source_files(spark, sources)
     folders = lines.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
     found = files.read_sources(rows.where("skip_reason is null"), files.package_registry(folders, toolchain), lines)

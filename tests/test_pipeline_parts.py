@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 from quillon.functions import text
 from quillon.operators import enrich, graph, ingest
+from quillon.operators.storage import stored_observed
 from quillon.plans import extract
 from quillon.plans.search import SearchEngine, Service, hashed_vector, hashed_words
 from quillon.schema import DECLARATION
@@ -73,7 +74,9 @@ def test_batches_of_wide_rows(spark, coalesce):
 def test_generate_in_layers(spark):
     rows = [(1, "base", "src1", None, None, None), (2, "top", "src2", None, ["base", "known", "gone"], None), (3, "known", "s", None, None, "K text"), (4, "blank", " ", None, None, None)]
     df = spark.createDataFrame(rows, "id long, name string, source_text string, docstring string, dependencies array<string>, informalization string")
-    out = enrich.generate_in_layers(df, "{name}|{docstring}|{dependencies}", lambda p: F.when(~p.startswith("blank"), F.concat(F.lit(" <"), p, F.lit("> "))))
+    told = {}
+    out = enrich.generate_in_layers(df, "{name}|{docstring}|{dependencies}", lambda p: F.when(~p.startswith("blank"), F.concat(F.lit(" <"), p, F.lit("> "))), report=told.__setitem__)
+    assert told == {1: {"filled": 1}, 2: {"filled": 1}}
     got = {r["name"]: r["informalization"] for r in out.collect()}
     assert got["base"] == "<base|No docstring available|>" and got["known"] == "K text" and got["blank"] is None
     assert got["top"] == "<top|No docstring available|Dependencies:\n- base: <base|No docstring available|>\n- known: K text>"
@@ -111,6 +114,8 @@ def test_sqlite_to_declarations(spark, database, tmp_path):
     assert [(r["module_name"], r["position"]) for r in joined.collect()] == [("Init.C", 1), ("M.A", 1), ("M.A", 2), ("N.B", 1)]
     rows = ingest.with_skip_reason(joined, lambda m: text.has_any_prefix(m, ["M", "N", "Init"]))
     assert {r["skip_reason"]: r["rows"] for r in ingest.skip_counts(rows).collect()} == {"constructor": 1, "no_source": 1}
+    written, told = stored_observed(rows, **ingest.skip_metrics())
+    assert told == {"kept": 2, "prefix": 0, "constructor": 1, "no_source": 1, "verso_only": 1} and written.count() == 4
     assert [r["name"] for r in rows.where("verso_only").collect()] == ["c"]
     root = tmp_path / "src"
     (root / "pkg" / "M").mkdir(parents=True)
