@@ -38,16 +38,16 @@ def first_wins(sources: Sequence[DataFrame], keys: Sequence[str], value: str, se
 
 
 def split_by_cache(rows: DataFrame, cache: DataFrame, keys: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """(hits with the cached value, misses); rows with a null key are in neither."""
+    """(hits with the cached value, misses); rows with a null key are in neither. Of a key that the cache has more than once, the least value counts."""
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    cached = cache.select(*keys, F.col(value).alias("cached"))
+    cached = cache.groupBy(*keys).agg(F.min(value).alias("cached"))
     return rows.join(cached, list(keys)), rows.join(cached, list(keys), "left_anti")
 
 
 def apply_values(rows: DataFrame, values: DataFrame, keys: Sequence[str], target: str, value: str) -> DataFrame:
-    """The next snapshot: the target filled from the values where it is null."""
-    own = values.select(*keys, F.col(value).alias("__value"))
+    """The next snapshot: the target filled from the values where it is null. Of a key with several values the least one counts, so no row is doubled."""
+    own = values.groupBy(*keys).agg(F.min(value).alias("__value"))
     return rows.join(own, list(keys), "left").withColumn(target, F.coalesce(target, "__value")).drop("__value").select(rows.columns)
 
 

@@ -92,11 +92,11 @@ def pool_scores(pool: DataFrame, tokens: Column, query_tokens: Column, k1: float
     w = Window.partitionBy("query_id")
     rows = pool.select("query_id", "id", tokens.alias("tokens"), query_tokens.alias("asked")).withColumn("dl", F.size("tokens").cast("double"))
     rows = rows.withColumns({"n": F.count(F.lit(1)).over(w), "avgdl": F.avg("dl").over(w)})
-    asked = F.array_distinct("asked")
-    terms = rows.select("query_id", "id", "n", "avgdl", "dl", "tokens", "asked", F.explode(asked).alias("term"))
-    tf = F.size(F.filter("tokens", lambda t: t == F.col("term"))).cast("double")
-    qf = F.size(F.filter("asked", lambda t: t == F.col("term"))).cast("double")
-    terms = terms.withColumns({"tf": tf, "qf": qf}).withColumn("df", F.sum((F.col("tf") > 0).cast("long")).over(Window.partitionBy("query_id", "term")))
+    # counted before the terms are dealt out, so that no row carries its tokens once a term
+    times = lambda c, t: F.size(F.filter(c, lambda x: x == t)).cast("double")
+    counted = F.transform(F.array_distinct("asked"), lambda t: F.struct(t.alias("term"), times("tokens", t).alias("tf"), times("asked", t).alias("qf")))
+    terms = rows.select("query_id", "id", "n", "avgdl", "dl", F.inline(counted))
+    terms = terms.withColumn("df", F.sum((F.col("tf") > 0).cast("long")).over(Window.partitionBy("query_id", "term")))
     idf = F.when(F.col("df") > 0, F.log((F.col("n") + 1) / F.col("df")) * F.col("qf")).otherwise(0.0)
     part = idf * (delta + F.when(F.col("tf") > 0, (k1 + 1) * F.col("tf") / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))).otherwise(0.0))
     scored = terms.groupBy("query_id", "id").agg(F.sum(part).alias("text_score"))
