@@ -82,6 +82,14 @@ def test_generate_in_layers(spark):
     assert got["top"] == "<top|No docstring available|Dependencies:\n- base: <base|No docstring available|>\n- known: K text>"
 
 
+def test_keys_that_a_cache_has_twice(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "b", "own"), (3, None, None), (4, "c", None)], "id long, k string, v string")
+    cache = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z"), (None, "n")], "k string, v string")
+    hits, misses = enrich.split_by_cache(rows.drop("v"), cache, ["k"], "v")
+    assert sorted((r["id"], r["cached"]) for r in hits.collect()) == [(1, "x"), (2, "z")] and [r["id"] for r in misses.collect()] == [4]
+    assert {r["id"]: r["v"] for r in enrich.apply_values(rows, cache, ["k"], "v", "v").collect()} == {1: "x", 2: "own", 3: None, 4: None}
+
+
 def test_projections(spark):
     rows = [("A.toB", "structure S -- x"), ("A", "structure   S"), ("C.toD", "own"), ("E.toF", "t"), ("G.toH", "t"), ("x.to", "t")]
     out = ingest.split_projections(spark.createDataFrame(rows, "name string, source_text string"))
