@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.functions import scoring, text, udfs
+from quillon.functions import models, scoring, text, udfs
 from quillon.functions import vectors as V
 
 
@@ -143,3 +143,20 @@ def test_normalized(spark):
     assert norm([1, 3, 2]) == [0.0, 1.0, 0.5] and norm([2, 2]) == [1.0, 1.0] and norm([0, 0]) == [0.0, 0.0] and norm([-1, -1]) == [0.0, 0.0]
     df = spark.createDataFrame([(0, 0), (0, 3)], "q int, c long")
     assert [round(r["s"], 6) for r in df.select("c", scoring.log_normalized(F.col("c"), Window.partitionBy("q")).alias("s")).orderBy("c").collect()] == [0.0, 1.0]
+
+
+def test_models(spark):
+    """Batches of like length, prompts for queries only, capped inputs, each distinct text once, nulls."""
+
+    def load():
+        return lambda texts: [[len(texts), len(t.split()), t.startswith("Query: ")] for t in texts]
+
+    model = models.TextModel(load, prompt="Query: ", max_tokens=4, batch=2)
+    rows = spark.createDataFrame([(0, "a b c d e f"), (1, None), (2, "x"), (3, "x"), (4, ""), (5, "y z")], "query_id long, query string").coalesce(1)
+    assert {r["query_id"]: r["v"] for r in rows.select("query_id", model.documents(F.col("query")).alias("v")).collect()} == {0: [2, 4, 0], 1: None, 2: [2, 1, 0], 3: [2, 1, 0], 4: [2, 0, 0], 5: [2, 2, 0]}
+    assert {r["query_id"]: r["embedding"] for r in model.query_table(rows).collect()}[0] == [2, 5, 1]
+    pairs = models.PairModel(lambda: lambda texts: [len(t.split()) * 100 + len(texts) for t in texts], "Q {query} D {document}", max_tokens=5, batch=3)
+    assert pairs.text("one {document}", "a b c d e") == "Q one {document} D a b c" and pairs.text("a b c d e f", "x") == "Q a b c d e D "
+    got = rows.select("query_id", pairs.score(F.lit("who"), F.col("query")).alias("s")).collect()
+    assert {r["query_id"]: r["s"] for r in got} == {0: 703, 1: None, 2: 403, 3: 403, 4: 301, 5: 503}
+    assert models.in_batches([], lambda t: t, 3) == [] and models.in_batches(["b", "aa", "b"], lambda t: [x * 2 for x in t], 1) == ["bb", "aaaa", "bb"]
