@@ -6,8 +6,9 @@
    whatever executors are lost.
 2. Words: a block's distinct words are dealt by their hash into packets of (bucket, block), which are shuffled by bucket. All
    uses of a distinct word of the corpus meet in one bucket, where it is encoded once and its ids go into every packet that
-   has it. Buckets are as many as make ``BUCKET_WORDS`` words each, so a task's memory doesn't depend on the input's size;
-   packets without words aren't made, so there are never more of them than distinct words of blocks.
+   has it. Buckets are as many as make ``BUCKET_WORDS`` words each; packets without words aren't made, so there are never more
+   of them than distinct words of blocks. A task holds a bucket's packets: one a block for a word that every block has, so
+   beyond some terabytes, at 32 MB a block, such a bucket has more than ``BUCKET_WORDS`` words.
 3. Join back: the ids return to their block, and the documents are put together by position. Decoding looks every id up
    in the token-byte table, which has one row for each entry of the vocabulary.
 
