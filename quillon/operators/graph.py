@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.storage import stored
+from quillon.operators.storage import fits, stored
 
 #: Layers that are peeled by joins before the rest is dealt by connected part; edges of a part that one task peels.
 ROUNDS, PART_EDGES = 6, 1_000_000
+#: Edges that one task peels whether they are connected or not.
+FEW_EDGES = 100_000
 
 
 def edges(rows: DataFrame) -> DataFrame:
@@ -81,7 +83,9 @@ def layers(rows: DataFrame, rounds: int = ROUNDS, part_edges: int = PART_EDGES)
     layer, cyclic = 0, None
     while not names.isEmpty():
         if layer == rounds:
-            parts = stored(connected_parts(left))
+            # few edges are one part, without looking for connected ones
+            whole = left.select("name").unionByName(left.select(F.col("dep").alias("name"))).distinct().withColumn("part", F.lit(""))
+            parts = stored(whole if fits(left, min(FEW_EDGES, part_edges)) else connected_parts(left))
             tagged = left.join(parts, "name")
             sizes = tagged.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
             fit = sizes.where(F.col("k") <= part_edges).select("part")
