@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from quillon.functions import text
 from quillon.operators import enrich, graph, ingest
-from quillon.operators.storage import stored_observed
+from quillon.operators.storage import stored, stored_observed
 from quillon.plans import extract
 from quillon.plans.search import SearchEngine, Service, hashed_vector, hashed_words
 from quillon.schema import DECLARATION
@@ -262,6 +262,23 @@ def test_deep_layers(spark):
     assert whole == {r["name"]: r["layer"] for r in graph.layers(few, 2, 5).collect()} == {r["name"]: r["layer"] for r in graph.layers(few, 100).collect()}
 
 
+def test_long_chains_are_made_shorter(spark, monkeypatch):
+    """A chain and a cycle of more edges than a task peels take jobs by the logarithm of their length; the same layers as in memory."""
+    rng = random.Random(6)
+    deps = {f"c{i:03d}": [f"c{i - 1:03d}"] if i else [] for i in range(60)} | {f"r{i:02d}": [f"r{(i + 1) % 20:02d}"] for i in range(20)}
+    deps |= {f"t{i:03d}": [f"t{rng.randrange(i):03d}" for _ in range(rng.randrange(1, 4))] if i else [] for i in range(20)}
+    deps |= {"u": ["c030", "t015"], "v": ["u"], "w": ["v", "u", "c059"], "y": ["r05", "c010"], "self": ["self"]}
+    layer = {}
+    while more := {n: 1 + max((layer[d] for d in own if d != n), default=0) for n, own in deps.items() if n not in layer and all(d in layer or d == n for d in own)}:
+        layer |= more
+    layer |= {n: max(layer.values()) + 1 for n in deps if n not in layer}
+    rows = names(spark, list(deps.items()))
+    made = []
+    monkeypatch.setattr(graph, "stored", lambda df, f=graph.stored: made.append(1) or f(df))
+    got = stored(graph.layers(rows, 1, 50, 50))
+    assert {r["name"]: r["layer"] for r in got.collect()} == layer and got.count() == len(deps) and len(made) < 60
+
+
 def test_extract_steps(spark):
     assert extract.resolve_steps() == extract.Steps() and extract.resolve_steps(embed=True) == extract.Steps(False, False, True, False)
     assert extract.resolve_steps(embed=False) == extract.Steps(False, False, False, False)
