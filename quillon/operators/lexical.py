@@ -7,9 +7,11 @@ part, and only postings of the query's terms are read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from quillon.functions import scoring
 from quillon.operators.storage import fits
 
 K1, B, DELTA = 1.5, 0.75, 0.5
+#: Tokens that are counted at a time (a row has its own at least); terms of a batch that are looked up in saved postings.
+BLOCK_TOKENS, LOOKED_UP = 4 << 20, 1000
 
 
 @dataclass
@@ -27,15 +31,62 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
 
+    blocks: DataFrame | None = None  # what it was built from: see ``_blocks``
+
     def save(self, path: str) -> None:
-        """Postings range-partitioned and sorted by term, so that a reader prunes row groups by the query's terms."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings dealt by term in blocks and sorted by it, so that a reader prunes pages by the query's terms.
+
+        One pass over the rows: blocks hold many postings of a term in little room and move once; terms and corpus come from them.
+        """
+        spark = self.postings.sparkSession
+        deal = lambda df: df.repartition(F.coalesce("term", F.col("ids")[0].cast("string"))).sortWithinPartitions("term")
+        if self.blocks is not None:
+            deal(self.blocks).write.mode("overwrite").parquet(f"{path}/blocks")
+            kept = spark.read.parquet(f"{path}/blocks")
+            rows = kept.where("term is null").select(F.explode(F.arrays_zip("ids", "dls")).alias("row")).select("row.*")
+            n, different = rows.count(), rows.distinct().count()
+            if n == different:
+                kept.where("term is not null").groupBy("term").agg(F.sum(F.size("ids")).alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+                rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dls").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/corpus")
+                return
+        # rows of one id and length count as one, so their postings have to meet
+        deal(self.postings.select("term", *(F.array(c).alias(f"{c}s") for c in ("id", "tf", "dl")))).write.mode("overwrite").parquet(f"{path}/blocks")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
+        blocks, terms, corpus = (spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "corpus"))
+        postings = blocks.where("term is not null").select("term", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return cls(postings.select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")), terms, corpus)
+
+
+def _blocks() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, dl, tokens) to blocks (term, ids, tfs, dls): a term's postings of some rows; the null term's block has all the rows."""
+
+    def lists(offsets: np.ndarray, *values: pa.Array) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v) for v in values]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column(2).offsets)).astype(np.int64)
+            part = (np.cumsum(size) - 1) // BLOCK_TOKENS
+            bounds = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                ids, dl, own = (batch.column(i).slice(a, b - a) for i in range(3))
+                flat, row = own.flatten(), np.repeat(np.arange(b - a, dtype=np.int64), size[a:b])
+                if flat.null_count:
+                    flat, row = flat.drop_null(), row[np.asarray(flat.is_valid())]
+                coded = flat.dictionary_encode()
+                pair, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * (b - a) + row, return_counts=True)
+                code, row = np.divmod(pair, b - a)
+                first = np.nonzero(np.r_[True, code[1:] != code[:-1]])[0] if len(code) else np.zeros(0, np.int64)
+                rows = pa.array(np.r_[row, np.arange(b - a)])
+                terms = pa.concat_arrays([coded.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array([None], pa.string())])
+                tfs = pa.array(np.r_[tf, np.zeros(b - a)].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([terms, *lists(np.r_[first, len(row), len(rows)], ids.take(rows), tfs, dl.take(rows))], names=["term", "ids", "tfs", "dls"])
+
+    return run
 
 
 def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: bool = False, terms: Sequence[str] | None = None) -> LexicalIndex:
@@ -48,7 +99,9 @@ def build_index(rows: DataFrame, tokens: Column, id_col: str = "id", distinct: b
     postings = own.select("id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, frequencies, corpus)
+    kind = own.schema["id"].dataType.simpleString()
+    blocks = own.select("id", "dl", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).mapInArrow(_blocks(), f"term string, ids array<{kind}>, tfs array<long>, dls array<long>")
+    return LexicalIndex(postings, frequencies, corpus, blocks)
 
 
 def score_matches(queries: DataFrame, index: LexicalIndex, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
@@ -62,7 +115,10 @@ def score_matches(queries: DataFrame, index: LexicalIndex, k1: float = K1, b: fl
     base = known.groupBy("query_id").agg((F.sum("idf") * delta).alias("base"))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * (k1 + 1) * tf / (k1 * (1 - b + b * dl / F.col("avgdl")) + tf)
-    matched = index.postings.join(near(known), "term").groupBy("query_id", "id").agg(F.sum(part).alias("part"))
+    postings = index.postings
+    if fits(asked, LOOKED_UP):
+        postings = postings.where(F.col("term").isin([r["term"] for r in asked.select("term").distinct().collect()]))
+    matched = postings.join(near(known), "term").groupBy("query_id", "id").agg(F.sum(part).alias("part"))
     return matched.join(near(base), "query_id").select("query_id", "id", (F.col("part") + F.col("base")).alias("score"))
 
 

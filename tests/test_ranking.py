@@ -110,6 +110,21 @@ def test_large_query_batches(spark, monkeypatch):
     assert found(semantic.probed_top_k(q, index, 5, probes=4)) == exact
 
 
+def test_saved_index_moves_a_row_for_many_postings(spark, tmp_path, monkeypatch):
+    """Blocks hold a term's postings of many rows, whatever the slices; rows of one id and length count as one, nulls as rows."""
+    texts = [(i, ["a", "a", f"t{i % 7}"] + ["b"] * (i % 3)) for i in range(200)] + [(500, []), (501, None)]
+    for own in (texts, texts + [(3, ["a", "x", "x"]), (502, ["a", None])]):
+        for tokens in (4 << 20, 50):
+            monkeypatch.setattr(lexical, "BLOCK_TOKENS", tokens)
+            index = lexical.build_index(spark.createDataFrame(own, "id long, tokens array<string>").coalesce(1), F.col("tokens"))
+            index.save(f"{tmp_path}/i")
+            saved = lexical.LexicalIndex.load(spark, f"{tmp_path}/i")
+            for kept, lazy in ((saved.postings, index.postings), (saved.terms, index.terms), (saved.corpus, index.corpus)):
+                assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, lazy.collect()))
+            if tokens > 50 and own is texts:
+                assert spark.read.parquet(f"{tmp_path}/i/blocks").count() == 10  # eight and one terms, and the rows
+
+
 def test_probed_search_reads_each_vector_once(spark):
     """Two copies of a vector neither come twice nor push others out, whatever the lists read."""
     rng = np.random.default_rng(1)
