@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ LEAST_LISTS, PROBES = 256, 64
 QUERY_ROWS = 1000
 #: Bytes of all centroids, which are on the driver and sent to the tasks.
 CENTROID_BYTES = 128 << 20
-#: Vectors that are dealt to lists at a time.
-DEAL_ROWS = 1024
+#: Vectors that are dealt to lists, or scored, at a time; scores that a task holds before it drops all but the best.
+DEAL_ROWS, HELD_SCORES = 1024, 1 << 20
 
 
 def unit_queries(queries: DataFrame) -> DataFrame:
@@ -37,8 +38,8 @@ def unit_queries(queries: DataFrame) -> DataFrame:
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int = 1000) -> DataFrame:
     """(query_id, id, score, rank) by inner product with the query scaled to length 1.
 
-    A batch of at most ``QUERY_ROWS`` queries goes to the tasks as one matrix: each Arrow batch of vectors is one matrix
-    product, and only its best k of each query (ties included) leave the task. A larger batch is cut into blocks of about
+    A batch of at most ``QUERY_ROWS`` queries goes to the tasks as one matrix: some vectors at a time are one matrix
+    product, and only a task's best k of each query leave it. A larger batch is cut into blocks of about
     so many queries, each of which passes over the vectors.
     """
     own = vectors.where("embedding is not null").select("id", "embedding")
@@ -71,30 +72,57 @@ def _products(queries: list, vectors: DataFrame, k: int, lists: tuple[np.ndarray
         vectors = vectors.where(F.col("list_id").isin(numbers[wanted.any(0)].tolist()))
     vectors = vectors.select("id", "embedding", *(["list_id", "home"] if lists is not None else []))
 
+    def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | bool]:
+        column = batch.column(1)
+        if set(np.unique(np.diff(np.asarray(column.offsets)))) != {matrix.shape[1]}:
+            raise ValueError("vectors and queries differ in length")
+        own = np.asarray(column.flatten()).astype(np.float64).reshape(batch.num_rows, -1)
+        if lists is None:
+            return matrix @ own.T, True
+        code, home = (np.searchsorted(numbers, np.asarray(batch.column(i))) for i in (2, 3))
+        # a copy in a second list isn't read where the first is
+        scores, read = np.full((len(ids), batch.num_rows), -np.inf), wanted[:, code] & ((code == home) | ~wanted[:, home])
+        for c in np.unique(code):
+            q, v = np.nonzero(wanted[:, c])[0], np.nonzero(code == c)[0]
+            scores[np.ix_(q, v)] = matrix[q] @ own[v].T
+        scores[~read] = -np.inf
+        return scores, read
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            if not batch.num_rows or not len(ids):
-                continue
-            if set(np.unique(np.diff(np.asarray(column.offsets)))) != {matrix.shape[1]}:
-                raise ValueError("vectors and queries differ in length")
-            own = np.asarray(column.flatten()).astype(np.float64).reshape(batch.num_rows, -1)
-            if lists is None:
-                scores, read = matrix @ own.T, True
-            else:
-                code, home = (np.searchsorted(numbers, np.asarray(batch.column(i))) for i in (2, 3))
-                # a copy in a second list isn't read where the first is
-                scores, read = np.full((len(ids), batch.num_rows), -np.inf), wanted[:, code] & ((code == home) | ~wanted[:, home])
-                for c in np.unique(code):
-                    q, v = np.nonzero(wanted[:, c])[0], np.nonzero(code == c)[0]
-                    scores[np.ix_(q, v)] = matrix[q] @ own[v].T
-                scores[~read] = -np.inf
-            if batch.num_rows > k:
-                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-                q, v = np.nonzero((scores >= least[:, None]) & read)
-            else:
-                q, v = np.nonzero(np.ones(scores.shape, bool) & read)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "id", "score"])
+        # the task's best k of each query so far, as numbers of queries, ids and scores; a query's k-th best
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        least, n = np.full(len(ids), -np.inf), 0
+
+        def best() -> None:
+            nonlocal held, n
+            q, own, s = np.concatenate([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            # ties go by id, as in top_k
+            coded = own.dictionary_encode(null_encoding="encode")
+            code = np.argsort(np.asarray(pc.array_sort_indices(coded.dictionary, null_placement="at_start")))[np.asarray(coded.indices)]
+            order = np.lexsort((code, np.where(np.isnan(s), -np.inf, -s), q))
+            begin = np.nonzero(np.r_[True, q[order][1:] != q[order][:-1]])[0]
+            rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)]))
+            last = order[rank == k - 1]
+            least[q[last]] = s[last]
+            order = order[rank < k]
+            held, n = [(q[order], own.take(pa.array(order)), s[order])], len(order)
+
+        for whole in batches if len(ids) else ():
+            for a in range(0, whole.num_rows, DEAL_ROWS):
+                batch = whole.slice(a, DEAL_ROWS)
+                scores, read = scored(batch)
+                floor = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k]) if batch.num_rows > k else least
+                q, v = np.nonzero(~(scores < floor[:, None]) & read)
+                if len(q):
+                    held.append((q, batch.column(0).take(pa.array(v)), scores[q, v]))
+                    n += len(q)
+                if n > max(HELD_SCORES, 2 * k * len(ids)):
+                    best()
+        if n:
+            best()
+            q, own, s = held[0]
+            for a in range(0, n, HELD_SCORES):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[a : a + HELD_SCORES]]), own.slice(a, HELD_SCORES), pa.array(s[a : a + HELD_SCORES])], names=["query_id", "id", "score"])
 
     return vectors.mapInArrow(run, f"query_id long, id {kind}, score double")
 

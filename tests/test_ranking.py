@@ -125,6 +125,17 @@ def test_saved_index_moves_a_row_for_many_postings(spark, tmp_path, monkeypatch)
                 assert spark.read.parquet(f"{tmp_path}/i/blocks").count() == 10  # eight and one terms, and the rows
 
 
+def test_a_task_sends_its_best_of_each_query(spark):
+    """However many vectors a task scores, equal ones among them, k of each query leave it, ties by id; blocks of vectors give the same."""
+    for kind, ids in (("long", lambda i: i * 37 % 3001), ("string", lambda i: f"v{i * 37 % 3001:05d}")):
+        rows = [(ids(i), [1.0, float(i % 3)]) for i in range(3000)]
+        vectors = spark.createDataFrame(rows, f"id {kind}, embedding array<double>").coalesce(1)
+        asked = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0])], "query_id long, embedding array<double>")
+        sent = semantic._products(semantic._blocks(asked)[0], vectors, 5).collect()
+        best = [sorted(i for i, v in rows if v[1] == 2)[:5], sorted(i for i, _ in rows)[:5]]
+        assert len(sent) == 10 and [sorted(r["id"] for r in sent if r["query_id"] == q) for q in (0, 1)] == best
+
+
 def test_probed_search_reads_each_vector_once(spark):
     """Two copies of a vector neither come twice nor push others out, whatever the lists read."""
     rng = np.random.default_rng(1)
