@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields
 
@@ -78,7 +79,7 @@ def read_documentation(spark: SparkSession, database: str, sources: str, prefixe
     names = [sqlite.read_table(spark, database, n) for n in ("name_info", "declaration_ranges", "declaration_markdown_docstrings", "declaration_verso_docstrings", "modules")]
     include = (lambda m: text.has_any_prefix(m, list(prefixes))) if prefixes else (lambda m: F.lit(True))
     rows, told = stored_observed(ingest.with_skip_reason(ingest.join_tables(*names), include), **ingest.skip_metrics())
-    print("declarations read:", ", ".join(f"{k} {v}" for k, v in told.items()))
+    print("declarations read:", ", ".join(f"{k} {v}" for k, v in told.items()), file=sys.stderr)
     lines = files.source_files(spark, sources)
     folders = lines.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).distinct()
     found = files.read_sources(rows.where("skip_reason is null"), files.package_registry(folders, toolchain), lines)
